@@ -1,0 +1,11 @@
+"""The registered queries of the colour engine and their SQL."""
+
+FLAGSHIP = "shades"
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
