@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalogue, colour  # noqa: F401
+from . import catalogue, colour, ranking  # noqa: F401
 from .base import QUERIES, SQL
 
-FLAGSHIP = "prj14_enrich"
+FLAGSHIP = "sco11_score"
 
 
 def queries():

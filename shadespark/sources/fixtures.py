@@ -66,3 +66,8 @@ def naming_long(shades_: DataFrame) -> DataFrame:
     """(shade_id, product_id, label, p, L_lab, a_lab, b_lab, C_lab, H_lab_deg), one row for each label."""
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("label"), F.col(f"p_{n}").alias("p")) for n in LABELS))).alias("x")
     return naming(shades_).where("r is not null").select("shade_id", "product_id", "chip_hex", "L_lab", "a_lab", "b_lab", "C_lab", "H_lab_deg", pairs).select("*", "x.*").drop("x")
+
+
+def label_keys(embeddings: DataFrame) -> DataFrame:
+    """label, key_id, key: the first vector of each label."""
+    return embeddings.groupBy("label").agg(F.min("vec_id").alias("key_id"), F.min_by("embedding", "vec_id").alias("key"))
