@@ -143,7 +143,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: in
         return pa.RecordBatch.from_arrays([b.column(2), b.column(3), common.binary_rows(x.astype(np.float32), np.arange(len(x) + 1) * x.shape[1])], ["label", "check", "x"])
 
     got = rows.select("doc_id", "text", "label", "check").mapInArrow(_features(rows, context, finish), "label int, check int, x binary").orderBy("label", F.xxhash64("x")).collect()
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got]).reshape(len(got), -1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in got]).reshape(len(got), 4 * SIZE)
     y, apart = np.array([r["label"] for r in got], np.float32), np.array([r["check"] for r in got], bool)
     if not len(y) or not 0 < y[~apart].sum() < (~apart).sum():
         width = 4 * SIZE
