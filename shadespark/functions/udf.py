@@ -8,11 +8,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 BACKENDS: dict[str, Callable] = {}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * 2M / T by Ratcliff-Obershelp; NULL if either is."""
     return pd.Series([None if x is None or y is None else 100 * difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
