@@ -111,7 +111,7 @@ def _minimisers(unit: Unit):
 
 
 def _strings(unit: Unit, buckets: int):
-    """Packed strings of the runs whose minimiser is in the document's list; a run that repeats an earlier one of its document is reported at once."""
+    """Packed strings of the runs whose minimiser is in the document's list; runs that repeat an earlier one of their document are merged and reported at once, without a string."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,6 +137,7 @@ def _strings(unit: Unit, buckets: int):
                 raw, seen = data.tobytes(), {}
                 doc_first = np.searchsorted(doc, np.arange(j - i))
                 out: dict[str, list] = {"bucket": [], "doc_id": [], "start": [], "stop": [], "hot": [], "packed": []}
+                inside: dict[int, list] = {}
                 for r, n_parts in zip(hit.tolist(), many.tolist()):
                     a, z, d = int(first[r]), int(last[r]), int(doc[first[r]])
                     lead = int(doc_first[d])
@@ -145,7 +146,9 @@ def _strings(unit: Unit, buckets: int):
                         packed = b" ".join(raw[x:y] for x, y in zip(begin[a:stop].tolist(), end[a:stop].tolist()))
                     else:
                         packed = raw[a:stop]
-                    again = (d, packed) in seen
+                    if (d, packed) in seen:
+                        inside.setdefault(d, []).append((a - lead, stop - lead))
+                        continue
                     seen[d, packed] = True
                     k, doc_id = int(key[r]), int(ids[i + d])
                     part = 0 if n_parts < 2 else int(common.mix(np.array([doc_id & (2**64 - 1)], U))[0] % U(n_parts))
@@ -154,7 +157,11 @@ def _strings(unit: Unit, buckets: int):
                     out["start"].append(a - lead)
                     out["stop"].append(stop - lead)
                     out["hot"].append(n_parts > 1)
-                    out["packed"].append(None if again else packed)
+                    out["packed"].append(packed)
+                for d, found in inside.items():
+                    for start, stop in merged(found):
+                        for name, x in (("bucket", hash(int(ids[i + d])) % buckets), ("doc_id", int(ids[i + d])), ("start", start), ("stop", stop), ("hot", False), ("packed", None)):
+                            out[name].append(x)
                 if out["bucket"]:
                     yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("hot", pa.bool_()), ("packed", pa.binary())]))
 
