@@ -17,8 +17,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, cap: int, parts: int, wh
     At most MAX_LABELS * cap ids are broadcast, so texts are not shuffled.
     """
     known = labels.where("doc_id is not null and label is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts != which)
-    top = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).select("label")
+    top = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS)
+    # ids of the smallest hashes, about twice as many as are taken, so that no label's rows meet in one task
+    near = F.pmod(F.xxhash64("doc_id", F.lit("near")), F.lit(1 << 30)) < F.least(F.lit(2.0 * cap) / F.col("count"), F.lit(1.0)) * (1 << 30)
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.join(F.broadcast(top), "label").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+    ids = known.join(F.broadcast(top), "label").where(near).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
     ids = ids.select(F.col("doc_id").cast("long").alias("doc_id"), "label").dropDuplicates(["doc_id"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
