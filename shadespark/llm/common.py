@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Bytes of one Arrow batch between Spark and Python.
 BATCH_BYTES = 8 << 20
+#: Spark's setting that removes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -53,7 +55,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/shadespark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table replaces its shuffles, which would stay on disk until the driver collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
