@@ -179,3 +179,40 @@ def interpret(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     m = mentions(base, aliases).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("start", "len", "name"))).alias("mentions"))
     c = extract_constraints(base).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("start", "axis", "direction", "strength", "evidence"))).alias("constraints"))
     return base.select("text_id", polarity(F.col("text")).alias("polarity")).join(m, "text_id", "left").join(c, "text_id", "left")
+
+
+def primary_targets(mentioned: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The one safe target of each group: colours and finishes first, then confidence, then place; none if the second is of the same rank and within 0.10 of its confidence."""
+    rank = F.when(F.col("kind").isin("color", "finish"), 0).otherwise(1)
+    sure = F.coalesce("confidence", F.lit(0.0))
+    over = Window.partitionBy(*by).orderBy(rank, sure.desc(), "start", "stop")
+    m = mentioned.withColumns({"_n": F.row_number().over(over), "_k": F.lead(rank).over(over), "_c": F.lead(sure).over(over)})
+    tie = F.coalesce((F.col("_k") == rank) & (F.abs(sure - F.col("_c")) < 0.10), F.lit(False))
+    return m.where((F.col("_n") == 1) & ~tie).drop("_n", "_k", "_c")
+
+
+def resolve_targets(mentioned: DataFrame, constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(targets, unattached constraints) of mentions (text_id, clause_id, start, stop, name, kind, polarity, confidence) and constraints (text_id, clause_id, ...).
+
+    targets: text_id, bucket, start, stop, name, kind, n_constraints. A clause's constraints go to its
+    safe target: of the liked, else of the neutral, else of the disliked mentions; a neutral target
+    stands in the disliked bucket. Constraints of clauses without a safe target stay global.
+    """
+    of = ("start", "stop", "name", "kind")
+    group = F.when(F.col("polarity") == "LIKE", 0).when(F.col("polarity") == "DISLIKE", 2).otherwise(1)
+    bucket = F.when(F.col("_g") == 0, "liked").otherwise("disliked")
+    m = mentioned.withColumn("_g", group)
+    safe = primary_targets(m, ("text_id", "clause_id", "_g")).groupBy("text_id", "clause_id").agg(F.min_by(F.struct(bucket.alias("bucket"), *of), "_g").alias("_t"))
+    scoped = constraints.join(safe, ["text_id", "clause_id"], "left")
+    told = m.where("_g <> 1").select("text_id", bucket.alias("bucket"), *of, F.lit(0).cast("long").alias("n"))
+    held = scoped.where("_t is not null").select("text_id", "_t.*", F.lit(1).cast("long").alias("n"))
+    targets = told.unionByName(held).groupBy("text_id", "bucket", *of).agg(F.sum("n").alias("n_constraints"))
+    return targets, scoped.where("_t is null").drop("_t")
+
+
+def axis_family(scores: DataFrame, by: str) -> DataFrame:
+    """by, axis, family: the family of the axis that scores best (then the smaller name); NULL for an axis of no family."""
+    top = scores.groupBy(by).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("axis"))).alias("t"))
+    # fixed families
+    family = F.when(F.col("t.axis") == "depth", "DEPTH").when(F.col("t.axis") == "brightness", "LIGHTNESS").when(F.col("t.axis") == "clarity", "SURFACE").when(F.col("t.axis").isin("saturation", "vibrancy"), "CHROMA")
+    return top.select(by, F.col("t.axis").alias("axis"), family.alias("family"))
