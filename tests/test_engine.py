@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shadespark import queries
 from shadespark.functions import color, stats, text, udf
 from shadespark.operators import checks, constraints, preference, relational, scoring
-from shadespark.plans import learning
+from shadespark.plans import domain, learning
 from shadespark.sources import calibration, fixtures, tables
 from shadespark.streaming import jobs
 
@@ -121,3 +121,25 @@ def test_enrich_stream(spark, tmp_path):
     q = jobs.enrich_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == relational.eligible(fixtures.raw_items(spark, SMALL)).count()
+
+
+def test_targets_ties_and_nulls(spark):
+    form = "text_id int, clause_id int, start int, stop int, name string, kind string, polarity string, confidence double"
+    rows = [
+        (1, 0, 0, 3, "red", "color", "LIKE", 0.9), (1, 0, 4, 7, "pink", "color", "LIKE", 0.85),  # too close: no safe liked target
+        (1, 0, 8, 9, "nude", "color", "NEUTRAL", None),
+        (2, 0, 0, 3, "red", "color", "DISLIKE", 0.5), (2, 0, 4, 7, "brand", "brand", "DISLIKE", 0.9),
+        (3, 0, 0, 3, "red", None, None, None),
+    ]
+    cons = spark.createDataFrame([(1, 0, "depth"), (2, 0, "depth"), (2, 1, "warmth"), (4, 0, "warmth")], "text_id int, clause_id int, axis string")
+    targets, loose = preference.resolve_targets(spark.createDataFrame(rows, form), cons)
+    got = {(r["text_id"], r["bucket"], r["name"]): r["n_constraints"] for r in targets.collect()}
+    assert got == {(1, "liked", "red"): 0, (1, "liked", "pink"): 0, (1, "disliked", "nude"): 1, (2, "disliked", "red"): 1, (2, "disliked", "brand"): 0}
+    assert sorted((r["text_id"], r["axis"]) for r in loose.collect()) == [(2, "warmth"), (4, "warmth")]
+    empty, none = preference.resolve_targets(spark.createDataFrame([], form), cons.limit(0))
+    assert empty.count() == 0 and none.count() == 0
+
+
+def test_domain_anchors_of_few_shades(spark):
+    keys = fixtures.anchors(spark).select(F.col("query_id").alias("key"), F.col("anchor_hue").alias("hue"))
+    assert domain.domain_anchors(fixtures.shades(spark, SMALL).limit(20), keys).count() == 0
