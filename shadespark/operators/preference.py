@@ -216,3 +216,29 @@ def axis_family(scores: DataFrame, by: str) -> DataFrame:
     # fixed families
     family = F.when(F.col("t.axis") == "depth", "DEPTH").when(F.col("t.axis") == "brightness", "LIGHTNESS").when(F.col("t.axis") == "clarity", "SURFACE").when(F.col("t.axis").isin("saturation", "vibrancy"), "CHROMA")
     return top.select(by, F.col("t.axis").alias("axis"), family.alias("family"))
+
+
+def filter_variants(variants: DataFrame, labels: DataFrame, least: float = 0.75) -> DataFrame:
+    """label, variant, weight: variants (label, variant, embedding) as similar to their label (label, key) as `least`, with that similarity; the label itself weighs 1."""
+    near = variants.where("variant <> label").join(labels, "label").select("label", "variant", stats.cosine(F.col("embedding"), F.col("key")).alias("weight"))
+    return near.where(F.round("weight", 9) >= least).unionByName(labels.select("label", F.col("label").alias("variant"), F.lit(1.0).alias("weight")))
+
+
+def gate_axes(scores: DataFrame, by: str, least: float = 0.35, margin: float = 0.08, colour: bool = True) -> DataFrame:
+    """by, axis, gate of axis scores (by, axis, score): the best axis if it is similar enough and clear of the second.
+
+    Else, if the first two are of one family (lightness or chroma), the first, or for chroma a lightness
+    axis among the first three that is within 0.03 of it; in colour contexts a margin under 0.02 is too flat.
+    """
+    # fixed families
+    family = lambda a: F.when(a.isin("brightness", "depth"), "LIGHTNESS").when(a.isin("saturation", "vibrancy"), "CHROMA").otherwise("OTHER")
+    g = scores.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "axis"))).alias("s"))
+    top, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    g = g.select(by, top["axis"].alias("a1"), (-top["neg"]).alias("s1"), second["axis"].alias("a2"), F.round(F.coalesce(second["neg"], F.lit(0.0)) - top["neg"], 9).alias("gap"), F.slice("s", 1, 3).alias("s"))
+    light = F.get(F.filter("s", lambda x: family(x["axis"]) == "LIGHTNESS"), F.lit(0))
+    biased = F.when(F.round(F.col("s1") + light["neg"], 9) <= 0.03, light["axis"])
+    same = (family(F.col("a1")) == family(F.col("a2"))) & (family(F.col("a1")) != "OTHER")
+    bias = (family(F.col("a1")) == "CHROMA") & biased.isNotNull()
+    gate = F.when(F.col("s1") < least, "min_sim").when(F.col("gap") >= margin, "strict").when(F.col("a2").isNull(), "no_ranked").when(F.col("gap") < (0.02 if colour else 0.0), "too_flat").when(same & bias, "family_bias_lightness").when(same, "family").otherwise("fail_family")
+    axis = F.when(gate.isin("strict", "family"), F.col("a1")).when(gate == "family_bias_lightness", biased)
+    return g.select(by, axis.alias("axis"), gate.alias("gate"))

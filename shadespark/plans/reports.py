@@ -69,3 +69,33 @@ def poorly_covered(pairs: DataFrame, least: int = 20, k: int = 10) -> DataFrame:
     """The k nearest shades of each anchor with fewer than `least` shades within its threshold."""
     few = pools.coverage(pairs).where(F.col("n_within") < least).select("query_id")
     return relational.top_per(pairs.join(F.broadcast(few), "query_id"), ["query_id"], [F.round("de00", 9), "product_id", "shade_id"], k)
+
+
+def neutrality(top: DataFrame, catalogue: DataFrame, queries: DataFrame, share: float = 0.25, angle: float = 35.0) -> DataFrame:
+    """query_id, status, c_extreme, l_extreme, hue_drift, low_coverage, failed: of each query's first shades, the shares in the catalogue's chroma and lightness tails and the median hue distance to the anchor.
+
+    top: query_id, L_lab, a_lab, b_lab, C_lab, anchor_a, anchor_b, low_coverage; catalogue: L_lab, C_lab. A query without shades is EMPTY and fails.
+    """
+    tails = catalogue.agg(F.percentile("C_lab", 0.9).alias("_c90"), F.percentile("L_lab", 0.1).alias("_l10"), F.percentile("L_lab", 0.9).alias("_l90"))
+    angle_of = lambda b, a: F.degrees(F.atan2(F.round(b, 10), F.round(a, 10)))
+    drift = color.circ_dist(angle_of("b_lab", "a_lab"), angle_of("anchor_b", "anchor_a"))
+    rows = top.crossJoin(F.broadcast(tails)).select("query_id", "low_coverage", (F.col("C_lab") > F.col("_c90")).cast("double").alias("c"), ((F.col("L_lab") < F.col("_l10")) | (F.col("L_lab") > F.col("_l90"))).cast("double").alias("l"), drift.alias("d"))
+    g = rows.groupBy("query_id").agg(F.avg("c").alias("c_extreme"), F.avg("l").alias("l_extreme"), F.percentile("d", 0.5).alias("hue_drift"), F.max("low_coverage").alias("low_coverage"))
+    g = queries.select("query_id").join(g, "query_id", "left").withColumn("status", F.when(F.col("c_extreme").isNull(), "EMPTY").otherwise("OK"))
+    failed = (F.col("status") != "OK") | (F.col("c_extreme") >= share) | (F.col("l_extreme") >= share) | (~F.col("low_coverage") & (F.round("hue_drift", 6) >= angle))
+    return g.withColumn("failed", F.coalesce(failed, F.lit(False)))
+
+
+def anchor_grid(found: DataFrame, forms: DataFrame) -> DataFrame:
+    """token, n_texts, n_forms, n_anchors, status: whether each colour word resolves to one anchor in every sentence form. found: text_id, token, anchor_hex; forms: text_id, form."""
+    g = found.join(forms, "text_id").groupBy("token").agg(F.count("*").alias("n_texts"), F.count_distinct("form").alias("n_forms"), F.count_distinct("anchor_hex").alias("n_anchors"))
+    return g.withColumn("status", F.when(F.col("n_anchors") == 1, "PASS").otherwise("FAIL"))
+
+
+def anchor_effects(base: DataFrame, vivid: DataFrame) -> DataFrame:
+    """label, d_chroma, delta_e, status of label anchors and their chroma-seeking form: chroma does not fall, and the difference is finite."""
+    v = vivid.select("label", *(F.col(f"anchor_{c}").alias(f"_{c}") for c in "Lab"))
+    j = color.with_delta_e00(base.join(v, "label"), ("anchor_L", "anchor_a", "anchor_b"), ("_L", "_a", "_b"), "delta_e")
+    j = j.withColumn("d_chroma", F.hypot("_a", "_b") - F.hypot("anchor_a", "anchor_b"))
+    ok = (F.round("d_chroma", 6) >= 0) & ~F.isnan("delta_e")
+    return j.select("label", "d_chroma", "delta_e", F.when(ok, "PASS").otherwise("FAIL").alias("status"))

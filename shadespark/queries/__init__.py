@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, colour, ranking, reports  # noqa: F401
+from . import anchors, catalogue, colour, ranking, reports  # noqa: F401
 from .base import QUERIES, SQL
 
 FLAGSHIP = "sco11_score"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shadespark import queries
 from shadespark.functions import color, stats, text, udf
 from shadespark.operators import checks, constraints, preference, relational, scoring
-from shadespark.plans import domain, learning
+from shadespark.plans import anchors, assets, domain, learning, reports
 from shadespark.sources import calibration, fixtures, tables
 from shadespark.streaming import jobs
 
@@ -143,3 +143,58 @@ def test_targets_ties_and_nulls(spark):
 def test_domain_anchors_of_few_shades(spark):
     keys = fixtures.anchors(spark).select(F.col("query_id").alias("key"), F.col("anchor_hue").alias("hue"))
     assert domain.domain_anchors(fixtures.shades(spark, SMALL).limit(20), keys).count() == 0
+
+
+def test_stabilised_bases(spark):
+    grey = [("s", f"pale rose {k}", f"#{90 + k:02x}{88 + k:02x}{86 + k:02x}") for k in range(12)] + [("s", "rose", "#fff5f5")]
+    vivid = [("s", f"hot sun {k}", f"#{200 + k:02x}3010") for k in range(10)] + [("s", "sun", "#fffff0")]
+    few = [("s", f"dim fog {k}", f"#4040{40 + k:02x}") for k in range(3)] + [("s", "fog", "#eeeeee"), ("s", None, "#000000"), ("s", "ink", "none")]
+    names = spark.createDataFrame(grey + vivid + few, "source string, name string, hex string")
+    got = {r["key"]: (r["hex"], r["policy"]) for r in anchors.stabilised_bases(assets.key_index(names), names).collect()}
+    assert got["fog"] == ("#eeeeee", "own") and set(got) == {"rose", "sun", "fog"}
+    assert got["rose"][1] == got["sun"][1] == "variants" and got["rose"][0] in {n[2] for n in grey[:12]} and got["sun"][0] in {n[2] for n in vivid[:10]}
+
+
+def test_alias_index_rules(spark):
+    base = spark.createDataFrame([("Red", "#ff0000"), ("Sky-Blue", "#87ceeb"), ("tan", "#d2b48c")], "name string, hex string")
+    extra = spark.createDataFrame([("xkcd:red", "#e50000"), ("xkcd:sky", "#82cafc"), ("xkcd:deep sky", "#0d75f8"), ("xkcd:pale sky", "#bdf6fe"), ("ab", "#010101"), ("odd", "#020202"), (None, "#030303"), ("bad hex", None)], "name string, hex string")
+    got = {r["alias"]: (r["source"], r["hex"]) for r in anchors.alias_index(base, extra).collect()}
+    assert got["red"] == ("extra", "#e50000") and got["tan"][0] == "base" and got["sky"][0] == "extra" and {"sky blue", "deep sky", "pale sky"} <= set(got)
+    assert not {"ab", "odd", ""} & set(got)
+    assert anchors.alias_index(base.limit(0), extra.limit(0)).count() == 0
+
+
+def test_mention_anchors_and_hi_chroma(spark):
+    form = "text_id int, start int, name string, kind string, polarity string, confidence double"
+    rows = [(1, 0, "rose", "color", "LIKE", 0.4), (1, 3, "ink", "color", None, 0.9), (2, 0, "gone", "color", "LIKE", 0.9), (2, 4, "rose", "color", "NEUTRAL", None), (3, 0, "rose", "color", "DISLIKE", 1.0), (4, 1, "gone", "color", "LIKE", 1.0)]
+    candidates = spark.createDataFrame([("rose", 0.90, "#aa8888"), ("rose", 0.88, "#ff0000"), ("rose", 0.5, "#00ff00"), ("ink", None, "#101010")], "name string, score double, hex string")
+    got = {r["text_id"]: (r["plain"], r["token"], r["anchor_hex"]) for r in anchors.mention_anchors(spark.createDataFrame(rows, form), candidates).collect()}
+    assert got == {1: (False, "rose", "#101010"), 2: (False, "gone", "#ff0000"), 4: (True, "gone", None)}
+    cons = spark.createDataFrame([(1, "vibrancy", "raise"), (2, "vibrancy", "raise"), (2, "depth", "lower"), (3, "brightness", "raise"), (4, "brightness", "raise"), (5, "brightness", "lower"), (6, None, None)], "text_id int, axis string, direction string")
+    ranked = spark.createDataFrame([(3, "brightness", 0.5), (3, "saturation", 0.48), (4, "brightness", 0.5), (4, "saturation", 0.4)], "text_id int, axis string, score double")
+    votes = spark.createDataFrame([(4, "brightness", 0.44), (4, "vibrancy", 0.40)], "text_id int, axis string, score double")
+    flags = lambda *s: {r["text_id"] for r in anchors.hi_chroma(cons, *s).collect() if r["hi_chroma"]}
+    assert flags() == {1} and flags(ranked) == {1, 3} and flags(ranked, votes) == {1, 3, 4}
+
+
+def test_axis_gates_and_variants(spark):
+    rows = [(1, "depth", 0.9), (1, "warmth", 0.1), (2, "saturation", 0.60), (2, "vibrancy", 0.575), (2, "brightness", 0.571), (3, "saturation", 0.60), (3, "vibrancy", 0.57), (4, "depth", 0.60), (4, "brightness", 0.59), (5, "depth", 0.1), (6, "depth", 0.6), (6, "warmth", 0.55)]
+    got = {r["t"]: (r["axis"], r["gate"]) for r in preference.gate_axes(spark.createDataFrame(rows, "t int, axis string, score double"), "t").collect()}
+    assert got == {1: ("depth", "strict"), 2: ("brightness", "family_bias_lightness"), 3: ("saturation", "family"), 4: (None, "too_flat"), 5: (None, "min_sim"), 6: (None, "fail_family")}
+    v = spark.createDataFrame([("a", "b", [1.0, 0.1]), ("a", "c", [0.0, 1.0]), ("a", "a", [1.0, 0.0])], "label string, variant string, embedding array<double>")
+    kept = preference.filter_variants(v, spark.createDataFrame([("a", [1.0, 0.0])], "label string, key array<double>"))
+    assert {r["variant"] for r in kept.collect()} == {"a", "b"}
+
+
+def test_label_anchors_of_few_members(spark):
+    long = tables.stored(fixtures.naming_long(fixtures.shades(spark, SMALL)), "few")
+    none = spark.createDataFrame([], "label string, hue double")
+    assert anchors.label_anchors(long.limit(0), none).count() == 0
+    hued = {r["label"]: r["n"] for r in anchors.label_anchors(long, none, 0.9).collect()}
+    assert hued and all(n >= 36 for n in hued.values())
+
+
+def test_neutrality_of_empty_pools(spark):
+    top = spark.createDataFrame([], "query_id string, L_lab double, a_lab double, b_lab double, C_lab double, anchor_a double, anchor_b double, low_coverage boolean")
+    got = reports.neutrality(top, spark.createDataFrame([(50.0, 10.0)], "L_lab double, C_lab double"), fixtures.anchors(spark)).collect()
+    assert len(got) == 17 and all(r["status"] == "EMPTY" and r["failed"] for r in got)
