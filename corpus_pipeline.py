@@ -54,8 +54,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix of sources takes."""
-    return mixing.mix_sources(docs)
+    """The mix of sources: in shards and slots, the words taken of each document, with their text."""
+    return mixing.mixed_spans(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -51,14 +51,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df, written as a table in the shared folder and read again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/shadespark-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table replaces its shuffles, which would stay on disk until the driver collects garbage
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

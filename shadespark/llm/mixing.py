@@ -4,7 +4,9 @@ The words of each source are packed, document after document, into blocks of BLO
 is a row of shards of SLOTS slots. For each shard the counts of slots by source are one multinomial
 draw, the draws being held to the sources' totals; the k-th slot of a source takes block perm(k), a
 pseudorandom permutation of that source's block indexes, over again once all blocks are taken. Slots
-and blocks are joined by source and index.
+are joined by source and index with the parts of the corpus that hold the blocks, and each part fills
+its slots with words; a block that lies in several parts is put together in the end. The filled slots
+are written, and the counts of words by document come from them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,8 +23,8 @@ from pyspark.sql.window import Window
 from . import common
 from .common import U
 
-#: Words of a block, slots of a shard, and documents in one step of the running sums.
-BLOCK, SLOTS, STEP = 64, 4096, 2000
+#: Words of a block, slots of a shard, and documents and words in one step of the running sums.
+BLOCK, SLOTS, STEP, STEP_WORDS = 64, 4096, 2000, 1 << 21
 #: Sources whose table is broadcast at most; beyond it, the join shuffles.
 BROADCAST_SOURCES = 100_000
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
@@ -64,17 +67,17 @@ def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return sizes.select("source", "rank", "source_size", F.coalesce(F.least("limit", F.col("level") * F.col("w")), F.col("limit")).alias("target"))
 
 
-def place_in_source(docs: DataFrame) -> DataFrame:
-    """docs with `begin`: words of the same source in documents before (by hash, then doc_id), by running sums in two steps."""
-    n = docs.count()
-    steps = max(1, -(-n // STEP))
-    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(steps)))
-    parts = docs.groupBy("rank", "part").agg(F.sum("size").alias("n"))
+def parts_of(rows: DataFrame) -> DataFrame:
+    """rank, part, n (words), offset: words of the same source in the parts before."""
     earlier = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("rank", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("rank", "part").orderBy("doc_id", "row_hash", "row_no").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("begin", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return docs.join(parts, ["rank", "part"]).withColumn("begin", F.col("begin") + F.col("offset")).drop("part", "offset")
+    return rows.groupBy("rank", "part").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+
+def place_in_source(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows with `begin`: words of the same source in documents before (by part, then doc_id), by running sums in two steps."""
+    within = Window.partitionBy("rank", "part").orderBy("doc_id", "row_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("begin", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    return rows.join(parts.select("rank", "part", "offset"), ["rank", "part"]).withColumn("begin", F.col("begin") + F.col("offset")).drop("offset")
 
 
 def _draws(sources: pd.DataFrame, seed: int, block: int):
@@ -150,43 +153,126 @@ def slot_table(sources: DataFrame, block: int, seed: int) -> DataFrame:
     return frame.mapInPandas(_draws(s, seed, block), "rank long, block long, shard long, slot long, last boolean, turn long, words long")
 
 
-def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes, repeats counted.
+SPANS = "array<struct<lead:int,doc_id:bigint,begin:bigint,start:int,n:int,text:string>>"
 
-    A document's words are taken at most ceil(cap) times. Reruns with the same seed agree.
 
-    Null, empty and wordless texts have size 0 and give nothing; a null source is a source. Rows without
-    doc_id and repeated rows are documents of their own. Columns other than doc_id, source and text are
-    not read. A table without words has targets of 0.
-    """
+def _filled(block: int):
+    """Slots of one part of a source, filled: rank, block, shard, slot, words, spans; whole if the part holds all words of the slot."""
+
+    def of(docs: pa.Table, slots: pa.Table) -> pa.Table:
+        begin, found, texts = common.int64(docs["begin"]), [], []
+        for i, j, data, at in common.slices(docs["text"]):
+            first, last, row = common.word_bounds(data, at)
+            if not len(first):
+                continue
+            start = np.arange(len(first)) - np.searchsorted(row, np.arange(j - i))[row]
+            place = begin[i + row] + start
+            cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (place[1:] // block != place[:-1] // block)))
+            stop = np.append(cut[1:], len(first))
+            # the words of a row with one space between them
+            mark = np.zeros(len(data) + 1, np.int8)
+            mark[first] += 1
+            mark[last] -= 1
+            word = np.cumsum(mark[:-1]) > 0
+            gap = last[last < len(data)]
+            gap = gap[~word[gap]]
+            plain, keep = data.copy(), word
+            plain[gap], keep[gap] = 32, True
+            raw, to = plain[keep].tobytes(), np.cumsum(keep)
+            texts += [raw[x:z] for x, z in zip((to[first[cut]] - 1).tolist(), to[last[stop - 1] - 1].tolist())]
+            found.append(np.stack((place[cut] // block, place[cut] % block, i + row[cut], start[cut], stop - cut)))
+        at_block, lead, row, start, n = np.concatenate(found, axis=1) if found else np.empty((5, 0), np.int64)
+        order = np.lexsort((lead, at_block))
+        wanted, words = common.int64(slots["block"]), common.int64(slots["words"])
+        low, high = (np.searchsorted(at_block[order], wanted, side) for side in ("left", "right"))
+        slot = np.repeat(np.arange(len(wanted)), high - low)
+        piece = order[np.arange(len(slot)) - np.repeat(np.cumsum(high - low) - high, high - low)]
+        size = np.minimum(n[piece], words[slot] - lead[piece])  # a trimmed slot ends inside or before a piece
+        slot, piece, size = slot[size > 0], piece[size > 0], size[size > 0]
+        text = [texts[k] if m == full else b" ".join(texts[k].split(b" ")[:m]) for k, m, full in zip(piece.tolist(), size.tolist(), n[piece].tolist())]
+        ids = docs["doc_id"].combine_chunks().take(pa.array(row[piece]))
+        spans = [pa.array(lead[piece], pa.int32()), ids, pa.array(begin[row[piece]]), pa.array(start[piece], pa.int32()), pa.array(size, pa.int32()), pa.array(text, pa.binary()).view(pa.string())]
+        count = np.bincount(slot, minlength=len(wanted))
+        some = np.flatnonzero(count)
+        spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count[some]))), pa.int32()), pa.StructArray.from_arrays(spans, ["lead", "doc_id", "begin", "start", "n", "text"]))
+        whole = np.bincount(slot, weights=size, minlength=len(wanted)).astype(np.int64) == words
+        return pa.table([*(slots[c].take(pa.array(some)) for c in ("rank", "block", "shard", "slot", "words")), pa.array(whole[some]), spans], ["rank", "block", "shard", "slot", "words", "whole", "spans"])
+
+    return of
+
+
+def _mixed(docs: DataFrame, block: int, seed: int, weights: tuple[int, ...], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
+    """(placed, mix): doc_id, source, size, rank, source_size, target, begin of every row of docs, and rank,
+    source, block, shard, slot, words, spans of every slot, of which all the words are written."""
     common.bounded_batches(docs.sparkSession)
-    rows = sized(docs)
+    rows = common.written(sized(docs).drop("text"), "mix-sizes")
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+    steps = max(1, -(-total["n"] // STEP), -(-total["words"] // STEP_WORDS))
     sources = common.written(targets(rows, weights, share, cap), "mix-sources")
     named = sources.withColumnRenamed("source", "its_source")
     named = F.broadcast(named) if sources.count() <= BROADCAST_SOURCES else named
-    keyed = rows.join(named, F.col("source").eqNullSafe(F.col("its_source"))).select("doc_id", "source", "size", "row_hash", "row_no", "rank", "source_size", "target")
-    placed = common.written(place_in_source(keyed), "mix-places")
-    slots = slot_table(sources, block, seed)
+
+    def keyed(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.join(named, F.col("source").eqNullSafe(F.col("its_source"))).select("doc_id", "source", "size", "row_hash", "rank", "source_size", "target", *more)
+        return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(steps)))
+
+    parts = common.written(parts_of(keyed(rows)), "mix-parts")
+    placed = common.written(place_in_source(keyed(rows), parts).drop("row_hash", "part"), "mix-places")
+    slots = common.written(slot_table(sources, block, seed), "mix-slots")
     # words that each block gives: all of it in each slot, but only as many as are missing in a source's last slot
     wanted = sources.select("rank", F.round("target").cast("long").alias("want"))
-    slots = common.written(slots, "mix-slots")
     short = slots.groupBy("rank").agg(F.sum("words").alias("sum")).join(wanted, "rank").select("rank", F.greatest(F.col("sum") - F.col("want"), F.lit(0)).alias("over"))
     slots = slots.join(short, "rank").withColumn("words", F.when(F.col("last"), F.greatest(F.col("words") - F.col("over"), F.lit(0))).otherwise(F.col("words")))
-    blocks = slots.groupBy("rank", "block").agg(F.sum(F.when(~F.col("last"), 1).otherwise(0)).alias("times"), F.max(F.when(F.col("last"), F.col("words"))).alias("more"))
-    pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
-    first = F.greatest(F.col("begin"), F.col("block") * block)
-    end = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = pieces.select("rank", "block", "doc_id", "row_hash", "row_no", (end - first).alias("n"), (first - F.col("block") * block).alias("lead"))
-    got = F.col("times") * F.col("n") + F.greatest(F.least(F.col("n"), F.coalesce("more", F.lit(0)) - F.col("lead")), F.lit(0))
-    taken = pieces.join(blocks, ["rank", "block"]).groupBy("doc_id", "row_hash", "row_no", "rank").agg(F.sum(got).alias("taken"))
-    taken = taken.toDF("its_id", "its_hash", "its_no", "its_rank", "taken")
-    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("row_hash") == F.col("its_hash")) & (F.col("row_no") == F.col("its_no")) & (F.col("rank") == F.col("its_rank"))
+    holds = parts.where("n > 0").select("rank", "part", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block))).alias("block"))
+    slots = slots.join(holds.hint("merge"), ["rank", "block"])  # a row for each block, though its size is estimated from parts.select("rank", "part", "block", "shard", "slot", "words")
+    texts = place_in_source(keyed(sized(docs), "text"), parts).where("size > 0").select("rank", "part", "doc_id", "begin", "text")
+    filled = texts.groupBy("rank", "part").cogroup(slots.groupBy("rank", "part")).applyInArrow(_filled(block), f"rank long, block long, shard long, slot long, words long, whole boolean, spans {SPANS}")
+    filled = common.written(filled, "mix", "zstd")
+    split = filled.where("not whole").groupBy("rank", "block", "shard", "slot", "words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    mix = filled.where("whole").drop("whole").unionByName(split)
+    return placed, mix.join(named.select("rank", F.col("its_source").alias("source")), "rank")
+
+
+def _in_order(mix: DataFrame) -> DataFrame:
+    return mix.repartition("shard").sortWithinPartitions("shard", "slot")
+
+
+def mixed_blocks(docs: DataFrame, block: int = BLOCK, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The mix: shard, slot, source, block (its number in the source), words, spans, text; whole shards in slot order.
+
+    spans: doc_id, start (words of the document before it) and n (words) of each run of words of one
+    document, in order; text has all these words, joined by one space. A slot has `block` words, less
+    where its source ends and in a source's last slot, which is cut where the target is met.
+    """
+    mix = _in_order(_mixed(docs, block, seed, weights, share, cap)[1])
+    spans = F.transform("spans", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start"].alias("start"), x["n"].alias("n")))
+    return mix.select("shard", "slot", "source", "block", "words", spans.alias("spans"), F.array_join(F.transform("spans", lambda x: x["text"]), " ").alias("text"))
+
+
+def mixed_spans(docs: DataFrame, block: int = BLOCK, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The mix by spans: shard, slot, lead (words of the slot before it), source, doc_id, start, taken (words), text; whole shards in order."""
+    mix = _in_order(_mixed(docs, block, seed, weights, share, cap)[1]).select("shard", "slot", "source", F.explode("spans").alias("s"))
+    return mix.select("shard", "slot", F.col("s.lead").alias("lead"), "source", F.col("s.doc_id").alias("doc_id"), F.col("s.start").alias("start"), F.col("s.n").cast("long").alias("taken"), F.col("s.text").alias("text"))
+
+
+def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes, repeats counted.
+
+    The mix is made and written (see mixed_blocks), and its spans are counted. A document's words are
+    taken at most ceil(cap) times. Reruns with the same seed agree.
+
+    Null, empty and wordless texts have size 0 and give nothing; a null source is a source. Rows without
+    doc_id and repeated rows are documents of their own. Columns other than doc_id, source and text are
+    not read. A table without words has targets of 0.
+    """
+    placed, mix = _mixed(docs, block, seed, weights, share, cap)
+    spans = mix.select("rank", F.explode("spans").alias("s")).select(F.col("rank").alias("its_rank"), F.col("s.begin").alias("its_begin"), F.col("s.n").alias("n"))
+    taken = spans.groupBy("its_rank", "its_begin").agg(F.sum("n").alias("taken"))
+    same = (F.col("rank") == F.col("its_rank")) & (F.when(F.col("size") > 0, F.col("begin")) == F.col("its_begin"))
     return placed.join(taken, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), and a hash and a number that tell repeated rows apart."""
+    """doc_id, source, size (words), row_hash (of the text), text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.xxhash64(text).alias("row_hash"))
-    number = Window.partitionBy("doc_id", "row_hash", "source").orderBy("size")
-    return rows.withColumn("row_no", F.row_number().over(number).cast("long"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.xxhash64(text).alias("row_hash"), text.alias("text"))

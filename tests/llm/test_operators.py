@@ -250,6 +250,40 @@ def test_mixing_targets(spark):
     assert sorted(mixing.permuted(np.arange(77), np.full(77, 77), np.full(77, 5)).tolist()) == list(range(77))
 
 
+@pytest.mark.parametrize("step", [2000, 1])
+def test_mixing_makes_the_mix(spark, step, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", step)  # 1: most blocks lie in several parts
+    rng = random.Random(4)
+    rows = [(i, "\t ".join([f"d{i}w{k}ü" for k in range(rng.choice([0, 1, 3, 9, 150]))]) + rng.choice(["", " \n"]), rng.choice(["a", "b", None])) for i in range(60)]
+    docs = spark.createDataFrame([*rows, rows[7], (None, "no id", "a"), (99, None, "a")], "doc_id long, text string, source string")
+    got, streams, taken = mixing.mixed_blocks(docs, block=8).collect(), defaultdict(dict), Counter()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(0, k) for k in range(len(got))]
+    words = {d: (t or "").split() for d, t, _ in rows} | {None: ["no", "id"]}
+    for r in got:
+        made = [w for s in r["spans"] for w in words[s["doc_id"]][s["start"] : s["start"] + s["n"]]]
+        assert r["text"] == " ".join(made) and len(made) == r["words"] <= 8
+        for s in r["spans"]:
+            taken[s["doc_id"]] += s["n"]
+        for k, w in enumerate(made):
+            assert streams[r["source"]].setdefault(8 * r["block"] + k, w) == w  # repeats of a block agree
+    # blocks of 8 words follow each other in a source; at most one slot of a source is cut
+    for source, placed in streams.items():
+        whole = Counter(w for r in docs.collect() if r["source"] == source for w in (r["text"] or "").split())
+        assert not Counter(placed.values()) - whole
+    counts = mixing.mix_sources(docs, block=8).collect()
+    by_source = {r["source"]: (r["source_size"], r["target"]) for r in counts}
+    for source, (size, target) in by_source.items():
+        mine = [r["words"] for r in got if r["source"] == source]
+        assert abs(sum(mine) - target) <= 0.5 and sum(n != 8 for n in mine) <= 1 + -(-target // size)
+    want = Counter()
+    for r in counts:
+        want[r["doc_id"]] += r["taken"]
+    assert +want == taken
+    spans = mixing.mixed_spans(docs, block=8).collect()
+    assert Counter({d: n for d, n in taken.items()}) == sum((Counter({r["doc_id"]: r["taken"]}) for r in spans), Counter())
+    assert all(r["text"].split() == words[r["doc_id"]][r["start"] : r["start"] + r["taken"]] for r in spans)
+
+
 def test_gif_round_trip_and_rules(spark):
     rows = [(1, "héllo"), (2, None), (3, ""), (4, "ab" * 20_000), (5, "".join(chr(33 + i * i % 90) for i in range(30_000)))]
     media = gif.gif_media(frame(spark, rows))
