@@ -71,10 +71,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, w
     """
     u = unit(window, kgram)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known, spans = windows.repeated(docs, u)
+    once, known, spans = windows.repeated(docs, u)
     columns = ["doc_id", "n_removed", "kept_sha256"] + ["kept"] * with_text
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.where("doc_id is not null").repartition(shuffles, "doc_id")
+    source = once.repartition(shuffles, "doc_id")
     cut = source.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_removed long, kept_sha256 string, kept string").select(*columns)
     cut = cut.groupBy("doc_id").agg(F.min(F.struct(*columns[1:])).alias("c"))
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n") >= window)

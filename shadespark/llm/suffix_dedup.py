@@ -94,10 +94,10 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, with
     """
     u = unit(window, kgram)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known, spans = windows.repeated(docs, u)
+    once, known, spans = windows.repeated(docs, u)
     columns = ["doc_id", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.where("doc_id is not null").repartition(shuffles, "doc_id")
+    source = once.repartition(shuffles, "doc_id")
     cut = source.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary").select(*columns)
     cut = cut.groupBy("doc_id").agg(F.min(F.struct(*columns[1:])).alias("c"))
     empty = F.sha2(F.lit("").cast("binary"), 256)
@@ -113,8 +113,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, with
     )
     text = F.coalesce("text", F.lit("")).cast("binary")
     if with_bytes:
-        whole = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(F.sha2(text, 256).alias("sha"), text.alias("bytes"))).alias("w"))
-        out = out.join(whole, "doc_id").withColumn("kept", F.coalesce("kept", "w.bytes")).drop("w")
+        whole = once.select("doc_id", text.alias("bytes"))
+        out = out.join(whole, "doc_id").withColumn("kept", F.coalesce("kept", "bytes")).drop("bytes")
     zero = F.lit(0).cast("long")
     loose = docs.where("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), *([text.alias("kept")] * with_bytes))
     return out.unionByName(loose)

@@ -5,7 +5,8 @@ The plan, shared by the suffix-array and the super-k-mer operator:
 1. Every window has a minimiser, the smallest hash among the k-grams in it. Equal windows have equal
    minimisers, so a minimiser that occurs once in the corpus rules out all its windows. One row goes out
    for each distinct minimiser of a document (a few per cent of the text).
-2. Documents of equal content are one document; the first stands for all.
+2. Rows that repeat a doc_id are cut down to one, the row of the smallest content hash. Documents of equal
+   content are one document; the first stands for all.
 3. Consecutive windows that share a minimiser travel as one packed string, to the bucket of the
    minimiser, and only those whose minimiser is repeated. A minimiser with more than HOT strings is
    split by document over several buckets.
@@ -208,14 +209,31 @@ def _bucket(unit: Unit):
     return of
 
 
-def repeated(docs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
-    """(contents, spans). contents: doc_id, n, sha, first (the smallest doc_id of equal content), one row for
-    each doc_id; spans: doc_id, spans array<struct<start, stop>> of documents that stand for themselves,
-    in tokens, which may overlap. A doc_id that repeats with other texts counts with its smallest sha."""
+def _once(docs: DataFrame, unit: Unit, each: DataFrame) -> DataFrame:
+    """docs with one row for each doc_id: the one whose content has the sha in each. Only rows that repeat a doc_id are grouped."""
+    again = each.where("times > 1").select(F.col("doc_id").alias("its_id"), F.col("sha").alias("of_sha"))
+    if again.isEmpty():
+        return docs
+    same = F.col("doc_id") == F.col("its_id")
+    rows = docs.join(again, same, "left_semi")
+    if unit.words:
+        sha = F.udf(lambda x: hashlib.sha256(b" ".join((x or "").encode().split())).hexdigest(), "string")(F.col("text"))
+    else:
+        sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    rows = rows.withColumn("sha", sha).join(again, same & (F.col("sha") == F.col("of_sha"))).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return common.written(docs.join(again, same, "left_anti").unionByName(rows), f"{unit.name}-once")
+
+
+def repeated(docs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs, contents, spans). docs: doc_id, text, one row for each doc_id; contents: doc_id, n, sha, first (the
+    smallest doc_id of equal content), likewise; spans: doc_id, spans array<struct<start, stop>> of documents that
+    stand for themselves, in tokens, which may overlap. A doc_id that repeats with other texts counts with its smallest sha."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    each = common.written(contents(docs, unit).groupBy("doc_id").agg(F.min(F.struct("sha", "n")).alias("c")).select("doc_id", "c.n", "c.sha"), f"{unit.name}-contents")
+    each = contents(docs, unit).groupBy("doc_id").agg(F.min(F.struct("sha", "n")).alias("c"), F.count("*").alias("times"))
+    each = common.written(each.select("doc_id", "c.n", "c.sha", "times"), f"{unit.name}-contents")
+    docs, each = _once(docs, unit, each), each.drop("times")
     total = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     firsts = each.groupBy("sha").agg(F.min("doc_id").alias("first"))
     known = each.join(firsts, "sha")
@@ -224,15 +242,15 @@ def repeated(docs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
 
     one = docs.mapInArrow(_minimisers(unit), "key long, doc_id long, again boolean").repartition(shuffles, "key")
     often = one.groupBy("key").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("key", F.ceil(F.col("n") / HOT).cast("long").alias("parts"))
-    stand = firsts.select(F.col("first").alias("doc_id"), F.col("sha").alias("of_sha"))
+    stand = firsts.select(F.col("first").alias("doc_id"))
     wanted = one.join(often, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "parts")).alias("found")).join(stand, "doc_id")
-    wanted = wanted.select("doc_id", "of_sha", F.col("found.key").alias("keys"), F.col("found.parts").alias("parts"))
+    wanted = wanted.select("doc_id", F.col("found.key").alias("keys"), F.col("found.parts").alias("parts"))
     strings = docs.repartition(shuffles, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "keys", "parts").mapInArrow(_strings(unit, buckets), "bucket int, doc_id long, start int, stop int, hot boolean, packed binary")
     found = common.written(strings.groupBy("bucket").applyInArrow(_bucket(unit), "doc_id long, start int, stop int, window binary"), f"{unit.name}-found")
     order = Window.partitionBy("window").orderBy("doc_id", "start")
     later = found.where("window is not null").withColumn("rank", F.row_number().over(order)).where("rank > 1")
     spans = found.where("window is null").select("doc_id", "start", "stop").unionByName(later.select("doc_id", "start", "stop"))
-    return known, spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return docs, known, spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:

@@ -80,6 +80,28 @@ def test_substring_and_suffix_dedup_equal_brute_force(spark, seed, hot, monkeypa
     assert got == want
 
 
+def test_rows_that_repeat_a_doc_id_are_one_document(spark):
+    rows = corpus(spark, 6, 60)
+    long = max((t for _, t in rows), key=len)
+    other = " ".join(long.split()[5:]) + " and other words at the end"
+    # the same row three times, and one doc_id with two texts and a null, each before and behind the others
+    rows = [(-1, long + " x"), (-1, long + " x"), (-1, long + " x"), (-2, long), (-2, other), (-2, None), *rows, *rows[:20], (90, other), (90, long)]
+    for words in (True, False):
+        sha = lambda t: hashlib.sha256(b" ".join((t or "").encode().split()) if words else (t or "").encode()).hexdigest()  # noqa: B023, E731
+        one = {}
+        for d, t in rows:
+            one[d] = min(one.get(d, t), t, key=sha)
+        if words:
+            want = brute_windows(one.items(), lambda t: t.encode().split(), 20, b" ".join)
+            got = {r[0]: tuple(r[1:]) for r in substring_dedup.substring_dedup(frame(spark, rows), with_text=False).collect()}
+            assert got == {k: (a, b, s) for k, (a, b, _, s) in want.items()}
+        else:
+            want = brute_windows(one.items(), lambda t: list(t.encode()), 100, bytes)
+            found = suffix_dedup.suffix_dedup(frame(spark, rows)).collect()
+            assert {r[0]: tuple(r[1:5]) for r in found} == want
+            assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in found)
+
+
 def test_kept_text_and_bytes_agree_with_their_digests(spark):
     rows = corpus(spark, 5, 60)
     for r in substring_dedup.substring_dedup(frame(spark, rows)).where("n_removed > 0").collect():
