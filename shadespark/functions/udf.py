@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 BACKENDS: dict[str, Callable] = {}
 
@@ -24,11 +25,35 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.when(n == 0, 100.0).otherwise((1 - F.levenshtein(a, b) / n) * 100)
 
 
+def _characters(df: DataFrame, name: str) -> DataFrame:
+    """name, _n (length), _t: its characters, each with the number of its occurrence so far, so that sets of them overlap as multisets do."""
+    c = F.filter(F.split(name, ""), lambda x: x != "")
+    df = df.select(name, F.length(name).alias("_n"), c.alias("_c"))
+    return df.select(name, "_n", F.transform("_c", lambda x, i: F.concat(x, F.size(F.filter(F.slice("_c", 1, i + 1), lambda y: y == x)))).alias("_t"))
+
+
 def fuzzy_matches(words: DataFrame, keys: DataFrame, cutoff: float = 92.0, least: int = 6) -> DataFrame:
-    """(word, key, ratio) of single words that begin alike and differ in length by at most 6."""
-    w = words.select("word").distinct().where(F.length("word") >= least).withColumn("_b", F.substring("word", 1, 2))
-    k = keys.select("key").distinct().where((F.instr("key", " ") == 0) & (F.length("key") >= least)).withColumn("_b", F.substring("key", 1, 2))
-    j = w.join(k, "_b").where(F.abs(F.length("word") - F.length("key")) <= 6)
+    """(word, key, ratio) of all words of at least `least` characters and single-word keys that differ in length by at most 6 and reach the cutoff (over 0).
+
+    A ratio needs cutoff / 200 of both lengths in common characters, and so cutoff / (200 - cutoff) of either
+    one. In any order of the characters, here the rare ones first, such a pair shares one among the first
+    n - needed + 1 of each: pairs meet there, by an equi-join that loses none.
+    """
+    if cutoff <= 0:
+        raise ValueError("the cutoff must be over 0")
+    w = _characters(words.select("word").distinct().where(F.length("word") >= least), "word")
+    k = _characters(keys.select("key").distinct().where(F.instr("key", " ") == 0), "key")
+    often = k.select(F.explode("_t").alias("_x")).groupBy("_x").agg(F.count("*").alias("_often"))
+
+    def first(df: DataFrame, name: str, size: str) -> DataFrame:
+        needed = F.greatest(F.ceil(F.col("_n") * (cutoff / (200.0 - cutoff)) - 1e-9), F.lit(1))
+        rows = df.select(name, F.col("_n").alias(size), needed.alias("_needed"), F.explode("_t").alias("_x")).join(often, "_x", "left")
+        order = Window.partitionBy(name).orderBy(F.coalesce("_often", F.lit(0)), "_x")
+        return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col(size) - F.col("_needed") + 1).select("_x", name, size)
+
+    j = first(w, "word", "_a").join(first(k, "key", "_b"), "_x").where(F.abs(F.col("_a") - F.col("_b")) <= 6).select("word", "key").distinct()
+    j = j.join(w.select("word", F.col("_n").alias("_a"), F.col("_t").alias("_s")), "word").join(k.select("key", F.col("_n").alias("_b"), "_t"), "key")
+    j = j.where(F.size(F.array_intersect("_s", "_t")) >= (F.col("_a") + F.col("_b")) * (cutoff / 200.0) - 1e-9).select("word", "key")
     return j.withColumn("ratio", ratcliff_ratio("word", "key")).where(F.col("ratio") >= cutoff).select("word", "key", "ratio")
 
 

@@ -1,6 +1,8 @@
 """The colour engine: known answers, contracts, and its queries against their SQL."""
 
+import difflib
 import math
+import random
 
 import duckdb
 import pytest
@@ -198,3 +200,17 @@ def test_neutrality_of_empty_pools(spark):
     top = spark.createDataFrame([], "query_id string, L_lab double, a_lab double, b_lab double, C_lab double, anchor_a double, anchor_b double, low_coverage boolean")
     got = reports.neutrality(top, spark.createDataFrame([(50.0, 10.0)], "L_lab double, C_lab double"), fixtures.anchors(spark)).collect()
     assert len(got) == 17 and all(r["status"] == "EMPTY" and r["failed"] for r in got)
+
+
+@pytest.mark.parametrize("cutoff", [80.0, 92.0, 55.0])
+def test_fuzzy_matches_are_those_of_all_pairs(spark, cutoff):
+    rng = random.Random(1)
+    known = ["scarlet", "starlet", "purple", "purpl", "rouge", "aaabbb", "bbbaaa", "crème", "fuchsia", "lavender", "red", "navy blue", ""]
+    known += ["".join(rng.choices("aabcdeé", k=rng.randint(1, 14))) for _ in range(120)]
+    asked = known + ["upurple", "carlet", "fuschia", "lavendre"]
+    ratio = lambda a, b: 100 * difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(a, b) for a in asked for b in known if len(a) >= 6 and " " not in b and abs(len(a) - len(b)) <= 6 and ratio(a, b) >= cutoff}
+    words, keys = (spark.createDataFrame([(x,) for x in xs] + [(None,)], f"{name} string") for xs, name in ((asked, "word"), (known, "key")))
+    got = udf.fuzzy_matches(words, keys, cutoff).collect()
+    assert {(r["word"], r["key"]) for r in got} == want and len(got) == len(want)
+    assert cutoff != 80.0 or {("scarlet", "starlet"), ("purple", "purpl"), ("scarlet", "scarlet")} <= want
