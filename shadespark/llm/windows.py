@@ -35,6 +35,8 @@ from .common import U
 HOT = 4096
 #: Packed strings that a bucket holds at most, if every minimiser were repeated.
 PER_BUCKET = 20_000
+#: High bits of a k-gram's hash that rank it; the other 24 hold its place among the SPAN windows of one step.
+RANK_BITS, SPAN = 40, 1 << 23
 
 
 @dataclass(frozen=True)
@@ -58,20 +60,26 @@ class Unit:
 
 
 def runs(h: np.ndarray, doc: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window + 1 and minimiser of the runs of windows of one document that share a minimiser."""
-    none = np.empty(0, np.int64)
+    """First window, last window + 1 and minimiser of the runs of windows of one document that share a minimiser.
+
+    A window's minimiser is its k-gram of the smallest RANK_BITS high bits, the leftmost of equal ones: that
+    hangs on the window alone, not on the slice it is read in. Long slices go by SPAN windows.
+    """
     if len(h) < window:
-        return none, none, none
-    g, bits = common.kgrams(h, k), U(int(len(h)).bit_length())
-    place = common.sliding_min((g >> bits << bits) | np.arange(len(g), dtype=U), window - k + 1) & ((U(1) << bits) - U(1))
+        return (np.empty(0, np.int64),) * 3
+    parts = [_runs(h[a : a + SPAN + window - 1], doc[a : a + SPAN + window - 1], a, window, k) for a in range(0, len(h) - window + 1, SPAN)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _runs(h: np.ndarray, doc: np.ndarray, lead: int, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    g, low = common.kgrams(h, k), U(64 - RANK_BITS)
+    place = common.sliding_min((g >> low << low) | np.arange(len(g), dtype=U), window - k + 1) & ((U(1) << low) - U(1))
     first = np.flatnonzero(doc[: len(place)] == doc[window - 1 :])
-    if not len(first):
-        return none, none, none
     place = place[first].astype(np.int64)
     new = np.ones(len(first), bool)
     new[1:] = place[1:] != place[:-1]
-    last = np.append(new[1:], True)
-    return first[new], first[last] + 1, g[place[new]].view(np.int64)
+    last = np.append(new[1:], True)[: len(first)]
+    return first[new] + lead, first[last] + 1 + lead, g[place[new]].view(np.int64)
 
 
 def contents(docs: DataFrame, unit: Unit) -> DataFrame:

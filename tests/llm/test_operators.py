@@ -80,6 +80,23 @@ def test_substring_and_suffix_dedup_equal_brute_force(spark, seed, hot, monkeypa
     assert got == want
 
 
+@pytest.mark.parametrize("span", [1 << 23, 7])
+def test_minimiser_does_not_hang_on_the_slice(span, monkeypatch):
+    """Hashes that agree in all but their low bits: a window read alone and in a long slice has the same minimiser."""
+    monkeypatch.setattr(common, "kgrams", lambda h, k: h[: len(h) - k + 1])
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 3, 6000, dtype=np.uint64) << np.uint64(40) | rng.integers(0, 1 << 20, 6000, dtype=np.uint64)
+    doc = np.repeat([0, 1], [3500, 2500])
+    monkeypatch.setattr(windows, "SPAN", span)
+    of = {}
+    for a, z, key in zip(*windows.runs(h, doc, 20, 6)):
+        of |= {w: key for w in range(a, z)}
+    assert sorted(of) == [w for w in range(6000 - 19) if doc[w] == doc[w + 19]]
+    for w in of:
+        alone = windows.runs(h[w : w + 20], doc[w : w + 20], 20, 6)
+        assert (alone[0].tolist(), alone[1].tolist(), alone[2].tolist()) == ([0], [1], [of[w]])
+
+
 def test_rows_that_repeat_a_doc_id_are_one_document(spark):
     rows = corpus(spark, 6, 60)
     long = max((t for _, t in rows), key=len)
