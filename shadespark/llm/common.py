@@ -7,6 +7,7 @@ uses those bytes inside a longer character, so words can be found on bytes.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Bytes of one Arrow batch between Spark and Python.
 BATCH_BYTES = 8 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark's setting that removes the shuffle files of a query when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -35,17 +37,21 @@ _LOWER[65:91] = _BYTE[97:123]
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, as rows may hold very long texts; let Python workers of this host find the package."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound the Arrow batches by bytes (a smaller bound of the session stays), as rows may hold very long texts; let Python workers of this host find the package."""
+    bound = spark.conf.get(ARROW_BYTES)
+    if not bound.isdigit() or int(bound) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (tests in one process)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master takes a temporary one, and a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shadespark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -2,7 +2,7 @@
 
 The words of each source are packed, document after document, into blocks of BLOCK words. The output
 is a row of shards of SLOTS slots. For each shard the counts of slots by source are one multinomial
-draw, the draws being held to the sources' totals; the k-th slot of a source takes block perm(k), a
+draw, the draws being held to the sources' totals (slots are drawn without replacement); the k-th slot of a source takes block perm(k), a
 pseudorandom permutation of that source's block indexes, over again once all blocks are taken. Slots
 are joined by source and index with the parts of the corpus that hold the blocks, and each part fills
 its slots with words; a block that lies in several parts is put together in the end. The filled slots
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,22 +26,31 @@ from .common import U
 
 #: Words of a block, slots of a shard, and documents and words in one step of the running sums.
 BLOCK, SLOTS, STEP, STEP_WORDS = 64, 4096, 2000, 1 << 21
+#: Shards that a task draws, where there are more than cores.
+TASK_SHARDS = 256
 #: Sources whose table is broadcast at most; beyond it, the join shuffles.
 BROADCAST_SOURCES = 100_000
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 
 
-def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """A permutation of range(n) for each seed, at index: four Feistel rounds, repeated while the result is out of range."""
+def _rounds(half: np.ndarray, mask: np.ndarray, seed: np.ndarray, x: np.ndarray, back: bool) -> np.ndarray:
+    """Four Feistel rounds on pairs of half-words, or the same backwards."""
+    left, right = x >> half, x & mask
+    for r in reversed(range(4)) if back else range(4):
+        if back:
+            left, right = right ^ (common.mix(left * U(0x9E3779B97F4A7C15) + seed + U(r)) & mask), left
+        else:
+            left, right = right, left ^ (common.mix(right * U(0x9E3779B97F4A7C15) + seed + U(r)) & mask)
+    return (left << half) | right
+
+
+def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray, back: bool = False) -> np.ndarray:
+    """A permutation of range(n) for each seed, at index, or its inverse: Feistel rounds, repeated while the result is out of range."""
     half = np.maximum((np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 1) // 2, 1).astype(U)
-    mask, x = (U(1) << half) - U(1), index.astype(U)
+    mask, x, seed = (U(1) << half) - U(1), index.astype(U), seed.astype(U)
     todo = np.arange(len(x))
     while len(todo):
-        h, m, s = half[todo], mask[todo], seed[todo].astype(U)
-        left, right = x[todo] >> h, x[todo] & m
-        for r in range(4):
-            left, right = right, left ^ (common.mix(right * U(0x9E3779B97F4A7C15) + s + U(r)) & m)
-        x[todo] = (left << h) | right
+        x[todo] = _rounds(half[todo], mask[todo], seed[todo], x[todo], back)
         todo = todo[x[todo] >= n[todo].astype(U)]
     return x.astype(np.int64)
 
@@ -75,82 +85,58 @@ def parts_of(rows: DataFrame) -> DataFrame:
 
 def place_in_source(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """rows with `begin`: words of the same source in documents before (by part, then doc_id), by running sums in two steps."""
-    within = Window.partitionBy("rank", "part").orderBy("doc_id", "row_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "part").orderBy("doc_id", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return rows.join(parts.select("rank", "part", "offset"), ["rank", "part"]).withColumn("begin", F.col("begin") + F.col("offset")).drop("offset")
 
 
+def _seeds(rank, turn, seed: int):
+    return rank * 1_000_003 + turn * 101 + seed
+
+
 def _draws(sources: pd.DataFrame, seed: int, block: int):
-    """Slots of shards: multinomial counts by source, held to the totals, and the block each slot takes."""
-    rank, blocks, need = (sources[c].to_numpy(np.int64) for c in ("rank", "blocks", "slots"))
-    words, target = sources["source_size"].to_numpy(np.int64), sources["words"].to_numpy(np.int64)
-    total = int(need.sum())
-
-    def counts(shards: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        """(slots of each source before the shard, in it): shards are halved again and again, each half drawing its share without replacement."""
-        have, before, lo, hi = need.copy(), np.zeros(len(need), np.int64), 0, shards
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            size = min(have.sum(), (mid - lo) * SLOTS)
-            rng = np.random.default_rng([seed, lo, hi])
-            left, rest, pick = have.copy(), int(have.sum()), int(size)
-            for k in range(len(have)):
-                rest -= int(have[k])
-                left[k] = _hypergeometric(rng, int(have[k]), rest, pick)
-                pick -= int(left[k])
-            if shard < mid:
-                have, hi = left, mid
-            else:
-                before, have, lo = before + left, have - left, mid
-        return before, have
+    """Slots of shards: each shard's source counts and the block that each slot takes.
+
+    Every source has a ticket for each of its slots, and a shard draws SLOTS of all tickets without
+    replacement (by a pseudorandom permutation of them), so that its counts of tickets by source are a
+    multinomial draw held to the sources' totals. A shard needs only its own draw, at any size.
+    """
+    rank, blocks, need, size = (sources[c].to_numpy(np.int64) for c in ("rank", "blocks", "slots", "source_size"))
+    edge = np.concatenate(([0], np.cumsum(need)))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shards = -(-total // SLOTS)
         for b in batches:
             for shard in b["id"]:
-                before, here = counts(shards, int(shard))
-                which = np.repeat(np.arange(len(rank)), here)
-                if not len(which):
-                    continue
-                k = np.concatenate([np.arange(a, a + n) for a, n in zip(before, here)])
-                turn, index = k // blocks[which], k % blocks[which]
-                take = permuted(index, blocks[which], (rank[which] * 1_000_003 + turn * 101 + seed))
-                size = np.minimum(block, words[which] - take * block)
-                yield pd.DataFrame({"rank": rank[which], "block": take, "shard": shard, "slot": np.random.default_rng([seed, int(shard), 7]).permutation(len(which)), "last": k == need[which] - 1, "turn": turn, "words": size})
+                slot = np.arange(min(SLOTS, int(edge[-1]) - int(shard) * SLOTS))
+                ticket = permuted(slot + int(shard) * SLOTS, np.full(len(slot), edge[-1]), np.full(len(slot), seed))
+                which = np.searchsorted(edge, ticket, "right") - 1
+                turn, index = np.divmod(ticket - edge[which], blocks[which])
+                take = permuted(index, blocks[which], _seeds(rank[which], turn, seed))
+                yield pd.DataFrame({"rank": rank[which], "block": take, "shard": shard, "slot": slot, "last": ticket + 1 == edge[which + 1], "turn": turn, "words": np.minimum(block, size[which] - take * block)})
 
     return of
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, pick: int) -> int:
-    """Good ones among pick of good + bad; numpy's draw is bounded by 10^9, beyond it a normal of the same moments stands in."""
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, pick)) if pick else 0
-    n = good + bad
-    mean, var = pick * good / n, pick * (good / n) * (bad / n) * ((n - pick) / max(n - 1, 1))
-    return int(np.clip(round(rng.normal(mean, np.sqrt(var))), max(0, pick - bad), min(good, pick)))
+def slots_of(size: int, want: int, rank: int, block: int, seed: int) -> int:
+    """Slots that give `want` words of a source of `size` words: whole turns over its blocks, then the blocks that the rest needs."""
+    blocks, (whole, rest) = -(-size // block), divmod(want, size)
+    k = -(-rest // block)
+    if rest:  # one more if the short last block is among the rest and leaves too little
+        one = np.ones(1, np.int64)
+        place = int(permuted(one * (blocks - 1), one * blocks, one * _seeds(rank, whole, seed), back=True)[0])
+        k += place < k and (k - 1) * block + size - (blocks - 1) * block < rest
+    return whole * blocks + k
 
 
 def slot_table(sources: DataFrame, block: int, seed: int) -> DataFrame:
-    """rank, block, shard, slot, last, words of every slot of the mix."""
+    """rank, block, shard, slot, last, words of every slot of the mix. The sources, one row each, come to the driver."""
     spark = sources.sparkSession
     s = sources.select("rank", "source_size", F.round("target").cast("long").alias("words")).where("source_size > 0").toPandas()
-    size, want = s["source_size"].to_numpy(np.int64), s["words"].to_numpy(np.int64)
-    s["blocks"] = -(-size // block)
-    slots = []
-    for r, n, w in zip(s["rank"], size.tolist(), want.tolist()):
-        whole, rest, b = w // n, w % n, -(-n // block)
-        # slots that `rest` words need in the turn after the whole ones, in which the short last block has its place
-        short, k = n - (b - 1) * block, -(-rest // block)
-        where = permuted(np.arange(b), np.full(b, b), np.full(b, int(r) * 1_000_003 + whole * 101 + seed)) if rest and b < 2 * 10**7 else np.empty(0, np.int64)
-        place = int(np.flatnonzero(where == b - 1)[0]) if len(where) else b
-        if rest and place < k and (k - 1) * block + short < rest:
-            k += 1
-        slots.append(whole * b + k)
-    s["slots"] = slots
-    total = int(np.sum(slots)) if len(slots) else 0
-    shards = -(-total // SLOTS)
-    frame = spark.range(0, shards, 1, max(1, min(shards, 200)))
-    return frame.mapInPandas(_draws(s, seed, block), "rank long, block long, shard long, slot long, last boolean, turn long, words long")
+    s["blocks"] = -(-s["source_size"] // block)
+    s["slots"] = [slots_of(int(n), int(w), int(r), block, seed) for r, n, w in zip(s["rank"], s["source_size"], s["words"])]
+    shards = -(-int(s["slots"].sum()) // SLOTS)
+    tasks = max(1, -(-shards // TASK_SHARDS), min(shards, spark.sparkContext.defaultParallelism))
+    return spark.range(0, shards, 1, tasks).mapInPandas(_draws(s, seed, block), "rank long, block long, shard long, slot long, last boolean, turn long, words long")
 
 
 SPANS = "array<struct<lead:int,doc_id:bigint,begin:bigint,start:int,n:int,text:string>>"
@@ -160,9 +146,14 @@ def _filled(block: int):
     """Slots of one part of a source, filled: rank, block, shard, slot, words, spans; whole if the part holds all words of the slot."""
 
     def of(docs: pa.Table, slots: pa.Table) -> pa.Table:
-        begin, found, texts = common.int64(docs["begin"]), [], []
+        docs = docs.take(pc.sort_indices(docs.select(["doc_id", "row_hash"]), sort_keys=[("doc_id", "ascending"), ("row_hash", "ascending")], null_placement="at_start"))
+        begin, found, texts = np.zeros(docs.num_rows, np.int64), [], []
+        upto = slots["offset"][0].as_py() if slots.num_rows else 0
         for i, j, data, at in common.slices(docs["text"]):
             first, last, row = common.word_bounds(data, at)
+            size = np.bincount(row, minlength=j - i)
+            begin[i:j] = upto + np.cumsum(size) - size
+            upto += int(size.sum())
             if not len(first):
                 continue
             start = np.arange(len(first)) - np.searchsorted(row, np.arange(j - i))[row]
@@ -205,27 +196,28 @@ def _mixed(docs: DataFrame, block: int, seed: int, weights: tuple[int, ...], sha
     """(placed, mix): doc_id, source, size, rank, source_size, target, begin of every row of docs, and rank,
     source, block, shard, slot, words, spans of every slot, of which all the words are written."""
     common.bounded_batches(docs.sparkSession)
-    rows = common.written(sized(docs).drop("text"), "mix-sizes")
+    rows = common.written(sized(docs), "mix-sizes")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     steps = max(1, -(-total["n"] // STEP), -(-total["words"] // STEP_WORDS))
     sources = common.written(targets(rows, weights, share, cap), "mix-sources")
     named = sources.withColumnRenamed("source", "its_source")
     named = F.broadcast(named) if sources.count() <= BROADCAST_SOURCES else named
 
-    def keyed(rows: DataFrame, *more: str) -> DataFrame:
-        rows = rows.join(named, F.col("source").eqNullSafe(F.col("its_source"))).select("doc_id", "source", "size", "row_hash", "rank", "source_size", "target", *more)
-        return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(steps)))
+    def keyed(rows: DataFrame, *columns: str) -> DataFrame:
+        rows = rows.join(named, F.col("source").eqNullSafe(F.col("its_source")))
+        return rows.select("rank", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(steps)).alias("part"), "doc_id", "row_hash", *columns)
 
-    parts = common.written(parts_of(keyed(rows)), "mix-parts")
-    placed = common.written(place_in_source(keyed(rows), parts).drop("row_hash", "part"), "mix-places")
+    parts = common.written(parts_of(keyed(rows, "size")), "mix-parts")
+    placed = common.written(place_in_source(keyed(rows, "source", "size", "source_size", "target"), parts).drop("row_hash", "part"), "mix-places")
     slots = common.written(slot_table(sources, block, seed), "mix-slots")
     # words that each block gives: all of it in each slot, but only as many as are missing in a source's last slot
     wanted = sources.select("rank", F.round("target").cast("long").alias("want"))
     short = slots.groupBy("rank").agg(F.sum("words").alias("sum")).join(wanted, "rank").select("rank", F.greatest(F.col("sum") - F.col("want"), F.lit(0)).alias("over"))
     slots = slots.join(short, "rank").withColumn("words", F.when(F.col("last"), F.greatest(F.col("words") - F.col("over"), F.lit(0))).otherwise(F.col("words")))
-    holds = parts.where("n > 0").select("rank", "part", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block))).alias("block"))
-    slots = slots.join(holds.hint("merge"), ["rank", "block"])  # a row for each block, though its size is estimated from parts.select("rank", "part", "block", "shard", "slot", "words")
-    texts = place_in_source(keyed(sized(docs), "text"), parts).where("size > 0").select("rank", "part", "doc_id", "begin", "text")
+    holds = parts.where("n > 0").select("rank", "part", "offset", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block))).alias("block"))
+    slots = slots.join(holds.hint("merge"), ["rank", "block"])  # a row for each block, though its size is estimated from parts
+    slots = slots.select("rank", "part", "offset", "block", "shard", "slot", "words")
+    texts = keyed(plain(docs), "text")  # the running sums of `placed` are made again in each part, from its texts
     filled = texts.groupBy("rank", "part").cogroup(slots.groupBy("rank", "part")).applyInArrow(_filled(block), f"rank long, block long, shard long, slot long, words long, whole boolean, spans {SPANS}")
     filled = common.written(filled, "mix", "zstd")
     split = filled.where("not whole").groupBy("rank", "block", "shard", "slot", "words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
@@ -272,7 +264,12 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = 7, weights: tup
     return placed.join(taken, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), row_hash (of the text), text."""
+def plain(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text (null: empty), row_hash (of the text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"), F.xxhash64(text).alias("row_hash"))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size (words), row_hash."""
+    return plain(docs).select("doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), "row_hash")
