@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import U
-from .training import labelled_sample
+from .training import own_label_sample
 
 #: Documents of each language in the fitting sample at most, and buckets of hashed n-grams.
 SAMPLE, BUCKETS = 1200, 4096
@@ -27,13 +27,15 @@ AMBIGUOUS = 0.75
 
 def code_matrix(n: int) -> np.ndarray:
     """Codewords of n classes as rows of +1 and -1: all distinct splits up to 6 classes, else random ones far apart."""
+    if n == 1:
+        return np.ones((1, 1), int)
     if n <= 6:
         return np.array([[1 if (c >> i) & 1 else -1 for c in range(1 << (n - 1), (1 << n) - 1)] for i in range(n)]).reshape(n, -1)
     rng, best = np.random.default_rng(n), None
-    for _ in range(50):
+    for _ in range(50 if n <= 200 else 1):  # random words of this length are far apart anyway
         m = rng.choice([-1, 1], (n, 15 * int(np.ceil(np.log2(n)))))
         m = m[:, np.abs(m.sum(axis=0)) < n]
-        apart = min((m[i] != m[j]).sum() for i in range(n) for j in range(i))
+        apart = (m.shape[1] - m @ m.T + 2 * m.shape[1] * np.eye(n, dtype=int)).min() // 2
         if best is None or apart > best[0]:
             best = apart, m
     return best[1]
@@ -79,9 +81,9 @@ class LanguageModel:
 
 
 def fit_language(docs: DataFrame, parts: int = 5, held_out: int = 0, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from at most `sample` documents of each language; held-out rows and rows without lang are never read."""
+    """Learn every language of the rows from at most `sample` documents of each; held-out rows and rows without lang are never read."""
     common.bounded_batches(docs.sparkSession)
-    rows = labelled_sample(docs, docs.select("doc_id", F.col("lang").alias("label")), sample, parts, held_out)
+    rows = own_label_sample(docs.select("doc_id", "text", F.col("lang").cast("string").alias("label")), sample, parts, held_out)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,17 +91,16 @@ def fit_language(docs: DataFrame, parts: int = 5, held_out: int = 0, sample: int
                 x = ngram_features(data, at).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), common.binary_rows(x, np.arange(j - i + 1) * BUCKETS)], ["label", "x"])
 
-    got = rows.where("text is not null").select("text", "label").mapInArrow(features, "label string, x binary").orderBy("label", F.xxhash64("x")).toArrow()
+    got = rows.mapInArrow(features, "label string, x binary").orderBy("label", F.xxhash64("x")).toArrow()
     names = got["label"].to_pylist()
     languages = sorted(set(names))
     if not languages:
         return LanguageModel([], np.zeros((0, 0)), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     data, at = common.text_buffer(got["x"])
     x = data[at[0] : at[-1]].view(np.float16).reshape(-1, BUCKETS).astype(np.float32)
-    code = code_matrix(len(languages))
-    y = code[np.array([languages.index(n) for n in names])].astype(np.float32)
-    each = np.bincount([languages.index(n) for n in names])
-    weight = np.array([len(names) / len(languages) / each[languages.index(n)] for n in names], np.float32)[:, None]
+    code, of = code_matrix(len(languages)), np.searchsorted(languages, names)
+    y = code[of].astype(np.float32)
+    weight = (len(names) / len(languages) / np.bincount(of)[of]).astype(np.float32)[:, None]
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
     for _ in range(150):  # gradient steps with momentum on the mean logistic loss
