@@ -1,7 +1,7 @@
 """Quality by random-indexing word vectors and a two-layer network.
 
 Words hash to slots, and every slot has a sparse random index vector. A slot's context vector sums the
-index vectors of its neighbours over the fitting sample. A document is the pool of its words' context
+index vectors of its neighbours over all documents. A document is the pool of its words' context
 vectors, of the products of neighbouring ones (repetition), and of index vectors of its character
 trigrams (words never seen). A network of two layers in numpy gives logits, which a temperature fitted
 on documents apart from its training turns into calibrated probabilities.
@@ -49,9 +49,9 @@ def _sum_rows(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 
 def context_sums(data: np.ndarray, at: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Sums of the neighbours' index vectors for each slot."""
+    """Sums of the neighbours' index vectors for each slot; whole numbers."""
     slot, row = _words(data, at)
-    out = np.zeros((SLOTS, SIZE), np.float32)
+    out = np.zeros((SLOTS, SIZE), np.int64)
     around = np.zeros((len(slot), SIZE), np.float32)
     for d in range(1, min(REACH, len(slot) - 1) + 1):
         same = (row[d:] == row[:-d])[:, None]
@@ -61,10 +61,30 @@ def context_sums(data: np.ndarray, at: np.ndarray, index: np.ndarray) -> np.ndar
     slot = slot[order]
     if len(slot):
         first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-        out[slot[first]] = np.add.reduceat(around[order], first, axis=0)
+        out[slot[first]] = np.add.reduceat(around[order].astype(np.int64), first, axis=0)
     return out
 
 
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """The context vectors of all slots, of length 1, summed over all texts: by partition, then by slot."""
+    names = [f"v{k}" for k in range(SIZE)]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, total = _index(SLOTS, 1), np.zeros((SLOTS, SIZE), np.int64)
+        for b in batches:
+            for _, _, data, at in common.slices(b.column(0), common.SLICE_BYTES // 2):
+                total += context_sums(data, at, index)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(SIZE))], ["slot", *names])
+
+    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(sums, ", ".join(["slot long", *(f"{n} long" for n in names)]))
+    got = partial.groupBy("slot").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    context = np.zeros((SLOTS, SIZE), np.float32)
+    if got.num_rows:
+        context[common.int64(got["slot"])] = np.stack([common.int64(got[n]) for n in names], axis=1)
+    return context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
+
+
 @dataclass
 class QualityModel:
     context: np.ndarray
@@ -118,7 +138,7 @@ def _features(docs: DataFrame, context: np.ndarray, finish) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2, sample: int = SAMPLE) -> QualityModel:
-    """Learn from at most `sample` documents of each label; held-out rows are never read."""
+    """Learn labels from at most `sample` documents of each, never from held-out rows; word vectors come from the texts of all documents."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = labelled_sample(docs, labels.select("doc_id", F.col("quality").cast("int").alias("label")), sample, parts, held_out)
@@ -126,18 +146,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: in
     known = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts != held_out)
     share = known.agg(F.avg(F.col("quality").cast("double")).alias("p")).first()["p"]
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = _index(SLOTS, 1), np.zeros((SLOTS, SIZE), np.float32)
-        for b in batches:
-            for _, _, data, at in common.slices(b.column(0), common.SLICE_BYTES // 2):
-                total += context_sums(data, at, index)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
-
-    partial = rows.where("check = 0").select("text").repartition(4).mapInArrow(sums, "v binary").collect()
-    context = np.zeros((SLOTS, SIZE), np.float32)
-    for r in partial:
-        context += np.frombuffer(r["v"], np.float32).reshape(SLOTS, SIZE)
-    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
+    context = context_vectors(docs)
 
     def finish(b: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(2), b.column(3), common.binary_rows(x.astype(np.float32), np.arange(len(x) + 1) * x.shape[1])], ["label", "check", "x"])

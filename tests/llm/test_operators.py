@@ -1,7 +1,9 @@
 """Every corpus operator against brute force, round trips or held-out accuracy, and on odd tables."""
 
 import hashlib
+import itertools
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shadespark.llm import chat, common, decontaminate, gif, language, minhash_join, mixing, quality, substring_dedup, suffix_dedup, toxicity, windows
+from shadespark.llm import chat, common, decontaminate, gif, language, minhash_join, mixing, quality, substring_dedup, suffix_dedup, toxicity, training, windows
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 FORM = "doc_id long, text string, lang string, source string, n_chars long, kept string, n int, bucket int, rank int"
@@ -255,6 +257,62 @@ def test_language_held_out(spark):
     assert min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 10
 
 
+def test_every_language_is_learned_and_decoding_takes_the_nearest_codeword(spark):
+    """Seventy languages, each of its own letters; decoding against a plain sum of losses for each codeword."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(12)]
+        rows += [(100 * k + i, " ".join("".join(rng.choices(letters, k=4)) for _ in range(20)), f"l{k:02}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(docs)
+    assert len(model.languages) == 70
+    right = language.identify_language(docs, model).join(docs, "doc_id").where(common.is_held_out(5, 0)).select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.9
+    x = np.random.default_rng(0).normal(size=(5, language.BUCKETS)).astype(np.float32)
+    best, share, close = model.decode(x)
+    for i in range(5):
+        margin = x[i] @ model.weights + model.bias
+        loss = [sum(np.log1p(np.exp(-np.clip(m * c, -30, 30))) for m, c in zip(margin, word)) for word in model.code]
+        assert loss[best[i]] == pytest.approx(min(loss)) and share[i] == pytest.approx(1 / sum(np.exp(min(loss) - v) for v in loss), rel=1e-3)
+        assert close[i] == (share[i] < language.AMBIGUOUS)
+
+
+def test_labels_that_disagree_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(3, "other 3")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(7, 0), (8, 0), (9, None), (None, 1)], "doc_id long, label int")
+    got = {(r["doc_id"], r["text"], r["label"]) for r in training.labelled_sample(docs, labels, 100, 5, 0).collect()}
+    known = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5 and i != 7}
+    assert got == {(i, t, i % 2) for i in known for t in [f"text {i}", *(["other 3"] if i == 3 else [])]}
+    assert training.labelled_sample(docs, labels, 3, 5, 0).groupBy("label").agg(F.count_distinct("doc_id").alias("n")).where("n > 3").count() == 0
+    rows = [(i, f"t{i}", "aa") for i in range(1, 30)] + [(4, "t4", "bb"), (5, "x5", "bb"), (6, "t6", None), (6, "t6", "aa"), (8, None, "aa")]
+    got = {(r["text"], r["label"]) for r in training.own_label_sample(spark.createDataFrame(rows, "doc_id long, text string, label string"), 100, 5, 0).collect()}
+    assert got == {(t, lang) for d, t, lang in rows if t and lang and d != 4 and zlib.crc32(str(d).encode()) % 5} | ({("x5", "bb")} if zlib.crc32(b"5") % 5 else set())
+
+
+def test_word_vectors_and_pooling_equal_plain_sums(spark):
+    rows = [(1, "a b c a b"), (2, None), (3, ""), (4, "c  d\ta"), (5, "ü a"), (6, "xy")]
+    texts = [(t or "").encode() for _, t in rows]
+    index, trigrams = quality._index(quality.SLOTS, 1), quality._index(quality.TRIGRAMS, 3)
+    slot = lambda w: int(common.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), lower=False)[0] % np.uint64(quality.SLOTS))
+    context = np.zeros((quality.SLOTS, quality.SIZE))
+    for t in texts:
+        w = t.split()
+        for i in range(len(w)):
+            for j in range(max(0, i - quality.REACH), min(len(w), i + quality.REACH + 1)):
+                if i != j:
+                    context[slot(w[i])] += index[slot(w[j])]
+    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
+    got = quality.context_vectors(frame(spark, rows))
+    assert np.allclose(got, context, atol=1e-6)
+    x = quality.pooled(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))), got, trigrams)
+    for k, t in enumerate(texts):
+        v = [context[slot(w)] for w in t.split()]
+        n = max(len(v), 1)
+        assert np.allclose(x[k, :32], sum(v, np.zeros(32)) / n, atol=1e-5)
+        assert np.allclose(x[k, 32:64], sum((a * b for a, b in zip(v, v[1:])), np.zeros(32)) / n, atol=1e-5)
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/labels.parquet")
     r = quality.quality_scores(docs, quality.fit_quality(docs, labels)).join(labels, "doc_id").where(common.is_held_out(4, 2))
@@ -289,6 +347,30 @@ def test_mixing_targets(spark):
     assert sorted(mixing.permuted(np.arange(77), np.full(77, 77), np.full(77, 5)).tolist()) == list(range(77))
 
 
+def test_slots_blocks_and_shards_are_drawn_without_loss(spark, monkeypatch):
+    one = lambda n: np.full(n, n)
+    for n in (1, 2, 5, 77, 1000):
+        p = mixing.permuted(np.arange(n), one(n), np.full(n, 5))
+        assert sorted(p.tolist()) == list(range(n)) and (mixing.permuted(p, one(n), np.full(n, 5), back=True) == np.arange(n)).all()
+    far = np.arange(1000) + 3 * 10**11  # far beyond a billion slots
+    p = mixing.permuted(far, np.full(1000, 4 * 10**11), np.full(1000, 7))
+    assert len(set(p.tolist())) == 1000 and p.max() < 4 * 10**11 and (mixing.permuted(p, np.full(1000, 4 * 10**11), np.full(1000, 7), back=True) == far).all()
+    for size, want, rank in itertools.product((1, 7, 8, 9, 50, 61), (0, 1, 30, 61, 100), (1, 2, 3)):
+        blocks, given, k = -(-size // 8), 0, 0
+        while given < want:  # slot after slot until the words are enough
+            take = int(mixing.permuted(np.array([k % blocks]), np.array([blocks]), np.array([mixing._seeds(rank, k // blocks, 7)]))[0])
+            given, k = given + min(8, size - 8 * take), k + 1
+        assert mixing.slots_of(size, want, rank, 8, 7) == k
+    monkeypatch.setattr(mixing, "SLOTS", 16)
+    monkeypatch.setattr(mixing, "TASK_SHARDS", 1)
+    sources = spark.createDataFrame([(1, 9000, 4000.0), (2, 100, 200.0), (3, 1000, 1500.4), (4, 0, 0.0)], "rank long, source_size long, target double")
+    got = mixing.slot_table(sources, 8, 7).toPandas()
+    assert len(got) == 500 + 26 + 188 and sorted(zip(got["shard"], got["slot"])) == [(k // 16, k % 16) for k in range(len(got))]
+    assert got.groupby("rank")["last"].sum().tolist() == [1, 1, 1] and set(got.loc[got["rank"] == 2, "block"]) == set(range(13))
+    share = got[got["shard"] < 44].groupby("shard")["rank"].apply(lambda r: (r == 1).mean())
+    assert share.nunique() > 3 and abs(share.mean() - 500 / 714) < 0.05
+
+
 @pytest.mark.parametrize("step", [2000, 1])
 def test_mixing_makes_the_mix(spark, step, monkeypatch):
     monkeypatch.setattr(mixing, "STEP", step)  # 1: most blocks lie in several parts
