@@ -1,12 +1,13 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are lower-cased (A-Z); items and windows are multisets of 5-word shingles, weighted by their
-count. A window as long as an item gets a SimHash of its weighted shingles. Multi-index tables of
-Hamming blocks give all item fingerprints within RADIUS: if two fingerprints differ in at most RADIUS
-bits, then in one of BLOCKS blocks they differ in at most RADIUS // BLOCKS bits. The exact weighted
-similarity of the shingles (sum of minima over sum of maxima) then verifies each candidate.
+count. A window as long as an item gets a SimHash of BLOCKS * WIDTH bits of its weighted shingles. A
+multi-index over the items' blocks gives all item fingerprints within RADIUS: if two fingerprints differ
+in at most RADIUS bits, then some block differs in at most FLIPS bits, and every code within FLIPS bits
+of each block of the window is looked up among the items' codes. The exact weighted similarity of the
+shingles (sum of minima over sum of maxima) then verifies each candidate.
 
-Only windows that share a shingle with an item of their length are fingerprinted: the others have an
+Every window that shares a shingle with an item of its length is fingerprinted: the others have an
 exact similarity of 0. The items are an index of bounded size; more of them are taken in several parts,
 each with a pass over the documents.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,28 +27,46 @@ from . import common
 from .common import U
 
 SHINGLE, PERCENT = 5, 80
-#: Bits that fingerprints may differ in, of 64, and blocks. Pairs of similarity 0.8 differ in about 10 bits; 24 is over 4 deviations more.
-RADIUS, BLOCKS = 24, 8
+#: Blocks of a fingerprint, bits of a block, and bits of a block that may differ. A random item meets a window
+#: in one block of these with a chance of 4 %.
+BLOCKS, WIDTH, FLIPS = 20, 19, 3
+#: Bits that fingerprints may differ in. Pairs of similarity 0.8 differ in about 58 of 380 bits, with a deviation of 7.
+RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Items (and their words) in one index at most.
 ITEMS, ITEM_WORDS = 20_000, 2_000_000
-
-_WIDTH = 64 // BLOCKS
-
-
-def simhash(value: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of weighted shingles; rows at[i]:at[i+1], none empty."""
-    if len(at) < 2:
-        return np.empty(0, U)
-    out = np.zeros(len(at) - 1, U)
-    for bit in range(64):
-        sign = np.where((value >> U(bit)) & U(1), weight, -weight)
-        out |= (np.add.reduceat(sign, at[:-1]) > 0).astype(U) << U(bit)
+#: Windows fingerprinted in one step, and fingerprints whose items a task remembers at most.
+STEP, REMEMBERED = 2048, 50_000
+
+_CODE = (1 << np.arange(WIDTH)).astype(np.int32)
+_NEAR = np.array([sum(1 << b for b in bits) for n in range(FLIPS + 1) for bits in combinations(range(WIDTH), n)], np.int32)
+
+
+def shingle_signs(value: np.ndarray) -> np.ndarray:
+    """+1 or -1 for each bit of each shingle."""
+    words = -(-BLOCKS * WIDTH // 64)
+    hashed = np.stack([common.mix(value + U(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) for k in range(words)], axis=1)
+    bits = np.unpackbits(hashed.view(np.uint8), axis=1, count=BLOCKS * WIDTH)
+    return bits.astype(np.int8) * np.int8(2) - np.int8(1)
+
+
+def simhash(value: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Codes of the blocks of the windows of `size` shingles (repeated ones count as often) that start at `first`, ascending."""
+    out = np.empty((len(first), BLOCKS), np.int32)
+    for k in range(0, len(first), STEP):
+        f = first[k : k + STEP]
+        cut = np.flatnonzero(np.append(True, np.diff(f) > size))
+        for a, z in zip(cut, np.append(cut[1:], len(f))):  # runs of windows that overlap
+            lo = f[a]
+            total = np.zeros((f[z - 1] + size - lo + 1, BLOCKS * WIDTH), np.int32)
+            np.cumsum(shingle_signs(value[lo : f[z - 1] + size]), axis=0, out=total[1:])
+            bits = total[f[a:z] - lo + size] > total[f[a:z] - lo]
+            out[k + a : k + z] = bits.reshape(-1, BLOCKS, WIDTH) @ _CODE
     return out
 
 
 @dataclass
 class ItemIndex:
-    """Items by number: id, shingle count, sorted distinct shingles with weights; shingle postings; Hamming block tables."""
+    """Items by number: id, shingle count, sorted distinct shingles with weights; shingle postings; codes of the fingerprints."""
 
     ids: np.ndarray
     size: np.ndarray
@@ -55,20 +75,44 @@ class ItemIndex:
     at: np.ndarray
     post_key: np.ndarray
     post_size: np.ndarray
-    tables: list[list[np.ndarray]]
-    prints: np.ndarray
-
-    def near(self, fingerprint: int) -> np.ndarray:
+    codes: np.ndarray
+
+
+class Blocks:
+    """The multi-index, made from an index's codes in the task that reads it: which codes occur in a block, and their items in order."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.lead = (np.arange(BLOCKS, dtype=np.int64) << WIDTH)[:, None]
+        keys = (codes.T + self.lead).ravel()
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, self.item = keys[self.order], self.order % max(len(codes), 1)
+        self.present = np.zeros(BLOCKS << WIDTH, bool)
+        self.present[keys] = True
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def looked_at(self, code: np.ndarray) -> np.ndarray:
+        """Items that have a code within FLIPS bits in the same block."""
+        probe = ((code[:, None] ^ _NEAR) + self.lead).ravel()
+        probe = probe[self.present[probe]]
+        lo, hi = np.searchsorted(self.keys, probe, "left"), np.searchsorted(self.keys, probe, "right")
+        at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
+        return np.unique(self.item[at])
+
+    def near(self, code: np.ndarray) -> np.ndarray:
         """All items whose fingerprint differs in at most RADIUS bits."""
-        mask = (1 << _WIDTH) - 1
-        some = [self.tables[b][(fingerprint >> (b * _WIDTH)) & mask] for b in range(BLOCKS)]
-        found = np.unique(np.concatenate(some))
-        return found[np.bitwise_count(self.prints[found] ^ U(fingerprint)) <= RADIUS]
+        key = code.tobytes()
+        if key not in self.known:
+            found = self.looked_at(code)
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[key] = found[np.bitwise_count(self.codes[found] ^ code).sum(axis=1) <= RADIUS]
+        return self.known[key]
 
 
 def build_index(rows: list[tuple[int, str]]) -> ItemIndex:
     rows = [(i, t) for i, t in rows if t and t.strip(" \t\n\v\f\r")]
-    ids, values, weights, sizes = [], [], [], []
+    ids, values, weights, sizes, codes = [], [], [], [], [np.empty((0, BLOCKS), np.int32)]
     for i, t in rows:
         g = _shingles(np.frombuffer(t.encode(), np.uint8))
         v, n = np.unique(g, return_counts=True)
@@ -76,17 +120,12 @@ def build_index(rows: list[tuple[int, str]]) -> ItemIndex:
         values.append(v)
         weights.append(n)
         sizes.append(len(g))
+        codes.append(simhash(g, np.zeros(1, np.int64), len(g)))
     value = np.concatenate([np.empty(0, U), *values])
     at = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int64)
     weight, size = np.concatenate([np.empty(0, np.int64), *weights]), np.array(sizes, np.int64)
     post = np.unique(np.stack([value, np.repeat(size, np.diff(at)).astype(U)]), axis=1) if len(value) else np.empty((2, 0), U)
-    prints = simhash(value, weight, at)
-    codes = np.arange(1 << _WIDTH, dtype=U)
-    tables = []
-    for b in range(BLOCKS):
-        own = (prints >> U(b * _WIDTH)) & U((1 << _WIDTH) - 1)
-        tables.append([np.flatnonzero(np.bitwise_count(own ^ c) <= RADIUS // BLOCKS) for c in codes])
-    return ItemIndex(np.array(ids, np.int64), size, value, weight, at, post[0], post[1].astype(np.int64), tables, prints)
+    return ItemIndex(np.array(ids, np.int64), size, value, weight, at, post[0], post[1].astype(np.int64), np.concatenate(codes))
 
 
 def _shingles(data: np.ndarray) -> np.ndarray:
@@ -98,30 +137,27 @@ def _shingles(data: np.ndarray) -> np.ndarray:
     return common.kgrams(h, len(h)) if len(h) else np.empty(0, U)
 
 
-def _matches(g: np.ndarray, index: ItemIndex, hits: np.ndarray, percent: int) -> dict[int, tuple[int, int]]:
+def _matches(g: np.ndarray, index: ItemIndex, blocks: Blocks, hits: np.ndarray, percent: int) -> dict[int, tuple[int, int]]:
     """item number -> (minima, maxima) of the most similar window, of one document's shingles; hits: places of items' shingles."""
     lo, hi = np.searchsorted(index.post_key, g[hits], "left"), np.searchsorted(index.post_key, g[hits], "right")
-    wanted: dict[int, list[int]] = {}
-    for place, a, z in zip(hits.tolist(), lo.tolist(), hi.tolist()):
-        for size in index.post_size[a:z].tolist():
-            wanted.setdefault(size, []).append(place)
+    place = np.repeat(hits, hi - lo)
+    size_of = index.post_size[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(place))]
     best: dict[int, tuple[int, int]] = {}
-    for size, places in wanted.items():
-        p = np.array(places)
-        # a window at the threshold holds at least percent of the item's shingles: count the hits in it
-        first = np.unique((p[:, None] - np.arange(size)).ravel())
-        first = first[(first >= 0) & (first + size <= len(g))]
-        if not len(first):
-            first = np.array([0]) if 100 * len(g) >= percent * size else np.empty(0, np.int64)  # a document a little shorter than the item
-        held = np.searchsorted(p, first + size) - np.searchsorted(p, first)
-        first = first[held * (100 + percent) >= size * 2 * percent - 1e-9] if len(g) >= size else first
-        if not len(first):
-            continue
-        width = min(size, len(g))
-        for a in first.tolist():
+    for size in np.unique(size_of).tolist():
+        p, width = place[size_of == size], min(size, len(g))
+        if len(g) < size:  # a document a little shorter than the item is one window
+            first = np.zeros(1 if 100 * len(g) >= percent * size else 0, np.int64)
+        else:  # the windows that hold one of the places
+            cover = np.zeros(len(g) + 1, np.int64)
+            np.add.at(cover, np.maximum(p - size + 1, 0), 1)
+            np.add.at(cover, p + 1, -1)
+            first = np.flatnonzero(np.cumsum(cover[: len(g) - size + 1]) > 0)
+        for a, code in zip(first.tolist(), simhash(g, first, width)):
+            near = blocks.near(code)
+            if not len(near):
+                continue
             v, n = np.unique(g[a : a + width], return_counts=True)
-            mark = int(simhash(v, n, np.array([0, len(v)]))[0])
-            for k in index.near(mark).tolist():
+            for k in near.tolist():
                 x, w = index.value[index.at[k] : index.at[k + 1]], index.weight[index.at[k] : index.at[k + 1]]
                 where = np.minimum(np.searchsorted(v, x), len(v) - 1)
                 both = int(np.minimum(n[where], w)[v[where] == x].sum())
@@ -137,6 +173,7 @@ def _scan(index: ItemIndex, percent: int):
     table[(known >> U(44)).astype(np.int64)] = True
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(index.codes)
         for b in batches:
             ids = common.int64(b.column(0))
             for i, j, data, at in common.slices(b.column(1)):
@@ -156,7 +193,7 @@ def _scan(index: ItemIndex, percent: int):
                     hits = np.flatnonzero(np.isin(g, known))
                     if not len(hits):
                         continue
-                    for k, (both, union) in sorted(_matches(g, index, hits, percent).items()):
+                    for k, (both, union) in sorted(_matches(g, index, blocks, hits, percent).items()):
                         found["row_key"].append(ids[i + d])
                         found["item_id"].append(int(index.ids[k]))
                         found["similarity"].append(both / union)

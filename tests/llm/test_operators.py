@@ -208,6 +208,40 @@ def test_decontamination_equals_brute_force(spark):
     assert not {i for _, i in got} & {50, 51}
 
 
+def test_hamming_blocks_hold_their_guarantee_and_prune():
+    """All items within the radius of random and of near fingerprints, against a plain scan; under 5 % of the items are looked at."""
+    D, rng = decontaminate, np.random.default_rng(2)
+    codes = rng.integers(0, 1 << D.WIDTH, (2000, D.BLOCKS)).astype(np.int32)
+    blocks, looked = D.Blocks(codes), []
+    for k in range(60):
+        code = codes[k].copy()
+        for bit in rng.choice(D.BLOCKS * D.WIDTH, min(D.RADIUS + 3, 2 * k), replace=False):
+            code[bit // D.WIDTH] ^= 1 << (bit % D.WIDTH)
+        plain = np.flatnonzero(np.bitwise_count(codes ^ code).sum(axis=1) <= D.RADIUS)
+        assert blocks.near(code).tolist() == plain.tolist() and (k in plain) == (min(D.RADIUS + 3, 2 * k) <= D.RADIUS)
+        looked.append(len(blocks.looked_at(code)))
+    assert np.mean(looked) < 0.05 * len(codes)
+
+
+def test_fingerprints_of_similar_windows_are_within_the_radius():
+    """Recall at the threshold: windows of similarity just over 0.8, of many lengths; and rolling fingerprints against single ones."""
+    D, rng, missed, total = decontaminate, np.random.default_rng(3), 0, 0
+    for size in (9, 12, 18, 27, 36, 55):
+        for _ in range(60):
+            item = rng.integers(1, 2**63, size, dtype=np.uint64)
+            other = item.copy()
+            some = rng.choice(size, size // 9, replace=False)
+            other[some] = rng.integers(1, 2**63, len(some), dtype=np.uint64)
+            a, b = (D.simhash(x, np.zeros(1, np.int64), size)[0] for x in (item, other))
+            missed, total = missed + (np.bitwise_count(a ^ b).sum() > D.RADIUS), total + 1
+    assert missed <= 0.02 * total
+    long = rng.integers(1, 2**63, 6000, dtype=np.uint64)
+    first = np.concatenate((np.arange(0, 3000), np.arange(3500, 3510), np.arange(5900, 5981)))
+    rolling = D.simhash(long, first, 20)
+    for k in (0, 1, 2047, 2048, 2999, 3005, len(first) - 1):
+        assert (rolling[k] == D.simhash(long[first[k] : first[k] + 20], np.zeros(1, np.int64), 20)[0]).all()
+
+
 def test_decontamination_in_several_indexes(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.benchmark_matches(docs, bench).collect()))
