@@ -1,8 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Small transducers read the classes of a clause's words from left to right and are composed: an insult
-or threat gets its weight, a target nearby strengthens it, a negation just before it or a verb of
-reporting earlier in the clause moves it to another output. The grammar's outputs are summed over
+The lexicon maps words to symbols (insult, threat, target, negation, report) with weights. Transducers
+over these symbols mark insults and threats: a target nearby, a negation just before, a verb of
+reporting earlier in the clause. They are tables of states, and their composition by product is one
+machine that reads each clause once from left to right, after one machine that reads it from right to
+left for targets that follow. A table gives the output of every marked symbol; outputs are summed over
 matched clauses, and a logistic layer, fitted on labelled documents, turns them into a score.
 
 The insult lexicon is learned: words and word beginnings that are much more frequent in documents
@@ -39,8 +41,11 @@ TARGETS = "you your yours yourself he him she her they them u ur du dich dir dei
 NEGATIONS = "not no never without nor hardly nicht kein keine nie ohne ne pas jamais sans nunca jamás sin ni".split()
 REPORTS = "said says told wrote writes claimed called quoted reported according sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó según".split()
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Words that a target, a negation and a threat's object may stand away.
-REACH = {TARGET: 4, NEGATION: 3}
+#: Marks of insults and threats, added to their symbol.
+NEGATED, REPORTED, BEFORE, AFTER = 8, 16, 32, 64
+CODES = 128
+#: Words that a target and a negation may stand away.
+TARGET_REACH, NEGATION_REACH = 4, 3
 #: Outputs of the grammar for each document.
 OUTPUTS = ("plain", "targeted", "negated", "reported", "threat", "strongest", "clauses", "share")
 
@@ -101,52 +106,91 @@ class Lexicon:
         return kind, weight
 
 
-class Reach:
-    """Transducer that is on for some words after its symbol."""
-
-    def __init__(self, symbol: int):
-        self.symbol, self.left = symbol, -1
-
-    def read(self, place: int, symbol: int) -> bool:
-        on = 0 <= place - self.left <= REACH[self.symbol] if self.left >= 0 else False
-        if symbol == self.symbol:
-            self.left = place
-        return on
-
-
-class Ever:
-    """Transducer that stays on after its symbol, to the end of the clause."""
-
-    def __init__(self, symbol: int):
-        self.symbol, self.on = symbol, False
-
-    def read(self, place: int, symbol: int) -> bool:
-        was = self.on
-        self.on |= symbol == self.symbol
-        return was
-
-
-def clause_outputs(words: list[tuple[int, int, float]]) -> list[float]:
-    """The composed grammar over one clause's (place, class, weight) of known words: plain, targeted, negated, reported, threat."""
-    negated, reported, aimed = Reach(NEGATION), Ever(REPORT), Reach(TARGET)
-    out, open_insult, open_threat = [0.0] * 5, None, None
-    for place, symbol, weight in words:
-        no, said, you = negated.read(place, symbol), reported.read(place, symbol), aimed.read(place, symbol)
-        if symbol == INSULT:
-            channel = 3 if said else 2 if no else 1 if you else 0
-            out[channel] += weight
-            open_insult = (place, weight) if channel == 0 else None
-        elif symbol == THREAT:
-            open_threat = None if no or said else place
-        elif symbol == TARGET:  # a target may also follow
-            if open_insult and place - open_insult[0] <= REACH[TARGET]:
-                out[0] -= open_insult[1]
-                out[1] += open_insult[1]
-                open_insult = None
-            if open_threat is not None and place - open_threat <= REACH[NEGATION]:
-                out[4] += weight
-                open_threat = None
-    return out
+@dataclass(frozen=True)
+class Transducer:
+    """Next state, output code and weight for each state and input code; it starts in state 0 at each clause."""
+
+    next: np.ndarray
+    out: np.ndarray
+    weight: np.ndarray
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: other reads what self writes. States are the reachable pairs, weights multiply."""
+        pairs, rows = {(0, 0): 0}, []
+        for a, b in iter_growing(pairs):
+            row = []
+            for x in range(CODES):
+                y = int(self.out[a, x])
+                to = (int(self.next[a, x]), int(other.next[b, y]))
+                row.append((pairs.setdefault(to, len(pairs)), int(other.out[b, y]), float(self.weight[a, x] * other.weight[b, y])))
+            rows.append(row)
+        table = np.array(rows)
+        return Transducer(table[..., 0].astype(np.int64), table[..., 1].astype(np.int64), table[..., 2])
+
+    def read(self, code: list[int], gap: list[int]) -> tuple[list[int], list[float]]:
+        """Output codes and weights of joined clauses of known words: gap counts the other words before each, or is -1 where a clause begins."""
+        skip, most = [list(range(len(self.next)))], max(TARGET_REACH, NEGATION_REACH)
+        for _ in range(most):  # the states after so many other words; after more than the reach they stay
+            skip.append([int(self.next[s, OTHER]) for s in skip[-1]])
+        step, out, weight = self.next.tolist(), self.out.tolist(), self.weight.tolist()
+        state, codes, weights = 0, [], []
+        for x, n in zip(code, gap):
+            state = 0 if n < 0 else skip[min(n, most)][state]
+            codes.append(out[state][x])
+            weights.append(weight[state][x])
+            state = step[state][x]
+        return codes, weights
+
+
+def iter_growing(known: dict):
+    """The keys of a dict that grows while they are read."""
+    k = 0
+    while k < len(known):
+        yield list(known)[k]
+        k += 1
+
+
+def _marker(states: int, move, mark: int) -> Transducer:
+    """Marks insults and threats in every state but 0; move(state, symbol) is the next state."""
+    state, code = np.indices((states, CODES))
+    head = np.isin(code & 7, (INSULT, THREAT)) & (state > 0)
+    step = np.array([[move(s, x & 7) for x in range(CODES)] for s in range(states)])
+    return Transducer(step, np.where(head, code | mark, code), np.ones((states, CODES)))
+
+
+def within(symbol: int, reach: int, mark: int) -> Transducer:
+    """Marks what stands at most `reach` words after the symbol; the state counts the words left."""
+    return _marker(reach + 1, lambda s, x: reach if x == symbol else max(s - 1, 0), mark)
+
+
+def ever(symbol: int, mark: int) -> Transducer:
+    """Marks all that stands after the symbol in its clause."""
+    return _marker(2, lambda s, x: int(s or x == symbol), mark)
+
+
+#: Read from right to left, then from left to right.
+FOLLOWED = within(TARGET, TARGET_REACH, AFTER)
+GRAMMAR = within(NEGATION, NEGATION_REACH, NEGATED).then(ever(REPORT, REPORTED)).then(within(TARGET, TARGET_REACH, BEFORE))
+
+
+def _channel(code: int) -> int:
+    """The output (of OUTPUTS) that a marked symbol counts for, or -1: a threat counts if it has an object and is neither negated nor reported."""
+    if code & 7 == INSULT:
+        return 3 if code & REPORTED else 2 if code & NEGATED else 1 if code & (BEFORE | AFTER) else 0
+    return 4 if code & 7 == THREAT and code & AFTER and not code & (NEGATED | REPORTED) else -1
+
+
+CHANNEL = np.array([_channel(x) for x in range(CODES)])
+
+
+def marked(symbol: np.ndarray, clause: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and weights of known words (in order, with their clause and their place among all words)."""
+    new = np.append(True, clause[1:] != clause[:-1])[: len(clause)]
+    gap = np.where(new, -1, np.diff(place, prepend=0) - 1)
+    back = np.where(np.append(new[1:], True)[: len(new)], -1, np.append(gap[1:], 0)[: len(new)])
+    code, first = FOLLOWED.read(symbol[::-1].tolist(), back[::-1].tolist())
+    code, then = GRAMMAR.read(code[::-1], gap.tolist())
+    return np.array(code, np.int64), np.array(first[::-1]) * np.array(then)
 
 
 def grammar_outputs(data: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
@@ -159,15 +203,19 @@ def grammar_outputs(data: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.nd
     kind, weight = lexicon.classes(keys)
     live = np.unique(clause[(kind == INSULT) | (kind == THREAT)])
     where = np.flatnonzero((kind > OTHER) & np.isin(clause, live))
-    begin = np.flatnonzero(np.append(True, clause[where][1:] != clause[where][:-1])) if len(where) else []
-    for a, z in zip(begin, [*begin[1:], len(where)]):
-        part = where[a:z]
-        got = clause_outputs(list(zip(part.tolist(), kind[part].tolist(), weight[part].tolist())))
-        mine = out[row[part[0]]]
-        mine[:5] += got
-        mine[5] = max(mine[5], sum(got[:2]) + got[4])
-        mine[6] += sum(got) > 0
     words = np.bincount(row, minlength=rows)
+    if not len(where):
+        return out
+    code, times = marked(kind[where], clause[where], where)
+    channel = CHANNEL[code]
+    tells = channel >= 0
+    of = np.searchsorted(live, clause[where])
+    sums = np.bincount((of * 5 + channel)[tells], (weight[where] * times)[tells], len(live) * 5).reshape(-1, 5)
+    owner = np.zeros(len(live), np.int64)
+    owner[of] = row[where]
+    np.add.at(out[:, :5], owner, sums)
+    np.maximum.at(out[:, 5], owner, sums[:, 0] + sums[:, 1] + sums[:, 4])
+    out[:, 6] = np.bincount(owner, sums.sum(axis=1) > 0, rows)
     out[:, 7] = out[:, :2].sum(axis=1) / np.maximum(words, 1) * 100
     return out
 

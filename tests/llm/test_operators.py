@@ -272,14 +272,38 @@ def test_toxicity_held_out(spark):
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.85 and n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.03
 
 
-def test_grammar_clauses():
-    T = toxicity
-    assert T.clause_outputs([(0, T.TARGET, 1.0), (2, T.INSULT, 3.0)])[1] == 3.0
-    assert T.clause_outputs([(0, T.INSULT, 3.0), (2, T.TARGET, 1.0)])[1] == 3.0
-    assert T.clause_outputs([(0, T.NEGATION, 1.0), (2, T.INSULT, 3.0)])[2] == 3.0
-    assert T.clause_outputs([(0, T.REPORT, 1.0), (6, T.INSULT, 3.0)])[3] == 3.0
-    assert T.clause_outputs([(0, T.THREAT, 1.0), (1, T.TARGET, 1.0)])[4] == 1.0
-    assert T.clause_outputs([(0, T.NEGATION, 1.0), (1, T.THREAT, 1.0), (2, T.TARGET, 1.0)])[4] == 0.0
+def test_toxicity_recall_in_each_language(spark):
+    """On a larger table, where each language has held-out toxic documents enough to tell."""
+    docs, labels = spark.read.parquet("/root/testdata/check_s/documents.parquet"), spark.read.parquet("/root/testdata/check_s/labels.parquet")
+    told = toxicity.toxicity_scores(docs, toxicity.fit_grammar(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where(common.is_held_out(5, 0))
+    found = told.groupBy("lang").agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("alarms")).where("lang is not null").collect()
+    assert len(found) == 4 and all(r["recall"] >= 0.8 and r["alarms"] < 0.03 for r in found), found
+
+
+def test_composed_grammar_equals_a_plain_reading():
+    """Random clauses: the marks of every insult and threat, found by looking at the words around it."""
+    T, rng = toxicity, np.random.default_rng(5)
+    assert T.GRAMMAR.next.shape[0] > 8  # a product of states
+    n = 6000
+    kind = rng.choice(6, n, p=[0.5, 0.15, 0.1, 0.1, 0.08, 0.07])
+    clause = np.cumsum(rng.random(n) < 0.08)
+    place = np.flatnonzero(kind > T.OTHER)
+    code, weight = T.marked(kind[place], clause[place], place)
+    assert (weight == 1).all()
+    for i, c in zip(place.tolist(), code.tolist()):
+        want = int(kind[i])
+        if kind[i] in (T.INSULT, T.THREAT):
+            same = np.flatnonzero(clause == clause[i])
+            before, after = [j for j in same if j < i], [j for j in same if j > i]
+            want |= T.NEGATED * any(kind[j] == T.NEGATION and i - j <= T.NEGATION_REACH for j in before)
+            want |= T.REPORTED * any(kind[j] == T.REPORT for j in before)
+            want |= T.BEFORE * any(kind[j] == T.TARGET and i - j <= T.TARGET_REACH for j in before)
+            want |= T.AFTER * any(kind[j] == T.TARGET and j - i <= T.TARGET_REACH for j in after)
+        assert c == want
+    T_ = lambda *x: T.CHANNEL[T.marked(np.array([k for k, _ in x]), np.zeros(len(x), int), np.array([p for _, p in x]))[0]].tolist()
+    assert T_((T.INSULT, 0)) == [0] and T_((T.TARGET, 0), (T.INSULT, 2)) == [-1, 1] and T_((T.INSULT, 0), (T.TARGET, 2)) == [1, -1]
+    assert T_((T.NEGATION, 0), (T.INSULT, 2)) == [-1, 2] and T_((T.REPORT, 0), (T.INSULT, 6)) == [-1, 3] and T_((T.NEGATION, 0), (T.INSULT, 4)) == [-1, 0]
+    assert T_((T.THREAT, 0), (T.TARGET, 1)) == [4, -1] and T_((T.NEGATION, 0), (T.THREAT, 1), (T.TARGET, 2)) == [-1, -1, -1]
 
 
 def test_language_held_out(spark):
