@@ -25,12 +25,14 @@ WIDTH, ROWS, DELAY = 192, 64, 10
 #: Levels of each of red, green and blue in a colour histogram.
 LEVELS = 4
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+#: Pixels of a frame or of all that is drawn on, at most; a GIF that wants more ends before that frame.
+MOST_PIXELS = 1 << 26
 _ONE = [bytes([i]) for i in range(256)]
 
 
 @dataclass
 class Frame:
-    """One frame: its place, time in hundredths of a second, disposal, palette indexes, and the canvas (RGBA) that shows."""
+    """One frame: its place, time in hundredths of a second, disposal, palette indexes, and the canvas (RGBA) that shows until the next frame is read."""
 
     left: int
     top: int
@@ -157,17 +159,45 @@ def _interlaced(height: int) -> np.ndarray:
     return np.concatenate([np.arange(first, height, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode_gif(data: bytes | None, render: bool = True) -> list[Frame]:
-    """The frames of a GIF. What is no GIF gives none; a GIF that breaks off gives the frames before."""
+def _reach(data: bytes, at: int) -> tuple[int, int]:
+    """Right and lower end of what the frames from `at` on cover, as far as they can be read and are not too large."""
+    right = low = 0
+    try:
+        while data[at] in (0x21, 0x2C):
+            if data[at] == 0x21:
+                at = _end(data, at + 2)
+                continue
+            left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+            if w * h > MOST_PIXELS or max(right, left + w) * max(low, top + h) > MOST_PIXELS:
+                break
+            right, low = max(right, left + w), max(low, top + h)
+            at = _end(data, at + 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0))
+    except (IndexError, struct.error):
+        pass
+    return right, low
+
+
+def _end(data: bytes, at: int) -> int:
+    """The place after the data blocks that begin at `at`."""
+    while data[at]:
+        at += 1 + data[at]
+    return at + 1
+
+
+def decode_gif(data: bytes | None, render: bool = True) -> Iterator[Frame]:
+    """The frames of a GIF, one after the other. What is no GIF gives none; a GIF that breaks off, or that wants more than MOST_PIXELS, gives the frames before.
+
+    Only the part of the canvas that frames cover is kept; the rest stays transparent.
+    """
     if not data or data[:4] != b"GIF8" or len(data) < 13:
-        return []
-    width, height, packed, background, _ = struct.unpack("<HHBBB", data[6:13])
+        return
+    width, height, packed, _, _ = struct.unpack("<HHBBB", data[6:13])
     at, palette = 13, None
     if packed & 0x80:
         size = 3 << ((packed & 7) + 1)
         palette, at = data[at : at + size], at + size
-    frames: list[Frame] = []
-    canvas = np.zeros((height, width, 4), np.uint8) if render else None
+    right, low = _reach(data, at)
+    canvas = np.zeros((min(height, low), min(width, right), 4), np.uint8) if render else None
     delay, disposal, transparent = 0, 0, None
     try:
         while at < len(data):
@@ -185,23 +215,22 @@ def decode_gif(data: bytes | None, render: bool = True) -> list[Frame]:
                     colours, at = data[at : at + size], at + size
                 bits = data[at]
                 stream, at = _blocks(data, at + 1)
-                if not 1 <= bits <= 8:
-                    break
+                if not 1 <= bits <= 8 or w * h > MOST_PIXELS or left + w > right or top + h > low:
+                    return
                 indexes = lzw_decode(stream, bits, w * h)
                 if len(indexes) < w * h:
-                    break
+                    return
                 if flags & 0x40:
                     grid = np.empty((h, w), np.uint8)
                     grid[_interlaced(h)] = np.frombuffer(indexes, np.uint8).reshape(h, w)
                     indexes = grid.tobytes()
-                shown = None
                 if render:
-                    before = canvas.copy() if disposal == 3 else None
                     grid = np.frombuffer(indexes, np.uint8).reshape(h, w)
                     table = np.zeros((256, 3), np.uint8)
                     given = np.frombuffer((colours or b"")[:768], np.uint8)
                     table[: len(given) // 3] = given[: len(given) // 3 * 3].reshape(-1, 3)
                     area = canvas[top : top + h, left : left + w]
+                    before = area.copy() if disposal == 3 else None
                     grid = grid[: area.shape[0], : area.shape[1]]
                     table = np.concatenate((table, np.full((256, 1), 255, np.uint8)), axis=1)
                     if transparent is None:
@@ -209,18 +238,16 @@ def decode_gif(data: bytes | None, render: bool = True) -> list[Frame]:
                     else:
                         drawn = grid != transparent
                         area[drawn] = table[grid[drawn]]
-                    shown = canvas.copy()
-                    if disposal == 2:
-                        area[:] = 0
-                    elif disposal == 3:
-                        canvas = before
-                frames.append(Frame(left, top, w, h, delay, disposal, transparent, indexes, shown))
+                yield Frame(left, top, w, h, delay, disposal, transparent, indexes, canvas)
+                if render and disposal == 2:
+                    area[:] = 0
+                elif render and disposal == 3:
+                    area[:] = before
                 delay, disposal, transparent = 0, 0, None
             else:
-                break
+                return
     except (IndexError, struct.error):
-        pass
-    return frames
+        return
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
@@ -252,7 +279,7 @@ def gif_media(docs: DataFrame, multiple: int = WIDTH) -> DataFrame:
 
 
 def gif_frames(media: DataFrame) -> DataFrame:
-    """One row for each frame of a (doc_id, media) table: frame, start_cs, delay_cs, left, top, width, height, disposal, transparent, indexes, histogram."""
+    """One row for each frame of a (doc_id, media) table (null, broken or foreign media: those that decode_gif gives): frame, start_cs, delay_cs, left, top, width, height, disposal, transparent, indexes, histogram."""
     common.bounded_batches(media.sparkSession)
     form = "doc_id long, frame int, start_cs long, delay_cs int, left int, top int, width int, height int, disposal int, transparent int, indexes binary, histogram array<long>"
 
@@ -260,14 +287,20 @@ def gif_frames(media: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in form.split(", ")]
         kinds = {"doc_id": pa.int64(), "start_cs": pa.int64(), "indexes": pa.binary(), "histogram": pa.list_(pa.int64())}
         form_of = pa.schema([(n, kinds.get(n, pa.int32())) for n in names])
+        batch = lambda rows: pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(names)}, schema=form_of)
+        rows, held = [], 0
         for b in batches:
             for key, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rows, start = [], 0
+                start = 0
                 for k, f in enumerate(decode_gif(data.as_py())):
-                    rows.append((key, k, start, f.delay, f.left, f.top, f.width, f.height, f.disposal, f.transparent, f.indexes, histogram(f.canvas).tolist()))
-                    start += f.delay
-                for a in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_pydict({n: [r[k] for r in rows[a : a + 256]] for k, n in enumerate(names)}, schema=form_of)
+                    row = (key, k, start, f.delay, f.left, f.top, f.width, f.height, f.disposal, f.transparent, f.indexes, histogram(f.canvas).tolist())
+                    rows.append(row)
+                    start, held = start + f.delay, held + len(f.indexes)
+                    if held > common.SLICE_BYTES or len(rows) == 256:
+                        yield batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(of, form)
 
@@ -281,16 +314,18 @@ def gif_digests(media: DataFrame) -> DataFrame:
             out: dict[str, list] = {"payload_bytes": [], "payload_sha256": [], "tail_crc32": [], "media_bytes": [], "media_sha256": [], "feature": []}
             for x in b.column(2):
                 data = x.as_py() or b""
-                frames = decode_gif(data)
-                payload = b"".join(f.indexes for f in frames)
-                bins = np.sum([histogram(f.canvas) for f in frames], axis=0) if frames else np.zeros(LEVELS**3, np.int64)
+                sha, size, tail, frames, time, bins = hashlib.sha256(), 0, b"", 0, 0, np.zeros(LEVELS**3, np.int64)
+                for f in decode_gif(data):
+                    sha.update(f.indexes)
+                    size, tail = size + len(f.indexes), (tail + f.indexes)[-16:]
+                    frames, time, bins = frames + 1, time + f.delay, bins + histogram(f.canvas)
                 some = ",".join(f"{k}:{v}" for k, v in enumerate(bins.tolist()) if v)
-                out["payload_bytes"].append(len(payload))
-                out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(payload[-16:]))
+                out["payload_bytes"].append(size)
+                out["payload_sha256"].append(sha.hexdigest())
+                out["tail_crc32"].append(zlib.crc32(tail))
                 out["media_bytes"].append(len(data))
                 out["media_sha256"].append(hashlib.sha256(data).hexdigest())
-                out["feature"].append(f"frames={len(frames)};cs={sum(f.delay for f in frames)};rgb{LEVELS}={some}")
+                out["feature"].append(f"frames={frames};cs={time};rgb{LEVELS}={some}")
             kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, kinds.get(k, pa.string())) for k, v in out.items())], ["doc_id", "n_bytes", *out])
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -480,10 +481,72 @@ def test_gif_round_trip_and_rules(spark):
     palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255]) + bytes(765 - 9 + 3)
     head = b"GIF89a" + bytes([2, 0, 1, 0, 0xF7, 0, 0]) + palette
     data = head + block(0, 0, 2, 1, [0, 1], 1) + block(0, 0, 2, 1, [2, 1], 2, 1) + block(0, 0, 1, 1, [0], 3) + block(1, 0, 1, 1, [1], 0) + b";"
-    shown = [f.canvas.reshape(-1, 4).tolist() for f in gif.decode_gif(data)]
+    shown = [f.canvas.reshape(-1, 4).tolist() for f in gif.decode_gif(data)]  # each is read before the next
     red, green, blue, none = [255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255], [0, 0, 0, 0]
     assert shown == [[red, green], [blue, green], [red, none], [none, green]]
-    assert gif.decode_gif(b"no") == [] and gif.decode_gif(data[:-20])[0].canvas is not None
+    assert list(gif.decode_gif(b"no")) == [] and len(list(gif.decode_gif(data[:-20]))) == 3
+
+
+def plain_lzw(pixels, bits, clear_when_full=True):
+    """A code stream by the definition, bit by bit: strings as tuples, a clear code first, and when the table is full or never again."""
+    table, width, out = {}, bits + 1, []
+
+    def put(code):
+        out.extend((code >> k) & 1 for k in range(width))
+
+    def reset():
+        nonlocal width
+        table.clear()
+        table.update({(i,): i for i in range(1 << bits)})
+        width = bits + 1
+
+    reset()
+    put(1 << bits)
+    w = ()
+    for c in pixels:
+        if (*w, c) in table:
+            w = (*w, c)
+            continue
+        put(table[w])
+        new = len(table) + 2
+        if new < 4096:
+            table[(*w, c)] = new
+            if new == 1 << width and width < 12:
+                width += 1
+        elif clear_when_full:
+            put(1 << bits)
+            reset()
+        w = (c,)
+    put(table[w])
+    if len(table) + 2 == 1 << width and width < 12:
+        width += 1
+    put((1 << bits) + 1)
+    out += [0] * (-len(out) % 8)
+    return bytes(sum(b << k for k, b in enumerate(out[i : i + 8])) for i in range(0, len(out), 8))
+
+
+def test_foreign_code_streams_and_broken_files():
+    # the stream of a widely printed 10 x 10 example of three colours
+    stream = bytes.fromhex("8c2d99872a1cdc33a00275ec95faa8de608c04914c01")
+    rows = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+    assert gif.lzw_decode(stream, 2, 100) == bytes(int(c) for c in "".join(rows))
+    rng = np.random.default_rng(0)
+    for bits in (1, 2, 3, 5, 8):
+        for n, clear in ((1, True), (700, True), (40_000, True), (40_000, False)):
+            pixels = rng.integers(0, 1 << bits, n) if n < 1000 else rng.integers(0, 1 << bits, n) * (rng.random(n) < 0.4)
+            assert gif.lzw_decode(plain_lzw(pixels.tolist(), max(bits, 2), clear), max(bits, 2), n) == bytes(pixels.tolist())
+    assert gif.lzw_encode(bytes(range(256)) * 40) and gif.lzw_decode(gif.lzw_encode(b"abab" * 999), 8, 3996) == b"abab" * 999
+    frame_of = lambda w, h, code, at=(0, 0): b"\x2c" + struct.pack("<HHHHB", *at, w, h, 0) + b"\x02" + bytes([len(code)]) + code + b"\0"
+    head = lambda w, h: b"GIF89a" + struct.pack("<HHBBB", w, h, 0x81, 0, 0) + bytes(12)
+    good = frame_of(10, 10, stream)
+    # a canvas of 16 GiB, of which little is drawn on; a frame that is too large; nothing after it
+    got = [(f.width, f.canvas.shape) for f in gif.decode_gif(head(65535, 65535) + good + frame_of(10, 10, stream, (20, 5)) + b";")]
+    assert got == [(10, (15, 30, 4))] * 2
+    assert len(list(gif.decode_gif(head(65535, 65535) + good + frame_of(65535, 65535, stream) + good + b";"))) == 1
+    whole = head(10, 10) + good + good + b";"
+    for cut in range(len(whole)):  # any end, and any byte changed
+        assert len(list(gif.decode_gif(whole[:cut]))) <= 2
+        list(gif.decode_gif(whole[:cut] + bytes([whole[cut] ^ 0xFF]) + whole[cut + 1 :]))
 
 
 def test_odd_tables(spark):
