@@ -4,11 +4,12 @@ Documents with the same shingle set are one class. Each class posts itself under
 pairs. Pairs of a similarity at the threshold agree in most coordinates, so a pair is kept if at least
 MATCH of COORDS collide: a document with fewer than MATCH shared postings leaves (skip), and one with
 more posts only its rarest, all but MATCH - 1 of them (prefix), since a kept pair shares one of those.
-Within a posting list, collisions are counted on whole signatures, and pairs already joined are skipped.
+Within a posting list, collisions are counted by comparing whole signatures, and pairs already joined are skipped.
 
 The pairs only gather candidates into families. Each document's full shingle set then travels once, to
 its family, where links are confirmed exactly; components of confirmed links are found by a distributed
-star algorithm. Long lists and large families are cut into blocks, and pairs of blocks are compared.
+star algorithm. Long lists and large families are compared in blocks (see `blocks`): near copies that are
+one component already are not compared with each other again.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import U
+from .blocks import group_links
 from .components import connected_components
 
 #: Coordinates of a signature, and how many must collide. A pair of similarity 0.8 misses with a chance of about 5e-7.
@@ -65,17 +67,17 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _collisions(table: pa.Table) -> pa.Table:
-    """Of posting lists (list, doc_id, side, sig): edges that join all pairs with MATCH collisions."""
-    table = table.sort_by([("list", "ascending"), ("doc_id", "ascending")])
-    lists, ids, side, sig = common.int64(table["list"]), common.int64(table["doc_id"]), common.int64(table["side"]), _matrix(table["sig"])
+    """Of posting lists (pair, doc_id, side, comp, sig): edges that join all pairs with MATCH collisions."""
+    table = table.sort_by([("pair", "ascending"), ("doc_id", "ascending")])
+    lists, ids, side, known, sig = common.int64(table["pair"]), common.int64(table["doc_id"]), common.int64(table["side"]), common.int64(table["comp"]), _matrix(table["sig"])
     begin = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
     size = np.diff(np.append(begin, len(lists)))
     two = begin[size == 2]
-    two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= MATCH]
+    two = two[((sig[two] == sig[two + 1]).sum(axis=1) >= MATCH) & (known[two] != known[two + 1])]
     a, b = [ids[two]], [ids[two + 1]]
     for lo, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
-        s, part, comp = sig[lo : lo + n], side[lo : lo + n], np.arange(n)
-        cross = part.min() != part.max()  # two blocks: each was compared within itself elsewhere
+        s, part, comp = sig[lo : lo + n], side[lo : lo + n], np.unique(known[lo : lo + n], return_inverse=True)[1]
+        cross = part.min() != part.max()  # two blocks: each is compared within itself elsewhere
         for i in range(n - 1):
             rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
             if cross:
@@ -89,40 +91,37 @@ def _collisions(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def _sets(shingle: int, buckets: int):
-    """Each member's shingle set, once, or once for each pair of blocks of a large family."""
+def _sets(shingle: int):
+    """Each member's shingle set, once for each of its places."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("bucket", "pair", "side", "comp")
         for b in batches:
-            ids, family, parts = (common.int64(b.column(c)) for c in (0, 2, 3))
-            digests = b.column(4).to_pylist()
+            ids, places = common.int64(b.column(0)), b.column(2).to_pylist()
+            digests = b.column(3).to_pylist()
             for i, j, data, at in common.slices(b.column(1)):
                 value, begin = common.shingle_sets(data, at, shingle)
                 raw = value.tobytes()
-                out: dict[str, list] = {"bucket": [], "family": [], "doc_id": [], "side": [], "shingles": []}
+                out: dict[str, list] = {n: [] for n in (*names, "doc_id", "shingles")}
                 for d in range(j - i):
                     mine = raw[8 * begin[d] : 8 * begin[d + 1]]
                     if hashlib.blake2b(mine, digest_size=16).digest() != digests[i + d]:
                         continue  # another text of a repeated doc_id
-                    n, f = int(parts[i + d]), int(family[i + d])
-                    side = int(common.mix(np.array([ids[i + d]], np.int64).view(U))[0] % U(n))
-                    for q in range(n):
-                        pair = (min(side, q), max(side, q))
-                        out["bucket"].append(hash(f) % buckets if n == 1 else -1 - hash((f, *pair)) % (1 << 40))
-                        out["family"].append(f)
+                    for place in places[i + d]:
+                        for n in names:
+                            out[n].append(place[n])
                         out["doc_id"].append(int(ids[i + d]))
-                        out["side"].append(side)
                         out["shingles"].append(mine)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("family", pa.int64()), ("doc_id", pa.int64()), ("side", pa.int32()), ("shingles", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("pair", pa.int64()), ("side", pa.int32()), ("comp", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())]))
 
     return of
 
 
 def _links(percent: int):
     def of(table: pa.Table) -> pa.Table:
-        """Of whole families (family, doc_id, side, shingles): links that join all pairs at the threshold."""
-        table = table.sort_by([("family", "ascending"), ("doc_id", "ascending")])
-        family, ids, side = (common.int64(table[c]) for c in ("family", "doc_id", "side"))
+        """Of families or blocks (pair, doc_id, side, comp, shingles): links that join all pairs at the threshold."""
+        table = table.sort_by([("pair", "ascending"), ("doc_id", "ascending")])
+        family, ids, side, known = (common.int64(table[c]) for c in ("pair", "doc_id", "side", "comp"))
         data, at = common.text_buffer(table["shingles"])
         value, at = np.ascontiguousarray(data[at[0] : at[-1]]).view(U), (at - at[0]) // 8
         begin = np.flatnonzero(np.append(True, family[1:] != family[:-1]))
@@ -130,7 +129,7 @@ def _links(percent: int):
         for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(family)).tolist()):
             n, off = hi - lo, at[lo : hi + 1] - at[lo]
             _, flat = np.unique(value[at[lo] : at[hi]], return_inverse=True)
-            size, part, comp = np.diff(off), side[lo:hi], np.arange(n)
+            size, part, comp = np.diff(off), side[lo:hi], np.unique(known[lo:hi], return_inverse=True)[1]
             mark = np.zeros(len(flat) + 1, np.int32)
             cross = part.min() != part.max()
             for i in range(n - 1):
@@ -184,23 +183,23 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     posts = firsts.select("doc_id", "sig").mapInArrow(_postings, "key long, doc_id long").repartition(shuffles, "key")
     shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = posts.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("posts")).where(F.size("posts") >= MATCH)
-    prefix = lists.select("doc_id", F.explode(F.slice("posts", F.lit(1), F.size("posts") - (MATCH - 1))).alias("p")).select("doc_id", "p.key", F.ceil(F.col("p.n") / LIST_BLOCK).cast("int").alias("blocks"))
-    side = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    prefix = prefix.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
-    placed = prefix.select(pair.alias("list"), "doc_id", "side").join(firsts.select("doc_id", "sig"), "doc_id")
-    placed = placed.withColumn("bucket", F.pmod("list", F.lit(max(8, total // 5000))))
-    pairs = placed.groupBy("bucket").applyInArrow(_collisions, "a long, b long").distinct()
-
-    families = connected_components(pairs)
-    members = families.join(firsts.select(F.col("doc_id").alias("node"), "n", "digest"), "node")
-    sizes = members.groupBy("component").agg(F.sum("n").alias("shingles")).select("component", F.greatest(F.ceil(F.col("shingles") / FAMILY_BLOCK), F.lit(1)).cast("long").alias("blocks"))
-    members = common.written(members.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", "digest", "n"), "families")
-    buckets = max(8, int((members.agg(F.sum("n").alias("n")).first()["n"] or 0) // 500_000))
-    text = known.repartition(shuffles, "doc_id").join(members.drop("n"), "doc_id").select("doc_id", "text", "family", "blocks", "digest")
-    sets = text.mapInArrow(_sets(shingle, buckets), "bucket long, family long, doc_id long, side int, shingles binary")
-    links = sets.groupBy("bucket").applyInArrow(_links(percent), "a long, b long")
-    joined = connected_components(links)
+    prefix = lists.select("doc_id", F.explode(F.slice("posts", F.lit(1), F.size("posts") - (MATCH - 1))).alias("p")).select(F.col("p.key").alias("grp"), "doc_id", F.lit(1).cast("long").alias("w"))
+    prefix = common.written(prefix, "prefix")
+
+    def compare_lists(places: DataFrame) -> DataFrame:
+        return places.join(firsts.select("doc_id", "sig"), "doc_id").groupBy("bucket").applyInArrow(_collisions, "a long, b long")
+
+    families = connected_components(group_links(prefix, compare_lists, LIST_BLOCK, max(8, total // 5000)))
+    members = common.written(families.join(firsts.select(F.col("doc_id").alias("node"), "n", "digest"), "node").select(F.col("component").alias("grp"), F.col("node").alias("doc_id"), F.col("n").alias("w"), "digest"), "families")
+
+    def compare_families(places: DataFrame) -> DataFrame:
+        wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "pair", "side", "comp")).alias("places")).join(members.select("doc_id", "digest"), "doc_id")
+        text = known.repartition(shuffles, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "places", "digest")
+        sets = text.mapInArrow(_sets(shingle), "bucket long, pair long, side int, comp long, doc_id long, shingles binary")
+        return sets.groupBy("bucket").applyInArrow(_links(percent), "a long, b long")
+
+    buckets = max(8, int((members.agg(F.sum("w").alias("n")).first()["n"] or 0) // 500_000))
+    joined = connected_components(group_links(members.drop("digest"), compare_families, FAMILY_BLOCK, buckets))
 
     place = classes.join(joined, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("component_id"))
     out = sigs.join(place, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))

@@ -172,6 +172,24 @@ def test_minhash_equals_brute_force(spark, seed, block, family, monkeypatch):
     assert got == components(rows, 4, 80)
 
 
+@pytest.mark.parametrize("family", [1_000_000, 300])
+def test_minhash_on_a_chain_of_half_similar_documents_and_near_copies(spark, family, monkeypatch):
+    """One family: a chain whose neighbours are half similar, a large group of near copies, and copies of chain members that link at the end."""
+    monkeypatch.setattr(minhash_join, "LIST_BLOCK", 5)
+    monkeypatch.setattr(minhash_join, "FAMILY_BLOCK", family)
+    rng = random.Random(8)
+    words = [f"c{i}" for i in range(600)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 50])) for i in range(40)]
+    rows += [(100 + i, " ".join([*words[12 * i : 12 * i + 50], f"e{i}"])) for i in range(0, 40, 7)]
+    for i in range(60):
+        w = words[:50] + [f"n{k}" for k in range(40)]
+        for _ in range(rng.choice([0, 1, 1, 2, 9])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        rows.append((200 + i, " ".join(w)))
+    got = {r[0]: tuple(r[1:]) for r in minhash_join.minhash_dedup(frame(spark, rows), 4).collect()}
+    assert got == components(rows, 4, 80)
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [f"v{i}" for i in range(400)]
