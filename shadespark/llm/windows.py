@@ -248,12 +248,13 @@ def repeated(docs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame, DataFra
     buckets = int(max(8, -(-total * 2 // (unit.window - unit.kgram + 2) // PER_BUCKET)))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    one = docs.mapInArrow(_minimisers(unit), "key long, doc_id long, again boolean").repartition(shuffles, "key")
-    often = one.groupBy("key").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("key", F.ceil(F.col("n") / HOT).cast("long").alias("parts"))
+    # Both uses read all three columns under the same filter, so that they share one exchange and the corpus is read once.
+    one = docs.mapInArrow(_minimisers(unit), "key long, doc_id long, again boolean").where("key is not null and doc_id is not null").repartition(shuffles, "key")
+    often = one.groupBy("key").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high or again").select("key", F.ceil(F.col("n") / HOT).cast("long").alias("parts"))
     stand = firsts.select(F.col("first").alias("doc_id"))
-    wanted = one.join(often, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "parts")).alias("found")).join(stand, "doc_id")
-    wanted = wanted.select("doc_id", F.col("found.key").alias("keys"), F.col("found.parts").alias("parts"))
-    strings = docs.repartition(shuffles, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "keys", "parts").mapInArrow(_strings(unit, buckets), "bucket int, doc_id long, start int, stop int, hot boolean, packed binary")
+    wanted = one.join(often, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "parts", "again")).alias("found")).join(stand, "doc_id")
+    wanted = wanted.select("doc_id", F.col("found.key").alias("keys"), F.col("found.parts").alias("parts"), F.exists("found", lambda x: x["again"]).alias("again"))
+    strings = docs.repartition(shuffles, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "keys", "parts", "again").mapInArrow(_strings(unit, buckets), "bucket int, doc_id long, start int, stop int, hot boolean, packed binary")
     found = common.written(strings.groupBy("bucket").applyInArrow(_bucket(unit), "doc_id long, start int, stop int, window binary"), f"{unit.name}-found")
     order = Window.partitionBy("window").orderBy("doc_id", "start")
     later = found.where("window is not null").withColumn("rank", F.row_number().over(order)).where("rank > 1")
