@@ -125,8 +125,8 @@ def enrich(items: DataFrame, rgb: str = "chip_rgb") -> DataFrame:
 def with_delta_e00(df: DataFrame, one: tuple[str, str, str], two: tuple[str, str, str], out: str) -> DataFrame:
     """df with the CIEDE2000 difference of two Lab triples of columns.
 
-    The steps are projections of their own, so that no part is computed twice. Store the result before
-    filtering on it: a predicate is pushed through the projections and would copy the whole formula.
+    The steps are projections of their own, so that no part is computed twice. The result passes an explode
+    of one element, which no later predicate is pushed through; it would copy the whole formula.
     """
     (L1, a1, b1), (L2, a2, b2) = ([F.col(c) for c in t] for t in (one, two))
     p25 = 25.0**7
@@ -153,4 +153,4 @@ def with_delta_e00(df: DataFrame, one: tuple[str, str, str], two: tuple[str, str
     ]
     for step in steps:
         df = df.withColumns(step)
-    return df.select(*[k for k in keep if k != out], out)
+    return df.select(*[k for k in keep if k != out], F.explode(F.array(out)).alias(out))

@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 
 # Fixed character table of the accent fold.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-# Fixed keyword patterns of names; the first match wins.
-TONES = (("warm", r"\b(coral|peach|orange|terracotta|brick|copper)\b"), ("cool", r"\b(berry|plum|mauve|fuchsia|violet|burgundy)\b"), ("neutral", r"\b(nude|beige|taupe|natural)\b"))
-FAMILIES = (("red", r"\b(red|crimson|scarlet|ruby)\b"), ("pink", r"\b(pink|rose|fuchsia)\b"), ("brown", r"\b(brown|chocolate|cocoa)\b"), ("blue", r"\b(blue|navy)\b"), ("green", r"\b(green|olive)\b"))
+# Fixed keywords of leanings: the first label with a keyword inside the name wins.
+LEANINGS = (
+    ("brown-leaning", ("brown", "chocolate", "cocoa", "coffee", "mocha", "caramel", "toffee", "tan")), ("nude-leaning", ("nude", "beige", "neutral", "sand", "latte", "cream")),
+    ("pink-leaning", ("pink", "rose", "rosy", "fuchsia", "blush")), ("red-leaning", ("red", "scarlet", "crimson", "cherry")), ("berry-leaning", ("berry", "raspberry", "cranberry")),
+    ("peach-leaning", ("peach", "apricot")), ("coral-leaning", ("coral",)), ("plum-leaning", ("plum", "prune")), ("purple-leaning", ("purple", "violet", "lilac")), ("orange-leaning", ("orange", "tangerine")),
+)
+# Fixed words of colour families: the first family with a whole word in the text wins.
+FAMILIES = (
+    ("nude", ("nude", "beige", "neutral")), ("red", ("red", "scarlet", "crimson", "cherry")), ("pink", ("pink", "rose", "rosy", "fuchsia")), ("berry", ("berry", "raspberry", "cranberry")), ("mauve", ("mauve",)),
+    ("coral", ("coral",)), ("peach", ("peach",)), ("brown", ("brown", "chocolate", "cocoa")), ("plum", ("plum", "prune")), ("purple", ("purple", "violet", "lilac")), ("orange", ("orange", "tangerine")),
+)
 # Fixed synonym map of labels.
-SYNONYMS = {"grey": "gray", "maroon": "red", "crimson": "red", "scarlet": "red", "violet": "purple", "fuchsia": "pink", "navy": "blue"}
+SYNONYMS = {
+    "grey": "gray", "gris": "gray", "silver": "gray", "tan": "beige", "sand": "beige", "ivory": "beige", "cream": "beige", "taupe": "taupe", "olive": "green", "olive green": "green", "sage": "green",
+    "khaki": "green", "navy": "blue", "azure": "blue", "burgundy": "red", "maroon": "red", "crimson": "red", "magenta": "pink", "fuchsia": "pink", "hot pink": "pink", "salmon": "coral", "coral pink": "coral",
+    "chocolate": "brown", "coffee": "brown", "lavender": "purple", "plum": "purple", "violet": "purple",
+}
 
 
 def normalise(x: Column) -> Column:
@@ -78,11 +90,21 @@ def first_of(*xs: Column) -> Column:
     return F.coalesce(*(squeezed(x) for x in xs))
 
 
-def first_match(x: Column, rules: tuple[tuple[str, str], ...], other: str | None = None) -> Column:
+def _first_rule(x: Column, rules: tuple[tuple[str, str], ...], other: str | None) -> Column:
     rule = reduce(lambda w, r: w.when(F.lower(x).rlike(r[1]), r[0]), rules[1:], F.when(F.lower(x).rlike(rules[0][1]), rules[0][0]))
     return rule.otherwise(F.lit(other))
 
 
+def leaning(x: Column) -> Column:
+    """The leaning of a name by keywords inside it; neutral-leaning without any."""
+    return _first_rule(x, tuple((label, "|".join(words)) for label, words in LEANINGS), "neutral-leaning")
+
+
+def family(x: Column) -> Column:
+    """The colour family that a text names by a whole word; NULL without any."""
+    return _first_rule(x, tuple((label, rf"\b({'|'.join(words)})\b") for label, words in FAMILIES), None)
+
+
 def synonym(label: Column) -> Column:
     table = F.create_map(*(F.lit(v) for kv in SYNONYMS.items() for v in kv))
     return F.coalesce(F.try_element_at(table, label), label)

@@ -7,26 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import color
-from ..sources.tables import stored
 from .relational import in_hue_band, neutral_guard
 
 STEPS = (0.0, 2.0, 4.0, 8.0, 12.0)
 CAP, POOL_MAX, COVERAGE_MIN = 30.0, 2000, 20
-#: Queries that one job broadcasts at most; more go in a shuffled join on a lightness grid.
-BROADCAST_QUERIES = 10_000
-#: Width of the lightness grid. CIEDE2000 is at least |ΔL| / 1.75 (the largest lightness weight), so within ΔE of CAP |ΔL| is under 53.
-GRID = 53.0
+#: Queries that a task compares its shades with at most. More are cut into groups, which the shades meet by a shuffled join.
+GROUP_QUERIES, SALTS = 10_000, 64
 
 
 def distances(shades: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries × shades with a colour, `de00` each. Few queries are broadcast; many meet the shades within one cell of a lightness grid, which holds all pairs within CAP."""
-    s = shades.where("r is not null")
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+    """queries × shades with a colour, `de00` each.
+
+    All pairs on purpose: the fall-backs of the pools rank whole catalogues. Callers pass distinct anchors
+    (colour words, a bounded lexicon), filter or count at once, and never store the pairs.
+    """
+    s, n = shades.where("r is not null"), queries.count()
+    if n <= GROUP_QUERIES:
         pairs = s.crossJoin(F.broadcast(queries))
     else:
-        cell = F.floor(F.col("L_lab") / GRID)
-        around = F.explode(F.array(*(F.floor(F.col("anchor_L") / GRID) + k for k in (-1, 0, 1))))
-        pairs = s.withColumn("_cell", cell).join(queries.withColumn("_cell", around), "_cell").drop("_cell")
+        groups = -(-n // GROUP_QUERIES)
+        q = queries.withColumns({"_group": F.pmod(F.xxhash64("query_id"), F.lit(groups)), "_salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
+        s = s.withColumns({"_salt": F.pmod(F.xxhash64("product_id", "shade_id"), F.lit(SALTS)).cast("int"), "_group": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")))})
+        pairs = s.join(q, ["_group", "_salt"]).drop("_group", "_salt")
     return color.with_delta_e00(pairs, ("L_lab", "a_lab", "b_lab"), ("anchor_L", "anchor_a", "anchor_b"), "de00")
 
 
@@ -35,7 +37,7 @@ def base_threshold() -> Column:
 
 
 def hard_pool(pairs: DataFrame) -> DataFrame:
-    """Pairs within the threshold; near a neutral anchor also within its guards. pairs: stored distances."""
+    """Pairs within the threshold; near a neutral anchor also within its guards. pairs: of `distances`."""
     return pairs.where((F.col("de00") <= base_threshold()) & neutral_guard())
 
 
@@ -52,7 +54,7 @@ def effective_inventory(pairs: DataFrame, cov: DataFrame) -> DataFrame:
     """Pairs of the hue family (28 degrees in HSV hue) for queries of low coverage and low anchor chroma, if there are any; all pairs otherwise."""
     hue = color.hsv_hue(*(F.col(c) / 255 for c in "rgb"))
     flag = cov.select("query_id", (F.col("n_within") < COVERAGE_MIN).alias("_low"))
-    marked = pairs.join(F.broadcast(flag), "query_id").withColumn("_near", in_hue_band(hue, F.col("anchor_hue"), F.lit(28.0)))
+    marked = pairs.join(flag, "query_id").withColumn("_near", in_hue_band(hue, F.col("anchor_hue"), F.lit(28.0)))
     some = F.max("_near").over(Window.partitionBy("query_id"))
     marked = marked.withColumn("_some", some)
     keep = ~(F.col("_low") & (F.col("anchor_C") < 55) & F.col("_some")) | F.col("_near")
@@ -73,7 +75,7 @@ def adaptive_pool(pairs: DataFrame, min_n: int, cap: float = CAP) -> DataFrame:
     """Pairs within the adaptive threshold; where no step has any, the nearest max(min_n, 1)."""
     chosen = adaptive_threshold(pairs, min_n, cap)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("de00", "product_id", "shade_id"))
-    j = pairs.join(F.broadcast(chosen), "query_id")
+    j = pairs.join(chosen, "query_id")
     near = j.where("de00 <= thr")
     far = j.where("thr is null").withColumn("_n", rank).where(F.col("_n") <= max(min_n, 1)).drop("_n")
     return near.unionByName(far).drop("thr", "pool_n")
@@ -87,47 +89,84 @@ def capped(pool: DataFrame, top: int, order: list | None = None) -> DataFrame:
 
 def naming_pool(long: DataFrame, queries: DataFrame, least: float = 0.20, few: int = 20, top: int = 180) -> DataFrame:
     """Shades by their probability of the query's label: p >= least, or the best `top` where that leaves fewer than `few`."""
-    j = long.join(F.broadcast(queries.select("query_id", "label")), "label")
+    j = long.join(queries.select("query_id", "label"), "label")
     over = Window.partitionBy("query_id")
     j = j.withColumns({"_many": F.count_if(F.col("p") >= least).over(over), "pool_rank": F.row_number().over(over.orderBy(F.desc_nulls_last("p"), "product_id", "shade_id"))})
     return j.where(F.when(F.col("_many") >= few, F.col("p") >= least).otherwise(F.col("pool_rank") <= top)).drop("_many")
 
 
-def candidate_pool(pairs: DataFrame, flags: DataFrame, top: int = 1200) -> DataFrame:
-    """The ladder of pools for every query at once, with the methods tried in `pool_method`.
+def _marks(shades: DataFrame, queries: DataFrame) -> DataFrame:
+    """All pairs, with what the ladder of pools asks: _near (28 degrees in HSV hue), _band and _wide (bands in Lab hue), _guard."""
+    anchor = color.hue_deg(F.col("anchor_a"), F.col("anchor_b"))
+    hsv = color.hsv_hue(*(F.col(c) / 255 for c in "rgb"))
+    return distances(shades, queries).withColumns({
+        "_near": in_hue_band(hsv, F.col("anchor_hue"), F.lit(28.0)),
+        "_band": in_hue_band(F.col("H_lab_deg"), anchor, color.hue_band(F.col("anchor_C"))),
+        "_wide": in_hue_band(F.col("H_lab_deg"), anchor, F.lit(32.0)),
+        "_guard": neutral_guard(),
+    })
+
+
+def pool_plan(shades: DataFrame, queries: DataFrame, top: int = 1200) -> DataFrame:
+    """The trace of the ladder of pools for each query: which pool it ends with, from one aggregation over all pairs.
 
-    flags: query_id, constrained (whether the query has constraints). Hard pool on the effective
+    queries: query_id, anchor_*, constrained (whether the query has constraints). Hard pool on the effective
     inventory; widened for constrained queries under 120 (inside the hue band, or without it where the
     band is empty); widened again under 10; and in a wide hue band where that is still under 10.
+
+    Returns query_id, min_de, n_within (coverage), family (whether the inventory is the hue family), source
+    (hard, inv, band or wide), thr (NULL: the nearest n_nearest), n_nearest, size_hard, size, pool_method
+    (the stages tried, joined by +).
     """
-    cov = stored(coverage(pairs), "coverage")
-    inv = stored(effective_inventory(pairs, cov), "inventory")
-    hue = F.col("H_lab_deg")
-    anchor = color.hue_deg(F.col("anchor_a"), F.col("anchor_b"))
-    sizes = lambda p: p.groupBy("query_id").agg(F.count("*").alias("_size"))
-
-    pool = stored(capped(hard_pool(inv), top).withColumn("pool_method", F.lit("hard")), "pool")
-
-    def widen(pool: DataFrame, need: DataFrame, source: DataFrame, min_n: int, method: str) -> DataFrame:
-        """pool with the queries of need replaced by their adaptive pool of source, where that has any."""
-        new = capped(adaptive_pool(source.join(F.broadcast(need), "query_id", "left_semi"), min_n), top)
-        before = pool.groupBy("query_id").agg(F.first("pool_method").alias("_m"))
-        new = new.join(before, "query_id", "left").withColumn("pool_method", F.concat_ws("+", F.coalesce("_m", F.lit("hard")), F.lit(method))).drop("_m")
-        new = stored(new, "widened")
-        kept = pool.join(new.select("query_id").distinct(), "query_id", "left_anti")
-        return stored(kept.unionByName(new), "pool")
-
-    def under(pool: DataFrame, n: int, among: DataFrame) -> DataFrame:
-        return among.select("query_id").join(sizes(pool), "query_id", "left").where(F.coalesce("_size", F.lit(0)) < n).select("query_id")
-
-    band = inv.where(in_hue_band(hue, anchor, color.hue_band(F.col("anchor_C"))))
-    constrained = flags.where("constrained")
-    need = under(pool, 120, constrained)
-    some = band.select("query_id").distinct()
-    pool = widen(pool, need.join(some, "query_id", "left_semi"), band, 120, "band")
-    pool = widen(pool, need.join(some, "query_id", "left_anti"), inv, 120, "constraints")
-    pool = widen(pool, under(pool, 10, flags), inv, 10, "adaptive")
-    return widen(pool, under(pool, 10, flags), inv.where(in_hue_band(hue, anchor, F.lit(32.0))), 10, "wide")
+    top = min(top, POOL_MAX)
+    widths = [F.least(base_threshold() + s, F.lit(CAP)) for s in STEPS]
+    counts = {"min_de": F.min("de00"), "n_within": F.count_if(F.col("de00") <= base_threshold()), "_some": F.max("_near"), "anchor_C": F.first("anchor_C"), "constrained": F.first("constrained")}
+    for kind, among in (("all", F.lit(True)), ("near", F.col("_near"))):
+        counts[f"hard_{kind}"] = F.count_if(among & F.col("_guard") & (F.col("de00") <= base_threshold()))
+        for source, inside in (("inv", F.lit(True)), ("band", F.col("_band")), ("wide", F.col("_wide"))):
+            counts[f"{source}_n_{kind}"] = F.count_if(among & inside)
+            for k, w in enumerate(widths):
+                counts[f"{source}_{k}_{kind}"] = F.count_if(among & inside & (F.col("de00") <= w))
+    got = _marks(shades, queries).groupBy("query_id").agg(*(c.alias(n) for n, c in counts.items()))
+    family = (F.col("n_within") < COVERAGE_MIN) & (F.col("anchor_C") < 55) & F.col("_some")
+    got = got.withColumn("family", family)
+    of = lambda name: F.when(F.col("family"), F.col(f"{name}_near")).otherwise(F.col(f"{name}_all"))
+
+    def adaptive(source: str, min_n: int, before: Column, stage: str) -> Column:
+        """The adaptive pool of a source as (source, thr, n_nearest, size, pool_method)."""
+        whole, n = of(f"{source}_n"), [of(f"{source}_{k}") for k in range(len(STEPS))]
+        found = F.coalesce(
+            *(F.when(n[k] >= min_n, F.struct(widths[k].alias("thr"), n[k].alias("n"))) for k in range(len(STEPS))),
+            *(F.when(n[k] > 0, F.struct(widths[k].alias("thr"), n[k].alias("n"))) for k in reversed(range(len(STEPS)))),
+        )
+        size = F.least(F.coalesce(found["n"], F.least(whole, F.lit(max(min_n, 1)))), F.lit(top))
+        return _choice(source, found["thr"], F.lit(max(min_n, 1)), size, F.concat_ws("+", before["pool_method"], F.lit(stage)))
+
+    got = got.withColumn("_0", _choice("hard", base_threshold(), F.lit(top), F.least(of("hard"), F.lit(top)), F.lit("hard")))
+    at = F.col("_0")
+    narrow = F.col("constrained") & (at["size"] < 120)
+    step = F.when(narrow & (of("band_n") > 0), adaptive("band", 120, at, "band")).when(narrow & (of("inv_n") > 0), adaptive("inv", 120, at, "constraints")).otherwise(at)
+    for k, (source, stage, wider) in enumerate((("", "", step), ("inv", "adaptive", None), ("wide", "wide", None)), 1):
+        if source:
+            wider = F.when((at["size"] < 10) & (of(f"{source}_n") > 0), adaptive(source, 10, at, stage)).otherwise(at)
+        got = got.withColumn(f"_{k}", wider)
+        at = F.col(f"_{k}")
+    return got.select("query_id", "min_de", "n_within", "family", F.col("_0.size").alias("size_hard"), "_3.*")
+
+
+def _choice(source: str, thr: Column, nearest: Column, size: Column, method: Column) -> Column:
+    return F.struct(F.lit(source).alias("source"), thr.cast("double").alias("thr"), nearest.cast("int").alias("n_nearest"), size.cast("long").alias("size"), method.alias("pool_method"))
+
+
+def candidate_pool(shades: DataFrame, queries: DataFrame, plan: DataFrame, top: int = 1200) -> DataFrame:
+    """The pools that plan (of pool_plan, stored) names, nearest shades first: columns of shades and queries, de00, pool_method."""
+    top = min(top, POOL_MAX)
+    marked = _marks(shades, queries).join(plan.select("query_id", "family", "source", "thr", "n_nearest", "pool_method"), "query_id")
+    inside = F.when(F.col("source") == "hard", F.col("_guard")).when(F.col("source") == "band", F.col("_band")).when(F.col("source") == "wide", F.col("_wide")).otherwise(True)
+    some = marked.where((~F.col("family") | F.col("_near")) & inside & (F.col("thr").isNull() | (F.col("de00") <= F.col("thr"))))
+    some = some.drop("_near", "_band", "_wide", "_guard", "family", "source")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("de00", "product_id", "shade_id"))
+    return some.withColumn("_n", rank).where(f"_n <= {top}").where("thr is not null or _n <= n_nearest").drop("_n", "thr", "n_nearest")
 
 
 def no_colour_pool(shades: DataFrame, top: int) -> DataFrame:

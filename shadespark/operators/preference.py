@@ -9,25 +9,57 @@ from pyspark.sql.window import Window
 from ..functions import stats, text
 from .relational import ranked
 
-# Fixed cue lists.
-NEGATIVE = r"(?i)(^|[^\p{L}])(not|no|never|without|avoid|hate|dislike|don't|dont)([^\p{L}]|$)"
-POSITIVE = r"(?i)(^|[^\p{L}])(want|like|love|prefer|looking for|give me|need|wish)([^\p{L}]|$)"
-# Fixed axis lexicon: word, axis, direction.
+# Fixed cue lists of the lexical polarity.
+POSITIVE_CUES = ("want", "like", "love", "prefer", "looking for", "need", "give me")
+NEGATIVE_CUES = ("not", "don't", "dont", "avoid", "without", "no", "exclude")
+# Fixed axis words: word, axis, direction.
 AXIS_WORDS = (
-    ("bright", "brightness", "raise"), ("light", "brightness", "raise"), ("dark", "brightness", "lower"), ("darker", "brightness", "lower"), ("deep", "depth", "raise"),
-    ("vivid", "vibrancy", "raise"), ("neon", "vibrancy", "raise"), ("muted", "vibrancy", "lower"), ("saturated", "saturation", "raise"), ("soft", "saturation", "lower"),
-    ("clear", "clarity", "raise"), ("dull", "clarity", "lower"),
+    ("dim", "brightness", "lower"), ("muted", "saturation", "lower"), ("dusty", "saturation", "lower"), ("saturated", "saturation", "raise"), ("desaturated", "saturation", "lower"),
 )
-CUES = {"too": "cap", "overly": "cap", "more": "more", "very": "more", "less": "less", "not": "neg", "no": "neg", "never": "neg", "without": "neg"}
+#: Own axis words, in place of a vector classifier of adjectives.
+OWN_AXIS_WORDS = (
+    ("bright", "brightness", "raise"), ("light", "brightness", "raise"), ("dark", "brightness", "lower"), ("deep", "depth", "raise"), ("vivid", "vibrancy", "raise"), ("vibrant", "vibrancy", "raise"),
+    ("neon", "vibrancy", "raise"), ("flashy", "vibrancy", "raise"), ("soft", "saturation", "lower"), ("clear", "clarity", "raise"), ("muddy", "clarity", "lower"), ("dull", "clarity", "lower"),
+)
+# Fixed degree words.
+DEGREES = {"too": "cap", "more": "more", "less": "less"}
+#: Own negation words, in place of a parser's negation arcs.
+NEGATIONS = ("not", "no", "never", "without", "dont")
 CUE_REACH, NEGATION_REACH = 4, 3
 STRENGTHS = {"weak": 1, "med": 2, "strong": 3}
-#: Cut-points by strength for lower and raise, and weights.
-CUTS = {("lower", "weak"): 0.5, ("lower", "med"): 0.35, ("lower", "strong"): 0.2, ("raise", "weak"): 0.5, ("raise", "med"): 0.65, ("raise", "strong"): 0.8}
-CUT_WEIGHTS = {"weak": 1.0, "med": 2.0, "strong": 3.0}
+# Fixed cut-points by strength, of raising, and of lowering by axis ("": other axes); fixed weights.
+RAISE_CUTS = {"strong": 0.70, "med": 0.60, "weak": 0.55}
+LOWER_CUTS = {
+    "": {"strong": 0.41, "med": 0.46, "weak": 0.52}, "brightness": {"strong": 0.41, "med": 0.46, "weak": 0.52}, "vibrancy": {"strong": 0.58, "med": 0.50, "weak": 0.64},
+    "saturation": {"strong": 0.50, "med": 0.56, "weak": 0.62}, "clarity": {"strong": 0.50, "med": 0.56, "weak": 0.62},
+}
+CUT_WEIGHTS, DISLIKE_WEIGHT = {"weak": 1.0, "med": 2.0, "strong": 3.0}, 1.5
+# Fixed level cuts without a calibration, of dimensions in 0..1.
+DEFAULT_CUTS = {"light_hsl": (0.35, 0.55, 0.75, 1.0), "sat_hsl": (0.30, 0.50, 0.70, 1.0), "depth": (0.30, 0.50, 0.70, 1.0), "colorfulness": (0.30, 0.50, 0.70, 1.0)}
+# Fixed default directions of axes, and the product word that is no colour.
+DEFAULT_DIRECTIONS = {"brightness": "lower", "vibrancy": "lower", "saturation": "lower", "depth": "raise", "clarity": "lower"}
+PRODUCT = "lipstick"
+
+
+def _cue_pattern(cues: tuple[str, ...]) -> str:
+    edge = r"[\s,.;:!?()]"
+    return rf"(?i)(^|{edge})({'|'.join(cues)})($|{edge})"
+
+
+NEGATIVE, POSITIVE = _cue_pattern(NEGATIVE_CUES), _cue_pattern(POSITIVE_CUES)
+
+
+def axis_lexicon() -> list[tuple[str, str, str, bool]]:
+    """word, axis, direction, compared: the axis words with their comparatives and superlatives."""
+    out = []
+    for word, axis, direction in (*AXIS_WORDS, *OWN_AXIS_WORDS):
+        stem = word + word[-1] if word in ("dim",) else word[:-1] + "i" if word[-1] == "y" else word
+        out += [(word, axis, direction, False), (stem + "er", axis, direction, True), (stem + "est", axis, direction, True)]
+    return out
 
 
 def clauses(texts: DataFrame) -> DataFrame:
-    """text_id, clause_id, start, clause, elliptical: parts between sentence ends, semicolons, colons, and conjunctions or commas before a negation."""
+    """text_id, clause_id, start, clause, elliptical: parts between sentence ends, semicolons, colons, and conjunctions, commas or brackets before a negation."""
     form = r"[.!?;:\n]+|,?\s+but\s+|,\s+(?=(not|no|without)\b)|\s+and\s+(?=(not|no|without)\b)|\((?=not\b)"
     marked = F.regexp_replace("text", form, "\u0001")
     seps = F.regexp_extract_all("text", F.lit(f"({form})"), 1)
@@ -45,17 +77,17 @@ def plain_not(x: Column) -> Column:
     return F.regexp_replace(x, r"\s*\(not ([^)]*)\)", ", not $1")
 
 
-def mentions(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
-    """text_id, start, len, alias, name: the longest aliases of each text from left to right, without overlap.
+def mentions(texts: DataFrame, aliases: DataFrame, longest: int = 4, by: tuple[str, ...] = ("text_id",)) -> DataFrame:
+    """by, start, len, alias, name: the longest aliases of each text from left to right, without overlap.
 
     aliases (alias, name) meets word n-grams by an equi-join; the greedy choice folds over a text's
     candidates in order, keeping the next free word.
     """
-    words = texts.select("text_id", text.tokens(F.col("text")).alias("w"))
-    grams = words.select("text_id", "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("len")).where(F.size("w") >= F.col("len"))
-    grams = grams.select("text_id", "len", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("start"))
-    grams = grams.select("text_id", "len", "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ").alias("alias"))
-    hits = grams.join(aliases, "alias").groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("len")).alias("neg"), "alias", "name"))).alias("c"))
+    words = texts.select(*by, text.tokens(F.col("text")).alias("w"))
+    grams = words.select(*by, "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("len")).where(F.size("w") >= F.col("len"))
+    grams = grams.select(*by, "len", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("start"))
+    grams = grams.select(*by, "len", "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ").alias("alias"))
+    hits = grams.join(aliases, "alias").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("len")).alias("neg"), "alias", "name"))).alias("c"))
     form = "struct<next:int,out:array<struct<start:int,len:int,alias:string,name:string>>>"
     state = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<start:int,len:int,alias:string,name:string>>").alias("out")).cast(form)
 
@@ -63,7 +95,7 @@ def mentions(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFram
         took = F.struct((x["start"] - x["neg"]).alias("next"), F.concat(s["out"], F.array(F.struct(x["start"].alias("start"), (-x["neg"]).alias("len"), x["alias"].alias("alias"), x["name"].alias("name")))).alias("out")).cast(form)
         return F.when(x["start"] >= s["next"], took).otherwise(s)
 
-    return hits.select("text_id", F.explode(F.aggregate("c", state, step)["out"]).alias("m")).select("text_id", "m.*")
+    return hits.select(*by, F.explode(F.aggregate("c", state, step)["out"]).alias("m")).select(*by, "m.*")
 
 
 def polarity(x: Column) -> Column:
@@ -84,26 +116,64 @@ def vector_polarity(df: DataFrame, vector: str, include: str, exclude: str, min_
     return df.withColumn("polarity", F.when(ok & (inc > exc), "LIKE").when(ok, "DISLIKE").otherwise("UNKNOWN"))
 
 
-def extract_constraints(texts: DataFrame) -> DataFrame:
-    """text_id, start, axis, direction, strength, evidence: axis words with cues in the words before them.
+def mention_polarity(cue: Column, elliptical: Column, sentiment: Column | None = None) -> Column:
+    """The polarity of a mention: the cue of its clause, else the clause's sentiment (POS or NEG), else dislike where the clause is an elliptical negation."""
+    told = F.when(cue != "UNKNOWN", cue)
+    felt = F.when(sentiment == "POS", "LIKE").when(sentiment == "NEG", "DISLIKE") if sentiment is not None else F.lit(None).cast("string")
+    return F.coalesce(told, felt, F.when(elliptical, "DISLIKE"), F.lit("UNKNOWN"))
+
+
+def degree_score(negated: Column, compared: Column, degree: Column, intensity: Column | None = None) -> Column:
+    """How far a word's wish goes, in 0..1: negated, compared, under a degree word, or its own intensity (0..1, 0 if not given)."""
+    own = F.lit(0.0) if intensity is None else intensity
+    return F.when(negated, 0.9).when(compared, 0.85).when(degree.isNotNull(), stats.clip(0.9 + own * 0.1, 0, 1)).otherwise(stats.clip(own * 0.35, 0, 1))
+
+
+def strength_of(score: Column, negated: Column) -> Column:
+    """Strong from 0.75 on, medium from 0.35 on; a weak one is medium under a negation."""
+    return F.when(score >= 0.75, "strong").when((score >= 0.35) | negated, "med").otherwise("weak")
+
 
-    too: cap (lower of a raising word, strong); more: keep, less: invert; a negation inverts and makes a
-    weak wish medium. The evidence is the cue words and the axis word.
+def extract_constraints(texts: DataFrame, by: tuple[str, ...] = ("text_id",)) -> DataFrame:
+    """by, start, axis, direction, strength, evidence, confidence: axis words with cues in the words before them; texts: by, text.
+
+    The first degree word within CUE_REACH words before decides: more keeps the word's direction, less and too
+    turn it; without one, a negation within NEGATION_REACH turns it. The evidence is those cues and the word.
     """
     words = text.tokens(F.col("text"))
-    seq = texts.select("text_id", words.alias("w"), F.posexplode(words).alias("start", "word"))
-    spark = texts.sparkSession
-    lexicon = spark.createDataFrame(list(AXIS_WORDS), "word string, axis string, base string")
-    hits = seq.join(F.broadcast(lexicon), "word")
-    cues = F.create_map(*(F.lit(x) for kv in CUES.items() for x in kv))
-    near = F.filter(F.transform(F.sequence(F.greatest(F.col("start") - CUE_REACH, F.lit(0)), F.col("start")), lambda i: F.struct(i.alias("i"), F.try_element_at(cues, F.get("w", i)).alias("cue"))), lambda x: x["cue"].isNotNull() & (x["i"] < F.col("start")) & ((x["cue"] != "neg") | (x["i"] >= F.col("start") - NEGATION_REACH)))
-    hits = hits.withColumn("_c", near)
-    has = lambda c: F.exists("_c", lambda x: x["cue"] == c)
+    seq = texts.select(*by, words.alias("w"), F.posexplode(words).alias("start", "word"))
+    lexicon = texts.sparkSession.createDataFrame(axis_lexicon(), "word string, axis string, base string, compared boolean")
+    hits = seq.join(F.broadcast(lexicon), "word")  # a fixed table of some fifty rows
+    cues = F.create_map(*(F.lit(x) for kv in (DEGREES | dict.fromkeys(NEGATIONS, "neg")).items() for x in kv))
+    near = F.transform(F.sequence(F.greatest(F.col("start") - CUE_REACH, F.lit(0)), F.col("start")), lambda i: F.struct(i.alias("i"), F.try_element_at(cues, F.get("w", i)).alias("cue")))
+    hits = hits.withColumn("_c", F.filter(near, lambda x: x["cue"].isNotNull() & (x["i"] < F.col("start")) & ((x["cue"] != "neg") | (x["i"] >= F.col("start") - NEGATION_REACH))))
+    degree = F.get(F.filter("_c", lambda x: x["cue"] != "neg"), F.lit(0))["cue"]
+    hits = hits.withColumns({"_degree": degree, "_neg": F.exists("_c", lambda x: x["cue"] == "neg")})
     flip = F.when(F.col("base") == "raise", "lower").otherwise("raise")
-    direction = F.when(has("cap") | has("less"), flip).when(has("more") & ~has("neg"), F.col("base")).when(has("neg"), flip).otherwise(F.col("base"))
-    strength = F.when(has("cap") | (has("more") & ~has("neg")), "strong").when(has("neg"), "med").otherwise("med")
+    direction = F.when(F.col("_degree") == "more", F.col("base")).when(F.col("_degree").isNotNull() | F.col("_neg"), flip).otherwise(F.col("base"))
+    score = degree_score(F.col("_neg"), F.col("compared"), F.col("_degree"))
     evidence = F.array_join(F.concat(F.transform("_c", lambda x: F.get("w", x["i"])), F.array("word")), " ")
-    return hits.select("text_id", "start", "axis", direction.alias("direction"), strength.alias("strength"), evidence.alias("evidence"))
+    return hits.select(*by, "start", "axis", direction.alias("direction"), strength_of(score, F.col("_neg")).alias("strength"), evidence.alias("evidence"), F.lit(1.0).alias("confidence"))
+
+
+def quality_label(gate: Column, confidence: Column, margin: Column) -> Column:
+    """high, med or low: how well a constraint's axis is founded."""
+    sure = F.upper(gate).isin("STRICT", "LEXICON")
+    return F.when(sure & (confidence >= 0.50) & (margin >= 0.10), "high").when(sure | ((confidence >= 0.45) & (margin >= 0.05)), "med").otherwise("low")
+
+
+def normalise_constraints(df: DataFrame) -> DataFrame:
+    """Constraints as a whole contract: rows without axis go; other directions than lower and raise become the axis's default, other strengths medium; confidence is held to 0..1, evidence is trimmed. defaulted names what was filled in."""
+    from .constraints import lookup
+
+    no_direction, no_strength = ~F.coalesce(F.col("direction").isin("lower", "raise"), F.lit(False)), ~F.coalesce(F.col("strength").isin(*STRENGTHS), F.lit(False))
+    default = F.coalesce(lookup(DEFAULT_DIRECTIONS, F.col("axis")), F.lit("lower"))
+    evidence = F.coalesce(F.trim("evidence"), F.lit(""))
+    told = F.array_compact(F.array(F.when(no_direction, "direction"), F.when(no_strength, "strength"), F.when(evidence == "", "evidence")))
+    return df.where("axis is not null").withColumns({
+        "defaulted": told, "direction": F.when(no_direction, default).otherwise(F.col("direction")), "strength": F.when(no_strength, "med").otherwise(F.col("strength")),
+        "confidence": stats.clamp01(F.col("confidence").cast("double")), "evidence": evidence,
+    })
 
 
 def _strength(name: str = "strength") -> Column:
@@ -111,45 +181,104 @@ def _strength(name: str = "strength") -> Column:
 
 
 def merge_constraints(df: DataFrame, by: tuple[str, ...] = ("text_id", "axis", "direction", "clause_id")) -> DataFrame:
-    """One constraint for each key: largest confidence and strength, distinct evidences in order."""
-    return df.groupBy(*by).agg(F.max("confidence").alias("confidence"), F.max_by("strength", _strength()).alias("strength"), F.array_join(F.array_distinct(F.sort_array(F.collect_list("evidence"))), " / ").alias("evidence"))
+    """One constraint for each key: largest confidence and strength, distinct evidences in order; other columns of the best row."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "evidence"))), lambda x: F.trim(x["evidence"]))
+    evidence = F.array_join(F.array_distinct(F.filter(parts, lambda e: e != "")), " / ")
+    return df.groupBy(*by).agg(F.max("confidence").alias("confidence"), F.max_by("strength", _strength()).alias("strength"), evidence.alias("evidence"), F.min("start").alias("start"))
 
 
 def resolve_conflicts(df: DataFrame) -> DataFrame:
-    """Constraints with status kept or a reason: the strongest, then most confident of a text's axis stays. A raise under dislike is a lower first, unless the evidence caps it."""
-    flip = (F.col("polarity") == "DISLIKE") & (F.col("direction") == "raise") & ~F.coalesce(F.col("evidence").contains("too "), F.lit(False))
-    df = df.withColumn("direction", F.when(flip, "lower").otherwise(F.col("direction")))
+    """Constraints with status kept, conflict or duplicate, and normalised: the strongest, then most confident of a text's axis stays.
+
+    A raise in a disliked clause is a lower first: normalised tells cap_guard where the evidence has "too",
+    else invert_dislike_raise.
+    """
+    flip = (F.col("polarity") == "DISLIKE") & (F.col("direction") == "raise")
+    how = F.when(flip, F.when(F.lower("evidence").contains("too "), "cap_guard").otherwise("invert_dislike_raise"))
+    df = df.withColumns({"normalised": how, "direction": F.when(flip, "lower").otherwise(F.col("direction"))})
     over = Window.partitionBy("text_id", "axis")
-    df = ranked(df, ["text_id", "axis"], [_strength().desc(), F.desc_nulls_last("confidence"), "direction", "evidence"], "_n")
+    df = ranked(df, ["text_id", "axis"], [_strength().desc(), F.desc_nulls_last("confidence"), "clause_id", "start"], "_n")
     both = F.size(F.collect_set("direction").over(over)) > 1
     return df.withColumn("status", F.when(F.col("_n") == 1, "kept").when(both, "conflict").otherwise("duplicate")).drop("_n")
 
 
 def merge_intents(intents: DataFrame) -> DataFrame:
-    """text_id, axis, direction, strength, conflict: the signed sum of strengths decides; a tie has no direction. Strength is the largest of the winning side."""
+    """text_id, axis, score, direction, strength, conflict, has_dislike: the signed sum of strengths decides; a tie has no direction. Strength is the largest of the winning side; polarity, where given, does not vote."""
     sign = F.when(F.col("direction") == "raise", 1).otherwise(-1)
-    g = intents.groupBy("text_id", "axis").agg(F.sum(_strength() * sign).alias("score"), F.max(F.when(sign > 0, _strength())).alias("up"), F.max(F.when(sign < 0, _strength())).alias("down"))
+    disliked = F.max(F.col("polarity") == "DISLIKE") if "polarity" in intents.columns else F.lit(False)
+    g = intents.groupBy("text_id", "axis").agg(F.sum(_strength() * sign).alias("score"), F.max(F.when(sign > 0, _strength())).alias("up"), F.max(F.when(sign < 0, _strength())).alias("down"), F.coalesce(disliked, F.lit(False)).alias("has_dislike"))
     names = F.create_map(*(x for k, v in STRENGTHS.items() for x in (F.lit(v), F.lit(k))))
     direction = F.when(F.col("score") > 0, "raise").when(F.col("score") < 0, "lower")
     won = F.when(F.col("score") > 0, F.col("up")).when(F.col("score") < 0, F.col("down"))
-    return g.select("text_id", "axis", "score", direction.alias("direction"), F.try_element_at(names, won).alias("strength"), (F.col("up").isNotNull() & F.col("down").isNotNull()).alias("conflict"))
+    return g.select("text_id", "axis", "score", direction.alias("direction"), F.try_element_at(names, won).alias("strength"), (F.col("up").isNotNull() & F.col("down").isNotNull()).alias("conflict"), "has_dislike")
 
 
 def decision_thresholds(decisions: DataFrame) -> DataFrame:
-    """Cut-point and weight of each decision; a dislike weighs half as much again."""
+    """Cut-point (cut) and weight of each decision; the cut-points of lowering hang on the axis, and a dislike weighs half as much again."""
     from .constraints import lookup
 
-    weight = lookup(CUT_WEIGHTS, F.col("strength")) * F.when(F.col("has_dislike"), 1.5).otherwise(1.0)
-    return decisions.where("direction is not null").withColumns({"cut": lookup(CUTS, F.col("direction"), F.col("strength")), "weight": weight})
+    lower = {(a, s): v for a, cuts in LOWER_CUTS.items() for s, v in cuts.items()}
+    axis = F.when(F.col("axis").isin(*filter(None, LOWER_CUTS)), F.col("axis")).otherwise("")
+    cut = F.when(F.col("direction") == "raise", lookup(RAISE_CUTS, F.col("strength"))).otherwise(lookup(lower, axis, F.col("strength")))
+    weight = lookup(CUT_WEIGHTS, F.col("strength")) * F.when(F.col("has_dislike"), DISLIKE_WEIGHT).otherwise(1.0)
+    return decisions.where("direction is not null and strength is not null").withColumns({"cut": cut, "weight": weight})
 
 
-def constraint_blobs(thresholds: DataFrame) -> DataFrame:
-    """text_id, constraints: the decisions as a constraint string, by axis."""
+def snapped_level(cut: Column, op: Column, cuts: Column) -> Column:
+    """The level of ascending cuts (low, medium, high, very_high) for a cut-point in 0..1; NULL without cuts.
+
+    A floor (>=) takes the first level at or above it, else the highest; a cap (<=) the last at or below it,
+    else the lowest. Cuts beyond 0..1 are met by rank: the cut-point is a share of the way through them.
+    """
+    from ..sources.calibration import LEVELS
+
+    n = F.size(cuts)
+    unit = (F.element_at(cuts, 1) >= 0) & (F.element_at(cuts, -1) <= 1)
+    below, up_to = F.size(F.filter(cuts, lambda x: x < cut)), F.size(F.filter(cuts, lambda x: x <= cut))
+    rank = stats.clip(cut, 0, 1) * (n - 1)
+    nearly = F.abs(rank - F.floor(rank)) < 1e-12
+    at = F.when(unit & (op == ">="), below).when(unit, up_to - 1).when((op == ">=") & ~nearly, F.floor(rank) + 1).otherwise(F.floor(rank))
+    return F.when(n > 0, F.element_at(F.array(*map(F.lit, LEVELS)), (F.least(F.greatest(at, F.lit(0)), n - 1) + 1).cast("int")))
+
+
+def constraint_blobs(thresholds: DataFrame, cuts: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
+    """text_id, constraints: the decisions as a constraint string, by axis; cut-points snap to the levels of cuts (dim: ascending thresholds), by default the fixed cuts of dimensions in 0..1. Dimensions without cuts are left out."""
     from .constraints import AXIS_DIM, lookup
 
+    table = F.create_map(*(x for d, v in (DEFAULT_CUTS if cuts is None else cuts).items() for x in (F.lit(d), F.array(*map(F.lit, sorted(v))))))
     op = F.when(F.col("direction") == "raise", ">=").otherwise("<=")
-    part = F.concat(lookup(AXIS_DIM, F.col("axis")), op, F.col("cut").cast("string"), F.lit(":"), F.col("weight").cast("string"))
-    return thresholds.groupBy("text_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("axis", part.alias("p")))), lambda x: x["p"]), ";").alias("constraints"))
+    rows = thresholds.withColumn("_dim", lookup(AXIS_DIM, F.col("axis"))).withColumn("_level", snapped_level(F.col("cut"), op, F.try_element_at(table, F.col("_dim"))))
+    weight = F.regexp_replace(F.format_string("%.6f", "weight"), r"\.?0+$", "")
+    rows = rows.where("_level is not null").select("text_id", "axis", F.concat("_dim", op, "_level", F.lit(":"), weight).alias("p"))
+    return rows.groupBy("text_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("axis", "p"))), lambda x: x["p"]), ";").alias("constraints"))
+
+
+def style_intents(parts: DataFrame, colour_words: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """text_id, label, n, strength, source of clauses (text_id, clause, elliptical): words used at least twice in a text, as shares of its most used one.
+
+    GLOBAL: words of all clauses that are no colour words (word); ELLIPTICAL_NEG: words of elliptical
+    negations. Words under three letters, numbers, stop words (word) and the product are left out.
+    """
+    bare = F.regexp_replace("label", "(es|s)$", "")
+    words = parts.select("text_id", "elliptical", F.explode(text.tokens(F.col("clause"))).alias("label")).where((F.length("label") >= 3) & ~F.col("label").rlike(r"^\d+$") & (F.col("label") != PRODUCT) & (bare != PRODUCT))
+    words = words.join(stop_words.select(F.col("word").alias("label")), "label", "left_anti")
+    rows = words.join(colour_words.select(F.col("word").alias("label")), "label", "left_anti").withColumn("source", F.lit("GLOBAL")).unionByName(words.where("elliptical").withColumn("source", F.lit("ELLIPTICAL_NEG")))
+    n = rows.groupBy("text_id", "source", "label").agg(F.count("*").alias("n")).where("n >= 2")
+    return n.withColumn("strength", F.col("n") / F.max("n").over(Window.partitionBy("text_id", "source"))).select("text_id", "label", "n", "strength", "source")
+
+
+def elliptical_labels(parts: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """text_id, labels: the distinct words of a text's elliptical negations, in order."""
+    words = parts.where("elliptical").select("text_id", "clause_id", F.posexplode(text.tokens(F.col("clause"))).alias("pos", "word")).where((F.length("word") >= 3) & ~F.col("word").rlike(r"^\d+$") & (F.regexp_replace("word", "(es|s)$", "") != PRODUCT))
+    words = words.join(stop_words.select("word"), "word", "left_anti")
+    return words.groupBy("text_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("clause_id", "pos", "word"))), lambda x: x["word"])).alias("labels"))
+
+
+def taste(mentioned: DataFrame) -> DataFrame:
+    """text_id, likes, dislikes of mentions (text_id, clause_id, start, name, alias, hue_deg, polarity): arrays of (family, hue_deg, alias) in order; texts without either are left out."""
+    item = F.struct("clause_id", "start", F.struct(F.col("name").alias("family"), "hue_deg", "alias").alias("item"))
+    of = lambda p: F.transform(F.array_sort(F.collect_list(F.when(F.col("polarity") == p, item))), lambda x: x["item"])
+    return mentioned.where(F.col("polarity").isin("LIKE", "DISLIKE")).groupBy("text_id").agg(of("LIKE").alias("likes"), of("DISLIKE").alias("dislikes"))
 
 
 def semantic_top(df: DataFrame, keys: DataFrame, k: int = 5, first: float = 0.62, keep: float = 0.55) -> DataFrame:
@@ -173,12 +302,37 @@ def weighted_vote(ranked_axes: DataFrame) -> DataFrame:
     return e.groupBy("label", F.col("x.axis").alias("axis")).agg(F.try_divide(F.sum(F.col("weight") * F.col("x.score")), F.sum("weight")).alias("score"))
 
 
+def interpreted(texts: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clauses, mentions, constraints) of texts (text_id, text): all steps from clauses to resolved constraints.
+
+    clauses: with polarity; mentions: text_id, clause_id, start, len, alias, name, polarity (places in words
+    of the clause); constraints: merged by clause, normalised and resolved, with the clause's polarity and status.
+    """
+    parts = clauses(texts.select("text_id", plain_not(F.col("text")).alias("text"))).withColumn("cue", polarity(F.col("clause")))
+    key = ("text_id", "clause_id")
+    found = mentions(parts.select(*key, F.col("clause").alias("text")), aliases, by=key).join(parts.select(*key, "cue", "elliptical"), list(key))
+    found = found.withColumn("polarity", mention_polarity(F.col("cue"), F.col("elliptical")))
+    told = parts.select(*key, F.lit("UNKNOWN").alias("polarity"), "cue", "elliptical").unionByName(found.select(*key, "polarity", "cue", "elliptical"))
+    parts = parts.join(clause_polarity(told), list(key))
+    cons = merge_constraints(extract_constraints(parts.select(*key, F.col("clause").alias("text")), key)).join(parts.select(*key, "polarity"), list(key))
+    return parts, found.drop("cue", "elliptical"), resolve_conflicts(normalise_constraints(cons))
+
+
 def interpret(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """text_id, mentions, constraints, polarity: one row for each text."""
-    base = texts.select("text_id", "text")
-    m = mentions(base, aliases).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("start", "len", "name"))).alias("mentions"))
-    c = extract_constraints(base).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("start", "axis", "direction", "strength", "evidence"))).alias("constraints"))
-    return base.select("text_id", polarity(F.col("text")).alias("polarity")).join(m, "text_id", "left").join(c, "text_id", "left")
+    """text_id, clauses, mentions, constraints, suppressed: one row for each text, arrays in order; to_json gives its nested output."""
+    parts, found, cons = interpreted(texts, aliases)
+    listed = lambda df, name, *fields: df.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    of = ("clause_id", "start", "axis", "direction", "strength", "evidence", "confidence", "polarity")
+    rows = (
+        listed(parts, "clauses", "clause_id", "start", "clause", "elliptical", "polarity"),
+        listed(found, "mentions", "clause_id", "start", "len", "name", "polarity"),
+        listed(cons.where("status = 'kept'"), "constraints", *of),
+        listed(cons.where("status <> 'kept'"), "suppressed", *of, "status"),
+    )
+    out = texts.select("text_id")
+    for df in rows:
+        out = out.join(df, "text_id", "left")
+    return out
 
 
 def primary_targets(mentioned: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -191,6 +345,17 @@ def primary_targets(mentioned: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return m.where((F.col("_n") == 1) & ~tie).drop("_n", "_k", "_c")
 
 
+def _group() -> Column:
+    return F.when(F.col("polarity") == "LIKE", 0).when(F.col("polarity") == "DISLIKE", 2).otherwise(1)
+
+
+def _safe_targets(mentioned: DataFrame) -> DataFrame:
+    """text_id, clause_id, _t: the clause's safe target with its bucket; of the liked, else of the neutral, else of the disliked mentions."""
+    m = primary_targets(mentioned.withColumn("_g", _group()), ("text_id", "clause_id", "_g"))
+    bucket = F.when(F.col("_g") == 0, "liked").otherwise("disliked")
+    return m.groupBy("text_id", "clause_id").agg(F.min_by(F.struct(bucket.alias("bucket"), "start", "stop", "name", "kind"), "_g").alias("_t"))
+
+
 def resolve_targets(mentioned: DataFrame, constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(targets, unattached constraints) of mentions (text_id, clause_id, start, stop, name, kind, polarity, confidence) and constraints (text_id, clause_id, ...).
 
@@ -199,17 +364,28 @@ def resolve_targets(mentioned: DataFrame, constraints: DataFrame) -> tuple[DataF
     stands in the disliked bucket. Constraints of clauses without a safe target stay global.
     """
     of = ("start", "stop", "name", "kind")
-    group = F.when(F.col("polarity") == "LIKE", 0).when(F.col("polarity") == "DISLIKE", 2).otherwise(1)
     bucket = F.when(F.col("_g") == 0, "liked").otherwise("disliked")
-    m = mentioned.withColumn("_g", group)
-    safe = primary_targets(m, ("text_id", "clause_id", "_g")).groupBy("text_id", "clause_id").agg(F.min_by(F.struct(bucket.alias("bucket"), *of), "_g").alias("_t"))
-    scoped = constraints.join(safe, ["text_id", "clause_id"], "left")
+    m = mentioned.withColumn("_g", _group())
+    scoped = constraints.join(_safe_targets(mentioned), ["text_id", "clause_id"], "left")
     told = m.where("_g <> 1").select("text_id", bucket.alias("bucket"), *of, F.lit(0).cast("long").alias("n"))
     held = scoped.where("_t is not null").select("text_id", "_t.*", F.lit(1).cast("long").alias("n"))
     targets = told.unionByName(held).groupBy("text_id", "bucket", *of).agg(F.sum("n").alias("n_constraints"))
     return targets, scoped.where("_t is null").drop("_t")
 
 
+def project_axes(mentioned: DataFrame, constraints: DataFrame) -> DataFrame:
+    """text_id, axis, direction, strength, polarity, source: an intent for each constraint, attached to a safe target or global.
+
+    The polarity is that of the constraint's clause (polarity); where that is unknown, of its target's bucket,
+    and LIKE for global ones. Constraints: text_id, clause_id, axis, direction, strength, polarity.
+    """
+    safe = _safe_targets(mentioned)
+    j = constraints.join(safe, ["text_id", "clause_id"], "left")
+    bucket = F.when(F.col("_t.bucket") == "disliked", "DISLIKE").otherwise("LIKE")
+    known = F.when(F.col("polarity").isin("LIKE", "DISLIKE", "NEUTRAL"), F.col("polarity")).otherwise(bucket)
+    return j.select("text_id", "axis", "direction", "strength", known.alias("polarity"), F.when(F.col("_t").isNull(), "global").otherwise("target").alias("source"))
+
+
 def axis_family(scores: DataFrame, by: str) -> DataFrame:
     """by, axis, family: the family of the axis that scores best (then the smaller name); NULL for an axis of no family."""
     top = scores.groupBy(by).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("axis"))).alias("t"))

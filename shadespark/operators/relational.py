@@ -91,6 +91,11 @@ def containing_keys(bases: DataFrame, keys: DataFrame) -> DataFrame:
     return many.join(bases.select("key").distinct(), "key").select(F.col("key").alias("base"), F.col("phrase").alias("key"))
 
 
+def display_order(df: DataFrame, first: Sequence[str]) -> DataFrame:
+    """df with the preferred columns first, as far as it has them; the others keep their order."""
+    return df.select(*(c for c in first if c in df.columns), *(c for c in df.columns if c not in first))
+
+
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 

@@ -123,15 +123,10 @@ def typical_rerank(scored: DataFrame, near: int = 200, least: int = 30, gain: fl
 
 
 def naive_rule(text: Column) -> Column:
-    """Keyword score of a shade for a wish: deep, bright, soft, nude."""
-    has = lambda w: F.lower(text).contains(w)
-    zero = F.lit(0.0)
-    return (
-        F.when(has("deep"), 100 - F.col("L_lab")).otherwise(zero)
-        + F.when(has("bright"), F.col("C_lab") + F.col("L_lab") * 0.2).otherwise(zero)
-        + F.when(has("soft"), F.col("L_lab") - F.col("C_lab")).otherwise(zero)
-        + F.when(has("nude"), -F.abs(F.col("C_lab") - 20) - F.abs(F.col("L_lab") - 60) * 0.5).otherwise(zero)
-    )
+    """Keyword score of a shade for a wish: deep is dark, bright is light, soft is dull, nude is near hue 30."""
+    # fixed rule
+    rules = (("deep", (100 - F.col("L_lab")) * 0.01), ("bright", F.col("L_lab") * 0.01), ("soft", -F.col("C_lab") * 0.01), ("nude", -F.abs(F.col("H_lab_deg") - 30) * 0.001))
+    return sum((F.when(F.lower(text).contains(w), x).otherwise(F.lit(0.0)) for w, x in rules), F.lit(0.0))
 
 
 def explain_flags() -> Column:

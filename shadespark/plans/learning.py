@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from ..operators.relational import ranked
 from ..operators.scoring import naive_rule
 
-TEXTS = ("deep bright", "soft nude", "bright")
+# Fixed wishes of the preference pairs.
+TEXTS = (("q01", "I want a deep red lipstick"), ("q02", "I like soft pink but not bright"), ("q03", "Looking for a nude shade"))
 FEATURES = ("L_lab", "a_lab", "b_lab", "C_lab", "H_lab_deg", "depth", "warmth", "sat_eff")
 
 
@@ -27,11 +28,11 @@ def stratified_split(df: DataFrame, keys: Sequence[str], label: str = "label", s
     return out.withColumn("split", F.when(F.col("_k") <= train, "train").when(F.col("_k") <= valid, "valid").otherwise("test")).drop("_n", "_k")
 
 
-def pairwise(shades: DataFrame, texts: Sequence[str] = TEXTS, k: int = 10) -> DataFrame:
+def pairwise(shades: DataFrame, texts: Sequence[tuple[str, str]] = TEXTS, k: int = 10) -> DataFrame:
     """Preference pairs of each wish's k best and k worst shades by the naive rule, in both orientations."""
     spark = shades.sparkSession
-    q = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(texts)], "query_id string, wish string")
-    s = shades.crossJoin(F.broadcast(q)).withColumn("_s", naive_rule(F.col("wish")))
+    q = spark.createDataFrame(list(texts), "query_id string, wish string")
+    s = shades.crossJoin(F.broadcast(q)).withColumn("_s", F.round(naive_rule(F.col("wish")), 12))
     cols = ["shade_id", "L_lab", "C_lab", "H_lab_deg"]
     top = ranked(s, ["query_id"], [F.desc("_s"), "shade_id"], "_k").where(F.col("_k") <= k).select("query_id", *(F.col(c).alias(f"{c}_p") for c in cols))
     low = ranked(s, ["query_id"], ["_s", F.desc("shade_id")], "_k").where(F.col("_k") <= k).select("query_id", *(F.col(c).alias(f"{c}_n") for c in cols))

@@ -10,32 +10,60 @@ from ..operators import pools, preference, relational, scoring
 from ..sources.tables import stored
 
 
+ANCHOR = ("anchor_L", "anchor_a", "anchor_b", "anchor_C", "anchor_hue")
+
+
+def distinct_wishes(queries: DataFrame, constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wishes, of): equal anchors with equal constraints are one wish, named by its smallest query_id; of: query_id, wish_id of every query."""
+    c = constraints.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ord", "dim", "op", "level", "cutpoint", "weight")))).alias("_cons"))
+    keyed = queries.select("query_id", *ANCHOR).join(c, "query_id", "left").withColumn("_cons", F.coalesce("_cons", F.lit("")))
+    keys = [*ANCHOR, "_cons"]
+    wishes = stored(keyed.groupBy(*keys).agg(F.min("query_id").alias("wish_id")), "wishes")
+    same = [F.col(f"k.{x}").eqNullSafe(F.col(f"w.{x}")) for x in keys]
+    of = keyed.alias("k").join(wishes.alias("w"), same).select("k.query_id", "w.wish_id")
+    return wishes.select("wish_id", *ANCHOR, (F.col("_cons") != "").alias("constrained")), of
+
+
 def recommend(shades: DataFrame, queries: DataFrame, constraints: DataFrame, calibration: DataFrame, k: int = 20, pool_top: int = 1200, lambda_c: float = 2.0) -> DataFrame:
     """The k best shades of every query.
 
-    queries: query_id, anchor_*; constraints: query_id, ord, dim, op, level, cutpoint, weight. All queries
-    go through eligibility, the ladder of pools, scores and ranks together.
+    queries: query_id, anchor_*; constraints: query_id, ord, dim, op, level, cutpoint, weight. Pools hang on the
+    anchor and on whether there are constraints, scores on the wish; each is made once and joined to the
+    queries in the end, so that the work grows with distinct wishes, and the result with the queries.
     """
+    best, _ = _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c)
+    return best
+
+
+def _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c) -> tuple[DataFrame, DataFrame]:
+    """(recommendations, pool traces by query_id)."""
     catalogue = stored(relational.with_colour(relational.eligible(shades)), "catalogue")
-    pairs = stored(pools.distances(catalogue, queries), "pairs")
-    flags = queries.select("query_id").join(constraints.select("query_id").distinct().withColumn("_c", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("_c", F.lit(False)).alias("constrained"))
-    pool = pools.candidate_pool(pairs, flags, pool_top)
-    scored = scoring.score(pool, constraints, calibration, lambda_c=lambda_c).drop("rank")
-    total = scoring.blend(scored.join(F.broadcast(flags), "query_id"))
-    return scoring.rank_scores(total, "score_total").where(F.col("rank") <= k)
+    wishes, of = distinct_wishes(queries, constraints)
+    anchors = stored(wishes.groupBy(*ANCHOR, "constrained").agg(F.min("wish_id").alias("query_id")), "anchors")
+    plan = stored(pools.pool_plan(catalogue, anchors, pool_top), "pool-plan")
+    pool = stored(pools.candidate_pool(catalogue, anchors, plan, pool_top), "pool")
+    same = [F.col(f"w.{x}").eqNullSafe(F.col(f"a.{x}")) for x in (*ANCHOR, "constrained")]
+    pool_of = wishes.alias("w").join(anchors.alias("a"), same).select(F.col("w.wish_id").alias("wish_id"), F.col("a.query_id").alias("query_id"))
+    each = pool.join(pool_of, "query_id").drop("query_id").withColumnRenamed("wish_id", "query_id")
+    cons = constraints.join(wishes.select(F.col("wish_id").alias("query_id")), "query_id", "left_semi")
+    numeric = not cons.where("cutpoint is not null").isEmpty()
+    scored = scoring.blend(scoring.score(each, cons, calibration, lambda_c=lambda_c, snap=numeric).drop("rank"))
+    best = stored(scoring.rank_scores(scored, "score_total").where(F.col("rank") <= k), "best").withColumnRenamed("query_id", "wish_id")
+    trace = of.withColumnRenamed("query_id", "asked").join(pool_of, "wish_id").drop("wish_id").join(plan, "query_id").drop("query_id").withColumnRenamed("asked", "query_id")
+    return of.join(best, "wish_id").drop("wish_id"), trace
 
 
-def explain(shades: DataFrame, queries: DataFrame, constraints: DataFrame, calibration: DataFrame, k: int = 20) -> DataFrame:
-    """recommend with reasons, the pool's methods and a display order of columns."""
-    out = recommend(shades, queries, constraints, calibration, k).withColumn("reasons", scoring.explain_flags())
-    first = ["query_id", "rank", "brand_name", "shade_name", "score_total", "score", "deltaE", "reasons", "pool_method"]
-    return out.select(*first, *(c for c in out.columns if c not in first))
+def explain(shades: DataFrame, queries: DataFrame, constraints: DataFrame, calibration: DataFrame, k: int = 20, pool_top: int = 1200, lambda_c: float = 2.0) -> DataFrame:
+    """recommend with reasons, the pool's trace (min_de, n_within, size_hard, size, thr beside pool_method) and a display order of columns."""
+    best, trace = _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c)
+    out = best.withColumn("reasons", scoring.explain_flags()).join(trace.select("query_id", "min_de", "n_within", "size_hard", F.col("size").alias("pool_size"), "thr"), "query_id")
+    return relational.display_order(out, ["query_id", "rank", "brand_name", "shade_name", "score_total", "score", "deltaE", "reasons", "pool_method", "pool_size"])
 
 
 def score_inventory(shades: DataFrame, prototypes: DataFrame, blobs: DataFrame, calibration: DataFrame, lambda_c: float = 1.0) -> DataFrame:
     """Scores of the whole catalogue for constraint strings (query_id, constraints) around prototypes (query_id, anchor_*)."""
     cons = con.parse_constraints(blobs)
-    pool = relational.with_colour(shades).crossJoin(F.broadcast(prototypes))
+    pool = relational.with_colour(shades).crossJoin(prototypes)  # every shade is scored for every prototype
     return scoring.score(pool, cons, calibration, lambda_c=lambda_c, snap=False)
 
 
@@ -43,7 +71,7 @@ def wishes(texts: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(queries, constraints) of wish texts (text_id, text): the first colour mention is the anchor, axis words are constraints."""
     aliases = anchors.select(F.col("query_id").alias("alias"), F.col("query_id").alias("name"))
     named = preference.mentions(texts, aliases).groupBy("text_id").agg(F.min_by("name", "start").alias("name"))
-    queries = named.join(F.broadcast(anchors.withColumnRenamed("query_id", "name")), "name").withColumnRenamed("text_id", "query_id").drop("name")
+    queries = named.join(anchors.withColumnRenamed("query_id", "name"), "name").withColumnRenamed("text_id", "query_id").drop("name")
     intents = preference.merge_intents(preference.extract_constraints(texts)).where("direction is not null")
     cons = con.from_preferences(intents.withColumnRenamed("text_id", "query_id"))
     cons = relational.ranked(cons, ["query_id"], ["dim", "op"], "ord").select("query_id", "ord", "dim", "op", "level", F.lit(None).cast("double").alias("cutpoint"), "weight")

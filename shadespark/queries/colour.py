@@ -79,20 +79,29 @@ def prj22_pixels(spark, sf_dir):
     return aggregates.upper_median(px.where(x.between(8, 23) & y.between(8, 23)), ["image_id"], ["r", "g", "b"])
 
 
+def _chain(column, rules, other, whole):
+    edge = r"\b" if whole else ""
+    return "case " + " ".join(f"when regexp_matches(lower({column}), '{edge}({'|'.join(words)}){edge}') then '{label}'" for label, words in rules) + f" else {other} end"
+
+
+_NAMED = "shade_name || ' ' || (['rose', 'cherry', 'sandy', 'plum', 'Berry', 'tanned', 'violet', 'grey', 'NUDE', 'mocha'])[cast(shade_id as bigint) % 10 + 1]"
+_LEANING, _FAMILY = _chain(_NAMED, text.LEANINGS, "'neutral-leaning'", False), _chain(_NAMED, text.FAMILIES, "null", True)
+
+
 @query(
     with_(
         SHADES,
         select="""select shade_id, lower(trim(regexp_replace(product_name, '[^\\p{L}\\p{N}]+', ' ', 'g'))) as norm, trim(regexp_replace(translate(lower(product_name), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g')) as folded,
   nullif(regexp_extract(url, '-(P\\d+)\\.html', 1), '') as product, lower(nullif(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1), '')) as host, shade_id as id, len(string_split(lower(product_name), ' ')) as n_tokens,
-  case when regexp_matches(lower(shade_name), '\\b(coral|peach|orange|terracotta|brick|copper)\\b') then 'warm' when regexp_matches(lower(shade_name), '\\b(berry|plum|mauve|fuchsia|violet|burgundy)\\b') then 'cool' when regexp_matches(lower(shade_name), '\\b(nude|beige|taupe|natural)\\b') then 'neutral' end as tone,
-  case when regexp_matches(lower(shade_name), '\\b(red|crimson|scarlet|ruby)\\b') then 'red' when regexp_matches(lower(shade_name), '\\b(pink|rose|fuchsia)\\b') then 'pink' when regexp_matches(lower(shade_name), '\\b(brown|chocolate|cocoa)\\b') then 'brown' when regexp_matches(lower(shade_name), '\\b(blue|navy)\\b') then 'blue' when regexp_matches(lower(shade_name), '\\b(green|olive)\\b') then 'green' else 'other' end as family from shades""",
+  """ + f"{_LEANING} as leaning, {_FAMILY} as family from shades",
     )
 )
 def fun1_text(spark, sf_dir):
     c = F.col
+    named = F.concat_ws(" ", "shade_name", F.element_at(F.array(*map(F.lit, ("rose", "cherry", "sandy", "plum", "Berry", "tanned", "violet", "grey", "NUDE", "mocha"))), (c("shade_id").cast("long") % 10 + 1).cast("int")))
     return fixtures.raw_items(spark, sf_dir).select(
         "shade_id", text.normalise(c("product_name")).alias("norm"), text.fold(c("product_name")).alias("folded"), text.url_product(c("url")).alias("product"), text.url_host(c("url")).alias("host"),
-        text.clean_id(F.concat("shade_id", F.lit(".0"))).alias("id"), F.size(text.tokens(c("product_name"))).cast("long").alias("n_tokens"), text.first_match(c("shade_name"), text.TONES).alias("tone"), text.first_match(c("shade_name"), text.FAMILIES, "other").alias("family"),
+        text.clean_id(F.concat("shade_id", F.lit(".0"))).alias("id"), F.size(text.tokens(c("product_name"))).cast("long").alias("n_tokens"), text.leaning(named).alias("leaning"), text.family(named).alias("family"),
     )
 
 
@@ -115,3 +124,19 @@ def fun19_cosine(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "embeddings")
     keys = fixtures.label_keys(e).select("key_id", "key")
     return e.crossJoin(F.broadcast(keys)).select("key_id", "vec_id", F.round(stats.cosine(F.col("key"), F.col("embedding")), 6).alias("cos"))
+
+
+_LABELS = ("grey", "hot pink", "olive green", "crimson", "scarlet", "taupe", "plum", "gold", "coral pink", "cream", "navy", "khaki")
+
+
+@query(
+    "select p_partkey as shade_id, coalesce(v.b, l) as label from (select p_partkey, (["
+    + ", ".join(f"'{x}'" for x in _LABELS)
+    + f"])[p_partkey % {len(_LABELS)} + 1] as l from part) left join (values "
+    + ", ".join(f"('{a}', '{b}')" for a, b in text.SYNONYMS.items())
+    + ") v(a, b) on v.a = l"
+)
+def fun25_synonyms(spark, sf_dir):
+    k = F.col("p_partkey")
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (k % len(_LABELS) + 1).cast("int"))
+    return fixtures.table(spark, sf_dir, "part").select(k.alias("shade_id"), text.synonym(label).alias("label"))

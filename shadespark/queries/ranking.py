@@ -11,6 +11,8 @@ from ..sources import calibration, fixtures, tables
 from ..sources.calibration import DELTA_E_REF, LABEL_DISTRIBUTIONS, LEVELS, RELATIVE, SCALE_IQR, THRESHOLDS
 from .base import ANCHORS, PAIRS, PROBS, SHADES, query, rounded, with_
 from .catalogue import BAD
+from .wishes import WISH as _WISH
+from .wishes import constraint_parts, texts, tokens
 
 # Fixed constraint strings by cluster.
 BLOBS = ("C_lab<=very_high:1.5", "C_lab<=high:1.5;sat_eff<=high:0.8", "C_lab>=high:1.0;sat_eff>=high:0.8", "depth>=high:0.8;C_lab<=very_high:1.2", "L_lab>=medium:0.6;L_lab<=high:0.8", "warmth>=high:0.8;C_lab<=high:0.8", "light_hsl<=low:1;sat_hsl>=very_high:0.5", "MIX:primary=2;secondary=3;alpha=0.7;C_lab<=very_high:1.2")
@@ -78,8 +80,10 @@ def sco2_mix(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
+    """Eligible shades against the anchors, with the columns that pools need; computed where they are used."""
     df = relational.with_colour(relational.eligible(fixtures.shades(spark, sf_dir)))
-    return tables.stored(pools.distances(tables.stored(df, "catalogue"), fixtures.anchors(spark)), "pairs")
+    df = df.select("product_id", "shade_id", "r", "g", "b", "L_lab", "a_lab", "b_lab", "C_lab", "H_lab_deg")
+    return pools.distances(tables.stored(df, "catalogue"), fixtures.anchors(spark))
 
 
 _ELIGIBLE = PAIRS.replace("where r is not null)", f"where r is not null and not {BAD})", 1)
@@ -118,7 +122,7 @@ def pol5_adaptive(spark, sf_dir):
 )
 def pol3_hue_family(spark, sf_dir):
     p = _pairs(spark, sf_dir)
-    return pools.effective_inventory(p, tables.stored(pools.coverage(p), "coverage")).groupBy("query_id").agg(F.count("*").alias("n"))
+    return pools.effective_inventory(p, pools.coverage(p)).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -134,54 +138,75 @@ def pol8_naming_pool(spark, sf_dir):
     return pools.naming_pool(long, q).select("query_id", "shade_id", F.round("p", 6).alias("p"))
 
 
-def texts(spark, sf_dir):
-    """Wishes of customers."""
-    names = F.array(*(F.lit(a[0]) for a in fixtures.ANCHORS))
-    form = F.array(*map(F.lit, ("I want a {c} lipstick", "I want {c} lipstick", "Looking for a {c} shade", "Give me a {c} lip color")))
-    tail = F.array(*map(F.lit, ("", " but not too bright", ", not neon", " but really not too bright", " that is darker")))
-    k = F.col("c_custkey")
-    at = lambda a, n: F.element_at(a, (k % n + 1).cast("int"))
-    return fixtures.table(spark, sf_dir, "customer").select(k.alias("text_id"), F.concat(F.replace(at(form, 4), F.lit("{c}"), at(names, 17)), at(tail, 5)).alias("text"))
-
-
-@query()
+def _wishes(spark, sf_dir):
+    queries, cons = recommend.wishes(texts(spark, sf_dir), fixtures.anchors(spark))
+    return tables.stored(queries, "queries"), tables.stored(cons, "constraints")
+
+
+def _wish_pools() -> tuple[str, ...]:
+    """SQL of the pools of every (anchor, constrained): counts, the ladder's choice, and the rows."""
+    widths = [f"least(base + {w}, 30)" for w in (0, 2, 4, 8, 12)]
+    inside = {"inv": "true", "band": "band", "wide": "wide"}
+    counts = ", ".join([f"count(*) filter (guard and de00 <= base) as hard", *(f"count(*) filter ({x}) as {s}_n" for s, x in inside.items()), *(f"count(*) filter ({x} and de00 <= {w}) as {s}_{k}" for s, x in inside.items() for k, w in enumerate(widths))])
+
+    def of(source, least, what):
+        value = (lambda k: widths[k]) if what == "thr" else (lambda k: f"{source}_{k}")
+        cases = [f"when {source}_{k} >= {least} then {value(k)}" for k in range(5)] + [f"when {source}_{k} > 0 then {value(k)}" for k in (4, 3, 2, 1, 0)]
+        return f"(case {' '.join(cases)} else {'null' if what == 'thr' else f'least({source}_n, {least})'} end)"
+
+    def step(k, rules):
+        """The choice k from the choice k - 1: rules are (condition, source, least size, stage)."""
+        pick = lambda make, old: "case " + " ".join(f"when {c} then {make(*r)}" for c, *r in rules) + f" else {old} end"
+        return (
+            f"l{k} as (select * exclude (src, thr, near_n, size, method), {pick(lambda s, n, m: repr(s), 'src')} as src, {pick(lambda s, n, m: of(s, n, 'thr'), 'thr')} as thr, {pick(lambda s, n, m: str(n), 'near_n')} as near_n, "
+            f"{pick(lambda s, n, m: 'least(' + of(s, n, 'n') + ', 1200)', 'size')} as size, {pick(lambda s, n, m: f'method || {chr(39)}+{m}{chr(39)}', 'method')} as method from l{k - 1})"
+        )
+
+    return (
+        "mk as (select *, abs((((hue_hsv_deg - anchor_hue + 180) % 360 + 360) % 360) - 180) <= 28 as near, abs((((H_lab_deg - ah + 180) % 360 + 360) % 360) - 180) as hd from (select *, ((degrees(atan2(round(anchor_b, 10), round(anchor_a, 10))) % 360) + 360) % 360 as ah from pairs))",
+        f"mq as (select *, hd <= least(greatest(anchor_C*0.2 + 18, 18), 36) as band, hd <= 32 as wide, {_GUARD} as guard, count(*) filter (de00 <= base) over w < 20 and anchor_C < 55 and bool_or(near) over w as fam from mk window w as (partition by query_id))",
+        "iv as (select * from mq where not fam or near)",
+        f"pc as (select query_id, any_value(base) as base, {counts} from iv group by query_id)",
+        "l0 as (select *, 'hard' as src, cast(base as double) as thr, 1200 as near_n, least(hard, 1200) as size, 'hard' as method from pc, (values (false), (true)) v(con))",
+        step(1, [("con and size < 120 and band_n > 0", "band", 120, "band"), ("con and size < 120 and inv_n > 0", "inv", 120, "constraints")]),
+        step(2, [("size < 10 and inv_n > 0", "inv", 10, "adaptive")]),
+        step(3, [("size < 10 and wide_n > 0", "wide", 10, "wide")]),
+        "pw as (select iv.*, con, method, row_number() over (partition by query_id, con order by round(de00, 9), product_id, shade_id) as pk, thr, near_n from iv join l3 using (query_id) where (thr is null or de00 <= thr) and case src when 'hard' then guard when 'band' then band when 'wide' then wide else true end)",
+        "po as (select * from pw where pk <= 1200 and (thr is not null or pk <= near_n))",
+    )
+
+
+_WISHED = (
+    SHADES, ANCHORS, _ELIGIBLE, _WISH, tokens("(select text_id, text as t from w)", "text_id"), *constraint_parts("text_id"),
+    "nm as (select text_id, arg_min(word, i) as name from tok join anchors on query_id = word group by text_id)",
+    "ax as (select text_id, any_value(axis) as axis from co group by text_id)",  # a wish has one axis word at most, and lowers it strongly
+    "qs as (select text_id, name, case axis when 'brightness' then 'light_hsl' when 'vibrancy' then 'sat_eff' end as dim from nm left join ax using (text_id))",
+    *_wish_pools(),
+    "ws as (select po.*, q.dim from po join (select distinct name, dim from qs) q on q.name = po.query_id and (q.dim is not null) = po.con)",
+    f"""tv as (select query_id, dim, case dim when 'light_hsl' then case when count(*) >= {RELATIVE['light_hsl'][0]} then quantile_cont(light_hsl, {1 - RELATIVE['light_hsl'][1][0]!r}) else {THRESHOLDS['light_hsl'][0]!r} end when 'sat_eff' then {THRESHOLDS['sat_eff'][0]!r} end as thr,
+  case dim when 'light_hsl' then {SCALE_IQR['light_hsl']!r}::double when 'sat_eff' then {SCALE_IQR['sat_eff']!r}::double end as scale from ws group by query_id, dim)""",
+    f"""wv as (select ws.*, sqrt(power(L_lab-anchor_L,2)+power(a_lab-anchor_a,2)+power(b_lab-anchor_b,2))/{DELTA_E_REF!r} as den, tv.thr as t, scale, case ws.dim when 'light_hsl' then light_hsl when 'sat_eff' then sat_eff end as v
+  from ws join tv on tv.query_id = ws.query_id and tv.dim is not distinct from ws.dim)""",
+    "sc as (select *, -den - 8*coalesce(greatest(0, v - t)/scale, 0) + 4.8*coalesce(tanh(t/scale - v/scale), 0) as score from wv)",
+    "d1 as (select *, row_number() over (partition by query_id, dim, url, shade_name order by round(score, 9) desc, product_id, shade_id) as k1 from sc)",
+    "d2 as (select *, score - den * case when dim is not null and anchor_C < 25 then 2.25 when dim is not null then 1.5 else 0.75 end as total from d1 where k1 = 1)",
+    "d3 as (select *, row_number() over (partition by query_id, dim order by round(total, 9) desc, product_id, shade_id) as rank from d2)",
+)
+
+
+@query(with_(*_WISHED, select="select qs.text_id as query_id, rank, product_id, shade_id, round(total, 6) as score_total, method as pool_method from d3 join qs on qs.name = d3.query_id and qs.dim is not distinct from d3.dim where rank <= 20"))
 def sco14_recommend(spark, sf_dir):
-    distinct = texts(spark, sf_dir).groupBy("text").agg(F.min("text_id").alias("text_id"))
-    queries, cons = recommend.wishes(distinct, fixtures.anchors(spark))
-    queries, cons = tables.stored(queries, "queries"), tables.stored(cons, "constraints")
+    queries, cons = _wishes(spark, sf_dir)
     got = recommend.recommend(fixtures.shades(spark, sf_dir), queries, cons, calibration.calibration(spark))
     return got.select("query_id", "rank", "product_id", "shade_id", F.round("score_total", 6).alias("score_total"), "pool_method")
 
 
-_WISH = "w as (select c_custkey as text_id, replace(case c_custkey % 4 when 0 then 'I want a {c} lipstick' when 1 then 'I want {c} lipstick' when 2 then 'Looking for a {c} shade' else 'Give me a {c} lip color' end, '{c}', (['red','pink','fuchsia','purple','mauve','orange','coral','peach','brown','nude','beige','blue','green','yellow','black','white','gray'])[c_custkey % 17 + 1]) || case c_custkey % 5 when 0 then '' when 1 then ' but not too bright' when 2 then ', not neon' when 3 then ' but really not too bright' else ' that is darker' end as text from customer)"
-
-
-@query(with_(_WISH, select="""select text_id, case c5 when 1 then 'brightness' when 2 then 'vibrancy' when 3 then 'brightness' else 'brightness' end as axis, 'lower' as direction, case c5 when 1 then 'strong' when 3 then 'strong' else 'med' end as strength,
-  case c5 when 1 then 'not too bright' when 2 then 'not neon' when 3 then 'not too bright' else 'darker' end as evidence from (select *, text_id % 5 as c5 from w) where c5 > 0"""))
-def txt13_constraints(spark, sf_dir):
-    return preference.extract_constraints(texts(spark, sf_dir)).drop("start")
-
-
-@query(with_(_WISH, select="select text_id, (['red','pink','fuchsia','purple','mauve','orange','coral','peach','brown','nude','beige','blue','green','yellow','black','white','gray'])[text_id % 17 + 1] as name, case when text_id % 4 in (0, 3) and text_id % 4 = 3 then 3 when text_id % 4 = 0 then 3 when text_id % 4 = 1 then 2 else 3 end as start from w"))
-def txt3_mentions(spark, sf_dir):
-    aliases = fixtures.anchors(spark).select(F.col("query_id").alias("alias"), F.col("query_id").alias("name"))
-    return preference.mentions(texts(spark, sf_dir), aliases).select("text_id", "name", "start")
-
-
-@query(with_(_WISH, select="select text_id, case when text_id % 5 in (1, 2, 3) then 'UNKNOWN' else 'LIKE' end as polarity from w"))
-def txt6_polarity(spark, sf_dir):
-    return texts(spark, sf_dir).select("text_id", preference.polarity(F.col("text")).alias("polarity"))
-
-
-@query()
-def txt1_clauses(spark, sf_dir):
-    return preference.clauses(texts(spark, sf_dir))
-
-
-@query()
-def txt26_interpret(spark, sf_dir):
-    aliases = fixtures.anchors(spark).select(F.col("query_id").alias("alias"), F.col("query_id").alias("name"))
-    return preference.interpret(texts(spark, sf_dir), aliases)
+@query(with_(*_WISHED, "cv as (select query_id, round(min(de00), 5) as min_de, count(*) filter (de00 <= base) as n_within from pairs group by query_id)",
+    select="select qs.text_id as query_id, min_de, n_within, least(l3.hard, 1200) as size_hard, l3.size as pool_size, round(l3.thr, 5) as thr, method as pool_method from qs join l3 on l3.query_id = qs.name and l3.con = (qs.dim is not null) join cv on cv.query_id = qs.name"))
+def sco15_explain(spark, sf_dir):
+    queries, cons = _wishes(spark, sf_dir)
+    got = recommend.explain(fixtures.shades(spark, sf_dir), queries, cons, calibration.calibration(spark), k=1)
+    return got.select("query_id", F.round("min_de", 5).alias("min_de"), "n_within", "size_hard", "pool_size", F.round("thr", 5).alias("thr"), "pool_method")
 
 
 _INTENT = "i as (select c_custkey // 4 as text_id, case c_nationkey % 3 when 0 then 'brightness' when 1 then 'depth' else 'vibrancy' end as axis, case when c_custkey % 2 = 0 then 'raise' else 'lower' end as direction, case c_nationkey % 5 when 0 then 3 when 1 then 1 else 2 end as s from customer)"
@@ -193,7 +218,7 @@ def txt21_merge_intents(spark, sf_dir):
     c = fixtures.table(spark, sf_dir, "customer")
     n = F.col("c_nationkey") % 5
     intents = c.select(F.floor(F.col("c_custkey") / 4).alias("text_id"), F.when(F.col("c_nationkey") % 3 == 0, "brightness").when(F.col("c_nationkey") % 3 == 1, "depth").otherwise("vibrancy").alias("axis"), F.when(F.col("c_custkey") % 2 == 0, "raise").otherwise("lower").alias("direction"), F.when(n == 0, "strong").when(n == 1, "weak").otherwise("med").alias("strength"))
-    return preference.merge_intents(intents)
+    return preference.merge_intents(intents).drop("has_dislike")
 
 
 _KEYS = "keys as (select label, arg_min(embedding, vec_id) as embedding, min(vec_id) as key_id from embeddings group by label)"

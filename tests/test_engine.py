@@ -69,10 +69,30 @@ def test_merging_and_conflicts(spark):
     got = {r["text_id"]: r for r in preference.merge_intents(spark.createDataFrame(rows, "text_id int, axis string, direction string, strength string")).collect()}
     assert got[1]["direction"] is None and got[1]["conflict"] and got[2]["direction"] == "raise"
     decisions = spark.createDataFrame([(2, "depth", "raise", "weak", True)], "text_id int, axis string, direction string, strength string, has_dislike boolean")
-    assert preference.constraint_blobs(preference.decision_thresholds(decisions)).first()["constraints"] == "depth>=0.5:1.5"
-    rows = [(1, "depth", "raise", "med", 0.5, "deep", "DISLIKE"), (1, "depth", "raise", "strong", 0.4, "too deep", "DISLIKE")]
-    got = preference.resolve_conflicts(spark.createDataFrame(rows, "text_id int, axis string, direction string, strength string, confidence double, evidence string, polarity string")).collect()
-    assert {(r["direction"], r["status"]) for r in got} == {("raise", "kept"), ("lower", "conflict")}
+    assert preference.decision_thresholds(decisions).select("cut", "weight").first()[:] == (0.55, 1.5)
+    assert preference.constraint_blobs(preference.decision_thresholds(decisions)).first()["constraints"] == "depth>=high:1.5"
+    form = "text_id int, clause_id int, start int, axis string, direction string, strength string, confidence double, evidence string, polarity string"
+    rows = [(1, 0, 3, "depth", "raise", "med", 0.5, "deep", "DISLIKE"), (1, 1, 2, "depth", "raise", "strong", 0.4, "too deep", "DISLIKE"), (2, 0, 1, "depth", "raise", "strong", 0.4, "deep", "LIKE"), (2, 1, 1, "depth", "lower", "weak", 0.9, "not deep", "LIKE")]
+    got = preference.resolve_conflicts(spark.createDataFrame(rows, form)).collect()
+    assert {(r["text_id"], r["direction"], r["normalised"], r["status"]) for r in got} == {(1, "lower", "cap_guard", "kept"), (1, "lower", "invert_dislike_raise", "duplicate"), (2, "raise", None, "kept"), (2, "lower", None, "conflict")}
+
+
+@pytest.mark.parametrize("dim,op,cut,level", [("light_hsl", ">=", 0.55, "very_high"), ("light_hsl", "<=", 0.46, "low"), ("light_hsl", "<=", 0.47, "medium"), ("light_hsl", "<=", 0.1, "low"), ("light_hsl", ">=", 0.9, "very_high"), ("sat_eff", ">=", 0.5, "high"), ("sat_eff", "<=", 0.5, "medium"), ("sat_eff", "<=", 1.0, "very_high"), ("depth", ">=", 0.0, "low")])
+def test_levels_snap_up_for_floors_and_down_for_caps(spark, dim, op, cut, level):
+    cuts = F.array(*map(F.lit, calibration.THRESHOLDS[dim]))
+    assert spark.range(1).select(preference.snapped_level(F.lit(cut), F.lit(op), cuts)).first()[0] == level
+
+
+def test_interpretation_splits_likes_from_dislikes(spark):
+    rows = [(1, "I want red but not pink. It is too bright"), (2, "only (not blue) please"), (3, ""), (4, None), (5, "avoid pink; I love a deeper red, less muted")]
+    aliases = spark.createDataFrame([(n, n) for n in ("red", "pink", "blue")], "alias string, name string")
+    got = {r["text_id"]: r for r in preference.interpret(spark.createDataFrame(rows, "text_id int, text string"), aliases).collect()}
+    said = lambda k: [(m["name"], m["polarity"]) for m in got[k]["mentions"] or []]
+    assert said(1) == [("red", "LIKE"), ("pink", "DISLIKE")] and said(2) == [("blue", "DISLIKE")] and said(3) == said(4) == []
+    assert said(5) == [("pink", "DISLIKE"), ("red", "LIKE")]
+    assert [(c["axis"], c["direction"], c["strength"], c["evidence"]) for c in got[1]["constraints"]] == [("brightness", "lower", "strong", "too bright")]
+    assert sorted((c["axis"], c["direction"]) for c in got[5]["constraints"]) == [("depth", "raise"), ("saturation", "raise")]
+    assert set(got) == {1, 2, 3, 4, 5}
 
 
 def test_snap_relaxes_numeric_cutpoints(spark):
