@@ -63,6 +63,13 @@ def variants(t: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(t, ish, y, s)))
 
 
+def preferred(t: Column, present: Column) -> Column:
+    """Of a token's variants, the one to look up: the token itself if present holds it, else the shortest variant there, else the token."""
+    known = F.filter(variants(t), lambda v: F.array_contains(present, v))
+    best = F.array_min(F.transform(known, lambda v: F.struct((v != t).alias("other"), F.length(v).alias("n"), v.alias("v"))))["v"]
+    return F.coalesce(best, t)
+
+
 def url_product(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"-(P\d+)\.html", 1), F.lit(""))
 

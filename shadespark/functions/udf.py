@@ -32,8 +32,8 @@ def _characters(df: DataFrame, name: str) -> DataFrame:
     return df.select(name, "_n", F.transform("_c", lambda x, i: F.concat(x, F.size(F.filter(F.slice("_c", 1, i + 1), lambda y: y == x)))).alias("_t"))
 
 
-def fuzzy_matches(words: DataFrame, keys: DataFrame, cutoff: float = 92.0, least: int = 6) -> DataFrame:
-    """(word, key, ratio) of all words of at least `least` characters and single-word keys that differ in length by at most 6 and reach the cutoff (over 0).
+def fuzzy_matches(words: DataFrame, keys: DataFrame, cutoff: float = 92.0, least: int = 6, single: bool = True) -> DataFrame:
+    """(word, key, ratio) of all words of at least `least` characters and keys that reach the cutoff (over 0); if single, only keys of one word that differ in length by at most 6.
 
     A ratio needs cutoff / 200 of both lengths in common characters, and so cutoff / (200 - cutoff) of either
     one. In any order of the characters, here the rare ones first, such a pair shares one among the first
@@ -42,7 +42,7 @@ def fuzzy_matches(words: DataFrame, keys: DataFrame, cutoff: float = 92.0, least
     if cutoff <= 0:
         raise ValueError("the cutoff must be over 0")
     w = _characters(words.select("word").distinct().where(F.length("word") >= least), "word")
-    k = _characters(keys.select("key").distinct().where(F.instr("key", " ") == 0), "key")
+    k = _characters(keys.select("key").distinct().where((F.instr("key", " ") == 0) | F.lit(not single)), "key")
     often = k.select(F.explode("_t").alias("_x")).groupBy("_x").agg(F.count("*").alias("_often"))
 
     def first(df: DataFrame, name: str, size: str) -> DataFrame:
@@ -51,7 +51,7 @@ def fuzzy_matches(words: DataFrame, keys: DataFrame, cutoff: float = 92.0, least
         order = Window.partitionBy(name).orderBy(F.coalesce("_often", F.lit(0)), "_x")
         return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col(size) - F.col("_needed") + 1).select("_x", name, size)
 
-    j = first(w, "word", "_a").join(first(k, "key", "_b"), "_x").where(F.abs(F.col("_a") - F.col("_b")) <= 6).select("word", "key").distinct()
+    j = first(w, "word", "_a").join(first(k, "key", "_b"), "_x").where((F.abs(F.col("_a") - F.col("_b")) <= 6) | F.lit(not single)).select("word", "key").distinct()
     j = j.join(w.select("word", F.col("_n").alias("_a"), F.col("_t").alias("_s")), "word").join(k.select("key", F.col("_n").alias("_b"), "_t"), "key")
     j = j.where(F.size(F.array_intersect("_s", "_t")) >= (F.col("_a") + F.col("_b")) * (cutoff / 200.0) - 1e-9).select("word", "key")
     return j.withColumn("ratio", ratcliff_ratio("word", "key")).where(F.col("ratio") >= cutoff).select("word", "key", "ratio")

@@ -9,44 +9,103 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import color, stats
+from ..sources.tables import stored
+
+
+#: Ranges that the values of a group are cut into for exact ranks and quantiles.
+BINS = 64
+
+
+def ranged(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """df with _bin: ascending ranges of value in each group, cut at approximate quantiles, so that no task need order a whole group."""
+    cuts = F.percentile_approx(value, F.array(*(F.lit(k / BINS) for k in range(1, BINS))), 1000)
+    edges = df.groupBy(*by).agg(cuts.alias("_cuts")) if by else df.agg(cuts.alias("_cuts"))
+    j = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))
+    return j.withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+
+
+def offsets(binned: DataFrame, by: Sequence[str], what: Column) -> DataFrame:
+    """by, _bin, _in (sum of what in the bin), _before (in the bins before it): at most BINS rows a group."""
+    each = binned.groupBy(*by, "_bin").agg(what.alias("_in"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return each.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+
+
+def exact_quantiles(long: DataFrame, by: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """by, n, q: exact quantiles of a group's values with linear interpolation; NULL values do not count.
+
+    Equal values are counted first; of the rest, only the ranges that hold a wanted rank are ordered.
+    """
+    one = ["_all"] if not by else list(by)
+    rows = long.withColumn("_all", F.lit(1)) if not by else long
+    counts = stored(rows.where(F.col(value).isNotNull()).groupBy(*one, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "value-counts")
+    binned = ranged(counts, one, "_v")
+    at = offsets(binned, one, F.sum("_n"))
+    total = at.groupBy(*one).agg(F.sum("_in").alias("_total"))
+    ranks = [F.col("_total") - 1 if q == 1 else (F.col("_total") - 1) * q for q in qs]
+    wanted = [f(r) for r in ranks for f in (F.floor, F.ceil)]
+    hit = at.join(total, one)
+    some = F.lit(False)
+    for w in wanted:
+        some = some | ((w >= F.col("_before")) & (w < F.col("_before") + F.col("_in")))
+    run = F.sum("_n").over(Window.partitionBy(*one, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = binned.join(hit.where(some), [*one, "_bin"]).withColumn("_upto", run + F.col("_before"))
+    found = lambda w: F.max(F.when((w >= F.col("_upto") - F.col("_n")) & (w < F.col("_upto")), F.col("_v")))
+    got = rows.groupBy(*one).agg(F.first("_total").alias("_total"), *(found(w).alias(f"_w{k}") for k, w in enumerate(wanted)))
+    mixed = [F.col(f"_w{2 * k}") + (F.col(f"_w{2 * k + 1}") - F.col(f"_w{2 * k}")) * (r - F.floor(r)) for k, r in enumerate(ranks)]
+    return got.select(*by, F.col("_total").alias("n"), F.array(*mixed).alias("q"))
+
+
+def _long(df: DataFrame, by: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
+    return df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*by, "x.*")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation; by, axis, q array, n."""
-    aggs = [F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in columns]
-    wide = df.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
-    return wide.select(*by, "n", F.explode(F.array(*(F.struct(F.lit(c).alias("axis"), F.col(c).alias("q")) for c in columns))).alias("x")).select(*by, "n", "x.axis", "x.q")
+    return exact_quantiles(_long(df, by, columns, "axis"), [*by, "axis"], "v", qs).select(*by, "n", "axis", "q")
 
 
 def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """dim, iqr and population standard deviation."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("dim"), F.col(c).alias("v")) for c in columns))).alias("x")).select("x.*")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
-    return long.groupBy("dim").agg((q[1] - q[0]).alias("iqr"), F.stddev_pop("v").alias("std"))
+    long = _long(df, [], columns, "dim")
+    q = exact_quantiles(long, ["dim"], "v", (0.25, 0.75)).select("dim", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    return q.join(long.groupBy("dim").agg(F.stddev_pop("v").alias("std")), "dim")
 
 
 def weighted_mean(df: DataFrame, by: Sequence[str], columns: Sequence[str], w: str) -> DataFrame:
     return df.groupBy(*by).agg(*(F.try_divide(F.sum(F.col(w) * F.col(c)), F.sum(w)).alias(c) for c in columns))
 
 
-def weighted_quantile(df: DataFrame, by: Sequence[str], value: str, w: str, q: float, order: Sequence[str]) -> DataFrame:
+def weighted_quantile(df: DataFrame, by: Sequence[str], value: str, w: str, q: float) -> DataFrame:
     """The smallest value whose share of the weight up to it reaches q."""
-    run = Window.partitionBy(*by).orderBy(value, *order).rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum(w).over(run) / F.sum(w).over(Window.partitionBy(*by))
-    return df.withColumn("_share", share).groupBy(*by).agg(F.min(F.when(F.col("_share") >= q, F.col(value))).alias("value"))
+    steps = stored(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(w).alias("_w")), "weights")
+    binned = ranged(steps, by, "_v")
+    at = offsets(binned, by, F.sum("_w"))
+    total = at.groupBy(*by).agg(F.sum("_in").alias("_total"))
+    run = F.sum("_w").over(Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = binned.join(at.join(total, list(by)), [*by, "_bin"]).withColumn("_share", (run + F.col("_before")) / F.col("_total"))
+    return rows.groupBy(*by).agg(F.min(F.when(F.col("_share") >= q, F.col("_v"))).alias("value"))
 
 
 def lab_medoids(df: DataFrame, by: Sequence[str], value: str, order: str, w: Column | None = None, columns: Sequence[str] = ("L_lab", "a_lab", "b_lab")) -> DataFrame:
     """by, medoid: the value of the smallest (weighted) sum of squared distances, which is the one nearest the (weighted) mean."""
     w = F.lit(1.0) if w is None else w
-    over = Window.partitionBy(*by)
-    means = {f"_m{k}": F.try_divide(F.sum(w * F.col(c)).over(over), F.sum(w).over(over)) for k, c in enumerate(columns)}
+    means = df.groupBy(*by).agg(*(F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"_m{k}") for k, c in enumerate(columns)))
     d2 = sum((F.col(c) - F.col(f"_m{k}")) * (F.col(c) - F.col(f"_m{k}")) for k, c in enumerate(columns))
-    return df.withColumns(means).groupBy(*by).agg(F.min_by(value, F.struct(F.round(d2, 9), F.col(order))).alias("medoid"))
+    return df.join(means, list(by)).groupBy(*by).agg(F.min_by(value, F.struct(F.round(d2, 9), F.col(order))).alias("medoid"))
 
 
 def median_lab(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by).agg(*(F.percentile(c, 0.5).alias(c) for c in ("L_lab", "a_lab", "b_lab")))
+    axes = ("L_lab", "a_lab", "b_lab")
+    q = exact_quantiles(_long(df, by, axes, "axis"), [*by, "axis"], "v", (0.5,))
+    return q.groupBy(*by).agg(*(F.max(F.when(F.col("axis") == c, F.col("q")[0])).alias(c) for c in axes))
+
+
+def tails(df: DataFrame) -> DataFrame:
+    """c90, l10, l90: the 0.9 quantile of chroma and the 0.1 and 0.9 quantiles of lightness, one row."""
+    q = quantiles(df, [], ["C_lab", "L_lab"], (0.1, 0.9))
+    at = lambda axis, k: F.max(F.when(F.col("axis") == axis, F.col("q")[k]))
+    return q.agg(at("C_lab", 1).alias("c90"), at("L_lab", 0).alias("l10"), at("L_lab", 1).alias("l90"))
 
 
 def hue_means(df: DataFrame, by: Sequence[str], hue: str) -> DataFrame:
@@ -59,7 +118,8 @@ def cluster_report(df: DataFrame, prototypes: DataFrame) -> DataFrame:
     d = color.delta_e76(F.col("L_lab"), F.col("a_lab"), F.col("b_lab"), F.col("L_lab_p"), F.col("a_lab_p"), F.col("b_lab_p"))
     j = df.join(p, "cluster_id").withColumn("_d", d)
     cols = [f(c).alias(f"{n}_{c[0]}") for c in ("L_lab", "a_lab", "b_lab") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    return j.groupBy("cluster_id").agg(F.count("*").alias("n"), *cols, F.avg("_d").alias("mean_de"), F.percentile("_d", 0.9).alias("p90_de"))
+    far = exact_quantiles(j, ["cluster_id"], "_d", (0.9,)).select("cluster_id", F.col("q")[0].alias("p90_de"))
+    return j.groupBy("cluster_id").agg(F.count("*").alias("n"), *cols, F.avg("_d").alias("mean_de")).join(far, "cluster_id")
 
 
 def mode_first(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -69,7 +129,9 @@ def mode_first(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), *(F.percentile(value, q).alias(f"q{round(q * 100)}") for q in (0.25, 0.5, 0.75)), F.max(value).alias("max"))
+    quarters = exact_quantiles(df, [], value, (0.25, 0.5, 0.75)).select(*(F.col("q")[k].alias(f"q{25 * (k + 1)}") for k in range(3)))
+    plain = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return plain.join(quarters, F.lit(True), "left").select("n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def upper_median(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -57,24 +57,42 @@ def from_preferences(prefs: DataFrame) -> DataFrame:
     return prefs.select("query_id", dim.alias("dim"), F.when(F.col("direction") == "raise", ">=").otherwise("<=").alias("op"), lookup(LEVEL_OF, F.col("direction"), F.col("strength")).alias("level"), weight.alias("weight"))
 
 
-def thresholds(pool: DataFrame, constraints: DataFrame, calibration: DataFrame) -> DataFrame:
-    """constraints with threshold and scale. Levels of relative dimensions are quantiles of the query's pool if that is large enough; all eight quantiles of a dimension come from one aggregation."""
+def thresholds(pool: DataFrame, constraints: DataFrame, calibration: DataFrame, shared: bool = False) -> DataFrame:
+    """constraints with threshold and scale. Levels of relative dimensions are quantiles of the query's pool if that is large enough; all eight quantiles of a dimension come from one aggregation.
+
+    Pools of queries (query_id) are capped, so that a group is small. With shared, pool is one catalogue of any
+    size for all queries, and its exact quantiles are made once.
+    """
     level = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level")).cast("int")
-    c = constraints.join(F.broadcast(calibration), "dim").withColumn("_k", level)
+    c = constraints.join(calibration, "dim").withColumn("_k", level)
     relative = calibration.where("relative").select("dim", "quantiles").collect()  # one row for each scoring dimension
     aggs = [F.percentile(r["dim"], F.array(*(F.lit(min(0.999, max(0.001, x))) for q in r["quantiles"] for x in (q, 1 - q)))).alias(r["dim"]) for r in relative]
     counts = [F.count(r["dim"]).alias(f"_n_{r['dim']}") for r in relative]
+    if shared:
+        from .aggregates import exact_quantiles
+
+        every = [(r["dim"], r["quantiles"]) for r in relative]
+        values = pool.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("v")) for d, _ in every))).alias("x")).select("x.*")
+        at = lambda q: min(0.999, max(0.001, q))
+        grid = sorted({at(x) for _, qs in every for q in qs for x in (q, 1 - q)})
+        got = exact_quantiles(values, ["dim"], "v", grid)
+        pick = F.coalesce(*(F.when(F.col("dim") == d, F.array(*(F.col("q")[grid.index(at(x))] for q in qs for x in (q, 1 - q)))) for d, qs in every))
+        j = c.join(got.select("dim", pick.alias("_q"), F.col("n").alias("_n")), "dim", "left")
+        return _resolved(j, constraints.columns)
     wide = pool.groupBy("query_id").agg(*aggs, *counts)
     long = wide.select("query_id", F.explode(F.array(*(F.struct(F.lit(r["dim"]).alias("dim"), F.col(r["dim"]).alias("_q"), F.col(f"_n_{r['dim']}").alias("_n")) for r in relative))).alias("x")).select("query_id", "x.*")
-    j = c.join(long, ["query_id", "dim"], "left")
+    return _resolved(c.join(long, ["query_id", "dim"], "left"), constraints.columns)
+
+
+def _resolved(j: DataFrame, columns: list[str]) -> DataFrame:
     own = F.when(F.col("relative") & (F.col("_n") >= F.col("min_pool_n")) & (F.col("_n") > 0), F.element_at("_q", F.col("_k") * 2 - F.when(F.col("op") == "<=", 0).otherwise(1)))
     fixed = F.when(F.col("_k") > 0, F.element_at("thresholds", F.col("_k")))
-    return j.withColumn("threshold", F.coalesce("cutpoint", own, fixed)).select(*constraints.columns, "threshold", "scale")
+    return j.withColumn("threshold", F.coalesce("cutpoint", own, fixed)).select(*columns, "threshold", "scale")
 
 
 def apply_constraints(pool: DataFrame, resolved: DataFrame) -> DataFrame:
     """pool with constraint_penalty_norm, constraint_tilt_norm and the breakdown array; a missing value counts as at the threshold."""
-    suffix = F.coalesce(F.regexp_replace(F.format_string("%.6f", F.col("cutpoint")), r"\.?0+$", ""), F.col("level"))
+    suffix = F.when(F.col("cutpoint").isNull(), F.col("level")).otherwise(F.regexp_replace(F.format_string("%.6f", F.col("cutpoint")), r"\.?0+$", ""))
     packed = resolved.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ord", "dim", "op", suffix.alias("suffix"), "threshold", "scale", "weight"))).alias("_cs"))
     dims = F.create_map(*(x for d in SCORING_DIMS for x in (F.lit(d), F.col(d))))
 

@@ -95,6 +95,17 @@ def naming_pool(long: DataFrame, queries: DataFrame, least: float = 0.20, few: i
     return j.where(F.when(F.col("_many") >= few, F.col("p") >= least).otherwise(F.col("pool_rank") <= top)).drop("_many")
 
 
+def naming_gate(cov: DataFrame, sizes: DataFrame, labelled: DataFrame, few: int = 20) -> DataFrame:
+    """query_id, gate: whether a query's shades come from naming probabilities: its label is supported, and it has fewer than `few` shades within its threshold, none there at all, or a pool of fewer than `few`.
+
+    cov: of coverage, with anchor_C; sizes: query_id, size of the pool (none: 0); labelled: query_id of supported labels.
+    """
+    known = labelled.select("query_id", F.lit(True).alias("_known")).distinct()
+    j = cov.join(sizes, "query_id", "left").join(known, "query_id", "left")
+    poor = (F.col("n_within") < few) | (F.col("min_de") > base_threshold()) | (F.coalesce("size", F.lit(0)) < few)
+    return j.select("query_id", (F.coalesce("_known", F.lit(False)) & F.coalesce(poor, F.lit(True))).alias("gate"))
+
+
 def _marks(shades: DataFrame, queries: DataFrame) -> DataFrame:
     """All pairs, with what the ladder of pools asks: _near (28 degrees in HSV hue), _band and _wide (bands in Lab hue), _guard."""
     anchor = color.hue_deg(F.col("anchor_a"), F.col("anchor_b"))

@@ -123,6 +123,29 @@ def signature(ranked_: DataFrame, by: str, key: Column, rank: str = "rank") -> D
     return ranked_.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank), key.alias("k")))), lambda x: x["k"]).alias("keys"))
 
 
+def with_inventory(top: DataFrame, inventory: DataFrame, keys: Sequence[str], suffix: str = "__inv") -> DataFrame:
+    """top with all other columns of the inventory under their name and the suffix; an inventory key counts once, with its smallest row."""
+    others = [c for c in inventory.columns if c not in keys]
+    one = inventory.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_r"))
+    return top.join(one, list(keys), "left").select(*top.columns, *(F.col(f"_r.{c}").alias(c + suffix) for c in others))
+
+
+def attach_features(labels: DataFrame, features: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """labels with the feature columns on the best key that both have; rows without features go."""
+    return left_on_best_key(labels, features, columns).where(" and ".join(f"{c} is not null" for c in columns))
+
+
+def unique_share(df: DataFrame, column: str) -> DataFrame:
+    """n (distinct values), share of them that occur once."""
+    each = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    return each.agg(F.count("*").alias("n"), F.avg((F.col("_n") == 1).cast("double")).alias("share"))
+
+
+def goldens(ranked_: DataFrame, by: str, key: Column, k: int, rank: str = "rank") -> DataFrame:
+    """by, keys: the first k keys of each scenario, to be stored and checked against later rankings (golden_check)."""
+    return signature(ranked_.where(F.col(rank) <= k), by, key, rank)
+
+
 def golden_check(golden: DataFrame, got: DataFrame, key: str = "scenario_id") -> DataFrame:
     """key, status: pass, fail, missing golden or missing result."""
     g = golden.select(key, F.col("keys").alias("_g"))
@@ -140,11 +163,20 @@ def even_picks(df: DataFrame, order: Sequence, n: int) -> DataFrame:
     return df.withColumns({"_i": at, "_t": total}).where(F.array_contains(spots, F.col("_i").cast("bigint"))).drop("_i", "_t")
 
 
-def top_fractions(df: DataFrame, by: str, order: Sequence, low_order: Sequence, share: float = 0.15, least: int = 50) -> DataFrame:
-    """Weak labels: the top and bottom share (half-even, at least 1) of each group of at least `least` rows, as 1 and 0."""
-    n = F.count("*").over(Window.partitionBy(by))
+def top_fractions(df: DataFrame, by: str, value: str, key: str, share: float = 0.15, least: int = 50) -> DataFrame:
+    """Weak labels: the rows of the largest and the smallest share (half-even, at least 1) of each group of at least `least` rows, as 1 and 0.
+
+    Rows go by value, of equal ones the smaller key first from above; rows without value do not count. Ranks
+    are made inside ranges of the value, so that a group is never in one task.
+    """
+    from .aggregates import offsets, ranged
+
+    binned = ranged(df.where(F.col(value).isNotNull()), [by], value)
+    at = offsets(binned, [by], F.count("*"))
+    sizes = at.groupBy(by).agg(F.sum("_in").alias("_n")).where(F.col("_n") >= least)
     k = F.greatest(F.bround(F.col("_n") * share).cast("int"), F.lit(1))
-    up = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    down = F.row_number().over(Window.partitionBy(by).orderBy(*low_order))
-    df = df.withColumns({"_n": n, "_up": up, "_down": down}).where(F.col("_n") >= least)
-    return df.withColumn("label", F.when(F.col("_up") <= k, 1).when(F.col("_down") <= k, 0)).where("label is not null").drop("_n", "_up", "_down")
+    edge = at.join(sizes, by).where((F.col("_before") < k) | (F.col("_before") + F.col("_in") > F.col("_n") - k))
+    low = F.row_number().over(Window.partitionBy(by, "_bin").orderBy(value, F.desc(key))) + F.col("_before")
+    out = binned.join(edge, [by, "_bin"]).withColumn("_low", low)
+    label = F.when(F.col("_low") > F.col("_n") - k, 1).when(F.col("_low") <= k, 0)
+    return out.withColumn("label", label).where("label is not null").drop("_n", "_low", "_bin", "_in", "_before")

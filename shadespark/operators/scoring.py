@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color, stats
 from ..sources.calibration import DELTA_E_REF, PREFERENCE_WEIGHTS, QUANTILES, SCALE_IQR
 from . import constraints as con
+from . import relational
 from .relational import first_per, ranked
 
 CONSTRAINT_GAIN, TILT_GAIN = 4.0, 0.6
@@ -78,13 +79,14 @@ def preference_score() -> Column:
     return -sum(abs(PREFERENCE_WEIGHTS[k]) * F.abs(x) for k, x in zip("LCH", parts))
 
 
-def score(pool: DataFrame, constraints: DataFrame, calibration: DataFrame, lambda_c: float = 1.0, lambda_p: float = 0.0, factor: str | None = None, family_mode: str = "reference", snap: bool = True) -> DataFrame:
+def score(pool: DataFrame, constraints: DataFrame, calibration: DataFrame, lambda_c: float = 1.0, lambda_p: float = 0.0, factor: str | None = None, family_mode: str = "reference", snap: bool = True, catalogue: DataFrame | None = None) -> DataFrame:
     """Ranked scores of every pool row (query_id, anchor, shade) under its query's constraints.
 
+    Relative thresholds come from each query's pool, which is capped, or from a catalogue that is every query's pool.
     factor names a column that multiplies the score (NULL: 1). With family_mode "penalty", a negative
     score is divided by it instead, so that a smaller factor never moves a row up.
     """
-    resolved = con.thresholds(pool, constraints, calibration)
+    resolved = con.thresholds(pool, constraints, calibration) if catalogue is None else con.thresholds(catalogue, constraints, calibration, shared=True)
     resolved = con.snap_cutpoints(pool, resolved) if snap else resolved
     out = con.apply_constraints(pool, resolved)
     de = color.delta_e76(F.col("L_lab"), F.col("a_lab"), F.col("b_lab"), F.col("anchor_L"), F.col("anchor_a"), F.col("anchor_b"))
@@ -122,6 +124,14 @@ def typical_rerank(scored: DataFrame, near: int = 200, least: int = 30, gain: fl
     return out.drop("_rows", "_L_lab", "_a_lab", "_b_lab")
 
 
+def family_qa(rows: DataFrame, by: str, p: str = "p", least: float = 0.55, best: int = 10, worst: int = 5) -> DataFrame:
+    """The members (p >= least) of each group that stand first and last by p times family_factor: side (top or worst), rank, weighted."""
+    m = rows.where(F.col(p) >= least).withColumn("weighted", F.round(F.col(p) * F.coalesce("family_factor", F.lit(1.0)), 12))
+    ids = ["product_id", "shade_id"]
+    side = lambda name, order, k: relational.top_per(m, [by], [order, *ids], k).withColumn("side", F.lit(name))
+    return side("top", F.desc("weighted"), best).unionByName(side("worst", F.asc("weighted"), worst))
+
+
 def naive_rule(text: Column) -> Column:
     """Keyword score of a shade for a wish: deep is dark, bright is light, soft is dull, nude is near hue 30."""
     # fixed rule

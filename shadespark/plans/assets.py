@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import color, text
 from ..operators import aggregates, relational
 from ..sources.calibration import QUANTILES
+from ..sources.tables import stored
 
 
 def key_index(names: DataFrame) -> DataFrame:
@@ -25,6 +26,45 @@ def key_index(names: DataFrame) -> DataFrame:
     return keys.join(medoid, "key").join(within, "key", "left").join(prefix, "key", "left").select("key", F.col("f.name").alias("name"), "n_hex", "n_sources", F.least("n_hex", "n_sources").alias("confidence"), "medoid", zero("n_phrase"), zero("n_prefix"))
 
 
+def derived_aliases(index: DataFrame) -> DataFrame:
+    """alias, key: base forms of the index's keys (key) without -ish and -s that the index lacks, each of its smallest key; -y is never stripped."""
+    forms = index.select("key", F.explode(text.variants(F.col("key"))).alias("alias")).where("alias <> key")
+    forms = forms.where(~(F.col("key").endswith("y") & (F.concat("alias", F.lit("y")) == F.col("key"))))
+    new = forms.join(index.select(F.col("key").alias("alias")), "alias", "left_anti")
+    return new.groupBy("alias").agg(F.min("key").alias("key"))
+
+
+def resolve(queries: DataFrame, index: DataFrame, axis_words: DataFrame, stop_words: DataFrame, cutoff: float = 75.0, single_cutoff: float = 92.0, min_len: int = 6) -> DataFrame:
+    """query_id, alias, stage, score of queries (query_id, text) in a colour index: 1 exact, 2 variant, 3 fuzzy; queries without a match are left out.
+
+    index: key, confidence, n_sources, n_hex, n_phrase, role. Stop words (word) match nothing; axis words (word) only where the index has
+    strong evidence; single descriptors (role) nothing. Fuzzy matches need single_cutoff and min_len letters of a
+    single word, cutoff else, and a single one enough evidence.
+    """
+    from ..functions import udf
+
+    q = queries.select("query_id", text.key(F.col("text")).alias("q")).where("q <> ''")
+    q = q.join(stop_words.select(F.col("word").alias("q")), "q", "left_anti").withColumn("single", ~F.col("q").contains(" "))
+    plain = F.coalesce(F.col("role"), F.lit("")) != "descriptor"
+    strong = plain & ((F.col("confidence") >= 3) | (F.col("n_phrase") >= 5) | ((F.col("n_sources") >= 3) & (F.col("n_hex") >= 2)))
+    enough = plain & F.when(F.col("confidence") > 0, F.col("confidence") >= 2).otherwise((F.col("n_sources") >= 2) & (F.col("n_hex") >= 2))
+    keys = index.select("key", plain.alias("_plain"), strong.alias("_strong"), enough.alias("_enough"))
+    axis = axis_words.select(F.col("word").alias("q"), F.lit(True).alias("_axis")).distinct()
+    weak = q.join(axis, "q").join(keys.where("_strong").select(F.col("key").alias("q")), "q", "left_anti")
+    q = q.join(weak.select("query_id"), "query_id", "left_anti")
+    exact = q.join(keys, F.col("q") == F.col("key"))
+    variant = q.where("single").withColumn("v", F.explode(text.variants(F.col("q")))).where("v <> q").join(keys, F.col("v") == F.col("key"))
+    variant = relational.first_per(variant, ["query_id"], [F.length("v"), "v"])
+    told = exact.select("query_id", "key", F.lit(1).alias("stage"), F.lit(100.0).alias("score"), (~F.col("single") | F.col("_plain")).alias("ok"))
+    told = told.unionByName(variant.select("query_id", "key", F.lit(2).alias("stage"), F.lit(99.0).alias("score"), F.col("_plain").alias("ok")))
+    rest = q.join(told.select("query_id"), "query_id", "left_anti").where(~F.col("single") | (F.length("q") >= min_len))
+    match = lambda single, least, cut: udf.fuzzy_matches(rest.where(F.col("single") == single).select(F.col("q").alias("word")), keys.select("key"), cut, least, single)
+    near = match(True, min_len, single_cutoff).unionByName(match(False, 1, cutoff))
+    near = rest.join(near, F.col("q") == F.col("word")).drop("word").join(keys, "key")
+    near = relational.first_per(near, ["query_id"], [F.desc("ratio"), "key"]).select("query_id", "key", F.lit(3).alias("stage"), F.col("ratio").alias("score"), (~F.col("single") | F.col("_enough")).alias("ok"))
+    return relational.first_per(told.unionByName(near), ["query_id"], ["stage"]).where("ok").select("query_id", F.col("key").alias("alias"), "stage", "score")
+
+
 def modifier_like(index: DataFrame, phrase: int = 18, prefix: int = 14, share: float = 0.8, most: int = 2) -> DataFrame:
     """Single words that mostly begin other names and have little evidence of their own."""
     few = (F.col("confidence") <= most) & (F.col("n_sources") <= most) & (F.col("n_hex") <= most)
@@ -67,8 +107,9 @@ def label_distributions(long: DataFrame, least: float = 0.55, rows: int = 30) ->
 
 def pivot_labels(names: DataFrame, least: int = 5, pivots: int = 8) -> DataFrame:
     """Rows (label, L_lab, a_lab, b_lab) with the nearest frequent label; none if there are too few pivots."""
-    p = names.groupBy("label").agg(F.count("*").alias("_n"), *(F.percentile(c, 0.5).alias(c) for c in ("L_lab", "a_lab", "b_lab"))).where(F.col("_n") >= least)
-    p = p.withColumn("_all", F.count("*").over(Window.partitionBy())).where(F.col("_all") >= pivots).drop("_n", "_all")
+    often = names.groupBy("label").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("label")
+    p = stored(aggregates.median_lab(names.join(often, "label"), ["label"]), "pivots")
+    p = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("_all")))).where(F.col("_all") >= pivots).drop("_all")
     return relational.nearest(names, p, ["L_lab", "a_lab", "b_lab"], "label")
 
 
@@ -76,11 +117,11 @@ def build_calibration(shades: DataFrame, prototypes: DataFrame) -> tuple[DataFra
     """(reference, dims): the 0.95 quantile of distances to the own prototype; and of each dimension its four thresholds, IQR and deviation, NULL where degenerate."""
     p = prototypes.select("cluster_id", *(F.col(c).alias(f"{c}_p") for c in ("L_lab", "a_lab", "b_lab")))
     d = color.delta_e76(*(F.col(c) for c in ("L_lab", "a_lab", "b_lab", "L_lab_p", "a_lab_p", "b_lab_p")))
-    reference = shades.join(F.broadcast(p), "cluster_id").select(d.alias("d")).agg(F.percentile("d", 0.95).alias("deltaE_ref"))
+    reference = aggregates.exact_quantiles(shades.join(p, "cluster_id").select(d.alias("d")), [], "d", (0.95,)).select(F.col("q")[0].alias("deltaE_ref"))
     long = shades.select(F.explode(F.array(*(F.struct(F.lit(c).alias("dim"), F.col(c).alias("v")) for c in color.SCORING_DIMS))).alias("x")).select("x.*")
-    q = F.percentile("v", F.array(*map(F.lit, (0.25, 0.75, 0.35, 0.5, 0.65, 0.8))))
+    q = aggregates.exact_quantiles(long, ["dim"], "v", (0.25, 0.75, 0.35, 0.5, 0.65, 0.8)).select("dim", "q")
     some = lambda x: F.when(x > 1e-12, x)
-    dims = long.groupBy("dim").agg(q.alias("q"), F.stddev_pop("v").alias("s")).select("dim", *(F.col("q")[k + 2].alias(n) for k, n in enumerate(("low", "medium", "high", "very_high"))), some(F.col("q")[1] - F.col("q")[0]).alias("iqr"), some(F.col("s")).alias("std"))
+    dims = long.groupBy("dim").agg(F.stddev_pop("v").alias("s")).join(q, "dim").select("dim", *(F.col("q")[k + 2].alias(n) for k, n in enumerate(("low", "medium", "high", "very_high"))), some(F.col("q")[1] - F.col("q")[0]).alias("iqr"), some(F.col("s")).alias("std"))
     return reference, dims
 
 

@@ -23,7 +23,7 @@ FEATURES = ("L_lab", "a_lab", "b_lab", "C_lab", "H_lab_deg", "depth", "warmth",
 def stratified_split(df: DataFrame, keys: Sequence[str], label: str = "label", seed: int = 7, shares: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
     """df with `split`: exact shares of each label, by a seeded hash order that does not depend on partitions."""
     n = F.count("*").over(Window.partitionBy(label))
-    out = ranked(df.withColumn("_n", n), [label], [F.xxhash64(*keys, F.lit(seed)), *keys], "_k")
+    out = ranked(df.withColumn("_n", n), [label], [F.md5(F.concat_ws("|", *keys, F.lit(str(seed))).cast("binary")), *keys], "_k")
     train, valid = F.round(F.col("_n") * shares[0]), F.round(F.col("_n") * (shares[0] + shares[1]))
     return out.withColumn("split", F.when(F.col("_k") <= train, "train").when(F.col("_k") <= valid, "valid").otherwise("test")).drop("_n", "_k")
 
@@ -68,6 +68,43 @@ def boosted_ranker(train: DataFrame, features: Sequence[str] = FEATURES, iterati
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), gbt]).fit(balanced(train))
 
 
+def evaluation_report(model: PipelineModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """split, n, accuracy, positive_rate, auc, ap of rows with label and split, for each split."""
+    from ..operators.aggregates import auc_ap
+
+    scored = predictions(model, rows)
+    hit = ((F.col("p") >= threshold).cast("int") == F.col("label")).cast("double")
+    plain = scored.groupBy("split").agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg((F.col("p") >= threshold).cast("double")).alias("positive_rate"))
+    out = None
+    for split in ("train", "valid", "test"):
+        one = auc_ap(scored.where(F.col("split") == split), "label", "p").withColumn("split", F.lit(split))
+        out = one if out is None else out.unionByName(one)
+    return plain.join(out, "split")
+
+
+def coefficients(model: PipelineModel, features: Sequence[str] = FEATURES) -> dict[str, float]:
+    """The linear ranker's weight of each scaled feature."""
+    return dict(zip(features, map(float, model.stages[-1].coefficients.toArray())))
+
+
+def colour_namer(train: DataFrame, label: str = "label", features: Sequence[str] = ("L_lab", "a_lab", "b_lab")) -> PipelineModel:
+    """Scaler and balanced multinomial regression over label names; name_probabilities reads it."""
+    from pyspark.ml.feature import StringIndexer
+
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(train)
+    rows = balanced(index.transform(train).drop(label).withColumnRenamed("_label", "label"))
+    lr = LogisticRegression(featuresCol="scaled", weightCol="weight", family="multinomial", regParam=1.0 / max(rows.count(), 1), maxIter=300)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), lr]).fit(rows)
+    model.names = list(index.labels)
+    return model
+
+
+def name_probabilities(model: PipelineModel, chips: DataFrame) -> DataFrame:
+    """chips with p_<name> for each name of a colour_namer."""
+    p = model.transform(chips).withColumn("_p", vector_to_array("probability"))
+    return p.select(*chips.columns, *(F.col("_p")[k].alias(f"p_{n}") for k, n in enumerate(model.names)))
+
+
 def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """rows with p, the probability of label 1."""
     out = model.transform(rows).withColumn("p", vector_to_array("probability")[1])

@@ -63,8 +63,9 @@ def explain(shades: DataFrame, queries: DataFrame, constraints: DataFrame, calib
 def score_inventory(shades: DataFrame, prototypes: DataFrame, blobs: DataFrame, calibration: DataFrame, lambda_c: float = 1.0) -> DataFrame:
     """Scores of the whole catalogue for constraint strings (query_id, constraints) around prototypes (query_id, anchor_*)."""
     cons = con.parse_constraints(blobs)
-    pool = relational.with_colour(shades).crossJoin(prototypes)  # every shade is scored for every prototype
-    return scoring.score(pool, cons, calibration, lambda_c=lambda_c, snap=False)
+    catalogue = relational.with_colour(shades)
+    pool = catalogue.crossJoin(F.broadcast(prototypes))  # every shade is scored for every prototype (clusters, a bounded list)
+    return scoring.score(pool, cons, calibration, lambda_c=lambda_c, snap=False, catalogue=catalogue)
 
 
 def wishes(texts: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import pools, relational
+from ..operators import aggregates, pools, relational
 from . import recommend
 
 # Fixed grid of constraint templates.
@@ -27,6 +27,19 @@ def template_scores(spark: SparkSession, shades: DataFrame, prototypes: DataFram
     return scored.where(F.col("rank") <= k).withColumns(ids)
 
 
+def golden_rankings(top: DataFrame, k: int = 20) -> DataFrame:
+    """scenario_id, cluster_id, template, constraints, topk, keys: what a later run is checked against (relational.golden_check).
+
+    top: the first shades of template_scores. The id is the first 12 hex digits of the SHA-1 of the scenario as
+    JSON with sorted names, so that equal scenarios have equal ids.
+    """
+    keys = relational.goldens(top.withColumn("_s", F.struct("cluster_id", "template")), "_s", F.concat_ws("|", "product_id", "shade_id"), k)
+    text = F.element_at(F.array(*(F.lit(t) for _, t in TEMPLATES)), (F.col("_s.template") + 1).cast("int"))
+    rows = keys.select(F.col("_s.cluster_id").alias("cluster_id"), F.col("_s.template").alias("template"), text.alias("constraints"), F.lit(k).alias("topk"), "keys")
+    payload = F.to_json(F.struct("cluster_id", "constraints", "topk"))
+    return rows.select(F.substring(F.sha1(payload.cast("binary")), 1, 12).alias("scenario_id"), "cluster_id", "template", "constraints", "topk", "keys")
+
+
 def scenario_report(top: DataFrame) -> DataFrame:
     """Means of distance, penalty and features over the first shades of each scenario."""
     means = {"mean_de": "deltaE_norm", "mean_penalty": "constraint_penalty_norm", **{f"mean_{c}": c for c in FEATURES}}
@@ -68,7 +81,7 @@ def pool_sizes(pairs: DataFrame) -> DataFrame:
 def poorly_covered(pairs: DataFrame, least: int = 20, k: int = 10) -> DataFrame:
     """The k nearest shades of each anchor with fewer than `least` shades within its threshold."""
     few = pools.coverage(pairs).where(F.col("n_within") < least).select("query_id")
-    return relational.top_per(pairs.join(F.broadcast(few), "query_id"), ["query_id"], [F.round("de00", 9), "product_id", "shade_id"], k)
+    return relational.top_per(pairs.join(few, "query_id"), ["query_id"], [F.round("de00", 9), "product_id", "shade_id"], k)
 
 
 def neutrality(top: DataFrame, catalogue: DataFrame, queries: DataFrame, share: float = 0.25, angle: float = 35.0) -> DataFrame:
@@ -76,7 +89,7 @@ def neutrality(top: DataFrame, catalogue: DataFrame, queries: DataFrame, share:
 
     top: query_id, L_lab, a_lab, b_lab, C_lab, anchor_a, anchor_b, low_coverage; catalogue: L_lab, C_lab. A query without shades is EMPTY and fails.
     """
-    tails = catalogue.agg(F.percentile("C_lab", 0.9).alias("_c90"), F.percentile("L_lab", 0.1).alias("_l10"), F.percentile("L_lab", 0.9).alias("_l90"))
+    tails = aggregates.tails(catalogue).toDF("_c90", "_l10", "_l90")
     angle_of = lambda b, a: F.degrees(F.atan2(F.round(b, 10), F.round(a, 10)))
     drift = color.circ_dist(angle_of("b_lab", "a_lab"), angle_of("anchor_b", "anchor_a"))
     rows = top.crossJoin(F.broadcast(tails)).select("query_id", "low_coverage", (F.col("C_lab") > F.col("_c90")).cast("double").alias("c"), ((F.col("L_lab") < F.col("_l10")) | (F.col("L_lab") > F.col("_l90"))).cast("double").alias("l"), drift.alias("d"))

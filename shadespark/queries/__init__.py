@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, catalogue, colour, ranking, reports, texts  # noqa: F401
+from . import anchors, catalogue, colour, details, inputs, ranking, reports, texts  # noqa: F401
 from .base import QUERIES, SQL
 
 FLAGSHIP = "sco11_score"

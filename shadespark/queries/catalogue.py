@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import color, text
 from ..operators import aggregates, checks, relational
@@ -43,8 +44,7 @@ def flt8_deny(spark, sf_dir):
 )
 def flt11_tails(spark, sf_dir):
     df = tables.stored(shades(spark, sf_dir).where("r is not null").select("shade_id", "L_lab", "C_lab"), "tails")
-    q = df.agg(F.percentile("C_lab", 0.9).alias("c90"), F.percentile("L_lab", 0.1).alias("l10"), F.percentile("L_lab", 0.9).alias("l90"))
-    return df.crossJoin(F.broadcast(q)).select("shade_id", (F.col("C_lab") > F.col("c90")).alias("vivid"), ((F.col("L_lab") < F.col("l10")) | (F.col("L_lab") > F.col("l90"))).alias("extreme"))
+    return df.crossJoin(F.broadcast(aggregates.tails(df))).select("shade_id", (F.col("C_lab") > F.col("c90")).alias("vivid"), ((F.col("L_lab") < F.col("l10")) | (F.col("L_lab") > F.col("l90"))).alias("extreme"))
 
 
 @query(
@@ -55,13 +55,14 @@ def flt11_tails(spark, sf_dir):
     )
 )
 def chk2_constraints(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     k = F.col("k")
     cons = fixtures.raw_items(spark, sf_dir).select(F.col("shade_id").cast("long").alias("k")).select(
         "k", F.when(k % 5 == 0, "size").otherwise("L_lab").alias("dim"), F.when(k % 7 == 0, "<").otherwise("<=").alias("op"), F.when(k % 11 == 0, "huge").otherwise("low").alias("level"), F.lit(None).cast("double").alias("cutpoint"), F.when(k % 13 == 0, -1.0).otherwise(1.0).alias("weight")
     )
-    return checks.bad_constraints(cons).select(F.row_number().over(Window.orderBy("k")).cast("long").alias("ord"), "reason")
+    bad = tables.stored(checks.bad_constraints(cons).select("k", "reason").withColumn("_all", F.lit(1)), "bad")
+    binned = aggregates.ranged(bad, ["_all"], "k")
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy("k"))
+    return binned.join(aggregates.offsets(binned, ["_all"], F.count("*")).drop("_all"), "_bin").select((place + F.col("_before")).cast("long").alias("ord"), "reason")
 
 
 @query(with_(SHADES, select="select count(distinct product_id) as products, count(distinct product_id || '|' || shade_id) as shades, count(distinct cluster_id) as families from shades"))
@@ -146,7 +147,7 @@ def agg4_weighted_mean(spark, sf_dir):
 @query(with_(SHADES, PROBS, select="select label, round(min(C_lab) filter (s >= 0.9), 6) as value from (select *, sum(p) over (partition by label order by C_lab, product_id, shade_id rows unbounded preceding)/sum(p) over (partition by label) as s from probs) group by label"))
 def agg5_weighted_quantile(spark, sf_dir):
     long = tables.stored(fixtures.naming_long(shades(spark, sf_dir)), "naming")
-    return aggregates.weighted_quantile(long, ["label"], "C_lab", "p", 0.9, ["product_id", "shade_id"]).select("label", F.round("value", 6).alias("value"))
+    return aggregates.weighted_quantile(long, ["label"], "C_lab", "p", 0.9).select("label", F.round("value", 6).alias("value"))
 
 
 @query(
@@ -223,7 +224,7 @@ def agg25_auc(spark, sf_dir):
     select="select cluster_id, shade_id, case when up <= greatest(round_even(n*0.15, 0), 1) then 1 else 0 end as label from n where n >= 50 and (up <= greatest(round_even(n*0.15, 0), 1) or down <= greatest(round_even(n*0.15, 0), 1))"))
 def win3_weak_labels(spark, sf_dir):
     df = tables.stored(shades(spark, sf_dir).where("r is not null").select("cluster_id", "shade_id", "L_lab"), "weak")
-    return relational.top_fractions(df, "cluster_id", [F.desc("L_lab"), "shade_id"], ["L_lab", F.desc("shade_id")]).select("cluster_id", "shade_id", "label")
+    return relational.top_fractions(df, "cluster_id", "L_lab", "shade_id").select("cluster_id", "shade_id", "label")
 
 
 @query(with_(SHADES, PROBS, "t as (select *, row_number() over (partition by shade_id order by round(p, 12) desc, label) as k from probs)", select="select shade_id, max(label) filter (k = 1) as top1, round(max(p) filter (k = 1), 6) as p1, max(label) filter (k = 2) as top2, round(max(p) filter (k = 2), 6) as p2 from t group by shade_id"))

@@ -52,17 +52,24 @@ def _prototypes(df):
     return df.where("r is not null").groupBy(F.col("cluster_id").alias("query_id")).agg(*(F.avg(f"{c}_lab").alias(f"anchor_{c}") for c in ("L", "a", "b")))
 
 
-@query(f"with {_CONS} select * from cons")
+@query(
+    "with p as (select p_partkey as query_id, ([" + ", ".join(f"'{b}'" for b in BLOBS) + f"])[p_partkey % {len(BLOBS)} + 1] || ';' || chr(10) || 'warmth>=0.' || (p_partkey % 90 + 10) || ':' || (p_partkey % 5) || '; nonsense<=' as b from part), "
+    "t as (select query_id, unnest(x) as t, generate_subscripts(x, 1) as k from (select query_id, list_filter(regexp_split_to_array(b, '[;\n]'), lambda y: trim(y) <> '' and not starts_with(y, 'MIX:') and regexp_matches(y, '[<>]=')) as x from p)), "
+    r"m as (select query_id, k, regexp_extract(trim(t), '^([A-Za-z_]+)(<=|>=)([a-z_]+|[0-9]*\.?[0-9]+):?([0-9.]*)$', ['dim', 'op', 'v', 'w']) as m from t) ".replace("\\\\", "\\")
+    + "select query_id, k as ord, nullif(m.dim, '') as dim, nullif(m.op, '') as op, case when try_cast(m.v as double) is null then nullif(m.v, '') end as level, try_cast(nullif(m.v, '') as double) as cutpoint, coalesce(try_cast(nullif(m.w, '') as double), 1.0) as weight from m"
+)
 def sco1_parse(spark, sf_dir):
-    n = fixtures.table(spark, sf_dir, "part").where("p_partkey % 8 >= 0").select(F.pmod("p_partkey", F.lit(8)).cast("int").alias("query_id")).distinct()
-    return constraints.parse_constraints(_blobs(spark).join(n, "query_id")).select("query_id", "ord", "dim", "op", "level", "weight")
+    """A constraint string for each part: the fixed forms, with a weight of its own."""
+    k = F.col("p_partkey")
+    blob = F.element_at(F.array(*map(F.lit, BLOBS)), (k % len(BLOBS) + 1).cast("int"))
+    rows = fixtures.table(spark, sf_dir, "part").select(k.alias("query_id"), F.concat(blob, F.lit(";\nwarmth>=0."), (k % 90 + 10).cast("string"), F.lit(":"), (k % 5).cast("string"), F.lit("; nonsense<=")).alias("constraints"))
+    return constraints.parse_constraints(rows).select("query_id", "ord", "dim", "op", "level", "cutpoint", "weight")
 
 
 @query(with_(SHADES, _CONS, *_SCORED[:2], select="select query_id, ord, dim, round(thr, 6) as threshold, round(scale, 6) as scale from thr"))
 def sco4_thresholds(spark, sf_dir):
     pool = tables.stored(fixtures.shades(spark, sf_dir).where("r is not null"), "shades")
-    each = pool.crossJoin(F.broadcast(_blobs(spark).select("query_id")))
-    got = constraints.thresholds(each, constraints.parse_constraints(_blobs(spark)), calibration.calibration(spark))
+    got = constraints.thresholds(pool, constraints.parse_constraints(_blobs(spark)), calibration.calibration(spark), shared=True)
     return got.select("query_id", "ord", "dim", *rounded("threshold", "scale"))
 
 
@@ -291,23 +298,10 @@ def fam5_factor(spark, sf_dir):
     return got.select("shade_id", F.round("family_factor", 6).alias("family_factor"))
 
 
-@query()
-def mlp4_split(spark, sf_dir):
-    df = tables.stored(fixtures.shades(spark, sf_dir).where("r is not null"), "weak")
-    labels = relational.top_fractions(df, "cluster_id", [F.desc("C_lab"), "shade_id"], ["C_lab", F.desc("shade_id")])
-    return learning.stratified_split(labels.select("cluster_id", "product_id", "shade_id", "label"), ["product_id", "shade_id"])
-
-
-@query()
-def mlp5_pairwise(spark, sf_dir):
-    df = tables.stored(fixtures.shades(spark, sf_dir).where("r is not null").select("shade_id", "L_lab", "C_lab", "H_lab_deg"), "pairwise")
-    return learning.pairwise(df).select("query_id", "item_pos_id", "item_neg_id", *rounded("delta_L", "delta_C", "delta_H"), "label")
-
-
 @query()
 def mlp8_ranker(spark, sf_dir):
     df = tables.stored(fixtures.shades(spark, sf_dir).where("r is not null"), "ranker")
-    labels = relational.top_fractions(df, "cluster_id", [F.desc("C_lab"), "shade_id"], ["C_lab", F.desc("shade_id")])
+    labels = relational.top_fractions(df, "cluster_id", "C_lab", "shade_id")
     rows = tables.stored(learning.stratified_split(labels, ["product_id", "shade_id"]), "split")
     model = learning.linear_ranker(rows.where("split = 'train'"), iterations=200)
     return aggregates.auc_ap(learning.predictions(model, rows.where("split = 'test'")), "label", "p").select(F.round("auc", 3).alias("auc"), F.round("ap", 3).alias("ap"))

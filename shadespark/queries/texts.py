@@ -93,6 +93,13 @@ def txt26_sizes(spark, sf_dir):
     return got.select("text_id", *(F.when(F.col(c).isNull(), F.lit(0)).otherwise(n(c)).cast("long").alias(f"n_{c}") for c in ("clauses", "mentions", "constraints", "suppressed")))
 
 
+@query(with_(*_READ[:4], select="""select text_id, '[' || string_agg('{"clause_id":' || clause_id || ',"start":' || start || ',"len":1,"name":"' || name || '","polarity":"' || polarity || '"}', ',' order by clause_id, start) || ']' as mentions from me group by text_id"""))
+def fun24_json(spark, sf_dir):
+    """The nested output as JSON: here its mentions."""
+    got = preference.interpret(remarks(spark, sf_dir), aliases(spark)).where("mentions is not null")
+    return got.select("text_id", F.to_json("mentions").alias("mentions"))
+
+
 _INTENTS = (
     *_READ,
     "pr as (select text_id, clause_id, g, case when count(*) = 1 then any_value(name) end as name from (select *, case polarity when 'LIKE' then 0 when 'DISLIKE' then 2 else 1 end as g from me) group by all)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,16 +16,22 @@ from ..operators.checks import require_columns
 RAW_ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ("product_id", "shade_id", "brand_name", "product_name", "shade_name", "url", "chip_rgb")])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read again, so that later filters do not reach into its plan."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir. Where that is unset, a local master takes a temporary folder, and a cluster is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="shadespark-")
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shadespark-")  # one machine
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/shadespark-{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/shadespark-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that later filters do not reach into its plan."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_inventory(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
@@ -51,8 +58,8 @@ def read_parameters(spark: SparkSession, path: str, field: str) -> DataFrame:
 
 
 def read_score_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Score files with query_id from their names."""
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"^scored_|\.(csv|parquet)$", "")
+    """Score files, or folders of them, with query_id from their names: scored_<query_id>, with or without an ending."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/scored_([^/]+?)(\.csv|\.parquet)?(/|$)", 1)
     return spark.read.option("header", True).csv(glob).withColumn("query_id", name)
 
 

@@ -5,12 +5,13 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shadespark import queries
 from shadespark.functions import color, stats, text, udf
-from shadespark.operators import checks, constraints, preference, relational, scoring
+from shadespark.operators import aggregates, checks, constraints, pools, preference, relational, scoring
 from shadespark.plans import anchors, assets, domain, learning, reports
 from shadespark.sources import calibration, fixtures, tables
 from shadespark.streaming import jobs
@@ -83,6 +84,46 @@ def test_levels_snap_up_for_floors_and_down_for_caps(spark, dim, op, cut, level)
     assert spark.range(1).select(preference.snapped_level(F.lit(cut), F.lit(op), cuts)).first()[0] == level
 
 
+def test_colour_words_resolve_by_stages(spark):
+    index = spark.createDataFrame([("red", 4, 4, 9, 12, None), ("crimson", 2, 2, 2, 1, None), ("dark", 1, 1, 1, 2, None), ("light", 3, 3, 3, 9, None), ("nude", 5, 5, 5, 9, "descriptor"), ("burgundy", 1, 1, 1, 1, None), ("hot pink", 1, 1, 1, 0, None)], "key string, confidence int, n_sources int, n_hex int, n_phrase int, role string")
+    words = lambda *x: spark.createDataFrame([(w,) for w in x], "word string")
+    asked = ["red", "Reddish", "lights", "crimsom", "dark", "light", "nude", "burgundi", "the", "hot-pink", "hot pinks", "xyz", "crim"]
+    got = assets.resolve(spark.createDataFrame(list(enumerate(asked)), "query_id int, text string"), index, words("dark", "light"), words("the"), single_cutoff=80.0)
+    found = {asked[r["query_id"]]: (r["alias"], r["stage"]) for r in got.collect()}
+    assert found == {"red": ("red", 1), "lights": ("light", 2), "crimsom": ("crimson", 3), "light": ("light", 1), "hot-pink": ("hot pink", 1), "hot pinks": ("hot pink", 3)}
+    made = {r["alias"]: r["key"] for r in assets.derived_aliases(spark.createDataFrame([("reddish",), ("berry",), ("blues",), ("blue",), ("glass",)], "key string")).collect()}
+    assert made == {"redd": "reddish"}
+
+
+def test_exact_quantiles_and_weak_labels_equal_plain_ones(spark):
+    rng = np.random.default_rng(1)
+    kinds = {"a": np.array([3.0]), "b": np.array([2.0, -1.0]), "c": np.round(rng.normal(size=777), 1), "d": np.append(rng.normal(size=2000), np.full(1000, 0.5))}
+    rows = [(g, float(v)) for g, x in kinds.items() for v in x] + [("c", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = (0, 0.05, 0.1, 0.5, 0.9, 0.999, 1)
+    got = {r["g"]: (r["n"], r["q"]) for r in aggregates.exact_quantiles(df, ["g"], "v", qs).collect()}
+    for g in "abcd":
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g][0] == len(v) and np.allclose(got[g][1], np.quantile(v, qs))
+    assert set(got) == set("abcd")
+    items = [(i % 3, round(float(rng.normal()), 1), f"k{i:04}") for i in range(900)] + [(7, 1.0, "x")]
+    labels = {r["k"]: r["label"] for r in relational.top_fractions(spark.createDataFrame(items, "g int, v double, k string"), "g", "v", "k").collect()}
+    for g in range(3):
+        mine = sorted(((v, k) for c, v, k in items if c == g), key=lambda x: (-x[0], x[1]))
+        assert {k for k, n in labels.items() if n == 1 and k in {x[1] for x in mine}} == {k for _, k in mine[:45]}
+        assert {k for k, n in labels.items() if n == 0 and k in {x[1] for x in mine}} == {k for _, k in mine[-45:]}
+    assert "x" not in labels
+
+
+def test_many_anchors_meet_the_shades_in_groups(spark, monkeypatch):
+    df, anchors = fixtures.shades(spark, SMALL), fixtures.anchors(spark)
+    pairs = lambda: {(r["query_id"], r["shade_id"], round(r["de00"], 9)) for r in pools.distances(df, anchors).collect()}
+    whole = pairs()
+    monkeypatch.setattr(pools, "GROUP_QUERIES", 3)
+    monkeypatch.setattr(pools, "SALTS", 4)
+    assert pairs() == whole
+
+
 def test_interpretation_splits_likes_from_dislikes(spark):
     rows = [(1, "I want red but not pink. It is too bright"), (2, "only (not blue) please"), (3, ""), (4, None), (5, "avoid pink; I love a deeper red, less muted")]
     aliases = spark.createDataFrame([(n, n) for n in ("red", "pink", "blue")], "alias string, name string")
