@@ -73,9 +73,12 @@ def word_keys(data: np.ndarray, at: np.ndarray):
     return np.searchsorted(at, start, "right") - 1, clause, keys
 
 
+def key_of_bytes(word: bytes) -> int:
+    return int(common.word_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]), lower=True)[0])
+
+
 def key_of(word: str) -> int:
-    data = np.frombuffer(word.encode(), np.uint8)
-    return int(common.word_hashes(data, np.array([0]), np.array([len(data)]), lower=True)[0])
+    return key_of_bytes(word.encode())
 
 
 @dataclass

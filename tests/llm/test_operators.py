@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -597,21 +598,117 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
+def plain_toxicity(grammar, text):
+    """The score of a text by the definition: letter runs, clauses between stops, the lexicon's longest known beginning, marks by looking around."""
+    T, lex = toxicity, {int(k): (int(c), w) for k, c, w in zip(grammar.lexicon.key, grammar.lexicon.kind, grammar.lexicon.weight)}
+    clauses, words, data = [[]], 0, text.encode()
+    for run in re.findall(rb"[A-Za-z\x80-\xff]+|[.,;:!?\n\r]", data):
+        if len(run) == 1 and run in b".,;:!?\n\r":
+            clauses.append([])
+            continue
+        found = (T.OTHER, 0.0)
+        for size in T.STEMS:
+            if len(run) > size:
+                found = lex.get(int(np.uint64(T.key_of_bytes(run[:size])) ^ np.uint64(0xA5A5)), found)
+        clauses[-1].append(lex.get(T.key_of_bytes(run), found))
+        words += 1
+    out = np.zeros(len(T.OUTPUTS))
+    for c in clauses:
+        got = np.zeros(5)
+        for i, (kind, weight) in enumerate(c):
+            before, after = [k for k, _ in c[:i]], [k for k, _ in c[i + 1 :]]
+            if kind == T.INSULT:
+                near = T.TARGET in before[-T.TARGET_REACH :] or T.TARGET in after[: T.TARGET_REACH]
+                got[3 if T.REPORT in before else 2 if T.NEGATION in before[-T.NEGATION_REACH :] else 1 if near else 0] += weight
+            elif kind == T.THREAT and T.TARGET in after[: T.TARGET_REACH] and T.REPORT not in before and T.NEGATION not in before[-T.NEGATION_REACH :]:
+                got[4] += weight
+        out[:5] += got
+        out[5], out[6] = max(out[5], got[0] + got[1] + got[4]), out[6] + (got.sum() > 0)
+    out[7] = (out[0] + out[1]) / max(words, 1) * 100
+    return float(grammar.score(out[None])[0])
+
+
+def test_toxicity_scores_equal_a_plain_reading(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    grammar = toxicity.fit_grammar(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert (grammar.lexicon.kind == toxicity.INSULT).sum() > 3
+    rows = docs.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, grammar).collect()}
+    assert len(set(got.values())) > 20
+    for r in rows:
+        assert got[r["doc_id"]] == pytest.approx(plain_toxicity(grammar, r["text"] or ""), abs=1e-9)
+
+
+def plain_contaminated(rows, items):
+    """doc_ids that hold a window as long as an item with a weighted 5-word-shingle similarity of 0.8 or more."""
+
+    def grams(text):
+        w = text.lower().split()
+        k = min(5, len(w))
+        return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if w else []
+
+    refs = [(Counter(grams(t)), len(grams(t))) for t in items if t and t.strip()]
+    out = set()
+    for d, t in rows:
+        g = grams(t or "")
+        have = set(g)
+        for ref, n in refs:
+            if g and have & set(ref):
+                for a in range(max(1, len(g) - n + 1)):
+                    mine = Counter(g[a : a + n])
+                    both = sum((mine & ref).values())
+                    if 100 * both >= 80 * (sum(mine.values()) + n - both):
+                        out.add(d)
+                        break
+    return out
+
+
 def test_pipeline_stages(spark, tmp_path):
-    """Each stage against a plain version of its decision, on odd rows beside the small tables."""
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        before = docs
-        docs = common.written(stage(spark, docs, SMALL), f"test-{name}")
-        if name != "mixing":
-            assert docs.columns == list(corpus_pipeline.COLUMNS)
-        if name == "minhash":
+    """Each stage against a plain version of its decision, on the small tables and on odd rows."""
+    bench = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    for docs in (spark.read.parquet(f"{SMALL}/documents.parquet"), odd(spark)):
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            assert {r["doc_id"] for r in docs.collect()} == {d for d, (_, _, kept) in components(rows, 5, 80).items() if kept}
-        if name == "substring":
-            want = brute_windows([(r["doc_id"], r["text"]) for r in before.collect()], lambda t: t.encode().split(), 20, b" ".join)
-            for r in docs.collect():
-                assert hashlib.sha256(b" ".join(r["text"].encode().split())).hexdigest() == want[r["doc_id"]][3]
-    assert docs.count() > 0 and {"doc_id", "taken"} <= set(docs.columns)
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, odd(spark), SMALL).count() > 0
+            known = {d: t for d, t in rows if d is not None}
+            docs = common.written(stage(spark, docs, SMALL), f"test-{name}")
+            got = docs.collect()
+            if name != "mixing":
+                assert docs.columns == list(corpus_pipeline.COLUMNS)
+            if name == "toxicity":
+                grammar = toxicity.fit_grammar(before, labels)
+                want = [(d, t) for d, t in rows if plain_toxicity(grammar, t or "") < 0.5]
+                assert sorted([(r["doc_id"], r["text"]) for r in got], key=repr) == sorted(want, key=repr)
+            if name == "minhash":
+                want = [d for d, (_, _, kept) in components(known.items(), 5, 80).items() if kept] + [d for d, _ in rows if d is None]
+                assert sorted([r["doc_id"] for r in got], key=repr) == sorted(want, key=repr)
+            if name == "substring":
+                want = brute_windows(known.items(), lambda t: t.encode().split(), 20, b" ".join)
+                for r in got:
+                    if r["doc_id"] is not None:
+                        assert hashlib.sha256(b" ".join((r["text"] or "").encode().split())).hexdigest() == want[r["doc_id"]][3]
+                assert {r["doc_id"] for r in got} == {d for d, (n, gone, _, _) in want.items() if not gone or gone < n} | {d for d, _ in rows if d is None}
+            if name == "decontamination":
+                bad = plain_contaminated(known.items(), bench)
+                assert sorted([r["doc_id"] for r in got], key=repr) == sorted([d for d, _ in rows if d not in bad or d is None], key=repr)
+            if name == "mixing":
+                sizes, taken, words = Counter(), Counter(), {}
+                for r in before.collect():
+                    words.setdefault(r["doc_id"], []).append((r["text"] or "").split())
+                    sizes[r["source"]] += len((r["text"] or "").split())
+                for r in got:
+                    taken[r["source"]] += r["taken"]
+                    assert any(w[r["start"] : r["start"] + r["taken"]] == r["text"].split() for w in words[r["doc_id"]])
+                aim = {r["source"]: r["target"] for r in mixing.mix_sources(before).collect()}
+                assert all(abs(taken[s] - aim[s]) <= 1 for s in sizes)
+
+
+def test_chat_on_odd_tables(spark):
+    """Very long texts, nulls, ties, repeated rows and extra columns with clashing names."""
+    long = "### a </turn> \\ " * 20_000
+    rows = [(1, 1, "user", long), (1, 2, "assistant", long), (2, None, None, None), (2, 1, "assistant", ""), (2, 1, "assistant", ""), (None, 1, "user", "x")]
+    df = spark.createDataFrame([(*r, 1, "p", 2) for r in rows], "conv_id long, turn long, role string, text string, example int, prompt string, turns int")
+    got = {r["conv_id"]: r for r in chat.chat_digests(chat.chat_examples(df)).collect()}
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert (got[2]["n_turns"], got[2]["loss_chars"], got[None]["n_turns"]) == (3, 0, 1)
