@@ -1,5 +1,6 @@
 """Every corpus operator against brute force, round trips or held-out accuracy, and on odd tables."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -598,6 +599,11 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
+@functools.cache
+def word_key(word):
+    return toxicity.key_of_bytes(word)
+
+
 def plain_toxicity(grammar, text):
     """The score of a text by the definition: letter runs, clauses between stops, the lexicon's longest known beginning, marks by looking around."""
     T, lex = toxicity, {int(k): (int(c), w) for k, c, w in zip(grammar.lexicon.key, grammar.lexicon.kind, grammar.lexicon.weight)}
@@ -609,13 +615,15 @@ def plain_toxicity(grammar, text):
         found = (T.OTHER, 0.0)
         for size in T.STEMS:
             if len(run) > size:
-                found = lex.get(int(np.uint64(T.key_of_bytes(run[:size])) ^ np.uint64(0xA5A5)), found)
-        clauses[-1].append(lex.get(T.key_of_bytes(run), found))
+                found = lex.get(int(np.uint64(word_key(run[:size])) ^ np.uint64(0xA5A5)), found)
+        clauses[-1].append(lex.get(word_key(run), found))
         words += 1
     out = np.zeros(len(T.OUTPUTS))
     for c in clauses:
         got = np.zeros(5)
         for i, (kind, weight) in enumerate(c):
+            if kind not in (T.INSULT, T.THREAT):
+                continue
             before, after = [k for k, _ in c[:i]], [k for k, _ in c[i + 1 :]]
             if kind == T.INSULT:
                 near = T.TARGET in before[-T.TARGET_REACH :] or T.TARGET in after[: T.TARGET_REACH]
