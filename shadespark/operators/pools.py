@@ -15,6 +15,11 @@ CAP, POOL_MAX, COVERAGE_MIN = 30.0, 2000, 20
 GROUP_QUERIES, SALTS = 10_000, 64
 
 
+def spread(shades: DataFrame) -> DataFrame:
+    """shades over all shuffle partitions: a catalogue is small on disk, but every row of it is compared with all anchors."""
+    return shades.repartition(int(shades.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def distances(shades: DataFrame, queries: DataFrame) -> DataFrame:
     """queries × shades with a colour, `de00` each.
 

@@ -37,7 +37,7 @@ def recommend(shades: DataFrame, queries: DataFrame, constraints: DataFrame, cal
 
 def _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c) -> tuple[DataFrame, DataFrame]:
     """(recommendations, pool traces by query_id)."""
-    catalogue = stored(relational.with_colour(relational.eligible(shades)), "catalogue")
+    catalogue = stored(pools.spread(relational.with_colour(relational.eligible(shades))), "catalogue")
     wishes, of = distinct_wishes(queries, constraints)
     anchors = stored(wishes.groupBy(*ANCHOR, "constrained").agg(F.min("wish_id").alias("query_id")), "anchors")
     plan = stored(pools.pool_plan(catalogue, anchors, pool_top), "pool-plan")

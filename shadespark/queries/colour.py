@@ -54,7 +54,7 @@ def prj15_chips(spark, sf_dir):
     )
 )
 def prj17_delta_e00(spark, sf_dir):
-    df = pools.distances(fixtures.shades(spark, sf_dir), fixtures.anchors(spark))
+    df = pools.distances(pools.spread(fixtures.raw_items(spark, sf_dir)).transform(color.enrich), fixtures.anchors(spark))
     de76 = color.delta_e76(*(F.col(c) for c in ("L_lab", "a_lab", "b_lab", "anchor_L", "anchor_a", "anchor_b")))
     hue = color.hsv_hue(*(F.col(c) / 255 for c in "rgb"))
     return df.select("query_id", "shade_id", F.round("de00", 5).alias("de00"), F.round(de76, 5).alias("de76"), F.round(de76 / DELTA_E_REF, 5).alias("de_norm"), F.round(color.circ_dist(hue, F.col("anchor_hue")), 5).alias("hue_dist"), F.round(color.hue_band(F.col("anchor_C")), 5).alias("band"))

@@ -90,7 +90,7 @@ def _pairs(spark, sf_dir):
     """Eligible shades against the anchors, with the columns that pools need; computed where they are used."""
     df = relational.with_colour(relational.eligible(fixtures.shades(spark, sf_dir)))
     df = df.select("product_id", "shade_id", "r", "g", "b", "L_lab", "a_lab", "b_lab", "C_lab", "H_lab_deg")
-    return pools.distances(tables.stored(df, "catalogue"), fixtures.anchors(spark))
+    return pools.distances(tables.stored(pools.spread(df), "catalogue"), fixtures.anchors(spark))
 
 
 _ELIGIBLE = PAIRS.replace("where r is not null)", f"where r is not null and not {BAD})", 1)
