@@ -10,10 +10,10 @@ from pyspark.sql.window import Window
 
 from ..functions import color, text
 
-# Fixed word list of ineligible products.
-INELIGIBLE = r"(?iU)\b(clear|universal|recharge|refill|echargeable|rechargeable|écrin|ecrin|étui|case|cap|marbre|strass)\b"
-# Fixed list of other categories.
-OTHER_CATEGORY = r"(?i)(blush|joues|tint)"
+# Fixed words of ineligible products, and of other categories.
+INELIGIBLE_WORDS = ("clear", "universal", "recharge", "refill", "echargeable", "rechargeable", "écrin", "ecrin", "étui", "case", "cap", "marbre", "strass")
+OTHER_WORDS = ("blush", "joues", "tint")
+INELIGIBLE, OTHER_CATEGORY = rf"(?iU)\b({'|'.join(INELIGIBLE_WORDS)})\b", f"(?i)({'|'.join(OTHER_WORDS)})"
 
 
 def eligible(df: DataFrame) -> DataFrame:
@@ -30,6 +30,23 @@ def with_colour(df: DataFrame) -> DataFrame:
     return df.where("r is not null")
 
 
+def valid_colour(df: DataFrame, hex_: str = "chip_hex", numbers: Sequence[str] = ("L_lab", "C_lab", "H_lab_deg")) -> DataFrame:
+    """Rows with six hex digits and finite numbers."""
+    ok = F.coalesce(F.col(hex_).rlike("^#[0-9a-fA-F]{6}$"), F.lit(False))
+    for c in numbers:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return df.where(ok)
+
+
+def concatenated(frames: Sequence[DataFrame], tag: str | None = None) -> DataFrame:
+    """The rows of all frames, missing columns NULL; tag names a column with the frame's number."""
+    rows = [f.withColumn(tag, F.lit(k)) if tag else f for k, f in enumerate(frames)]
+    out = rows[0]
+    for f in rows[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def neutral_guard(L: str = "L_lab", a: str = "a_lab", b: str = "b_lab") -> Column:
     """Whether a shade may stand near a neutral anchor (chroma under 18): not nearly white or clear, inside the anchor's box; true for other anchors."""
     near = (F.abs(F.col(L) - F.col("anchor_L")) <= 22) & (F.abs(F.col(a) - F.col("anchor_a")) <= 10) & (F.abs(F.col(b) - F.col("anchor_b")) <= 14)
@@ -111,11 +128,7 @@ def first_per(df: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
 
 def overlay(frames: Sequence[DataFrame], key: str) -> DataFrame:
     """Rows of several indexes; of equal keys the earlier frame's wins."""
-    rows = [f.withColumn("_p", F.lit(k)) for k, f in enumerate(frames)]
-    out = rows[0]
-    for f in rows[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return first_per(out, [key], ["_p"]).drop("_p")
+    return first_per(concatenated(frames, "_p"), [key], ["_p"]).drop("_p")
 
 
 def signature(ranked_: DataFrame, by: str, key: Column, rank: str = "rank") -> DataFrame:

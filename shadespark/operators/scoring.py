@@ -72,6 +72,18 @@ def family_specs(prefs: DataFrame) -> DataFrame:
     )
 
 
+def centres(queries: DataFrame, prototypes: DataFrame, pool: DataFrame) -> DataFrame:
+    """queries (query_id, cluster_id, anchor_L, anchor_a, anchor_b) with their centre and its kind: the anchor if it is whole, else the cluster's prototype, else the mean of the query's pool."""
+    lab = ("L", "a", "b")
+    p = prototypes.select("cluster_id", *(F.col(f"{c}_lab").alias(f"_p{c}") for c in lab))
+    m = pool.groupBy("query_id").agg(*(F.avg(f"{c}_lab").alias(f"_m{c}") for c in lab))
+    j = queries.join(p, "cluster_id", "left").join(m, "query_id", "left")
+    whole = lambda lead: F.col(f"{lead}L").isNotNull() & F.col(f"{lead}a").isNotNull() & F.col(f"{lead}b").isNotNull()
+    kind = F.when(whole("anchor_"), "anchor").when(whole("_p"), "prototype").when(whole("_m"), "pool")
+    pick = lambda c: F.when(kind == "anchor", F.col(f"anchor_{c}")).when(kind == "prototype", F.col(f"_p{c}")).otherwise(F.col(f"_m{c}"))
+    return j.select("query_id", "cluster_id", kind.alias("centre"), *(pick(c).alias(f"anchor_{c}") for c in lab))
+
+
 def preference_score() -> Column:
     """Minus the weighted distance to the anchor in lightness, chroma and hue."""
     hue = color.circ_diff(F.col("H_lab_deg"), color.hue_deg(F.col("anchor_a"), F.col("anchor_b"))) / 180

@@ -68,6 +68,11 @@ def boosted_ranker(train: DataFrame, features: Sequence[str] = FEATURES, iterati
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), gbt]).fit(balanced(train))
 
 
+def write_predictions(model: PipelineModel, rows: DataFrame, path: str) -> None:
+    """The rows with p, the likeliest first, as CSV."""
+    predictions(model, rows).orderBy(F.desc("p"), *[c for c in ("product_id", "shade_id") if c in rows.columns]).write.mode("overwrite").option("header", True).csv(path)
+
+
 def evaluation_report(model: PipelineModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """split, n, accuracy, positive_rate, auc, ap of rows with label and split, for each split."""
     from ..operators.aggregates import auc_ap

@@ -288,3 +288,33 @@ def ast9_namer(spark, sf_dir):
     best = F.array_max(F.array(*(F.struct(F.col(c).alias("p"), F.lit(c[2:]).alias("name")) for c in names)))
     return p.select("shade_id", best["name"].alias("name"), F.round(best["p"], 3).alias("p"))
 
+
+
+@query(with_(SHADES, "bad as (select shade_id, case cast(shade_id as bigint) % 7 when 0 then 'zz' when 1 then upper(chip_hex) else chip_hex end as hex, case when cast(shade_id as bigint) % 11 = 0 then null else L_lab end as L_lab from shades)",
+    select="select shade_id, hex from bad where regexp_matches(hex, '^#[0-9a-fA-F]{6}$') and L_lab is not null"))
+def flt6_valid(spark, sf_dir):
+    k = F.col("shade_id").cast("long")
+    df = fixtures.shades(spark, sf_dir).select("shade_id", F.when(k % 7 == 0, "zz").when(k % 7 == 1, F.upper("chip_hex")).otherwise(F.col("chip_hex")).alias("hex"), F.when(k % 11 == 0, float("nan")).when(k % 11 != 0, F.col("L_lab")).alias("L_lab"), "C_lab", "H_lab_deg")
+    return relational.valid_colour(tables.stored(df, "hexes"), "hex").select("shade_id", "hex")
+
+
+@query(with_(SHADES, "proto as (select cluster_id, avg(L_lab) as l0, avg(a_lab) as a0, avg(b_lab) as b0 from shades where r is not null and cluster_id < 5 group by cluster_id)", "pm as (select cluster_id, avg(L_lab) as lm, avg(a_lab) as am, avg(b_lab) as bm from shades where r is not null and L_lab > 40 group by cluster_id)",
+    "q as (select c_custkey as query_id, cast(c_custkey % 8 as int) as cluster_id, case when c_custkey % 3 = 0 then (c_nationkey + 30)::double end as al, case when c_custkey % 3 = 0 then 10.0::double end as aa, case when c_custkey % 6 = 0 then 5.0::double end as ab from customer)",
+    select="""select query_id, case when ab is not null then 'anchor' when l0 is not null then 'prototype' when lm is not null then 'pool' end as centre, round(case when ab is not null then al when l0 is not null then l0 else lm end, 6) as anchor_L,
+  round(case when ab is not null then ab when l0 is not null then b0 else bm end, 6) as anchor_b from q left join proto using (cluster_id) left join pm using (cluster_id)"""))
+def sco9_centres(spark, sf_dir):
+    df = _catalogue(spark, sf_dir, "cluster_id", "L_lab", "a_lab", "b_lab")
+    protos = df.where("cluster_id < 5").groupBy("cluster_id").agg(*(F.avg(c).alias(c) for c in ("L_lab", "a_lab", "b_lab")))
+    k = F.col("c_custkey")
+    queries = fixtures.table(spark, sf_dir, "customer").select(k.alias("query_id"), (k % 8).cast("int").alias("cluster_id"), F.when(k % 3 == 0, (F.col("c_nationkey") + 30).cast("double")).alias("anchor_L"), F.when(k % 3 == 0, F.lit(10.0)).alias("anchor_a"), F.when(k % 6 == 0, F.lit(5.0)).alias("anchor_b"))
+    means = df.where("L_lab > 40").groupBy("cluster_id").agg(*(F.avg(c).alias(c) for c in ("L_lab", "a_lab", "b_lab")))  # a query's pool: its cluster's light shades
+    got = scoring.centres(queries, protos, queries.select("query_id", "cluster_id").join(means, "cluster_id"))
+    return got.select("query_id", "centre", *rounded("anchor_L", "anchor_b"))
+
+
+@query(with_(SHADES, "n as (select *, count(*) over (partition by cluster_id) as n, row_number() over (partition by cluster_id order by C_lab desc, shade_id) as up, row_number() over (partition by cluster_id order by C_lab, shade_id desc) as dn from shades where r is not null)",
+    select="select 0 as part, shade_id, round(C_lab, 6) as C_lab, cast(null as double) as L_lab from n where n >= 50 and up <= greatest(round_even(n*0.15, 0), 1) union all select 1, shade_id, null, round(L_lab, 6) from n where n >= 50 and up > greatest(round_even(n*0.15, 0), 1) and dn <= greatest(round_even(n*0.15, 0), 1)"))
+def set1_concat(spark, sf_dir):
+    df = _catalogue(spark, sf_dir, "cluster_id", "product_id", "shade_id", "L_lab", "C_lab")
+    weak = tables.stored(relational.top_fractions(df, "cluster_id", "C_lab", "shade_id"), "weak")
+    return relational.concatenated([weak.where("label = 1").select("shade_id", F.round("C_lab", 6).alias("C_lab")), weak.where("label = 0").select("shade_id", F.round("L_lab", 6).alias("L_lab"))], "part")

@@ -166,6 +166,20 @@ def test_checks_and_text(spark):
     assert abs(spark.range(1).select(stats.sigmoid(F.lit(100.0))).first()[0] - 1 / (1 + math.exp(-12))) < 1e-12
 
 
+def test_boosted_ranker_prototypes_and_ordered_predictions(spark, tmp_path):
+    df = tables.stored(fixtures.shades(spark, SMALL).where("r is not null"), "learn")
+    rows = tables.stored(relational.top_fractions(df, "cluster_id", "C_lab", "shade_id", least=10), "weak")
+    model = learning.boosted_ranker(rows.select("product_id", "shade_id", "label", *learning.FEATURES), iterations=3)
+    learning.write_predictions(model, rows, str(tmp_path / "p"))
+    p = [float(r["p"]) for r in spark.read.option("header", True).csv(str(tmp_path / "p")).collect()]
+    assert len(p) == rows.count() and p == sorted(p, reverse=True)
+    assert aggregates.auc_ap(learning.predictions(model, rows), "label", "p").first()["auc"] > 0.8
+    protos, assigned = assets.prototypes(df, k=4)
+    assert protos.count() == 4 and assigned.count() == df.count() and protos.agg(F.sum("n")).first()[0] == df.count()
+    with pytest.raises(ValueError):
+        udf.fuzzy_matches(rows.select(F.col("shade_id").alias("word")), rows.select(F.col("shade_id").alias("key")), 0.0)
+
+
 def test_split_is_exact_and_stable(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2).cast("int").alias("label"))
     a = learning.stratified_split(df, ["k"])
