@@ -296,6 +296,39 @@ def classify_axes(labels: DataFrame, descriptions: DataFrame, least: float = 0.3
     return g.select("vec_id", F.when((F.col("s")[0]["sim"] >= least) & (gap >= margin), F.col("s")[0]["axis"]).alias("axis"), F.col("s")[0]["sim"].alias("best"), gap.alias("margin"))
 
 
+def break_ties(classified: DataFrame, labels: DataFrame, probes: DataFrame, least: float = 0.35, margin: float = 0.08, clear: float = 0.02) -> DataFrame:
+    """vec_id, axis of ranked axes (vec_id, s: array of struct<sim, axis>, best first): close calls between two axes go to the probe that is nearer, if by `clear`.
+
+    labels: vec_id, embedding; probes: a fixed list of vectors, pair (the two axes in order, joined by |), axis, key.
+    """
+    top = classified.select("vec_id", F.col("s")[0]["axis"].alias("a1"), F.col("s")[0]["sim"].alias("s1"), F.get("s", F.lit(1))["axis"].alias("a2"), F.round(F.col("s")[0]["sim"] - F.coalesce(F.get("s", F.lit(1))["sim"], F.lit(-1.0)), 9).alias("gap"))
+    close = top.where((F.col("s1") >= least) & (F.col("gap") < margin)).withColumn("pair", F.array_join(F.sort_array(F.array("a1", "a2")), "|"))
+    asked = close.join(labels, "vec_id").join(probes, "pair").groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct(stats.cosine(F.col("embedding"), F.col("key")).alias("sim"), "axis")), asc=False).alias("p"))
+    asked = asked.select("vec_id", F.when(F.round(F.col("p")[0]["sim"] - F.get("p", F.lit(1))["sim"], 9) >= clear, F.col("p")[0]["axis"]).alias("_told"))
+    return top.join(asked, "vec_id", "left").select("vec_id", F.coalesce("_told", F.when((F.col("s1") >= least) & (F.col("gap") >= margin), F.col("a1"))).alias("axis"), F.col("_told").isNotNull().alias("probed"))
+
+
+def vote_axes(ranked_axes: DataFrame, variants: DataFrame, topk: int = 3) -> DataFrame:
+    """label, axis, score: weighted_vote over the topk axes of each label's variants; ranked_axes: label, axis, score; variants: label, variant, weight."""
+    best = ranked(ranked_axes, ["label"], [F.desc(F.round("score", 9)), "axis"], "_k").where(F.col("_k") <= topk)
+    lists = best.groupBy(F.col("label").alias("variant")).agg(F.collect_list(F.struct("axis", "score")).alias("axes"))
+    return weighted_vote(variants.where("weight > 0").join(lists, "variant"))
+
+
+def choose_axes(ranked_axes: DataFrame, votes: DataFrame, least: float = 0.35, margin: float = 0.08) -> DataFrame:
+    """label, axis, source: the label's own best axis where it is similar enough and clear (classifier), else its variants' vote where that is (vote), else its best axis if similar enough (raw, ambiguous)."""
+
+    def top(df: DataFrame, name: str) -> DataFrame:
+        g = df.groupBy("label").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("m"), "axis"))).alias("l"))
+        gap = F.round(F.coalesce(F.get("l", F.lit(1))["m"], F.lit(0.0)) - F.col("l")[0]["m"], 9)
+        return g.select("label", F.struct(F.col("l")[0]["axis"].alias("axis"), (-F.col("l")[0]["m"] >= least).alias("near"), (gap >= margin).alias("clear")).alias(name))
+
+    j = top(ranked_axes, "_o").join(top(votes, "_v"), "label", "left")
+    sure = lambda c: F.coalesce(F.col(f"{c}.near") & F.col(f"{c}.clear"), F.lit(False))
+    source = F.when(sure("_o"), "classifier").when(sure("_v"), "vote").when(F.col("_o.near"), "raw")
+    return j.select("label", F.when(source == "vote", F.col("_v.axis")).when(source.isNotNull(), F.col("_o.axis")).alias("axis"), source.alias("source"))
+
+
 def weighted_vote(ranked_axes: DataFrame) -> DataFrame:
     """label, axis, score: weighted mean score of each axis over a label's variants (weight, axes array of struct<axis, score>)."""
     e = ranked_axes.select("label", "weight", F.explode("axes").alias("x"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..operators import aggregates, constraints, pools, preference, relational, scoring
 from ..plans import assets, learning, recommend
 from ..sources import calibration, fixtures, tables
@@ -318,3 +319,48 @@ def set1_concat(spark, sf_dir):
     df = _catalogue(spark, sf_dir, "cluster_id", "product_id", "shade_id", "L_lab", "C_lab")
     weak = tables.stored(relational.top_fractions(df, "cluster_id", "C_lab", "shade_id"), "weak")
     return relational.concatenated([weak.where("label = 1").select("shade_id", F.round("C_lab", 6).alias("C_lab")), weak.where("label = 0").select("shade_id", F.round("L_lab", 6).alias("L_lab"))], "part")
+
+
+_AXIS_SIMS = """keys as (select label, arg_min(embedding, vec_id) as embedding from embeddings group by label),
+s as (select b.vec_id, 'axis' || (a.label % 5) as axis, max(list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))) as sim from keys a, embeddings b group by all)"""
+
+
+def _axis_sims(spark, sf_dir):
+    """Similarities of every vector to five axes, each described by two label keys."""
+    e = fixtures.table(spark, sf_dir, "embeddings")
+    d = fixtures.label_keys(e).select(F.concat(F.lit("axis"), (F.col("label") % 5).cast("string")).alias("axis"), "key")
+    return e.select("vec_id", "embedding"), e.crossJoin(F.broadcast(d)).groupBy("vec_id", "axis").agg(F.max(stats.cosine(F.col("embedding"), F.col("key"))).alias("score"))
+
+
+_PROBES = "pr as (select 'axis' || i || '|axis' || (i + 1) as pair, 'axis' || (i + j) as axis, (select embedding from embeddings where vec_id = (select min(vec_id) from embeddings) + 3*i + j) as key from range(0, 4) r(i), range(0, 2) q(j))"
+
+
+@query(with_(_AXIS_SIMS, _PROBES,
+    "t as (select vec_id, list({'s': sim, 'a': axis} order by sim desc, axis desc) as l from s group by vec_id)", "c as (select vec_id, l[1].a as a1, l[1].s as s1, l[2].a as a2, round(l[1].s - l[2].s, 9) as gap from t)",
+    "q as (select c.vec_id, pr.axis, list_cosine_similarity(list_transform(e.embedding, lambda x: x::double), list_transform(pr.key, lambda x: x::double)) as sim from c join embeddings e using (vec_id) join pr on pr.pair = least(a1, a2) || '|' || greatest(a1, a2) where s1 >= 0.1 and gap < 0.08)",
+    "o as (select vec_id, case when round(max(sim) - min(sim), 9) >= 0.02 then arg_max(axis, sim) end as told from q group by vec_id)",
+    select="select vec_id, coalesce(told, case when s1 >= 0.1 and gap >= 0.08 then a1 end) as axis, told is not null as probed from c left join o using (vec_id)"))
+def txt10_ties(spark, sf_dir):
+    vectors, sims = _axis_sims(spark, sf_dir)
+    listed = sims.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct(F.col("score").alias("sim"), "axis")), asc=False).alias("s"))
+    low = vectors.agg(F.min("vec_id").alias("_low"))
+    probe = vectors.crossJoin(F.broadcast(low)).select((F.col("vec_id") - F.col("_low")).alias("k"), F.col("embedding").alias("key"))
+    asked = spark.createDataFrame([(3 * i + j, f"axis{i}|axis{i + 1}", f"axis{i + j}") for i in range(4) for j in range(2)], "k long, pair string, axis string")
+    return preference.break_ties(listed, vectors, asked.join(probe, "k").drop("k"), least=0.1)
+
+
+@query(with_(_AXIS_SIMS,
+    "k as (select *, row_number() over (partition by vec_id order by round(sim, 9) desc, axis) as k from s)",
+    "w as (select a.vec_id as label, b.vec_id as variant, list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)) as weight from embeddings a join embeddings b on a.label = b.label and b.vec_id between a.vec_id - 40 and a.vec_id + 40)",
+    "v as (select label, axis, sum(weight*sim)/sum(weight) as score from w join k on k.vec_id = w.variant where weight > 0 and k <= 3 group by all)",
+    "o1 as (select vec_id as label, list({'s': round(sim, 9), 'a': axis} order by round(sim, 9) desc, axis) as l from s group by vec_id)", "v1 as (select label, list({'s': round(score, 9), 'a': axis} order by round(score, 9) desc, axis) as l from v group by label)",
+    "j as (select o1.label, o1.l[1].a as oa, o1.l[1].s >= 0.35 as near, round(o1.l[1].s - o1.l[2].s, 9) >= 0.08 as clear, v1.l[1].a as va, coalesce(v1.l[1].s >= 0.35 and round(v1.l[1].s - coalesce(v1.l[2].s, 0), 9) >= 0.08, false) as vsure from o1 left join v1 using (label))",
+    select="select label, case when near and clear then oa when vsure then va when near then oa end as axis, case when near and clear then 'classifier' when vsure then 'vote' when near then 'raw' end as source from j"))
+def txt11_choice(spark, sf_dir):
+    vectors, sims = _axis_sims(spark, sf_dir)
+    e = fixtures.table(spark, sf_dir, "embeddings")
+    b = e.select(F.col("label").alias("_l"), F.col("vec_id").alias("variant"), F.col("embedding").alias("_e"))
+    near = e.join(b, (F.col("label") == F.col("_l")) & F.col("variant").between(F.col("vec_id") - 40, F.col("vec_id") + 40))
+    variants = near.select(F.col("vec_id").alias("label"), "variant", stats.cosine(F.col("embedding"), F.col("_e")).alias("weight"))
+    own = tables.stored(sims.withColumnRenamed("vec_id", "label"), "axis-sims")
+    return preference.choose_axes(own, preference.vote_axes(own, variants))
