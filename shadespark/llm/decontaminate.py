@@ -79,14 +79,14 @@ class ItemIndex:
 
 
 class Blocks:
-    """The multi-index, made from an index's codes in the task that reads it: which codes occur in a block, and their items in order."""
+    """The multi-index, made from an index's codes in the task that reads it: which codes occur in a block (10 MB), and their items in order (160 bytes an item)."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.lead = (np.arange(BLOCKS, dtype=np.int64) << WIDTH)[:, None]
+        self.lead = (np.arange(BLOCKS, dtype=np.int32) << WIDTH)[:, None]
         keys = (codes.T + self.lead).ravel()
-        self.order = np.argsort(keys, kind="stable")
-        self.keys, self.item = keys[self.order], self.order % max(len(codes), 1)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item = keys[order], (order % max(len(codes), 1)).astype(np.int32)
         self.present = np.zeros(BLOCKS << WIDTH, bool)
         self.present[keys] = True
         self.known: dict[bytes, np.ndarray] = {}
