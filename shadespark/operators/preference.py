@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats, text
+from ..sources.tables import stored
 from .relational import ranked
 
 # Fixed cue lists of the lexical polarity.
@@ -341,10 +342,10 @@ def interpreted(texts: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFr
     clauses: with polarity; mentions: text_id, clause_id, start, len, alias, name, polarity (places in words
     of the clause); constraints: merged by clause, normalised and resolved, with the clause's polarity and status.
     """
-    parts = clauses(texts.select("text_id", plain_not(F.col("text")).alias("text"))).withColumn("cue", polarity(F.col("clause")))
+    parts = stored(clauses(texts.select("text_id", plain_not(F.col("text")).alias("text"))).withColumn("cue", polarity(F.col("clause"))), "clauses")
     key = ("text_id", "clause_id")
     found = mentions(parts.select(*key, F.col("clause").alias("text")), aliases, by=key).join(parts.select(*key, "cue", "elliptical"), list(key))
-    found = found.withColumn("polarity", mention_polarity(F.col("cue"), F.col("elliptical")))
+    found = stored(found.withColumn("polarity", mention_polarity(F.col("cue"), F.col("elliptical"))), "mentions")
     told = parts.select(*key, F.lit("UNKNOWN").alias("polarity"), "cue", "elliptical").unionByName(found.select(*key, "polarity", "cue", "elliptical"))
     parts = parts.join(clause_polarity(told), list(key))
     cons = merge_constraints(extract_constraints(parts.select(*key, F.col("clause").alias("text")), key)).join(parts.select(*key, "polarity"), list(key))
