@@ -205,7 +205,8 @@ def _mixed(docs: DataFrame, block: int, seed: int, weights: tuple[int, ...], sha
 
     def keyed(rows: DataFrame, *columns: str) -> DataFrame:
         rows = rows.join(named, F.col("source").eqNullSafe(F.col("its_source")))
-        return rows.select("rank", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(steps)).alias("part"), "doc_id", "row_hash", *columns)
+        part = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(steps)).cast("long")
+        return rows.select(F.col("rank").cast("long").alias("rank"), part.alias("part"), "doc_id", "row_hash", *columns)
 
     parts = common.written(parts_of(keyed(rows, "size")), "mix-parts")
     placed = common.written(place_in_source(keyed(rows, "source", "size", "source_size", "target"), parts).drop("row_hash", "part"), "mix-places")
@@ -216,7 +217,8 @@ def _mixed(docs: DataFrame, block: int, seed: int, weights: tuple[int, ...], sha
     slots = slots.join(short, "rank").withColumn("words", F.when(F.col("last"), F.greatest(F.col("words") - F.col("over"), F.lit(0))).otherwise(F.col("words")))
     holds = parts.where("n > 0").select("rank", "part", "offset", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block))).alias("block"))
     slots = slots.join(holds.hint("merge"), ["rank", "block"])  # a row for each block, though its size is estimated from parts
-    slots = slots.select("rank", "part", "offset", "block", "shard", "slot", "words")
+    # both sides of the cogroup need keys of one type, or equal keys are dealt to different tasks
+    slots = slots.select(F.col("rank").cast("long").alias("rank"), F.col("part").cast("long").alias("part"), "offset", "block", "shard", "slot", "words")
     texts = keyed(plain(docs), "text")  # the running sums of `placed` are made again in each part, from its texts
     filled = texts.groupBy("rank", "part").cogroup(slots.groupBy("rank", "part")).applyInArrow(_filled(block), f"rank long, block long, shard long, slot long, words long, whole boolean, spans {SPANS}")
     filled = common.written(filled, "mix", "zstd")

@@ -54,6 +54,23 @@ def corpus(spark, seed, n=120):
     return rows
 
 
+@pytest.fixture
+def scattered(spark):
+    """Many shuffle partitions that stay apart, as on large tables: small ones would meet in one task, where keys of different types still find each other."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_mixing_meets_targets_on_a_larger_table(spark, scattered):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.mix_sources(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    assert len(got) > 5 and all(abs(r["taken"] - r["target"]) <= 1 and r["over"] <= 0 for r in got), got
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
@@ -74,7 +91,7 @@ def brute_windows(rows, tokens, window, join):
 
 
 @pytest.mark.parametrize("seed,hot", [(1, 4096), (2, 4096), (3, 3)])
-def test_substring_and_suffix_dedup_equal_brute_force(spark, seed, hot, monkeypatch):
+def test_substring_and_suffix_dedup_equal_brute_force(spark, seed, hot, monkeypatch, scattered):
     monkeypatch.setattr(windows, "HOT", hot)  # 3: every frequent minimiser is split over buckets
     rows = corpus(spark, seed)
     want = brute_windows(rows, lambda t: t.encode().split(), 20, b" ".join)
@@ -166,7 +183,7 @@ def components(rows, k, percent):
 
 
 @pytest.mark.parametrize("seed,block,family", [(1, 4096, 1_000_000), (4, 2, 60)])
-def test_minhash_equals_brute_force(spark, seed, block, family, monkeypatch):
+def test_minhash_equals_brute_force(spark, seed, block, family, monkeypatch, scattered):
     monkeypatch.setattr(minhash_join, "LIST_BLOCK", block)
     monkeypatch.setattr(minhash_join, "FAMILY_BLOCK", family)
     rows = corpus(spark, seed, 160)
@@ -451,7 +468,7 @@ def test_slots_blocks_and_shards_are_drawn_without_loss(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("step", [2000, 1])
-def test_mixing_makes_the_mix(spark, step, monkeypatch):
+def test_mixing_makes_the_mix(spark, step, monkeypatch, scattered):
     monkeypatch.setattr(mixing, "STEP", step)  # 1: most blocks lie in several parts
     rng = random.Random(4)
     rows = [(i, "\t ".join([f"d{i}w{k}ü" for k in range(rng.choice([0, 1, 3, 9, 150]))]) + rng.choice(["", " \n"]), rng.choice(["a", "b", None])) for i in range(60)]
