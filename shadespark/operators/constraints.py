@@ -146,5 +146,5 @@ def snap_cutpoints(pool: DataFrame, resolved: DataFrame, min_share: float = 0.05
 
     some = resolved.join(numeric, "query_id", "left_semi")
     rest = resolved.join(numeric, "query_id", "left_anti")
-    rows = pool.select("query_id", *dims)
+    rows = pool.select(F.col("query_id").cast(schema["query_id"].dataType).alias("query_id"), *dims)  # a cogroup needs keys of one type on both sides
     return some.groupBy("query_id").cogroup(rows.groupBy("query_id")).applyInPandas(lambda key, c, r: relax(key, r, c), schema).unionByName(rest)
