@@ -201,7 +201,9 @@ def _mixed(docs: DataFrame, block: int, seed: int, weights: tuple[int, ...], sha
     steps = max(1, -(-total["n"] // STEP), -(-total["words"] // STEP_WORDS))
     sources = common.written(targets(rows, weights, share, cap), "mix-sources")
     named = sources.withColumnRenamed("source", "its_source")
-    named = F.broadcast(named) if sources.count() <= BROADCAST_SOURCES else named
+    few = sources.count() <= BROADCAST_SOURCES  # a join by rank alone would send a large source's slots to one task
+    by_source = F.broadcast if few else (lambda df: df)
+    named = by_source(named)
 
     def keyed(rows: DataFrame, *columns: str) -> DataFrame:
         rows = rows.join(named, F.col("source").eqNullSafe(F.col("its_source")))
@@ -214,7 +216,7 @@ def _mixed(docs: DataFrame, block: int, seed: int, weights: tuple[int, ...], sha
     # words that each block gives: all of it in each slot, but only as many as are missing in a source's last slot
     wanted = sources.select("rank", F.round("target").cast("long").alias("want"))
     short = slots.groupBy("rank").agg(F.sum("words").alias("sum")).join(wanted, "rank").select("rank", F.greatest(F.col("sum") - F.col("want"), F.lit(0)).alias("over"))
-    slots = slots.join(short, "rank").withColumn("words", F.when(F.col("last"), F.greatest(F.col("words") - F.col("over"), F.lit(0))).otherwise(F.col("words")))
+    slots = slots.join(by_source(short), "rank").withColumn("words", F.when(F.col("last"), F.greatest(F.col("words") - F.col("over"), F.lit(0))).otherwise(F.col("words")))
     holds = parts.where("n > 0").select("rank", "part", "offset", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block))).alias("block"))
     slots = slots.join(holds.hint("merge"), ["rank", "block"])  # a row for each block, though its size is estimated from parts
     # both sides of the cogroup need keys of one type, or equal keys are dealt to different tasks
