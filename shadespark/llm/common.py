@@ -120,12 +120,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, last byte + 1 and row of each word; no word crosses a row."""
+def steps(column: pa.Array, inside: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As slices, but a row of over limit bytes comes in several runs, cut behind a byte that is outside words (a longer word stays whole)."""
+    for i, j, data, at in slices(column, limit):
+        begin = 0
+        while j - i == 1 and len(data) - begin > limit:
+            cut = begin + limit
+            while cut < len(data) and inside[data[cut - 1]]:
+                ahead = np.flatnonzero(~inside[data[cut - 1 : cut - 1 + limit]])
+                cut = min(len(data), cut + int(ahead[0]) if len(ahead) else cut + limit)
+            yield i, j, data[begin:cut], np.array([0, cut - begin])
+            begin = cut
+        yield i, j, data[begin:], at if not begin else np.array([0, len(data) - begin])
+
+
+#: Bytes of words, by byte.
+IN_WORD = np.ones(256, bool)
+IN_WORD[[32, *range(9, 14)]] = False
+
+
+def word_bounds(data: np.ndarray, at: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, last byte + 1 and row of each word; no word crosses a row. inside: for each byte, whether words hold it."""
     n = len(data)
     if not n:
         return (np.empty(0, np.int64),) * 3
-    word = (data != 32) & ((data < 9) | (data > 13))
+    word = (data != 32) & ((data < 9) | (data > 13)) if inside is None else inside[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, gif, language, minhash_join, mixing, quality, substring_dedup, suffix_dedup, toxicity
+from . import chat, common, decontaminate, gif, language, lexical_search, minhash_join, mixing, quality, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +63,14 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_chat, op2_toxicity, op3_minhash, op4_decontaminate, op5_language, op6_quality, op7_mixing, op8_suffix, op9_gif, op10_substring)
+    own = (op1_chat, op2_toxicity, op3_minhash, op4_decontaminate, op5_language, op6_quality, op7_mixing, op8_suffix, op9_gif, op10_substring, op13_search)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -110,5 +114,19 @@ select doc_id, cast(n as bigint) as n_words, cast(n - len(kept) as bigint) as n_
 """
 
 
+_OP13 = r"""
+with words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+total as (select count(*) filter (len(w) > 0) as docs, cast(sum(len(w)) as bigint) as terms from words),
+held as (select doc_id, cast(len(w) as bigint) as n, unnest(w) as term from words),
+tf as (select doc_id, n, term, count(*) as tf from held group by all),
+asked as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+weights as (select term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, total group by term, docs),
+scored as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) as bigint) as score
+  from asked join tf using (term) join weights using (term), total group by item_id, doc_id)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": _OP1, "op3_minhash": _OP3, "op10_substring": _OP10}
+    return {"op1_chat": _OP1, "op3_minhash": _OP3, "op10_substring": _OP10, "op13_search": _OP13}
