@@ -120,18 +120,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def pieces(data: np.ndarray, inside: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Parts of about limit bytes, cut behind a byte that is outside words (a longer word stays whole). inside: for each byte, whether words hold it."""
+    begin = 0
+    while len(data) - begin > limit:
+        cut = begin + limit
+        while cut < len(data) and inside[data[cut - 1]]:
+            ahead = np.flatnonzero(~inside[data[cut : cut + limit]])
+            cut = min(len(data), cut + int(ahead[0]) + 1 if len(ahead) else cut + limit)
+        yield begin, cut
+        begin = cut
+    yield begin, len(data)
+
+
 def steps(column: pa.Array, inside: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """As slices, but a row of over limit bytes comes in several runs, cut behind a byte that is outside words (a longer word stays whole)."""
+    """As slices, but a row of over limit bytes comes in several runs, cut as by pieces."""
     for i, j, data, at in slices(column, limit):
-        begin = 0
-        while j - i == 1 and len(data) - begin > limit:
-            cut = begin + limit
-            while cut < len(data) and inside[data[cut - 1]]:
-                ahead = np.flatnonzero(~inside[data[cut - 1 : cut - 1 + limit]])
-                cut = min(len(data), cut + int(ahead[0]) if len(ahead) else cut + limit)
-            yield i, j, data[begin:cut], np.array([0, cut - begin])
-            begin = cut
-        yield i, j, data[begin:], at if not begin else np.array([0, len(data) - begin])
+        if j - i > 1:
+            yield i, j, data, at
+        else:
+            for begin, end in pieces(data, inside, limit):
+                yield i, j, data[begin:end], np.array([0, end - begin])
 
 
 #: Bytes of words, by byte.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, gif, language, lexical_search, minhash_join, mixing, quality, substring_dedup, suffix_dedup, toxicity
+from . import chat, common, decontaminate, gif, language, lexical_search, minhash_join, mixing, periodic_runs, quality, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,24 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """docs with the texts of every tenth document, by crc32 of doc_id, made periodic from some word on."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", F.when(crc % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"), F.expr("crc32(cast(cast(doc_id as string) as binary)) div 10").alias("g"))
+    docs = docs.select("doc_id", "text", "words", "g", F.size("words").cast("long").alias("n")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(sequence(0L, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_repeating(table(spark, sf_dir, "documents")), with_text=False)
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", best).withColumn("runs_sha256", F.sha2(lines, 256))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -70,7 +88,7 @@ def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_chat, op2_toxicity, op3_minhash, op4_decontaminate, op5_language, op6_quality, op7_mixing, op8_suffix, op9_gif, op10_substring, op13_search)
+    own = (op1_chat, op2_toxicity, op3_minhash, op4_decontaminate, op5_language, op6_quality, op7_mixing, op8_suffix, op9_gif, op10_substring, op12_runs, op13_search)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -114,6 +132,27 @@ select doc_id, cast(n as bigint) as n_words, cast(n - len(kept) as bigint) as n_
 """
 
 
+_OP12 = r"""
+with bytes as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) as h from documents),
+g as (select doc_id, w, cast(len(w) as bigint) as n, h, h // 10 as g from bytes),
+a as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from g),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+words as (select doc_id, n, case when a is null then w else list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) end as w from p),
+each as (select doc_id, n, unnest(w) as x, unnest(range(0, n)) as i from words),
+pair as (select l.doc_id, r.i - l.i as q, l.i from each l join each r on l.doc_id = r.doc_id and l.x = r.x and r.i > l.i and 3 * (r.i - l.i) <= l.n),
+island as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as k from pair),
+long as (select doc_id, q, min(i) as s, count(*) + q as length from island group by doc_id, q, k having count(*) + q >= greatest(24, 3 * q)),
+runs as (select * from long l where not exists (select 1 from long o where o.doc_id = l.doc_id and o.q < l.q and l.q % o.q = 0 and o.s <= l.s and o.s + o.length >= l.s + l.length)),
+line as (select doc_id, count(*) as n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q) as lines from runs group by doc_id),
+best as (select *, row_number() over (partition by doc_id order by cast(length as double) / q desc, s, q) as k from runs),
+gone as (select doc_id, list(distinct i) as gone from (select doc_id, unnest(range(s + q, s + length)) as i from runs) group by doc_id),
+kept as (select words.doc_id, array_to_string(case when gone is null then w else list_transform(list_filter(range(0, n), lambda i: not list_contains(gone, i)), lambda i: w[i + 1]) end, ' ') as kept from words left join gone on gone.doc_id = words.doc_id)
+select kept.doc_id, coalesce(n_runs, 0) as n_runs, s as start, cast(length as bigint) as length, q as period, cast((1000 * length) // q as bigint) as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from kept left join line on line.doc_id = kept.doc_id left join best on best.doc_id = kept.doc_id and k = 1
+"""
+
 _OP13 = r"""
 with words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
 total as (select count(*) filter (len(w) > 0) as docs, cast(sum(len(w)) as bigint) as terms from words),
@@ -129,4 +168,4 @@ from (select *, row_number() over (partition by item_id order by score desc, doc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": _OP1, "op3_minhash": _OP3, "op10_substring": _OP10, "op13_search": _OP13}
+    return {"op1_chat": _OP1, "op3_minhash": _OP3, "op10_substring": _OP10, "op12_runs": _OP12, "op13_search": _OP13}
