@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, gif, language, lexical_search, minhash_join, mixing, periodic_runs, quality, substring_dedup, suffix_dedup, toxicity
+from . import chat, common, context_tree, decontaminate, gif, language, lexical_search, minhash_join, mixing, periodic_runs, quality, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.context_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def _repeating(docs: DataFrame) -> DataFrame:
     """docs with the texts of every tenth document, by crc32 of doc_id, made periodic from some word on."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -88,7 +92,7 @@ def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_chat, op2_toxicity, op3_minhash, op4_decontaminate, op5_language, op6_quality, op7_mixing, op8_suffix, op9_gif, op10_substring, op12_runs, op13_search)
+    own = (op1_chat, op2_toxicity, op3_minhash, op4_decontaminate, op5_language, op6_quality, op7_mixing, op8_suffix, op9_gif, op10_substring, op11_context_tree, op12_runs, op13_search)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
