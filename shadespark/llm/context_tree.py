@@ -10,17 +10,18 @@ m = Pe / 2 Pw, the share of a node that stops there (1 at full depth). Bytes bef
 
 The plan:
 
-1. Documents are dealt to blocks of about BLOCK_BYTES of text by a hash. A block gives each distinct gram (depth bytes and
-   the next one) and word of its texts once, with its count in training documents: a small part of the text.
-2. Counts are summed by gram and word over all blocks.
+1. Documents are dealt to blocks of about BLOCK_BYTES of text by a hash. A block asks for each distinct gram (depth bytes
+   and the next one) and word of its texts once, with its count in training documents. What it asks for is dealt to parts
+   by a hash of all but a gram's last two bytes, and travels packed: one row for each block and part.
+2. A part sums the counts over all blocks.
 3. Grams meet by their last TOP bytes of context; those groups fill buckets, in which the nodes of depth TOP and more are
    weighed. The shallower levels, whose contexts spread over buckets, are sums over all of them in Spark.
 4. From the root down, each node passes on what its mixture holds so far, again in Spark down to depth TOP and then in the
    buckets. That gives each gram of the corpus its probability, whether it was trained on or not.
-5. Each block gets the values of the grams and words it asked for, and meets its texts again to sum them.
+5. Parts answer what the blocks asked, and each block meets its texts again to sum the values.
 
-Nothing of the model is broadcast or collected but two numbers (training tokens and distinct ones). A bucket's group of
-TOP context bytes has at most 2 ** (8 * (depth - TOP + 1)) grams.
+Nothing of the model is broadcast or collected but two numbers (training tokens and distinct ones). A part holds the grams
+of a hash, each once for each block that asks; a bucket, whole groups of TOP context bytes.
 """
 
 from __future__ import annotations
@@ -36,17 +37,17 @@ from pyspark.sql import functions as F
 from . import common
 from .common import U
 
-#: Bytes of text of one block, and grams of one bucket, about.
-BLOCK_BYTES, BUCKET_GRAMS = 16 << 20, 200_000
+#: Bytes of text of one block, bytes of text for each part, and grams of one bucket, about.
+BLOCK_BYTES, PART_BYTES, BUCKET_GRAMS = 24 << 20, 24 << 20, 200_000
 #: Context bytes by which grams are dealt to buckets.
 TOP = 4
 #: Distinct grams that wait to be merged at most.
-HELD = 4 << 20
+HELD = 3 << 20
 #: The key of the token that ends each text.
 END = 0
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_KEYS = pa.schema([("block", pa.int64()), ("word", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
+_ASKED = "block long, word boolean, part int, keys binary, n binary"
 
 
 def log_gamma(x, log):
@@ -93,6 +94,20 @@ def _grams(data: np.ndarray, begin: np.ndarray, depth: int) -> Iterator[tuple[np
         yield a + np.flatnonzero(here), g[here].view(np.int64)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """64-bit numbers as the bytes of their differences, all first bytes together, then all second ones: ascending or small numbers compress well."""
+    x = x.view(U)
+    return np.diff(x, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(U).ravel(), dtype=U).view(np.int64)
+
+
+def part_of(key: np.ndarray, word: bool, parts: int) -> np.ndarray:
+    return (common.mix(key.view(U) >> U(0 if word else 16)) % U(parts)).astype(np.int32)
+
+
 class Tally:
     """Distinct keys with their counts."""
 
@@ -102,7 +117,10 @@ class Tally:
 
     def add(self, keys: np.ndarray, times: int) -> None:
         key, n = np.unique(keys, return_counts=True)
-        self.parts.append((key, n * times))
+        self.put(key, n * times)
+
+    def put(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((key, n))
         self.held += len(key)
         if self.held > HELD:
             self.parts = [self.total()]
@@ -118,7 +136,7 @@ class Tally:
         return key[first], np.add.reduceat(n, first)
 
 
-def _asked(depth: int):
+def _asked(depth: int, parts: int):
     """Of one block: its distinct grams and words with their counts in training texts."""
 
     def of(table: pa.Table) -> pa.Table:
@@ -132,14 +150,52 @@ def _asked(depth: int):
                     start, end, _ = common.word_bounds(data[x:y], np.array([0, y - x]))
                     words.add(common.word_hashes(data[x:y], start, end, lower=False).view(np.int64), int(not held_out))
             ends += 0 if held_out else len(texts)
-        out = [(False, *grams.total()), (True, *words.total()), (True, np.array([END]), np.array([ends]))]
-        key, n = (np.concatenate([x[c] for x in out]) for c in (1, 2))
-        kind = np.repeat([x[0] for x in out], [len(x[1]) for x in out])
-        return pa.table([pa.array(np.full(len(key), table["block"][0].as_py())), pa.array(kind), pa.array(key), pa.array(n)], schema=_KEYS)
+        words.add(np.array([END]), 0)
+        key, n = words.total()
+        n[key == END] += ends
+        out: dict[str, list] = {"block": [], "word": [], "part": [], "keys": [], "n": []}
+        for word, (key, n) in ((False, grams.total()), (True, (key, n))):
+            part = part_of(key, word, parts)
+            order = np.argsort(part, kind="stable")  # keys ascend in each part
+            first = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(first)):
+                at = order[first[p] : first[p + 1]]
+                for name, x in (("block", table["block"][0].as_py()), ("word", word), ("part", int(p)), ("keys", packed(key[at])), ("n", packed(n[at]))):
+                    out[name].append(x)
+        kinds = {"block": pa.int64(), "word": pa.bool_(), "part": pa.int32(), "keys": pa.binary(), "n": pa.binary()}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     return of
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    """Of one part: each key once, with its count over all blocks."""
+    out = []
+    for word in (False, True):
+        some, total = table.filter(pa.compute.equal(table["word"], word)), Tally()
+        for keys, n in zip(some["keys"], some["n"]):
+            total.put(unpacked(keys.as_py()), unpacked(n.as_py()))
+        out.append((word, *total.total()))
+    key, n = (np.concatenate([x[c] for x in out]) for c in (1, 2))
+    return pa.table([pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out])), pa.array(np.full(len(key), table["part"][0].as_py(), np.int32)), pa.array(key), pa.array(n)], ["word", "part", "key", "n"])
+
+
+def _answered(asked: pa.Table, values: pa.Table) -> pa.Table:
+    """Of one part: for each row that asks, its keys with their values."""
+    out: dict[str, list] = {"block": [], "word": [], "keys": [], "values": []}
+    for word in (False, True):
+        some = values.filter(pa.compute.equal(values["word"], word))
+        key, value = common.int64(some["key"]), some["value"].to_numpy()
+        order = np.argsort(key)
+        key, value = key[order], value[order].astype(np.float64 if word else np.float32)
+        rows = asked.filter(pa.compute.equal(asked["word"], word))
+        for block, keys in zip(rows["block"].to_pylist(), rows["keys"]):
+            for name, x in (("block", block), ("word", word), ("keys", keys.as_py()), ("values", value[np.searchsorted(key, unpacked(keys.as_py()))].tobytes())):
+                out[name].append(x)
+    kinds = {"block": pa.int64(), "word": pa.bool_(), "keys": pa.binary(), "values": pa.binary()}
+    return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+
+
 class Nodes:
     """The nodes of depth TOP and more over some grams (ascending unsigned numbers, whole groups of TOP context bytes)."""
 
@@ -207,13 +263,12 @@ def _roots(depth: int):
     return of
 
 
-def _valued(depth: int):
+def _valued(depth: int, parts: int):
     def of(grams: pa.Table, tops: pa.Table) -> pa.Table:
-        if not len(grams):
-            return pa.table({"key": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
         nodes = Nodes(*_ordered(grams), depth)
         order = np.argsort((common.int64(tops["context"]) << 8) | common.int64(tops["bits"]))
-        return pa.table([nodes.key.view(np.int64), nodes.values(*(tops[c].to_numpy()[order] for c in ("zero", "one", "rest")))], ["key", "value"])
+        key = nodes.key.view(np.int64)
+        return pa.table([part_of(key, False, parts), key, nodes.values(*(tops[c].to_numpy()[order] for c in ("zero", "one", "rest")))], ["part", "key", "value"])
 
     return of
 
@@ -240,8 +295,8 @@ def _passed_on(nodes: DataFrame, above: DataFrame | None) -> DataFrame:
     return nodes.select("context", "bits", (F.col("zero") + part * (F.col("zeros") + 0.5)).alias("zero"), (F.col("one") + part * (F.col("ones") + 0.5)).alias("one"), (F.col("rest") * (1 - stop)).alias("rest"))
 
 
-def gram_values(grams: DataFrame, depth: int) -> DataFrame:
-    """key, value: log10 of the probability of each gram's last byte after its context. grams: key, n (times in training), distinct and stored."""
+def gram_values(grams: DataFrame, depth: int, parts: int = 1) -> DataFrame:
+    """part, key, value: log10 of the probability of each gram's last byte after its context. grams: key, n (times in training), distinct and stored."""
     spark = grams.sparkSession
     buckets = max(1, -(-grams.count() // BUCKET_GRAMS))
     bucket = lambda context: F.pmod(F.xxhash64(context), F.lit(buckets)).cast("int").alias("bucket")
@@ -255,8 +310,7 @@ def gram_values(grams: DataFrame, depth: int) -> DataFrame:
         passed = _passed_on(nodes, passed)
     above = passed.withColumnRenamed("context", "upper")
     tops = roots.select("context", "bits", F.shiftright("context", 8).alias("upper")).join(above, ["upper", "bits"]).select(bucket(F.col("context")), "context", "bits", "zero", "one", "rest")
-    valued = dealt.groupBy("bucket").cogroup(tops.groupBy("bucket")).applyInArrow(_valued(depth), "key long, value double")
-    return valued
+    return dealt.groupBy("bucket").cogroup(tops.groupBy("bucket")).applyInArrow(_valued(depth, parts), "part int, key long, value double")
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray):
@@ -296,10 +350,14 @@ def _scored(depth: int, tokens: int, distinct: int):
     share = math.log10(tokens + distinct + 1)
 
     def of(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        kind = answers["word"].to_numpy()
-        key, value = common.int64(answers["key"]), answers["value"].to_numpy()
-        end = value[kind & (key == END)]
-        gram, word = _lookup(key[~kind], value[~kind]), _lookup(key[kind], value[kind])
+        find = {}
+        for word, form in ((False, np.float32), (True, np.float64)):
+            some = answers.filter(pa.compute.equal(answers["word"], word))
+            key = np.concatenate([unpacked(x.as_py()) for x in some["keys"]] or [np.empty(0, np.int64)])
+            value = np.concatenate([np.frombuffer(x.as_py(), form) for x in some["values"]] or [np.empty(0, form)]).astype(float)
+            find[word] = _lookup(key, np.log10(value + 1) if word else value)
+        gram, word = find[False], find[True]
+        end = word(np.array([END]))
         total, base, known, words, size = (np.zeros(len(docs)) for _ in range(5))
         for i, j, data, begin, w in _buffers(docs["text"].combine_chunks(), depth):
             row = lambda at: np.searchsorted(begin, at, "right") - 1 + i
@@ -315,8 +373,8 @@ def _scored(depth: int, tokens: int, distinct: int):
             words[i:j] = w
             size[i:j] = np.diff(np.append(begin, len(data))) - depth
         n = words + 1
-        base += (end[0] if len(end) else 0.0) - n * share
-        known += bool(len(end) and end[0] > 0)
+        base += end[0] - n * share
+        known += bool(end[0] > 0)
         count = lambda x: pa.array(x.astype(np.int64))
         columns = [docs["doc_id"].combine_chunks(), docs["held_out"].combine_chunks(), count(n), count(known), pa.array(np.full(len(docs), tokens)), pa.array(base), pa.array(total), count(size)]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
@@ -333,7 +391,7 @@ def _add(total: np.ndarray, rows: np.ndarray, begin: np.ndarray, at: np.ndarray,
         total[rows[0] : rows[1] + 1][some] += np.add.reduceat(value, first[some])
 
 
-def context_tree_scores(docs: DataFrame, depth: int = 7, parts: int = 7, which: int = 2) -> DataFrame:
+def context_tree_scores(docs: DataFrame, depth: int = 6, parts: int = 7, which: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte: one row for each row of docs.
 
     docs: doc_id, text; other columns are ignored. Documents whose crc32(doc_id as text) mod parts is which are held out: they
@@ -349,13 +407,15 @@ def context_tree_scores(docs: DataFrame, depth: int = 7, parts: int = 7, which:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("held_out", common.is_held_out(parts, which))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // BLOCK_BYTES)))
-    asked = common.written(docs.groupBy("block").applyInArrow(_asked(depth), "block long, word boolean, key long, n long"), "ctw-asked")
-    counts = common.written(asked.groupBy("word", "key").agg(F.sum("n").alias("n")), "ctw-counts")
+    blocks, parts_ = 1 + size // BLOCK_BYTES, 1 + size // PART_BYTES
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    asked = common.written(docs.groupBy("block").applyInArrow(_asked(depth, parts_), _ASKED), "ctw-asked")
+    counts = common.written(asked.groupBy("part").applyInArrow(_summed, "word boolean, part int, key long, n long"), "ctw-counts")
     known = counts.where("word and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
-    grams = gram_values(counts.where("not word").select("key", "n"), depth).select(F.lit(False).alias("word"), "key", "value")
-    words = counts.where("word").select("word", "key", F.log10(F.col("n") + 1.0).alias("value"))
-    answers = asked.select("block", "word", "key").join(common.written(grams.unionByName(words), "ctw-values"), ["word", "key"]).select("block", "word", "key", "value")
+    grams = gram_values(counts.where("not word").select("key", "n"), depth, parts_).select(F.lit(False).alias("word"), "part", "key", "value")
+    words = counts.where("word").select("word", "part", "key", F.col("n").cast("double").alias("value"))
+    values = common.written(grams.unionByName(words), "ctw-values")
+    answers = asked.select("part", "block", "word", "keys").groupBy("part").cogroup(values.groupBy("part")).applyInArrow(_answered, "block long, word boolean, keys binary, values binary")
     form = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(depth, known["tokens"], known["distinct"]), form)
     return out.withColumn("bits_per_byte", F.col("score") * -math.log2(10) / F.col("n_bytes"))
