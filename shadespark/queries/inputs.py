@@ -92,35 +92,122 @@ def flt7_category(spark, sf_dir):
     return relational.in_category(fixtures.raw_items(spark, sf_dir).withColumn("product_name", F.concat("product_name", tail))).select("shade_id", "product_name")
 
 
-_PAGES = """sp as (select page_id, url, page_id % 3 as kind from pages),
-sk as (select page_id, url, kind, j, 'S' || (page_id*10 + j) as sku, 'Tone ' || j as nm from sp, range(0, 3) g(j) where kind < 2),
-it as (select 'P' || page_id as product_id, sku as shade_id, case kind when 0 then 'Maison ' || page_id % 7 when 1 then null end as brand_name, 'Lip ' || page_id as product_name, nm as shade_name, 'https://shop.example/p/x-P' || page_id || '.html' as url, 'https://media.example/' || sku || '-media_swatch.jpg' as chip_url from sk)"""
+_SPACE = web.SPACE
+_HOST = "https://media.example/content/published/M/MAISON/1/"
+
+
+def _chip(id_, j):
+    """SQL of a chip image URL."""
+    return f"'{_HOST}' || ({id_}) || '-media_thumbnail.jpg?scaleWidth={j}'"
+
+
+# SQL of the data that shop pages hold before their own HTML, by page_id % 8; n is page_id as text, s(j) a shade number.
+_S = [f"(page_id * 10 + {j})" for j in range(4)]
+_SKU = [
+    f"""'{{"skuId": "' || {{id}} || '", "variationValue": " Tone\\u00a0 ' || n || '  {j} ", "swatchImage": "' || {_chip(_S[j], j)} || '"}}'""" for j in range(3)
+]
+_DATA = {
+    # the product node: ids that the chip's file name repairs, one SKU without name, one of a foreign host, one twice
+    0: """'{"props": {"pageProps": {"product": {"displayName": "  Lip  ' || n || ' ", "brand": {"name": "Maison ' || (page_id % 7) || '"}, "skus": [' || """
+    + " || ', ' || ".join(x.replace("{id}", f"'X{j}'") for j, x in enumerate(_SKU))
+    + """ || ', {"skuId": "9", "swatch": "' || """ + _chip(_S[3], 3) + """ || '"}, {"skuId": "8", "label": "Far", "swatchUrl": "https://other.example/8-media_thumbnail.jpg"}, ' || """ + _SKU[1].replace("{id}", "'X1'") + """ || ']}}}}'""",
+    # no SKUs at the product: all nodes are walked; numbers as ids, a chip without a number in its name
+    1: """'{"props": {"pageProps": {"product": {"displayName": "", "productName": "Lip ' || n || '", "brandName": "House ' || (page_id % 5) || '"}, "blocks": [{"kind": "text"}, {"items": [[{"id": ' || n || ', "value": "Deep ' || n || '", "swatch": "' || """
+    + _chip(_S[0], 0) + """ || '"}], {"variantId": "V' || n || '", "label": "Named", "swatchUrl": "https://media.example/a/chip-media_thumbnail.jpg"}, {"name": "No id", "swatch": "https://media.example/a/other-media_thumbnail.jpg"}]}]}}}'""",
+    # no product node: the first node with a name and a brand gives both; a text that looks like JSON is a text
+    2: """'{"page": {"list": [{"title": "No brand here"}, {"title": "Lip ' || n || '", "brand": " Atelier  ' || (page_id % 3) || '", "note": "{\\"name\\": \\"fake\\", \\"brand\\": \\"fake\\"}", "colours": {"b": {"shadeId": "7", "shadeName": "B", "swatch": "' || """
+    + _chip(_S[1], 1) + """ || '"}, "a": {"shadeId": "6", "shadeName": "A", "swatch": "' || """ + _chip(_S[0], 0) + """ || '"}}}]}}'""".replace('\\\\"', '\\"'),
+    6: "'{\"props\": {\"pageProps\": {\"product\": {\"name\": \"broken\", '",
+    7: """'{"props": {"pageProps": {"product": {"name": "Lip ' || n || '", "skus": [' || """ + _SKU[0].replace("{id}", "'Y'") + """ || ']}}}}'""",
+}
+_IMAGES = [f"""'<img alt="Shade ' || {x} || '" src="' || {_chip(x, j)} || '">'""" for j, x in enumerate(_S[:2])] + [f"""'<img title="Titled" src="' || {_chip(_S[2], 2)} || '"><img src="' || {_chip(_S[3], 3)} || '"><img alt="far" src="https://other.example/1-media_thumbnail.jpg">'"""]
+_LEAD = "case page_id % 8 " + " ".join(f"""when {k} then '<script id="__NEXT_DATA__" type="application/json">' || {v} || '</script>'""" for k, v in _DATA.items()) + f"""
+  when 3 then '<script type="application/ld+json">[{{"@type": "Thing", "name": "not this"}}]</script><script type="application/ld+json">{{"@type": ["Thing", "Product"], "name": "Linked ' || n || '", "brand": {{"name": "Linked House"}}}}</script>' || {" || ".join(_IMAGES)}
+  when 4 then '<div class="x"><span>A</span><a href="/b">Brand ' || (page_id % 6) || '</a><div></div></div><h1 id="t">Marked <b>up</b> ' || n || '</h1>' || {" || ".join(_IMAGES)}
+  when 5 then '<h1>Alone ' || n || '</h1>' || {_IMAGES[0]} else '' end"""
+_PAGES = f"""pg as (select page_id, 'https://shop.example/p/x-' || case when page_id % 16 = 15 then 'Q' else 'p' end || page_id || '.html' as url, ({_LEAD}) || html as html from (select *, cast(page_id as varchar) as n from pages))"""
+_WALK = r"""js as (select page_id, try_cast(nullif(regexp_extract(html, '(?is)<script[^>]*__NEXT_DATA__[^>]*>(.*?)</script>', 1), '') as json) as j from pg),
+wk as (select page_id, []::varchar[] as path, j from js where j is not null union all
+  select w.page_id, list_append(w.path, case when json_type(w.j) = 'ARRAY' then lpad(e.key, 8, '0') else e.key end), e.value from wk w, json_each(w.j) e where json_type(w.j) in ('OBJECT', 'ARRAY')),
+nd as (select page_id, path, j from wk where json_type(j) = 'OBJECT')"""
+
+
+def _txt(j, *names):
+    """SQL: the first of these fields of j with a text or number, squeezed."""
+    return "nullif(trim(regexp_replace(coalesce(" + ", ".join(f"case when json_type({j}->'$.{n}') not in ('OBJECT', 'ARRAY', 'NULL') then nullif({j}->>'$.{n}', '') end" for n in names) + rf"), '{_SPACE}', ' ', 'g')), '')"
+
+
+def _brand_sql(j, more):
+    return f"coalesce(case when json_type({j}->'$.brand') = 'OBJECT' then {_txt(j + chr(45) + '>' + chr(39) + '$.brand' + chr(39), 'name')} else {_txt(j, 'brand')} end{more})"
+
+
+_CHIP = r"'(?i)^https://media\.[^/]+/.*-media_thumbnail\.jpg'"
+_FILE = r"nullif(regexp_extract(string_split(chip_url, '?')[1], '(?i)/(\d+)-media_thumbnail\.jpg', 1), '')"
+_VARIANTS = rf"""pr as (select page_id, case when json_type(j->'$.props.pageProps.product') = 'OBJECT' then j->'$.props.pageProps.product' end as p from js),
+v1 as (select page_id, [k] as path, sku_id, shade_name, chip_url from (select page_id, lpad(k::varchar, 8, '0') as k, {_txt('s', *web.SKU_ID)} as sku_id, {_txt('s', *web.SKU_NAME)} as shade_name, {_txt('s', *web.SKU_CHIP)} as chip_url
+  from (select page_id, unnest(p->'$.skus[*]') as s, generate_subscripts(p->'$.skus[*]', 1) as k from pr)) where sku_id is not null and shade_name is not null and regexp_matches(chip_url, {_CHIP})),
+v2 as (select page_id, path, coalesce({_FILE}, sku_id) as sku_id, shade_name, chip_url from (select page_id, path, {_txt('j', *web.SKU_ID, 'variantId')} as sku_id, {_txt('j', *web.SKU_NAME, 'value')} as shade_name, {_txt('j', *web.SKU_CHIP)} as chip_url from nd)
+  where shade_name is not null and regexp_matches(chip_url, {_CHIP}) and coalesce({_FILE}, sku_id) is not null),
+im as (select page_id, unnest(t) as t, generate_subscripts(t, 1) as k from (select page_id, regexp_extract_all(html, '(?is)<img\s[^>]*>') as t from pg)),
+v3 as (select page_id, [lpad(k::varchar, 8, '0')] as path, {_FILE} as sku_id, shade_name, chip_url from (select page_id, k, regexp_extract(t, '(?is)\ssrc\s*=\s*"([^"]*)"', 1) as chip_url,
+  nullif(trim(regexp_replace(coalesce(nullif(regexp_extract(t, '(?is)\salt\s*=\s*"([^"]*)"', 1), ''), regexp_extract(t, '(?is)\stitle\s*=\s*"([^"]*)"', 1)), '{_SPACE}', ' ', 'g')), '') as shade_name from im) where regexp_matches(chip_url, {_CHIP}) and {_FILE} is not null),
+vs as (select * from v1 union all select * from v2 where page_id not in (select page_id from v1) union all select * from v3 where page_id not in (select page_id from v1) and page_id not in (select page_id from v2)),
+vd as (select page_id, sku_id, chip_url, min(path) as path, arg_min(coalesce(shade_name, ''), path) as shade_name from vs group by all)"""
+_NAMED = rf"""n1 as (select page_id, {_txt('p', *web.NAME)} as name, {_brand_sql('p', ', ' + _txt('p', web.BRAND))} as brand from pr where p is not null),
+n2 as (select page_id, arg_min(name, path) as name, arg_min(brand, path) as brand from (select nd.page_id, path, {_txt('j', *web.NAME)} as name, {_brand_sql('j', ', ' + _txt('j', web.BRAND))} as brand from nd join pr on pr.page_id = nd.page_id and p is null) where name is not null and brand is not null group by page_id),
+ld as (select page_id, try_cast(unnest(l) as json) as j, generate_subscripts(l, 1) as k from (select page_id, regexp_extract_all(html, '(?is)<script[^>]*type=.application/ld\+json.[^>]*>(.*?)</script>', 1) as l from pg)),
+le as (select page_id, k, unnest(case when json_type(j) = 'ARRAY' then j->'$[*]' else [j] end) as j from ld where j is not null),
+n3 as (select page_id, arg_min(coalesce(name, ''), k) as name, arg_min(coalesce(brand, ''), k) as brand from (select page_id, k, {_txt('j', 'name')} as name, {_brand_sql('j', '')} as brand from le where j->>'$."@type"' = 'Product' or list_contains(j->>'$."@type"[*]', 'Product')) where name is not null or brand is not null group by page_id),
+n4 as (select page_id, h as name, list_filter(list_transform(list_reverse(t)[1:80], lambda x: nullif(trim(regexp_replace(x, '{_SPACE}', ' ', 'g')), '')), lambda x: length(x) between 2 and 60 and x is distinct from h)[1] as brand
+  from (select page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '{_SPACE}', ' ', 'g')), '') as h, regexp_extract_all(regexp_extract(html, '(?is)^(.*?)<h1[^>]*>', 1), '(?is)<(?:a|div|span)(?:\s[^>]*)?>([^<]*)', 1) as t from pg)),
+nm as (select pg.page_id, url, coalesce(n1.name, n2.name, nullif(n3.name, ''), n4.name) as product_name, coalesce(n1.brand, n2.brand, nullif(n3.brand, ''), n4.brand) as brand_name
+  from pg left join n1 using (page_id) left join n2 using (page_id) left join n3 using (page_id) left join n4 using (page_id))"""
 
 
 def _shop_pages(spark, sf_dir):
-    """Pages with the given HTML behind product data: a data script, a JSON-LD name with images, or nothing but a heading."""
-    p = fixtures.table(spark, sf_dir, "pages")
-    n = F.col("page_id").cast("string")
-    sku = lambda j: F.concat(F.lit("S"), (F.col("page_id") * 10 + j).cast("string"))
-    chip = lambda j: F.concat(F.lit("https://media.example/"), sku(j), F.lit("-media_swatch.jpg"))
-    skus = F.array(*(F.struct(sku(j).alias("sku_id"), F.lit(f"Tone {j}").alias("name"), chip(j).alias("chip_url")) for j in range(3)))
-    product = F.struct(F.concat(F.lit("Lip "), n).alias("name"), F.concat(F.lit("Maison "), (F.col("page_id") % 7).cast("string")).alias("brand"), skus.alias("skus"))
-    data = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.struct(product.alias("product")).alias("props"))), F.lit("</script>"))
-    images = F.concat(*(F.concat(F.lit(f'<img alt="Tone {j}" src="'), chip(j), F.lit('">')) for j in range(3)))
-    ld = F.concat(F.lit('<script type="application/ld+json">{"name": "Lip '), n, F.lit('"}</script>'), images)
-    lead = F.when(F.col("page_id") % 3 == 0, data).when(F.col("page_id") % 3 == 1, ld).otherwise("")
-    return p.select("page_id", F.concat(F.lit("https://shop.example/p/x-P"), n, F.lit(".html")).alias("url"), F.concat(lead, "html").alias("html"))
-
-
-@query(with_(_PAGES, select="select page_id, sku as sku_id, nm as shade_name from sk"))
+    """Pages with the given HTML behind product data: a product node, data to be walked, JSON-LD, plain markup, or broken data."""
+    p = fixtures.table(spark, sf_dir, "pages").withColumn("n", F.col("page_id").cast("string"))
+    lead = F.expr(_LEAD.replace("\\", "\\\\"))
+    letter = F.when(F.col("page_id") % 16 == 15, "Q").otherwise("p")
+    return p.select("page_id", F.concat(F.lit("https://shop.example/p/x-"), letter, "n", F.lit(".html")).alias("url"), F.concat(lead, "html").alias("html"))
+
+
+def _with_pages(*parts, select):
+    return "with recursive " + ",\n".join((_PAGES, _WALK, *parts)) + "\n" + select
+
+
+@query(_with_pages(select="select page_id, array_to_string(path, '/') as path, cast(len(json_keys(j)) as integer) as fields from nd"))
+def web3_walk(spark, sf_dir):
+    """Every object in the pages' data, at any depth."""
+    nodes = web.walked(_shop_pages(spark, sf_dir)).select("page_id", F.explode("nodes").alias("x"))
+    return nodes.select("page_id", F.array_join("x.path", "/").alias("path"), F.size(F.try_variant_get("x.v", "$", "map<string,variant>")).alias("fields"))
+
+
+@query(_with_pages(_VARIANTS, _NAMED, select="select page_id, url, product_name, brand_name from nm"))
+def web2_products(spark, sf_dir):
+    return web.products(web.walked(_shop_pages(spark, sf_dir)))
+
+
+@query(_with_pages(_VARIANTS, select="select page_id, sku_id, nullif(shade_name, '') as shade_name, chip_url, row_number() over (partition by page_id order by path) as k from vd"))
 def web3_variants(spark, sf_dir):
-    return web.variants(_shop_pages(spark, sf_dir)).select("page_id", "sku_id", "shade_name")
+    from pyspark.sql.window import Window
+
+    got = web.variants(web.walked(_shop_pages(spark, sf_dir)))
+    return got.select("page_id", "sku_id", "shade_name", "chip_url", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("long").alias("k"))
 
 
-@query(with_(_PAGES, select="select product_id, shade_id, brand_name, product_name, shade_name, url, chip_url from it"))
+@query(
+    _with_pages(
+        _VARIANTS, _NAMED,
+        r"cb as (select page_id, arg_min(b, path) as b from (select page_id, path, nullif(trim(regexp_extract(chip_url, '(?i)/published/[A-Z]/([^/]+)/', 1)), '') as b from vd) where b is not null group by page_id)",
+        rf"""it as (select nullif(upper(regexp_extract(url, '(?i)-(P\d+)\.html', 1)), '') as product_id, coalesce({_FILE}, sku_id) as shade_id, coalesce(brand_name, cb.b) as brand_name, product_name, nullif(shade_name, '') as shade_name, url, chip_url, page_id, path
+  from vd join nm using (page_id) left join cb using (page_id))""",
+        select="select product_id, shade_id, brand_name, product_name, shade_name, url, chip_url from (select *, row_number() over (partition by product_id, shade_id order by page_id, path) as k from it where product_id is not null and brand_name is not null and product_name is not null and shade_name is not null) where k = 1",
+    )
+)
 def web4_items(spark, sf_dir):
     pages = _shop_pages(spark, sf_dir)
-    return web.item_rows(pages.unionByName(pages.where("page_id % 4 = 0")))  # repeated pages give their items once
+    return web.item_rows(pages.unionByName(pages.where("page_id % 4 = 0").withColumn("page_id", F.col("page_id") + 10_000_000)))  # repeated pages give their items once
 
 
 @query("""select page_id, case when starts_with(link, '/') then regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || link else link end as link, k from (select page_id, url, unnest(l) as link, generate_subscripts(l, 1) - 1 as k from (
