@@ -18,7 +18,8 @@ The plan:
    weighed. The shallower levels, whose contexts spread over buckets, are sums over all of them in Spark.
 4. From the root down, each node passes on what its mixture holds so far, again in Spark down to depth TOP and then in the
    buckets. That gives each gram of the corpus its probability, whether it was trained on or not.
-5. Parts answer what the blocks asked, and each block meets its texts again to sum the values.
+5. Parts answer what the blocks asked, with values alone, in the order of the questions. A block meets its texts again, finds
+   the same grams and words in them, and sums the values.
 
 Nothing of the model is broadcast or collected but two numbers (training tokens and distinct ones). A part holds the grams
 of a hash, each once for each block that asks; a bucket, whole groups of TOP context bytes.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,11 @@ from . import common
 from .common import U
 
 #: Bytes of text of one block, bytes of text for each part, and grams of one bucket, about.
-BLOCK_BYTES, PART_BYTES, BUCKET_GRAMS = 24 << 20, 24 << 20, 200_000
+BLOCK_BYTES, PART_BYTES, BUCKET_GRAMS = 20 << 20, 20 << 20, 200_000
 #: Context bytes by which grams are dealt to buckets.
 TOP = 4
 #: Distinct grams that wait to be merged at most.
-HELD = 3 << 20
+HELD = 2 << 20
 #: The key of the token that ends each text.
 END = 0
 
@@ -64,7 +66,7 @@ def log_estimate(zeros, ones, log):
     return log_gamma(zeros + 0.5, log) + log_gamma(ones + 0.5, log) - log_gamma(zeros + ones + 1, log) - math.log(math.pi)
 
 
-def _buffers(texts: pa.Array, depth: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _buffers(texts: pa.ChunkedArray, depth: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of rows: first row, last row + 1, the bytes read with depth line feeds before each text, where each row begins in them, its words."""
     lead, part, begin, words, size, first = b"\n" * depth, [], [], [], 0, 0
     for i, x in enumerate(texts):
@@ -105,7 +107,11 @@ def unpacked(x: bytes) -> np.ndarray:
 
 
 def part_of(key: np.ndarray, word: bool, parts: int) -> np.ndarray:
-    return (common.mix(key.view(U) >> U(0 if word else 16)) % U(parts)).astype(np.int32)
+    out = np.empty(len(key), np.int32)
+    for a in range(0, len(key), common.SLICE_BYTES):
+        z = a + common.SLICE_BYTES
+        out[a:z] = common.mix(key[a:z].view(U) >> U(0 if word else 16)) % U(parts)
+    return out
 
 
 class Tally:
@@ -117,7 +123,7 @@ class Tally:
 
     def add(self, keys: np.ndarray, times: int) -> None:
         key, n = np.unique(keys, return_counts=True)
-        self.put(key, n * times)
+        self.put(key, (n * times).astype(np.uint32))  # a block has few gigabytes
 
     def put(self, key: np.ndarray, n: np.ndarray) -> None:
         self.parts.append((key, n))
@@ -128,39 +134,47 @@ class Tally:
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.parts) < 2:
-            return self.parts[0] if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+            return self.parts[0] if self.parts else (np.empty(0, np.int64), np.empty(0, np.uint32))
         key, n = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(key, kind="stable")
         key, n = key[order], n[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        return key[first], np.add.reduceat(n, first)
+        return key[first], np.add.reduceat(n, first, dtype=n.dtype)
 
 
-def _asked(depth: int, parts: int):
-    """Of one block: its distinct grams and words with their counts in training texts."""
-
-    def of(table: pa.Table) -> pa.Table:
-        grams, words, ends = Tally(), Tally(), 0
+def _distinct(docs: pa.Table, depth: int) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
+    """The distinct grams (False) and words (True) of a block's texts, ascending, with their counts in training texts."""
+    grams, words = Tally(), Tally()
+    for chunk in docs.select(["held_out", "text"]).to_batches():
         for held_out in (False, True):
-            texts = table.filter(pa.compute.equal(table["held_out"], held_out))["text"].combine_chunks()
+            texts, learned = chunk["text"].filter(pc.equal(chunk["held_out"], held_out)), int(not held_out)
             for _, _, data, begin, _ in _buffers(texts, depth):
                 for _, g in _grams(data, begin, depth):
-                    grams.add(g, int(not held_out))
+                    grams.add(g, learned)
                 for x, y in common.pieces(data, common.IN_WORD):
                     start, end, _ = common.word_bounds(data[x:y], np.array([0, y - x]))
-                    words.add(common.word_hashes(data[x:y], start, end, lower=False).view(np.int64), int(not held_out))
-            ends += 0 if held_out else len(texts)
-        words.add(np.array([END]), 0)
-        key, n = words.total()
-        n[key == END] += ends
-        out: dict[str, list] = {"block": [], "word": [], "part": [], "keys": [], "n": []}
-        for word, (key, n) in ((False, grams.total()), (True, (key, n))):
-            part = part_of(key, word, parts)
-            order = np.argsort(part, kind="stable")  # keys ascend in each part
-            first = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(first)):
+                    words.add(common.word_hashes(data[x:y], start, end, lower=False).view(np.int64), learned)
+            words.put(np.array([END]), np.array([len(texts) * learned], np.uint32))
+    return {False: grams.total(), True: words.total()}
+
+
+def _by_part(key: np.ndarray, word: bool, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ascending keys by part, in which they ascend too, and where each part begins in it."""
+    part = part_of(key, word, parts)
+    order = np.argsort(part, kind="stable")
+    return order, np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
+
+
+def _asked(depth: int, parts: int):
+    """Of one block: its distinct grams and words with their counts in training texts, by part."""
+
+    def of(docs: pa.Table) -> pa.Table:
+        block, out = docs["block"][0].as_py(), {"block": [], "word": [], "part": [], "keys": [], "n": []}
+        for word, (key, n) in _distinct(docs, depth).items():
+            order, first = _by_part(key, word, parts)
+            for p in np.flatnonzero(np.diff(first)).tolist():
                 at = order[first[p] : first[p + 1]]
-                for name, x in (("block", table["block"][0].as_py()), ("word", word), ("part", int(p)), ("keys", packed(key[at])), ("n", packed(n[at]))):
+                for name, x in (("block", block), ("word", word), ("part", p), ("keys", packed(key[at])), ("n", packed(n[at].astype(U)))):
                     out[name].append(x)
         kinds = {"block": pa.int64(), "word": pa.bool_(), "part": pa.int32(), "keys": pa.binary(), "n": pa.binary()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
@@ -172,7 +186,7 @@ def _summed(table: pa.Table) -> pa.Table:
     """Of one part: each key once, with its count over all blocks."""
     out = []
     for word in (False, True):
-        some, total = table.filter(pa.compute.equal(table["word"], word)), Tally()
+        some, total = table.filter(pc.equal(table["word"], word)), Tally()
         for keys, n in zip(some["keys"], some["n"]):
             total.put(unpacked(keys.as_py()), unpacked(n.as_py()))
         out.append((word, *total.total()))
@@ -181,18 +195,18 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def _answered(asked: pa.Table, values: pa.Table) -> pa.Table:
-    """Of one part: for each row that asks, its keys with their values."""
-    out: dict[str, list] = {"block": [], "word": [], "keys": [], "values": []}
+    """Of one part: for each row that asks, the values of its keys in order."""
+    part, out = values["part"][0].as_py(), {"block": [], "word": [], "part": [], "values": []}
     for word in (False, True):
-        some = values.filter(pa.compute.equal(values["word"], word))
+        some = values.filter(pc.equal(values["word"], word))
         key, value = common.int64(some["key"]), some["value"].to_numpy()
         order = np.argsort(key)
         key, value = key[order], value[order].astype(np.float64 if word else np.float32)
-        rows = asked.filter(pa.compute.equal(asked["word"], word))
+        rows = asked.filter(pc.equal(asked["word"], word))
         for block, keys in zip(rows["block"].to_pylist(), rows["keys"]):
-            for name, x in (("block", block), ("word", word), ("keys", keys.as_py()), ("values", value[np.searchsorted(key, unpacked(keys.as_py()))].tobytes())):
+            for name, x in (("block", block), ("word", word), ("part", part), ("values", value[np.searchsorted(key, unpacked(keys.as_py()))].tobytes())):
                 out[name].append(x)
-    kinds = {"block": pa.int64(), "word": pa.bool_(), "keys": pa.binary(), "values": pa.binary()}
+    kinds = {"block": pa.int64(), "word": pa.bool_(), "part": pa.int32(), "values": pa.binary()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
@@ -338,7 +352,7 @@ def _lookup(keys: np.ndarray, values: np.ndarray):
                 left = left[miss]
             if not len(left):
                 break
-        return values[out]
+        return values[out].astype(float)
 
     return find
 
@@ -346,15 +360,15 @@ def _lookup(keys: np.ndarray, values: np.ndarray):
 _MULTIPLIERS = [int(x) | 1 for x in np.random.default_rng(7).integers(1 << 62, 1 << 63, 64)]
 
 
-def _scored(depth: int, tokens: int, distinct: int):
+def _scored(depth: int, parts: int, tokens: int, distinct: int):
     share = math.log10(tokens + distinct + 1)
 
     def of(docs: pa.Table, answers: pa.Table) -> pa.Table:
         find = {}
-        for word, form in ((False, np.float32), (True, np.float64)):
-            some = answers.filter(pa.compute.equal(answers["word"], word))
-            key = np.concatenate([unpacked(x.as_py()) for x in some["keys"]] or [np.empty(0, np.int64)])
-            value = np.concatenate([np.frombuffer(x.as_py(), form) for x in some["values"]] or [np.empty(0, form)]).astype(float)
+        for word, (key, _) in _distinct(docs, depth).items():
+            some = answers.filter(pc.equal(answers["word"], word)).sort_by("part")["values"]
+            value = np.concatenate([np.frombuffer(x.as_py(), np.float64 if word else np.float32) for x in some])
+            key = key[_by_part(key, word, parts)[0]]
             find[word] = _lookup(key, np.log10(value + 1) if word else value)
         gram, word = find[False], find[True]
         end = word(np.array([END]))
@@ -415,7 +429,7 @@ def context_tree_scores(docs: DataFrame, depth: int = 6, parts: int = 7, which:
     grams = gram_values(counts.where("not word").select("key", "n"), depth, parts_).select(F.lit(False).alias("word"), "part", "key", "value")
     words = counts.where("word").select("word", "part", "key", F.col("n").cast("double").alias("value"))
     values = common.written(grams.unionByName(words), "ctw-values")
-    answers = asked.select("part", "block", "word", "keys").groupBy("part").cogroup(values.groupBy("part")).applyInArrow(_answered, "block long, word boolean, keys binary, values binary")
+    answers = asked.select("part", "block", "word", "keys").groupBy("part").cogroup(values.groupBy("part")).applyInArrow(_answered, "block long, word boolean, part int, values binary")
     form = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(depth, known["tokens"], known["distinct"]), form)
+    out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(depth, parts_, known["tokens"], known["distinct"]), form)
     return out.withColumn("bits_per_byte", F.col("score") * -math.log2(10) / F.col("n_bytes"))
