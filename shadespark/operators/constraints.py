@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.color import SCORING_DIMS
-from ..sources.calibration import LEVELS, THRESHOLDS
+from ..sources.calibration import LEVELS
 
 # Fixed maps of the constraint adapter.
 AXIS_DIM = {"brightness": "light_hsl", "saturation": "sat_hsl", "vibrancy": "sat_eff", "depth": "depth", "clarity": "colorfulness"}
@@ -106,45 +104,77 @@ def apply_constraints(pool: DataFrame, resolved: DataFrame) -> DataFrame:
     return out.withColumns({"constraint_penalty_norm": total("penalty"), "constraint_tilt_norm": total("tilt")}).drop("_cs", "_dims")
 
 
-def snap_cutpoints(pool: DataFrame, resolved: DataFrame, min_share: float = 0.05, rounds: int = 12, clamp: bool = False) -> DataFrame:
-    """resolved with numeric cut-points relaxed until min_share of the query's pool satisfies all constraints.
+#: Rounds and smallest share of the pool of the joint feasibility of cut-points.
+ROUNDS, SHARE = 12, 0.05
 
-    A fixpoint over each query's pool (at most 2000 rows after its cap): one constraint after the other
-    moves toward the min_share quantile of the rows that satisfy the others, never tighter. Queries
-    without numeric cut-points pass by.
+
+def snap_cutpoints(pool: DataFrame, constraints: DataFrame, calibration: DataFrame, share: float = SHARE, rounds: int = ROUNDS, clamp: bool = True, shared: bool = False) -> DataFrame:
+    """constraints with numeric cut-points relaxed, one after the other and never tighter, until `share` of the query's pool satisfies all.
+
+    A cut-point moves to the `share` quantile (from its open side) of the rows that satisfy the others, or of all
+    rows where none does; with clamp no further than the loosest calibrated threshold of its dimension. Levels count
+    with their fixed thresholds, missing values as satisfied. Queries drop out once they are feasible, or after a round that
+    moved nothing; those without numeric cut-points, or without rows, pass by.
+
+    A keyed fixpoint: a round is a chain of aggregations over the pool, one for each numeric constraint of a query, and a
+    table of what is still active; the pool shrinks to distinct values with counts first, of which 8-bit colours allow
+    2 ** 24. pool: query_id and the scoring dimensions, or with shared one catalogue for all queries.
     """
-    numeric = resolved.groupBy("query_id").agg(F.max(F.col("cutpoint").isNotNull()).alias("_any")).where("_any").select("query_id")
-    dims = list(SCORING_DIMS)
-    columns = resolved.columns
-    schema = resolved.schema
-
-    def relax(key, rows: pd.DataFrame, cons: pd.DataFrame) -> pd.DataFrame:
-        cons = cons.sort_values("ord").reset_index(drop=True)
-        thr = cons["threshold"].to_numpy(float).copy()
-        values = [rows[d].to_numpy(float) for d in cons["dim"]]
-        le = (cons["op"] == "<=").to_numpy()
-        holds = lambda k: values[k] <= thr[k] if le[k] else values[k] >= thr[k]
-        for _ in range(rounds if len(rows) else 0):
-            if np.all([holds(k) for k in range(len(cons))], axis=0).mean() >= min_share:
-                break
-            moved = False
-            for k in np.flatnonzero(cons["cutpoint"].notna().to_numpy()):
-                others = np.all([holds(j) for j in range(len(cons)) if j != k] or [np.ones(len(rows), bool)], axis=0)
-                v = values[k][others & np.isfinite(values[k])]
-                if not len(v):
-                    continue
-                new = float(np.quantile(v, min_share if le[k] else 1 - min_share))
-                if clamp:
-                    new = float(np.clip(new, min(THRESHOLDS[cons["dim"][k]]), max(THRESHOLDS[cons["dim"][k]])))
-                new = max(thr[k], new) if le[k] else min(thr[k], new)
-                moved |= new != thr[k]
-                thr[k] = new
-            if not moved:
-                break
-        cons["threshold"] = thr
-        return cons[columns]
-
-    some = resolved.join(numeric, "query_id", "left_semi")
-    rest = resolved.join(numeric, "query_id", "left_anti")
-    rows = pool.select(F.col("query_id").cast(schema["query_id"].dataType).alias("query_id"), *dims)  # a cogroup needs keys of one type on both sides
-    return some.groupBy("query_id").cogroup(rows.groupBy("query_id")).applyInPandas(lambda key, c, r: relax(key, r, c), schema).unionByName(rest)
+    from ..sources.tables import stored
+
+    if constraints.where("cutpoint is not null").isEmpty():
+        return constraints
+    level = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level")).cast("int")
+    c = constraints.join(calibration, "dim").withColumns({"_k": level, "_at": F.array_position(F.array(*map(F.lit, SCORING_DIMS)), F.col("dim")).cast("int")})
+    one = F.struct("ord", F.col("_at").alias("at"), (F.col("op") == "<=").alias("cap"), F.col("cutpoint").isNotNull().alias("numeric"), F.coalesce("cutpoint", F.when(F.col("_k") > 0, F.element_at("thresholds", F.col("_k")))).alias("thr"), F.array_min("thresholds").alias("lo"), F.array_max("thresholds").alias("hi"))
+    active = c.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("cs")).where(F.exists("cs", lambda x: x["numeric"]))
+    active = stored(active.withColumn("moved", F.lit(True)), "snap")
+    most = active.agg(F.max(F.size(F.filter("cs", lambda x: x["numeric"]))).alias("n")).first()["n"] or 0
+    keys = [] if shared else ["query_id"]
+    rows = pool if shared else pool.join(active.select("query_id"), "query_id", "left_semi")
+    rows = stored(rows.groupBy(*keys, *SCORING_DIMS).agg(F.count("*").alias("n")).select(*keys, F.array(*(F.col(d).cast("double") for d in SCORING_DIMS)).alias("v"), "n"), "snap-rows")
+
+    def holds(v: Column, x: Column) -> Column:
+        at = F.element_at(v, x["at"])
+        return at.isNull() | F.isnan(at) | F.when(x["cap"], at <= x["thr"]).otherwise(at >= x["thr"])
+
+    def met(state: DataFrame) -> DataFrame:
+        """Rows with the state of each of their queries."""
+        if not shared:
+            return rows.join(state, "query_id")
+        return rows.crossJoin(F.broadcast(state)) if few else rows.crossJoin(state)
+
+    few = active.count() <= 10_000  # states of one broadcast
+    done = []
+    for _ in range(rounds):
+        state = active.select("query_id", "cs", F.lit(False).alias("moved"), F.lit(False).alias("enough"))
+        for k in range(most):
+            each = met(state).withColumn("x", F.get(F.filter("cs", lambda c: c["numeric"]), F.lit(k))).withColumn("y", F.element_at("v", F.col("x.at")))
+            others = F.forall("cs", lambda c: (c["ord"] == F.col("x.ord")) | holds(F.col("v"), c))
+            each = each.withColumns({"y": F.when(~F.isnan("y"), F.col("y")), "others": others, "all": F.when(F.forall("cs", lambda c: holds(F.col("v"), c)), F.col("n")).otherwise(0)})
+            at, keep = F.array(F.lit(share), F.lit(1 - share)), ("cs", "x", "moved", "enough")
+            got = each.groupBy("query_id").agg(
+                F.any_value(F.struct(*keep)).alias("kept"), (F.sum("all") / F.sum("n") >= share).alias("feasible"), F.max("others").alias("some"),
+                F.percentile(F.when(F.col("others"), F.col("y")), at, F.col("n")).alias("of_others"), F.percentile("y", at, F.col("n")).alias("of_all"),
+            ).select("query_id", "kept.*", "feasible", "some", "of_others", "of_all")
+            got = got.withColumn("enough", F.col("feasible") if k == 0 else F.col("enough"))
+            q = F.when(F.col("some"), F.col("of_others")).otherwise(F.col("of_all"))
+            new = F.when(F.col("x.cap"), F.greatest("x.thr", q[0])).otherwise(F.least("x.thr", q[1]))
+            if clamp:
+                new = F.when(F.col("x.cap"), F.least(new, F.col("x.hi"))).otherwise(F.greatest(new, F.col("x.lo")))
+            moves = F.coalesce(~F.col("enough") & F.col("x").isNotNull() & q[0].isNotNull() & (F.abs(new - F.col("x.thr")) > 1e-12), F.lit(False))
+            got = got.withColumns({"new": new, "moves": moves})
+            cs = F.when(F.col("moves"), F.transform("cs", lambda c: F.when(c["ord"] == F.col("x.ord"), c.withField("thr", F.col("new"))).otherwise(c))).otherwise(F.col("cs"))
+            state = got.select("query_id", cs.alias("cs"), (F.col("moved") | F.col("moves")).alias("moved"), "enough")
+        state = stored(state, "snap")
+        done.append(state.where("enough or not moved").select("query_id", "cs"))
+        active = state.where("not enough and moved")
+        if active.isEmpty():
+            break
+    else:
+        done.append(active.select("query_id", "cs"))
+    snapped = done[0]
+    for d in done[1:]:
+        snapped = snapped.unionByName(d)
+    thr = snapped.select("query_id", F.explode(F.filter("cs", lambda x: x["numeric"])).alias("x")).select("query_id", F.col("x.ord").alias("ord"), F.col("x.thr").alias("_new"))
+    return constraints.join(thr, ["query_id", "ord"], "left").withColumn("cutpoint", F.coalesce("_new", "cutpoint")).select(*constraints.columns)

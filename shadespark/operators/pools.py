@@ -112,13 +112,13 @@ def naming_gate(cov: DataFrame, sizes: DataFrame, labelled: DataFrame, few: int
 
 
 def _marks(shades: DataFrame, queries: DataFrame) -> DataFrame:
-    """All pairs, with what the ladder of pools asks: _near (28 degrees in HSV hue), _band and _wide (bands in Lab hue), _guard."""
-    anchor = color.hue_deg(F.col("anchor_a"), F.col("anchor_b"))
+    """All pairs, with what the ladder of pools asks: _near (28 degrees), _band and _wide, bands in HSV hue around that of the anchor's hex, or around its Lab hue where it has none; _guard."""
+    anchor = F.coalesce("anchor_hue", color.hue_deg(F.col("anchor_a"), F.col("anchor_b")))
     hsv = color.hsv_hue(*(F.col(c) / 255 for c in "rgb"))
     return distances(shades, queries).withColumns({
         "_near": in_hue_band(hsv, F.col("anchor_hue"), F.lit(28.0)),
-        "_band": in_hue_band(F.col("H_lab_deg"), anchor, color.hue_band(F.col("anchor_C"))),
-        "_wide": in_hue_band(F.col("H_lab_deg"), anchor, F.lit(32.0)),
+        "_band": in_hue_band(hsv, anchor, color.hue_band(F.col("anchor_C"))),
+        "_wide": in_hue_band(hsv, anchor, F.lit(32.0)),
         "_guard": neutral_guard(),
     })
 

@@ -61,14 +61,30 @@ def family_factor(rows: DataFrame, specs: DataFrame, distributions: DataFrame, f
     return out.withColumn("family_factor", F.when(F.col("_specs").isNotNull(), stats.clip(1 - gate(F.col(p)) + gate(F.col(p)) * product, 0, 1))).drop("_specs")
 
 
+# Fixed bands of a within-family wish by direction and strength, and the weight of a strength.
+BANDS = {
+    "raise": {"weak": (0.45, 0.65), "med": (0.50, 0.75), "strong": (0.60, 0.85)},
+    "lower": {"weak": (0.35, 0.55), "med": (0.25, 0.50), "strong": (0.15, 0.40)},
+}
+FAMILY_WEIGHT = {"weak": 0.6, "med": 0.85, "strong": 1.0}
+
+
+def snapped_band(low: float, high: float) -> tuple[float, float]:
+    """Both ends at the nearest quantile that distributions have, the lower one on ties; an empty band ends one quantile higher."""
+    at = lambda x: min(range(len(QUANTILES)), key=lambda k: (round(abs(QUANTILES[k] - x), 12), k))
+    i, j = at(low), at(high)
+    return QUANTILES[i], QUANTILES[j if j > i else min(i + 1, len(QUANTILES) - 1)]
+
+
 def family_specs(prefs: DataFrame) -> DataFrame:
-    """Specs of (query_id, label, axis, direction, strength): brightness wishes on L, saturation and vibrancy on C."""
+    """Specs of (query_id, label, axis, direction, strength): brightness wishes on L, saturation and vibrancy on C, their bands by direction and strength (other strengths count as med)."""
     axis = F.when(F.col("axis") == "brightness", "L").when(F.col("axis").isin("saturation", "vibrancy"), "C")
-    strength = con.lookup({"weak": 0.6, "med": 0.85, "strong": 1.0}, F.col("strength"))
-    up = F.col("direction") == "raise"
-    return prefs.where(axis.isNotNull()).select(
-        "query_id", "label", axis.alias("axis"), F.when(up, "above").otherwise("below").alias("direction"), strength.alias("strength"),
-        F.when(up, 0.5).otherwise(0.25).alias("q_lo"), F.when(up, 0.75).otherwise(0.5).alias("q_hi"), F.lit(0.5).alias("q_target"), F.lit(0.25).alias("q_span"),
+    strength = F.when(F.col("strength").isin(*FAMILY_WEIGHT), F.col("strength")).otherwise("med")
+    bands = {(d, s): snapped_band(*band) for d, of in BANDS.items() for s, band in of.items()}
+    end = lambda k: con.lookup({key: band[k] for key, band in bands.items()}, F.col("direction"), strength)
+    return prefs.where(axis.isNotNull() & F.col("direction").isin(*BANDS)).select(
+        "query_id", "label", axis.alias("axis"), F.when(F.col("direction") == "raise", "above").otherwise("below").alias("direction"), con.lookup(FAMILY_WEIGHT, strength).alias("strength"),
+        end(0).alias("q_lo"), end(1).alias("q_hi"), F.lit(0.5).alias("q_target"), F.lit(0.25).alias("q_span"),
     )
 
 
@@ -98,8 +114,9 @@ def score(pool: DataFrame, constraints: DataFrame, calibration: DataFrame, lambd
     factor names a column that multiplies the score (NULL: 1). With family_mode "penalty", a negative
     score is divided by it instead, so that a smaller factor never moves a row up.
     """
+    if snap:
+        constraints = con.snap_cutpoints(pool if catalogue is None else catalogue, constraints, calibration, shared=catalogue is not None)
     resolved = con.thresholds(pool, constraints, calibration) if catalogue is None else con.thresholds(catalogue, constraints, calibration, shared=True)
-    resolved = con.snap_cutpoints(pool, resolved) if snap else resolved
     out = con.apply_constraints(pool, resolved)
     de = color.delta_e76(F.col("L_lab"), F.col("a_lab"), F.col("b_lab"), F.col("anchor_L"), F.col("anchor_a"), F.col("anchor_b"))
     out = out.withColumns({"deltaE": de, "preference_score": preference_score() if lambda_p else F.lit(0.0)}).withColumn("deltaE_norm", F.col("deltaE") / DELTA_E_REF)
@@ -151,8 +168,11 @@ def naive_rule(text: Column) -> Column:
     return sum((F.when(F.lower(text).contains(w), x).otherwise(F.lit(0.0)) for w, x in rules), F.lit(0.0))
 
 
-def explain_flags() -> Column:
-    """Up to three reasons of a result: hue difference, distance, constraint fit."""
-    hue = F.round(color.circ_dist(F.col("H_lab_deg"), color.hue_deg(F.col("anchor_a"), F.col("anchor_b"))), 1)
-    flags = F.array(F.when(hue <= 15, F.concat(F.lit("hue within "), hue.cast("string"), F.lit(" degrees"))), F.when(F.col("deltaE") <= 12, F.lit("close to the anchor")), F.when(F.col("constraint_penalty_norm") <= 0.05, F.lit("good constraint fit")))
-    return F.slice(F.array_compact(flags), 1, 3)
+def explain_flags(constrained: Column) -> Column:
+    """Up to three reasons of a result: the difference in HSV hue of the chip and the anchor's hex (neither NULL), the normalised distance, and, of constrained queries, a small penalty."""
+    hue = color.circ_dist(color.hsv_hue(*(F.col(c) / 255 for c in "rgb")), F.col("anchor_hue"))
+    flags = F.array(
+        F.concat(F.lit("Hue Δ"), F.round(hue).cast("int").cast("string"), F.lit("°")), F.concat(F.lit("ΔE "), F.format_string("%.2f", F.round("deltaE_norm", 2))),
+        F.when(constrained & (F.col("constraint_penalty_norm") <= 0.05), F.lit("Good constraint fit")),
+    )
+    return F.array_compact(flags)

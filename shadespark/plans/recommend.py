@@ -56,16 +56,17 @@ def _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_
 def explain(shades: DataFrame, queries: DataFrame, constraints: DataFrame, calibration: DataFrame, k: int = 20, pool_top: int = 1200, lambda_c: float = 2.0) -> DataFrame:
     """recommend with reasons, the pool's trace (min_de, n_within, size_hard, size, thr beside pool_method) and a display order of columns."""
     best, trace = _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c)
-    out = best.withColumn("reasons", scoring.explain_flags()).join(trace.select("query_id", "min_de", "n_within", "size_hard", F.col("size").alias("pool_size"), "thr"), "query_id")
+    out = best.withColumn("reasons", scoring.explain_flags(F.col("constrained"))).join(trace.select("query_id", "min_de", "n_within", "size_hard", F.col("size").alias("pool_size"), "thr"), "query_id")
     return relational.display_order(out, ["query_id", "rank", "brand_name", "shade_name", "score_total", "score", "deltaE", "reasons", "pool_method", "pool_size"])
 
 
 def score_inventory(shades: DataFrame, prototypes: DataFrame, blobs: DataFrame, calibration: DataFrame, lambda_c: float = 1.0) -> DataFrame:
     """Scores of the whole catalogue for constraint strings (query_id, constraints) around prototypes (query_id, anchor_*)."""
     cons = con.parse_constraints(blobs)
+    numeric = not cons.where("cutpoint is not null").isEmpty()
     catalogue = relational.with_colour(shades)
     pool = catalogue.crossJoin(F.broadcast(prototypes))  # every shade is scored for every prototype (clusters, a bounded list)
-    return scoring.score(pool, cons, calibration, lambda_c=lambda_c, snap=False, catalogue=catalogue)
+    return scoring.score(pool, cons, calibration, lambda_c=lambda_c, snap=numeric, catalogue=catalogue)
 
 
 def wishes(texts: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from ..plans import assets, learning, recommend
 from ..sources import calibration, fixtures, tables
 from ..sources.calibration import DELTA_E_REF, PREFERENCE_WEIGHTS, SCALE_IQR
 from .base import ANCHORS, PROBS, SHADES, query, rounded, with_
-from .ranking import _CONS, _ELIGIBLE, _GUARD, _NAMES, _PROTO, _Q, _SCORED, _below, _blobs, _pairs, _prototypes
+from .ranking import _CONS, _ELIGIBLE, _GUARD, _NAMES, _PROTO, _Q, _SCORED, _wished, _blobs, _pairs, _prototypes
 
 
 def _catalogue(spark, sf_dir, *columns):
@@ -98,7 +98,7 @@ def fam4_near(spark, sf_dir):
     return got.select("shade_id", F.round("family_factor", 6).alias("family_factor"))
 
 
-_FACTOR = "ff as (select *, least(greatest(1 - t*t*(3-2*t) + t*t*(3-2*t)*f, 0), 1) as ff from (select *, least(greatest((p-0.55)/0.2, 0), 1) as t, " + _below(_Q["L"], "L_lab", 1.0) + " as f from probs where label = 'brown'))"
+_FACTOR = "ff as (select *, least(greatest(1 - t*t*(3-2*t) + t*t*(3-2*t)*f, 0), 1) as ff from (select *, least(greatest((p-0.55)/0.2, 0), 1) as t, " + _wished(_Q["L"], "L_lab", "lower", "strong") + " as f from probs where label = 'brown'))"
 
 
 @query(with_(SHADES, PROBS, _FACTOR, "w as (select shade_id, product_id, round(p*ff, 12) as w from ff where p >= 0.55)", "k as (select *, row_number() over (order by w desc, product_id, shade_id) as up, row_number() over (order by w, product_id, shade_id) as dn from w)",
@@ -227,14 +227,6 @@ def txt4_ladder(spark, sf_dir):
     return assets.resolve(p.select(k.alias("query_id"), F.concat(word, tail).alias("text")), index, words("dark", "cold", "light", "blue"), words("the", "small"), cutoff=97.0, single_cutoff=97.0)
 
 
-@query(with_(SHADES, _CONS, _PROTO, *_SCORED, select="""select query_id, rank, shade_id, concat_ws(' | ', case when h <= 15 then 'hue within ' || h || ' degrees' end, case when de <= 12 then 'close to the anchor' end, case when pen <= 0.05 then 'good constraint fit' end) as reasons from (
-  select rk.query_id, rank, shade_id, pen, den * """ + repr(DELTA_E_REF) + """ as de, round(abs((((H_lab_deg - degrees(atan2(round(b0, 10), round(a0, 10))) + 180) % 360 + 360) % 360) - 180), 1) as h from rk join proto on proto.query_id = rk.query_id where rank <= 20)"""))
-def fun23_reasons(spark, sf_dir):
-    df = tables.stored(fixtures.shades(spark, sf_dir), "shades")
-    got = recommend.score_inventory(df, _prototypes(df), _blobs(spark), calibration.calibration(spark)).where("rank <= 20")
-    return got.select("query_id", "rank", "shade_id", F.array_join(scoring.explain_flags(), " | ").alias("reasons"))
-
-
 def _naive_sql(wish: str) -> str:
     rules = (("deep", "(100 - L_lab)*0.01"), ("bright", "L_lab*0.01"), ("soft", "-C_lab*0.01"), ("nude", "-abs(H_lab_deg - 30)*0.001"))
     return " + ".join(["0", *(x for w, x in rules if w in wish)])

@@ -73,6 +73,40 @@ def sco4_thresholds(spark, sf_dir):
     return got.select("query_id", "ord", "dim", *rounded("threshold", "scale"))
 
 
+def _snap_sql() -> tuple[str, ...]:
+    """SQL of the relaxed cut-points t1 and t2 of the constraints in sn: twelve rounds, one constraint after the other."""
+    bound = {d: (min(THRESHOLDS[d]), max(THRESHOLDS[d])) for d in ("light_hsl", "sat_hsl")}
+    one, two = "(light_hsl is null or light_hsl <= t1)", "(sat_hsl is null or sat_hsl >= t2)"
+    third = f"case when lv then depth is null or depth >= {THRESHOLDS['depth'][2]!r} else warmth is null or warmth <= {THRESHOLDS['warmth'][0]!r} end"
+    parts = ["sv as materialized (select light_hsl, sat_hsl, depth, warmth from shades where r is not null)", "s0 as materialized (select query_id, lv, t1, t2, true as active from sn)"]
+    moved = lambda q, others: f"coalesce(quantile_cont({q[0]}, {q[1]}) filter ({others}), quantile_cont({q[0]}, {q[1]}))"
+    for k in range(constraints.ROUNDS):
+        parts += [
+            f"e{k} as materialized (select query_id, any_value(lv) as lv, any_value(t1) as t1, any_value(t2) as t2, any_value(active) and avg(case when {one} and {two} and {third} then 1.0 else 0.0 end) < {constraints.SHARE} as open, {moved(('light_hsl', constraints.SHARE), f'{two} and {third}')} as n1 from s{k}, sv group by query_id)",
+            f"f{k} as materialized (select query_id, lv, t1 as o1, t2, open, case when open then least(greatest(t1, n1), {bound['light_hsl'][1]!r}) else t1 end as t1 from e{k})",
+            f"g{k} as materialized (select query_id, any_value(lv) as lv, any_value(o1) as o1, any_value(t1) as t1, any_value(t2) as t2, any_value(open) as open, {moved(('sat_hsl', 1 - constraints.SHARE), f'{one} and {third}')} as n2 from f{k}, sv group by query_id)",
+            f"s{k + 1} as materialized (select query_id, lv, t1, u as t2, open and (abs(t1 - o1) > 1e-12 or abs(u - t2) > 1e-12) as active from (select *, case when open then greatest(least(t2, n2), {bound['sat_hsl'][0]!r}) else t2 end as u from g{k}))",
+        ]
+    return tuple(parts)
+
+
+@query(
+    with_(
+        SHADES, "sn as (select s_suppkey as query_id, s_suppkey % 2 = 0 as lv, (s_suppkey % 40 + 5) / 100e0 as t1, (50 + s_suppkey % 45) / 100e0 as t2 from supplier)", *_snap_sql(),
+        select=f"select query_id, ord, dim, op, level, round(case ord when 1 then t1 when 2 then t2 end, 6) as cutpoint, weight from s{constraints.ROUNDS}, (values (1, 'light_hsl', '<=', 1.0::double), (2, 'sat_hsl', '>=', 1.0::double), (3, null, null, 0.5::double)) v(ord, dim0, op0, weight), lateral (select coalesce(dim0, case when lv then 'depth' else 'warmth' end) as dim, coalesce(op0, case when lv then '>=' else '<=' end) as op, case when ord = 3 then case when lv then 'high' else 'low' end end as level)",
+    )
+)
+def sco8_snap(spark, sf_dir):
+    """Two cut-points and a level for each supplier, against the whole catalogue."""
+    k = F.col("s_suppkey")
+    number = lambda base, mod: F.format_string("0.%02d", (base + k % mod).cast("int"))
+    blob = F.concat(F.lit("light_hsl<="), number(5, 40), F.lit(":1;sat_hsl>="), number(50, 45), F.when(k % 2 == 0, ":1;depth>=high:0.5").otherwise(":1;warmth<=low:0.5"))
+    cons = constraints.parse_constraints(fixtures.table(spark, sf_dir, "supplier").select(k.alias("query_id"), blob.alias("constraints")))
+    catalogue = tables.stored(fixtures.shades(spark, sf_dir).where("r is not null"), "shades")
+    got = constraints.snap_cutpoints(catalogue, cons, calibration.calibration(spark), shared=True)
+    return got.select("query_id", "ord", "dim", "op", "level", F.round("cutpoint", 6).alias("cutpoint"), "weight")
+
+
 @query(with_(SHADES, _CONS, _PROTO, *_SCORED, select="select query_id, rank, shade_id, round(score, 6) as score, round(pen, 6) as penalty, round(tilt, 6) as tilt from rk where rank <= 20"))
 def sco11_score(spark, sf_dir):
     df = tables.stored(fixtures.shades(spark, sf_dir), "shades")
@@ -170,7 +204,7 @@ def _wish_pools() -> tuple[str, ...]:
         )
 
     return (
-        "mk as (select *, abs((((hue_hsv_deg - anchor_hue + 180) % 360 + 360) % 360) - 180) <= 28 as near, abs((((H_lab_deg - ah + 180) % 360 + 360) % 360) - 180) as hd from (select *, ((degrees(atan2(round(anchor_b, 10), round(anchor_a, 10))) % 360) + 360) % 360 as ah from pairs))",
+        "mk as (select *, abs((((hue_hsv_deg - anchor_hue + 180) % 360 + 360) % 360) - 180) <= 28 as near, abs((((hue_hsv_deg - anchor_hue + 180) % 360 + 360) % 360) - 180) as hd from pairs)",
         f"mq as (select *, hd <= least(greatest(anchor_C*0.2 + 18, 18), 36) as band, hd <= 32 as wide, {_GUARD} as guard, count(*) filter (de00 <= base) over w < 20 and anchor_C < 55 and bool_or(near) over w as fam from mk window w as (partition by query_id))",
         "iv as (select * from mq where not fam or near)",
         f"pc as (select query_id, any_value(base) as base, {counts} from iv group by query_id)",
@@ -208,6 +242,14 @@ def sco14_recommend(spark, sf_dir):
     return got.select("query_id", "rank", "product_id", "shade_id", F.round("score_total", 6).alias("score_total"), "pool_method")
 
 
+@query(with_(*_WISHED, select="""select qs.text_id as query_id, rank, product_id, shade_id, 'Hue Δ' || cast(round(abs((((hue_hsv_deg - anchor_hue + 180) % 360 + 360) % 360) - 180)) as int) || '° | ΔE ' || printf('%.2f', round(den, 2)) || case when d3.dim is not null and coalesce(greatest(0, v - t)/scale, 0) <= 0.05 then ' | Good constraint fit' else '' end as reasons
+  from d3 join qs on qs.name = d3.query_id and qs.dim is not distinct from d3.dim where rank <= 20"""))
+def fun23_reasons(spark, sf_dir):
+    queries, cons = _wishes(spark, sf_dir)
+    got = recommend.explain(fixtures.shades(spark, sf_dir), queries, cons, calibration.calibration(spark))
+    return got.select("query_id", "rank", "product_id", "shade_id", F.array_join("reasons", " | ").alias("reasons"))
+
+
 @query(with_(*_WISHED, "cv as (select query_id, round(min(de00), 5) as min_de, count(*) filter (de00 <= base) as n_within from pairs group by query_id)",
     select="select qs.text_id as query_id, min_de, n_within, least(l3.hard, 1200) as size_hard, l3.size as pool_size, round(l3.thr, 5) as thr, method as pool_method from qs join l3 on l3.query_id = qs.name and l3.con = (qs.dim is not null) join cv on cv.query_id = qs.name"))
 def sco15_explain(spark, sf_dir):
@@ -283,19 +325,35 @@ def ast10_calibration(spark, sf_dir):
 
 
 _Q = LABEL_DISTRIBUTIONS["brown"]
+# By direction and strength: places in the quantiles that the bands of the wish snap to, and its weight.
+_BAND_AT = {("raise", "weak"): (3, 4, 0.6), ("raise", "med"): (3, 4, 0.85), ("raise", "strong"): (3, 5, 1.0), ("lower", "weak"): (2, 3, 0.6), ("lower", "med"): (2, 3, 0.85), ("lower", "strong"): (1, 3, 1.0)}
+
 
+def _wished(q, x, direction, strength):
+    """SQL of the factor of one wish on the value x of a family with quantiles q, before it is gated."""
+    scale, (lo, hi, weight) = max(0.001, abs(q[4] - q[2]) / 2), _BAND_AT[direction, strength]
+    steep, away = min(2.5, max(0.6, max(1e-6, abs(q[hi] - q[lo])) / scale)), f"({x} - {q[3]!r})" if direction == "raise" else f"({q[3]!r} - {x})"
+    return f"(1 - {weight} + {weight}*(0.55 + 0.45/(1+exp(-least(greatest({steep!r}*{away}/{scale!r}, -12), 12)))))"
 
-def _below(q, x, strength):
-    scale, band = f"greatest(0.001, {abs(q[4] - q[2]) / 2!r})", abs(q[3] - q[2])
-    return f"(1 - {strength} + {strength}*(0.55 + 0.45/(1+exp(-least(greatest(greatest(0.6, least(2.5, {band!r}/{scale}))*({q[3]!r} - {x})/{scale}, -12), 12)))))"
 
+_FAMILY_WISHES = [(f"{label} {d} {s}", label, d, s, t) for label in LABEL_DISTRIBUTIONS for (d, s), t in zip(_BAND_AT, ("strong", "weak", "med", "med", "strong", "weak"))]
 
-@query(with_(SHADES, PROBS, "f as (select shade_id, p, least(greatest((p-0.55)/0.2, 0), 1) as t, " + _below(_Q["L"], "L_lab", 1.0) + " * " + _below(_Q["C"], "C_lab", 0.85) + " as f from probs where label = 'brown')", select="select shade_id, round(least(greatest(1 - t*t*(3-2*t) + t*t*(3-2*t)*f, 0), 1), 6) as family_factor from f"))
+
+@query(
+    with_(
+        SHADES, PROBS,
+        "f as (" + " union all ".join(f"select '{q}' as query_id, shade_id, least(greatest((p-0.55)/0.2, 0), 1) as t, {_wished(LABEL_DISTRIBUTIONS[n]['L'], 'L_lab', d, s)} * {_wished(LABEL_DISTRIBUTIONS[n]['C'], 'C_lab', 'lower' if d == 'raise' else 'raise', u)} as f from probs where label = '{n}'" for q, n, d, s, u in _FAMILY_WISHES) + ")",
+        select="select query_id, shade_id, round(least(greatest(1 - t*t*(3-2*t) + t*t*(3-2*t)*f, 0), 1), 6) as family_factor from f",
+    )
+)
 def fam5_factor(spark, sf_dir):
-    rows = fixtures.naming_long(fixtures.shades(spark, sf_dir)).where("label = 'brown'").withColumn("query_id", F.lit("q"))
-    prefs = spark.createDataFrame([("q", "brown", "brightness", "lower", "strong"), ("q", "brown", "vibrancy", "lower", "med")], "query_id string, label string, axis string, direction string, strength string")
+    """Each family under brightness wishes of every direction and strength, with one on vibrancy in the other direction."""
+    other = {"raise": "lower", "lower": "raise"}
+    prefs = [x for q, n, d, s, u in _FAMILY_WISHES for x in ((q, n, "brightness", d, s), (q, n, "vibrancy", other[d], u))]
+    prefs = spark.createDataFrame(prefs, "query_id string, label string, axis string, direction string, strength string")
+    rows = fixtures.naming_long(fixtures.shades(spark, sf_dir)).join(prefs.select("query_id", "label").distinct(), "label")
     got = scoring.family_factor(rows, scoring.family_specs(prefs), calibration.label_distributions(spark))
-    return got.select("shade_id", F.round("family_factor", 6).alias("family_factor"))
+    return got.select("query_id", "shade_id", F.round("family_factor", 6).alias("family_factor"))
 
 
 @query()
