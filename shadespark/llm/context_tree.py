@@ -204,7 +204,8 @@ def _answered(asked: pa.Table, values: pa.Table) -> pa.Table:
         key, value = key[order], value[order].astype(np.float64 if word else np.float32)
         rows = asked.filter(pc.equal(asked["word"], word))
         for block, keys in zip(rows["block"].to_pylist(), rows["keys"]):
-            for name, x in (("block", block), ("word", word), ("part", part), ("values", value[np.searchsorted(key, unpacked(keys.as_py()))].tobytes())):
+            x = value[np.searchsorted(key, unpacked(keys.as_py()))]
+            for name, x in (("block", block), ("word", word), ("part", part), ("values", x.view(np.uint8).reshape(len(x), -1).T.tobytes())):  # bytes of one weight together, which compress
                 out[name].append(x)
     kinds = {"block": pa.int64(), "word": pa.bool_(), "part": pa.int32(), "values": pa.binary()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
@@ -367,7 +368,8 @@ def _scored(depth: int, parts: int, tokens: int, distinct: int):
         find = {}
         for word, (key, _) in _distinct(docs, depth).items():
             some = answers.filter(pc.equal(answers["word"], word)).sort_by("part")["values"]
-            value = np.concatenate([np.frombuffer(x.as_py(), np.float64 if word else np.float32) for x in some])
+            form = np.dtype(np.float64 if word else np.float32)
+            value = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(form.itemsize, -1).T.copy().view(form).ravel() for x in some])
             key = key[_by_part(key, word, parts)[0]]
             find[word] = _lookup(key, np.log10(value + 1) if word else value)
         gram, word = find[False], find[True]
@@ -423,12 +425,12 @@ def context_tree_scores(docs: DataFrame, depth: int = 6, parts: int = 7, which:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks, parts_ = 1 + size // BLOCK_BYTES, 1 + size // PART_BYTES
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    asked = common.written(docs.groupBy("block").applyInArrow(_asked(depth, parts_), _ASKED), "ctw-asked")
-    counts = common.written(asked.groupBy("part").applyInArrow(_summed, "word boolean, part int, key long, n long"), "ctw-counts")
+    asked = common.written(docs.groupBy("block").applyInArrow(_asked(depth, parts_), _ASKED), "ctw-asked", "zstd")
+    counts = common.written(asked.groupBy("part").applyInArrow(_summed, "word boolean, part int, key long, n long"), "ctw-counts", "zstd")
     known = counts.where("word and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
     grams = gram_values(counts.where("not word").select("key", "n"), depth, parts_).select(F.lit(False).alias("word"), "part", "key", "value")
     words = counts.where("word").select("word", "part", "key", F.col("n").cast("double").alias("value"))
-    values = common.written(grams.unionByName(words), "ctw-values")
+    values = common.written(grams.unionByName(words), "ctw-values", "zstd")
     answers = asked.select("part", "block", "word", "keys").groupBy("part").cogroup(values.groupBy("part")).applyInArrow(_answered, "block long, word boolean, part int, values binary")
     form = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(depth, parts_, known["tokens"], known["distinct"]), form)
