@@ -8,8 +8,8 @@ left for targets that follow. A table gives the output of every marked symbol; o
 matched clauses, and a logistic layer, fitted on labelled documents, turns them into a score.
 
 The insult lexicon is learned: words and word beginnings that are much more frequent in documents
-labelled toxic, with their log odds as weights. Two thirds of the labelled sample give the lexicon, the
-rest the logistic layer.
+labelled toxic, with their log odds as weights. The labelled sample gives both lexicon and layer: the layer
+reads each fold of it with the lexicon of the other folds, and the lexicon of all folds is kept.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,6 +32,8 @@ SAMPLE, LEXICON = 4000, 5000
 #: Bytes of the word beginnings that the lexicon may hold beside whole words.
 STEMS = (4, 5, 6, 8)
 MIN_DOCS, MIN_WEIGHT = 5, 2.0
+#: Parts of the labelled sample, each read with the lexicon of the others to fit the layer.
+FOLDS = 4
 #: Terms that may enter the lexicon by chance, among all that are tried.
 CHANCE = 5.0
 
@@ -237,43 +239,53 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(_layer(x) @ self.weights + self.bias, -30, 30)))
 
 
-def _third() -> object:
-    return F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(3))
+def _fold() -> object:
+    return F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(FOLDS)).cast("int")
+
+
+def _lexicon(terms: DataFrame, n: Column, bad: Column, docs: int, toxic: int) -> Lexicon:
+    """The lexicon of terms that n documents hold, bad of them toxic, among docs documents and toxic ones."""
+    terms = terms.select("key", n.alias("n"), bad.alias("bad")).where(F.col("n") >= MIN_DOCS)
+    # how surprising the share of toxic documents is (a likelihood ratio), against chance among so many terms
+    share, part = max(toxic, 1) / max(docs, 1), F.col("bad") / F.col("n")
+    odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (docs - toxic + 1))
+    surprise = F.col("bad") * F.log(part / share) + F.when(part < 1, (F.col("n") - F.col("bad")) * F.log((1 - part) / max(1 - share, 1e-9))).otherwise(0.0)
+    chance = math.log(max(terms.count(), 1) / CHANCE)
+    terms = terms.withColumn("weight", odds).where((F.col("bad") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT)).where(surprise >= chance)
+    return Lexicon.of({r["key"] % (1 << 64): r["weight"] for r in terms.orderBy(F.desc(F.col("bad") * F.col("weight")), "key").limit(LEXICON).collect()})
 
 
 def fit_grammar(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Grammar:
-    """Learn lexicon and layer from at most `sample` documents of each label; held-out rows are never read."""
+    """Learn lexicon (its LEXICON best terms) and layer from at most `sample` documents of each label; held-out rows are never read."""
     common.bounded_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels.select("doc_id", F.col("toxic").alias("label")), sample, parts, held_out).withColumn("half", _third().cast("int"))
+    rows = labelled_sample(docs, labels.select("doc_id", F.col("toxic").alias("label")), sample, parts, held_out).withColumn("fold", _fold())
     rows = common.written(rows, "toxic-sample")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = common.int64(b.column(2))
+            label, fold = common.int64(b.column(2)), common.int64(b.column(3))
             for i, j, data, at in common.slices(b.column(1)):
                 row, _, keys = word_keys(data, at)
                 of = np.repeat(row, keys.shape[1])
                 key = keys.ravel()
                 pair = np.unique(np.stack([key, of.astype(U)])[:, key != 0], axis=1) if len(key) else np.empty((2, 0), U)
-                key, first = np.unique(pair[0], return_index=True)
-                bad = np.add.reduceat(label[i + pair[1].astype(np.int64)], first) if len(key) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.diff(np.append(first, pair.shape[1])).astype(np.int64)), pa.array(bad.astype(np.int64))], ["key", "n", "bad"])
-
-    first = rows.where("half > 0")
-    n = first.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
-    good = n["n"] - n["bad"]
-    terms = first.select("doc_id", "text", "label").mapInArrow(counts, "key long, n long, bad long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    odds = F.log((F.col("bad") + 0.5) / (n["bad"] + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good + 1))
+                key, of = pair[0], i + pair[1].astype(np.int64)
+                order = np.lexsort((fold[of], key))
+                key, of = key[order], of[order]
+                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (fold[of][1:] != fold[of][:-1])))[: len(key)]
+                bad = np.add.reduceat(label[of], first) if len(key) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(fold[of][first]), pa.array(np.diff(np.append(first, len(key))).astype(np.int64)), pa.array(bad.astype(np.int64))], ["key", "fold", "n", "bad"])
+
+    of_fold = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).collect()
+    n = {"n": sum(r["n"] for r in of_fold), "bad": sum(r["bad"] for r in of_fold)}
+    within_fold = lambda c, f: F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}")
+    terms = rows.select("doc_id", "text", "label", "fold").mapInArrow(counts, "key long, fold long, n long, bad long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), *(within_fold(c, f) for c in ("n", "bad") for f in range(FOLDS)))
     terms = common.written(terms.where(F.col("n") >= MIN_DOCS), "toxic-terms")
-    # how surprising the share of toxic documents is (a likelihood ratio), against chance among so many terms
-    share, part = max(n["bad"], 1) / max(n["n"], 1), F.col("bad") / F.col("n")
-    surprise = F.col("bad") * F.log(part / share) + F.when(part < 1, (F.col("n") - F.col("bad")) * F.log((1 - part) / max(1 - share, 1e-9))).otherwise(0.0)
-    chance = math.log(max(terms.count(), 1) / CHANCE)
-    terms = terms.withColumn("weight", odds).where((F.col("bad") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT)).where(surprise >= chance)
-    learned = {r["key"] % (1 << 64): r["weight"] for r in terms.orderBy(F.desc(F.col("bad") * F.col("weight")), "key").limit(LEXICON).collect()}
-    lexicon = Lexicon.of(learned)
-
-    second = grammar_columns(rows.where("half = 0").select("doc_id", "text", "label"), lexicon, "label").collect()
+    lexicon, second = _lexicon(terms, F.col("n"), F.col("bad"), n["n"], n["bad"]), []
+    for r in sorted(of_fold, key=lambda r: r["fold"]):
+        f = r["fold"]
+        others = _lexicon(terms, F.col("n") - F.col(f"n{f}"), F.col("bad") - F.col(f"bad{f}"), n["n"] - r["n"], n["bad"] - r["bad"])
+        second += grammar_columns(rows.where(F.col("fold") == f).select("doc_id", "text", "label"), others, "label").orderBy("doc_id").collect()
     x, y = _layer(np.array([r["x"] for r in second]).reshape(-1, len(OUTPUTS))), np.array([r["label"] for r in second], float)
     weights, bias = np.zeros(len(OUTPUTS)), -3.0
     if len(y) and 0 < y.sum() < len(y):
