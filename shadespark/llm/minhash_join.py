@@ -180,8 +180,9 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     total = firsts.count()
 
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posts = firsts.select("doc_id", "sig").mapInArrow(_postings, "key long, doc_id long").repartition(shuffles, "key")
-    shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, counted by partial sums, and joined in a way that Spark may split: many documents may have a coordinate's value in common
+    posts = common.written(firsts.select("doc_id", "sig").mapInArrow(_postings, "key long, doc_id long"), "postings")
+    shared = common.written(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     lists = posts.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("posts")).where(F.size("posts") >= MATCH)
     prefix = lists.select("doc_id", F.explode(F.slice("posts", F.lit(1), F.size("posts") - (MATCH - 1))).alias("p")).select(F.col("p.key").alias("grp"), "doc_id", F.lit(1).cast("long").alias("w"))
     prefix = common.written(prefix, "prefix")

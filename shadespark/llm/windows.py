@@ -248,9 +248,11 @@ def repeated(docs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame, DataFra
     buckets = int(max(8, -(-total * 2 // (unit.window - unit.kgram + 2) // PER_BUCKET)))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    # Both uses read all three columns under the same filter, so that they share one exchange and the corpus is read once.
-    one = docs.mapInArrow(_minimisers(unit), "key long, doc_id long, again boolean").where("key is not null and doc_id is not null").repartition(shuffles, "key")
-    often = one.groupBy("key").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high or again").select("key", F.ceil(F.col("n") / HOT).cast("long").alias("parts"))
+    # Stored, so that the corpus is read once. Counts are partial sums before they are shuffled, and the join below is one that
+    # Spark may split: a passage that most documents share puts no more than the rows of one of its splits into a task.
+    one = common.written(docs.mapInArrow(_minimisers(unit), "key long, doc_id long, again boolean").where("key is not null and doc_id is not null"), f"{unit.name}-minimisers", "zstd")
+    often = one.groupBy("key").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high or again")
+    often = common.written(often.select("key", F.ceil(F.col("n") / HOT).cast("long").alias("parts")), f"{unit.name}-often")
     stand = firsts.select(F.col("first").alias("doc_id"))
     wanted = one.join(often, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "parts", "again")).alias("found")).join(stand, "doc_id")
     wanted = wanted.select("doc_id", F.col("found.key").alias("keys"), F.col("found.parts").alias("parts"), F.exists("found", lambda x: x["again"]).alias("again"))
