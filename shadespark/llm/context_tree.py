@@ -40,11 +40,11 @@ from . import common
 from .common import U
 
 #: Bytes of text of one block, bytes of text for each part, and grams of one bucket, about.
-BLOCK_BYTES, PART_BYTES, BUCKET_GRAMS = 20 << 20, 20 << 20, 200_000
+BLOCK_BYTES, PART_BYTES, BUCKET_GRAMS = 16 << 20, 16 << 20, 200_000
 #: Context bytes by which grams are dealt to buckets.
 TOP = 4
 #: Distinct grams that wait to be merged at most.
-HELD = 2 << 20
+HELD = 1 << 20
 #: The key of the token that ends each text.
 END = 0
 
@@ -316,8 +316,8 @@ def gram_values(grams: DataFrame, depth: int, parts: int = 1) -> DataFrame:
     buckets = max(1, -(-grams.count() // BUCKET_GRAMS))
     bucket = lambda context: F.pmod(F.xxhash64(context), F.lit(buckets)).cast("int").alias("bucket")
     dealt = grams.select(bucket(F.shiftrightunsigned("key", 8 * (depth + 1 - TOP))), "key", "n")
-    roots = common.written(dealt.groupBy("bucket").applyInArrow(_roots(depth), "context long, bits int, zeros double, ones double, weighted double"), "ctw-roots")
-    levels = [common.written(_level(roots), "ctw-level")]
+    roots = common.written(dealt.groupBy("bucket").applyInArrow(_roots(depth), "context long, bits int, zeros double, ones double, weighted double"), "ctw-roots", "zstd")
+    levels = [common.written(_level(roots), "ctw-level", "zstd")]
     while len(levels) < TOP:
         levels.append(_level(levels[-1]))
     passed = None
