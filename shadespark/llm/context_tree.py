@@ -40,7 +40,7 @@ from . import common
 from .common import U
 
 #: Bytes of text of one block, bytes of text for each part, and grams of one bucket, about.
-BLOCK_BYTES, PART_BYTES, BUCKET_GRAMS = 16 << 20, 16 << 20, 200_000
+BLOCK_BYTES, PART_BYTES, BUCKET_GRAMS = 16 << 20, 16 << 20, 50_000
 #: Context bytes by which grams are dealt to buckets.
 TOP = 4
 #: Distinct grams that wait to be merged at most.
