@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import color
+from . import cells
 from .relational import in_hue_band, neutral_guard
 
 STEPS = (0.0, 2.0, 4.0, 8.0, 12.0)
@@ -37,6 +38,14 @@ def distances(shades: DataFrame, queries: DataFrame) -> DataFrame:
     return color.with_delta_e00(pairs, ("L_lab", "a_lab", "b_lab"), ("anchor_L", "anchor_a", "anchor_b"), "de00")
 
 
+def within_reach(shades: DataFrame, queries: DataFrame, limit: Column | None = None, k: int = 1) -> DataFrame:
+    """As distances, without pairs of cells that are too far away: all pairs within limit (CAP) and the k nearest shades of each query are there."""
+    boxes = cells.boxes(shades)
+    far = queries.join(cells.reach(boxes, queries, k), "query_id")
+    least = F.lit(CAP) if limit is None else limit
+    return cells.near_distances(shades, far, F.greatest(least, F.col("_reach")), boxes).drop("_reach")
+
+
 def base_threshold() -> Column:
     return F.when(F.col("anchor_C") < 18, 12.0).otherwise(18.0)
 
@@ -111,20 +120,25 @@ def naming_gate(cov: DataFrame, sizes: DataFrame, labelled: DataFrame, few: int
     return j.select("query_id", (F.coalesce("_known", F.lit(False)) & F.coalesce(poor, F.lit(True))).alias("gate"))
 
 
-def _marks(shades: DataFrame, queries: DataFrame) -> DataFrame:
-    """All pairs, with what the ladder of pools asks: _near (28 degrees), _band and _wide, bands in HSV hue around that of the anchor's hex, or around its Lab hue where it has none; _guard."""
-    anchor = F.coalesce("anchor_hue", color.hue_deg(F.col("anchor_a"), F.col("anchor_b")))
-    hsv = color.hsv_hue(*(F.col(c) / 255 for c in "rgb"))
-    return distances(shades, queries).withColumns({
-        "_near": in_hue_band(hsv, F.col("anchor_hue"), F.lit(28.0)),
-        "_band": in_hue_band(hsv, anchor, color.hue_band(F.col("anchor_C"))),
-        "_wide": in_hue_band(hsv, anchor, F.lit(32.0)),
-        "_guard": neutral_guard(),
-    })
+def _anchor_hue() -> Column:
+    return F.coalesce("anchor_hue", color.hue_deg(F.col("anchor_a"), F.col("anchor_b")))
+
+
+def _hue_marks(hsv: Column) -> dict[str, Column]:
+    """What the ladder of pools asks of hues: _near (28 degrees), _band and _wide, bands in HSV hue around that of the anchor's hex, or around its Lab hue where it has none."""
+    return {"_near": in_hue_band(hsv, F.col("anchor_hue"), F.lit(28.0)), "_band": in_hue_band(hsv, _anchor_hue(), color.hue_band(F.col("anchor_C"))), "_wide": in_hue_band(hsv, _anchor_hue(), F.lit(32.0))}
+
+
+def _shade_hue() -> Column:
+    return color.hsv_hue(*(F.col(c) / 255 for c in "rgb"))
+
+
+def _marks(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({**_hue_marks(_shade_hue()), "_guard": neutral_guard()})
 
 
 def pool_plan(shades: DataFrame, queries: DataFrame, top: int = 1200) -> DataFrame:
-    """The trace of the ladder of pools for each query: which pool it ends with, from one aggregation over all pairs.
+    """The trace of the ladder of pools for each query: which pool it ends with, from one aggregation over the pairs that may be within reach and one over distinct hues.
 
     queries: query_id, anchor_*, constrained (whether the query has constraints). Hard pool on the effective
     inventory; widened for constrained queries under 120 (inside the hue band, or without it where the
@@ -136,14 +150,20 @@ def pool_plan(shades: DataFrame, queries: DataFrame, top: int = 1200) -> DataFra
     """
     top = min(top, POOL_MAX)
     widths = [F.least(base_threshold() + s, F.lit(CAP)) for s in STEPS]
-    counts = {"min_de": F.min("de00"), "n_within": F.count_if(F.col("de00") <= base_threshold()), "_some": F.max("_near"), "anchor_C": F.first("anchor_C"), "constrained": F.first("constrained")}
+    counts = {"min_de": F.min("de00"), "n_within": F.count_if(F.col("de00") <= base_threshold()), "anchor_C": F.first("anchor_C"), "constrained": F.first("constrained")}
+    sources = (("inv", F.lit(True)), ("band", F.col("_band")), ("wide", F.col("_wide")))
+    sizes = {"_some": F.max("_near")}
     for kind, among in (("all", F.lit(True)), ("near", F.col("_near"))):
         counts[f"hard_{kind}"] = F.count_if(among & F.col("_guard") & (F.col("de00") <= base_threshold()))
-        for source, inside in (("inv", F.lit(True)), ("band", F.col("_band")), ("wide", F.col("_wide"))):
-            counts[f"{source}_n_{kind}"] = F.count_if(among & inside)
+        for source, inside in sources:
+            sizes[f"{source}_n_{kind}"] = F.coalesce(F.sum(F.when(among & inside, F.col("n"))), F.lit(0))
             for k, w in enumerate(widths):
                 counts[f"{source}_{k}_{kind}"] = F.count_if(among & inside & (F.col("de00") <= w))
-    got = _marks(shades, queries).groupBy("query_id").agg(*(c.alias(n) for n, c in counts.items()))
+    named = lambda aggs: (c.alias(n) for n, c in aggs.items())
+    hues = shades.where("r is not null").groupBy(_shade_hue().alias("_hue")).agg(F.count("*").alias("n"))
+    asked = queries.select("query_id", "anchor_hue", "anchor_a", "anchor_b", "anchor_C")
+    whole = hues.crossJoin(F.broadcast(asked) if asked.count() <= GROUP_QUERIES else asked).withColumns(_hue_marks(F.col("_hue"))).groupBy("query_id").agg(*named(sizes))
+    got = _marks(within_reach(shades, queries)).groupBy("query_id").agg(*named(counts)).join(whole, "query_id")
     family = (F.col("n_within") < COVERAGE_MIN) & (F.col("anchor_C") < 55) & F.col("_some")
     got = got.withColumn("family", family)
     of = lambda name: F.when(F.col("family"), F.col(f"{name}_near")).otherwise(F.col(f"{name}_all"))
@@ -177,7 +197,8 @@ def _choice(source: str, thr: Column, nearest: Column, size: Column, method: Col
 def candidate_pool(shades: DataFrame, queries: DataFrame, plan: DataFrame, top: int = 1200) -> DataFrame:
     """The pools that plan (of pool_plan, stored) names, nearest shades first: columns of shades and queries, de00, pool_method."""
     top = min(top, POOL_MAX)
-    marked = _marks(shades, queries).join(plan.select("query_id", "family", "source", "thr", "n_nearest", "pool_method"), "query_id")
+    chosen = queries.join(plan.select("query_id", "family", "source", "thr", "n_nearest", "pool_method"), "query_id")
+    marked = _marks(cells.near_distances(shades, chosen, F.col("thr")))
     inside = F.when(F.col("source") == "hard", F.col("_guard")).when(F.col("source") == "band", F.col("_band")).when(F.col("source") == "wide", F.col("_wide")).otherwise(True)
     some = marked.where((~F.col("family") | F.col("_near")) & inside & (F.col("thr").isNull() | (F.col("de00") <= F.col("thr"))))
     some = some.drop("_near", "_band", "_wide", "_guard", "family", "source")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import udf
-from ..operators import aggregates, constraints, pools, preference, relational, scoring
+from ..operators import aggregates, cells, constraints, pools, preference, relational, scoring
 from ..plans import assets, learning, recommend
 from ..sources import calibration, fixtures, tables
 from ..sources.calibration import DELTA_E_REF, LABEL_DISTRIBUTIONS, LEVELS, RELATIVE, SCALE_IQR, THRESHOLDS
@@ -127,21 +127,38 @@ def _pairs(spark, sf_dir):
     return pools.distances(tables.stored(pools.spread(df), "catalogue"), fixtures.anchors(spark))
 
 
+def _within(spark, sf_dir, limit=None, k=1):
+    """As _pairs, of cells within reach alone."""
+    df = relational.with_colour(relational.eligible(fixtures.shades(spark, sf_dir)))
+    df = df.select("product_id", "shade_id", "r", "g", "b", "L_lab", "a_lab", "b_lab", "C_lab", "H_lab_deg")
+    return pools.within_reach(tables.stored(pools.spread(df), "catalogue"), fixtures.anchors(spark), limit, k)
+
+
 _ELIGIBLE = PAIRS.replace("where r is not null)", f"where r is not null and not {BAD})", 1)
 _GUARD = "(anchor_C >= 18 or (L_lab < 98.5 and sqrt(a_lab*a_lab+b_lab*b_lab) > 3 and abs(L_lab-anchor_L) <= 22 and abs(a_lab-anchor_a) <= 10 and abs(b_lab-anchor_b) <= 14))"
 
 
 @query(with_(SHADES, ANCHORS, _ELIGIBLE, select=f"select query_id, shade_id, round(de00, 5) as de00 from pairs where de00 <= base and {_GUARD}"))
 def pol1_hard_pool(spark, sf_dir):
-    return pools.hard_pool(_pairs(spark, sf_dir)).select("query_id", "shade_id", F.round("de00", 5).alias("de00"))
+    return pools.hard_pool(_within(spark, sf_dir, pools.base_threshold())).select("query_id", "shade_id", F.round("de00", 5).alias("de00"))
 
 
 @query(with_(SHADES, ANCHORS, _ELIGIBLE, select="select query_id, round(min(de00), 5) as min_de, count(*) filter (de00 <= base) as n_within, count(*) filter (de00 <= 18) as n_18, count(*) filter (de00 <= 20) as n_20, count(*) filter (de00 <= 22) as n_22, count(*) filter (de00 <= 26) as n_26, count(*) filter (de00 <= 30) as n_30 from pairs group by query_id"))
 def pol2_coverage(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
+    p = _within(spark, sf_dir)
     return pools.coverage(p).join(pools.coverage_sweep(p), "query_id").withColumn("min_de", F.round("min_de", 5))
 
 
+@query(with_(SHADES, ANCHORS, _ELIGIBLE, select="select query_id, n as t, count(*) filter (de00 <= n) as within from pairs, (values (12), (18), (30)) v(n) group by all"))
+def jon9_near(spark, sf_dir):
+    """Shades within three distances of each anchor, from cells that may hold one."""
+    q = fixtures.anchors(spark).crossJoin(spark.createDataFrame([(12,), (18,), (30,)], "t int"))
+    df = relational.with_colour(relational.eligible(fixtures.shades(spark, sf_dir))).select("r", "L_lab", "a_lab", "b_lab")
+    got = cells.near_distances(tables.stored(pools.spread(df), "catalogue"), q, F.col("t"))
+    got = got.groupBy("query_id", "t").agg(F.count_if(F.col("de00") <= F.col("t")).alias("within"))
+    return q.select("query_id", "t").join(got, ["query_id", "t"], "left").withColumn("within", F.coalesce("within", F.lit(0)))
+
+
 @query(
     with_(
         SHADES, ANCHORS, _ELIGIBLE,
@@ -151,7 +168,7 @@ def pol2_coverage(spark, sf_dir):
     )
 )
 def pol5_adaptive(spark, sf_dir):
-    return pools.adaptive_pool(_pairs(spark, sf_dir), 120).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("de00"), 5).alias("widest"))
+    return pools.adaptive_pool(_within(spark, sf_dir, k=120), 120).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("de00"), 5).alias("widest"))
 
 
 @query(

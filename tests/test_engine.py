@@ -1,6 +1,7 @@
 """The colour engine: known answers, contracts, and its queries against their SQL."""
 
 import difflib
+import json
 import math
 import random
 
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from shadespark import queries
 from shadespark.functions import color, stats, text, udf
-from shadespark.operators import aggregates, checks, constraints, pools, preference, relational, scoring
+from shadespark.operators import aggregates, cells, checks, constraints, pools, preference, relational, scoring
 from shadespark.plans import anchors, assets, domain, learning, reports
-from shadespark.sources import calibration, fixtures, tables
+from shadespark.sources import calibration, fixtures, tables, web
 from shadespark.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
@@ -136,14 +137,109 @@ def test_interpretation_splits_likes_from_dislikes(spark):
     assert set(got) == {1, 2, 3, 4, 5}
 
 
+def plain_snap(rows, cons, share=0.05):
+    """The relaxed cut-points of (dim, op, cutpoint or None, threshold) constraints, one after the other in up to twelve rounds."""
+    thr = [c[3] for c in cons]
+
+    def holds(k, r):
+        v = r[cons[k][0]]
+        return v is None or (v <= thr[k] if cons[k][1] == "<=" else v >= thr[k])
+
+    for _ in range(12):
+        if sum(all(holds(k, r) for k in range(len(cons))) for r in rows) >= share * len(rows):
+            break
+        moved = False
+        for k, (dim, op, cut, _) in enumerate(cons):
+            if cut is None:
+                continue
+            others = [r for r in rows if all(holds(j, r) for j in range(len(cons)) if j != k)] or rows
+            v = sorted(r[dim] for r in others if r[dim] is not None)
+            if not v:
+                continue
+            at = (share if op == "<=" else 1 - share) * (len(v) - 1)
+            q = v[int(at)] + (v[min(int(at) + 1, len(v) - 1)] - v[int(at)]) * (at - int(at))
+            bounds = calibration.THRESHOLDS[dim]
+            new = min(max(thr[k], q), max(bounds)) if op == "<=" else max(min(thr[k], q), min(bounds))
+            moved, thr[k] = moved or abs(new - thr[k]) > 1e-12, new
+        if not moved:
+            break
+    return thr
+
+
 def test_snap_relaxes_numeric_cutpoints(spark):
-    shades = tables.stored(fixtures.shades(spark, SMALL).where("r is not null"), "t").withColumn("query_id", F.lit(1))
-    cons = constraints.parse_constraints(spark.createDataFrame([(1, "light_hsl<=0.2:1;sat_hsl>=0.95:1")], "query_id int, constraints string"))
-    resolved = constraints.thresholds(shades, cons, calibration.calibration(spark))
-    new = {r["dim"]: r["threshold"] for r in constraints.snap_cutpoints(shades, resolved).collect()}
-    assert new["light_hsl"] >= 0.2 and new["sat_hsl"] <= 0.95
-    share = shades.agg(F.avg(((F.col("light_hsl") <= new["light_hsl"]) & (F.col("sat_hsl") >= new["sat_hsl"])).cast("double"))).first()[0]
-    assert share > 0
+    """By query and shared: the same as one constraint after the other; queries without cut-points or without rows pass by."""
+    shades = tables.stored(fixtures.shades(spark, SMALL).where("r is not null"), "t")
+    blobs = ["light_hsl<=0.2:1;sat_hsl>=0.95:1", "light_hsl<=0.9:1;sat_hsl>=0.1:1", "depth>=very_high:1;C_lab<=20:1;L_lab>=90:1", "sat_eff>=high:1", "warmth<=low:1;a_lab>=60:1"]
+    cons = constraints.parse_constraints(spark.createDataFrame(list(enumerate(blobs)), "query_id int, constraints string"))
+    rows = [r.asDict() for r in shades.select(*color.SCORING_DIMS).collect()]
+    want = {}
+    for r in cons.collect():
+        fixed = r["cutpoint"] if r["cutpoint"] is not None else calibration.THRESHOLDS[r["dim"]][calibration.LEVELS.index(r["level"])]
+        want.setdefault(r["query_id"], {})[r["ord"]] = (r["dim"], r["op"], r["cutpoint"], fixed)
+    want = {q: plain_snap(rows, [c for _, c in sorted(of.items())]) for q, of in want.items()}
+    pool = shades.crossJoin(spark.range(len(blobs)).select(F.col("id").cast("int").alias("query_id")))
+    for got in (constraints.snap_cutpoints(shades, cons, calibration.calibration(spark), shared=True), constraints.snap_cutpoints(pool, cons, calibration.calibration(spark))):
+        for r in got.collect():
+            if r["cutpoint"] is not None:
+                assert r["cutpoint"] == pytest.approx(want[r["query_id"]][r["ord"] - 1], abs=1e-9)
+    assert constraints.snap_cutpoints(pool.where("query_id > 2"), cons, calibration.calibration(spark)).where("query_id = 0").orderBy("ord").first()["cutpoint"] == 0.2
+
+
+def test_cells_lose_no_pair_and_compare_few(spark):
+    shades = tables.stored(fixtures.shades(spark, "/root/testdata/sf0.01").where("r is not null"), "t")
+    grey = spark.createDataFrame([("grey", 50.0, 0.0, 0.0, 0.0), ("blue", 30.0, 60.0, -90.0, 108.2), ("far", 0.0, -100.0, 100.0, 141.4)], "query_id string, anchor_L double, anchor_a double, anchor_b double, anchor_C double")
+    anchors = fixtures.anchors(spark).select(*grey.columns).unionByName(grey)
+    every = tables.stored(pools.distances(shades, anchors), "every")
+    for t, less in ((12, 10), (18, 5), (30, 1)):
+        some = tables.stored(cells.near_distances(shades, anchors, F.lit(t)), "some")
+        inside = lambda df: sorted(df.where(F.col("de00") <= t).select("query_id", "shade_id").collect())  # noqa: B023, E731
+        assert inside(some) == inside(every) and some.count() * less <= every.count()
+    assert cells.near_distances(shades, anchors, F.lit(None)).count() == every.count() and cells.near_distances(shades.limit(0), anchors, F.lit(18)).count() == 0
+    nearest = {r["query_id"]: r["min_de"] for r in pools.coverage(every).collect()}
+    for k in (1, 5):
+        for r in cells.reach(cells.boxes(shades), anchors, k).collect():
+            assert r["_reach"] >= nearest[r["query_id"]] - 1e-9
+    got = {r["query_id"]: r["de00"] for r in pools.within_reach(shades, anchors).groupBy("query_id").agg(F.min("de00").alias("de00")).collect()}
+    assert got == pytest.approx(nearest)
+
+
+def test_bound_of_random_boxes(spark):
+    """Boxes of random points and anchors, some on the grey axis: the bound is below every distance."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        corner, wide = [rng.uniform(0, 95), rng.uniform(-100, 95), rng.uniform(-100, 95)], [rng.uniform(0.1, 12) for _ in range(3)]
+        anchor = [corner[i] + rng.gauss(0, 9) for i in range(3)] if k % 3 else [rng.uniform(0, 100), 0.0, 0.0]
+        rows += [(k, *anchor, *(corner[i] + rng.random() * wide[i] for i in range(3))) for _ in range(40)]
+    points = spark.createDataFrame(rows, "k int, anchor_L double, anchor_a double, anchor_b double, L_lab double, a_lab double, b_lab double")
+    box = points.groupBy("k", *cells.ANCHOR).agg(*(f(c).alias(f"_{n}_{c[0]}") for c in cells.LAB for n, f in (("lo", F.min), ("hi", F.max))))
+    least = color.with_delta_e00(points, cells.LAB, cells.ANCHOR, "de00").groupBy("k").agg(F.min("de00").alias("de00"))
+    assert cells.with_bound(box).join(least, "k").where("_bound > de00 + 1e-9").count() == 0
+
+
+WEB = "page_id long, url string, html string"
+
+
+def test_walk_of_embedded_json(spark):
+    """Paths of all objects at any depth up to the bound, parents first; texts that look like JSON are texts; broken, empty and missing data have none."""
+    deep = "x"
+    for k in range(30):
+        deep = {"d": deep, "n": k} if k % 2 else [deep]
+    data = [{"b": [1, {"z": None}, {"y": "{\"q\": 1}"}], "a": {"name": "n", "brand": {"name": "m"}}}, [], "text", deep]
+    script = lambda d: f"<script id='__NEXT_DATA__'>{d if isinstance(d, str) else json.dumps(d)}</script>"
+    pages = spark.createDataFrame([(k, "u", script(d)) for k, d in enumerate(data)] + [(10, "u", script("{broken")), (11, "u", ""), (12, None, None)], WEB)
+    got = {r["page_id"]: ["/".join(p) for p in r["paths"]] for r in web.walked(pages, depth=40).select("page_id", F.transform("nodes", lambda x: x["path"]).alias("paths")).collect()}
+
+    def plain(v, path=()):
+        if isinstance(v, dict):
+            yield "/".join(path)
+        for k, x in sorted(v.items()) if isinstance(v, dict) else ((f"{i:08d}", x) for i, x in enumerate(v)) if isinstance(v, list) else ():
+            yield from plain(x, (*path, k))
+
+    assert {k: got[k] for k in range(4)} == {k: list(plain(d)) for k, d in enumerate(data)} and got[10] == got[11] == got[12] == []
+    shallow = web.walked(pages.where("page_id = 3"), depth=4).select(F.size("nodes")).first()[0]
+    assert shallow == sum(1 for p in plain(deep) if len([x for x in p.split("/") if x]) <= 4)
+    assert web.item_rows(pages).count() == 0 and web.item_rows(pages.limit(0)).count() == 0
 
 
 def test_family_modes(spark):
