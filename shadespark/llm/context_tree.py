@@ -96,14 +96,24 @@ def _grams(data: np.ndarray, begin: np.ndarray, depth: int) -> Iterator[tuple[np
         yield a + np.flatnonzero(here), g[here].view(np.int64)
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes together, then all second ones, and so on, compressed."""
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def released(x: bytes, kind: type) -> np.ndarray:
+    raw = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def packed(x: np.ndarray) -> bytes:
-    """64-bit numbers as the bytes of their differences, all first bytes together, then all second ones: ascending or small numbers compress well."""
-    x = x.view(U)
-    return np.diff(x, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending 64-bit numbers by their differences."""
+    return squeezed(np.diff(x.view(U), prepend=U(0)))
 
 
 def unpacked(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(U).ravel(), dtype=U).view(np.int64)
+    return np.cumsum(released(x, U), dtype=U).view(np.int64)
 
 
 def part_of(key: np.ndarray, word: bool, parts: int) -> np.ndarray:
@@ -174,7 +184,7 @@ def _asked(depth: int, parts: int):
             order, first = _by_part(key, word, parts)
             for p in np.flatnonzero(np.diff(first)).tolist():
                 at = order[first[p] : first[p + 1]]
-                for name, x in (("block", block), ("word", word), ("part", p), ("keys", packed(key[at])), ("n", packed(n[at].astype(U)))):
+                for name, x in (("block", block), ("word", word), ("part", p), ("keys", packed(key[at])), ("n", squeezed(n[at]))):
                     out[name].append(x)
         kinds = {"block": pa.int64(), "word": pa.bool_(), "part": pa.int32(), "keys": pa.binary(), "n": pa.binary()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
@@ -188,7 +198,7 @@ def _summed(table: pa.Table) -> pa.Table:
     for word in (False, True):
         some, total = table.filter(pc.equal(table["word"], word)), Tally()
         for keys, n in zip(some["keys"], some["n"]):
-            total.put(unpacked(keys.as_py()), unpacked(n.as_py()))
+            total.put(unpacked(keys.as_py()), released(n.as_py(), np.uint32).astype(np.int64))
         out.append((word, *total.total()))
     key, n = (np.concatenate([x[c] for x in out]) for c in (1, 2))
     return pa.table([pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out])), pa.array(np.full(len(key), table["part"][0].as_py(), np.int32)), pa.array(key), pa.array(n)], ["word", "part", "key", "n"])
@@ -204,8 +214,7 @@ def _answered(asked: pa.Table, values: pa.Table) -> pa.Table:
         key, value = key[order], value[order].astype(np.float64 if word else np.float32)
         rows = asked.filter(pc.equal(asked["word"], word))
         for block, keys in zip(rows["block"].to_pylist(), rows["keys"]):
-            x = value[np.searchsorted(key, unpacked(keys.as_py()))]
-            for name, x in (("block", block), ("word", word), ("part", part), ("values", x.view(np.uint8).reshape(len(x), -1).T.tobytes())):  # bytes of one weight together, which compress
+            for name, x in (("block", block), ("word", word), ("part", part), ("values", squeezed(value[np.searchsorted(key, unpacked(keys.as_py()))]))):
                 out[name].append(x)
     kinds = {"block": pa.int64(), "word": pa.bool_(), "part": pa.int32(), "values": pa.binary()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
@@ -368,8 +377,7 @@ def _scored(depth: int, parts: int, tokens: int, distinct: int):
         find = {}
         for word, (key, _) in _distinct(docs, depth).items():
             some = answers.filter(pc.equal(answers["word"], word)).sort_by("part")["values"]
-            form = np.dtype(np.float64 if word else np.float32)
-            value = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(form.itemsize, -1).T.copy().view(form).ravel() for x in some])
+            value = np.concatenate([released(x.as_py(), np.float64 if word else np.float32) for x in some])
             key = key[_by_part(key, word, parts)[0]]
             find[word] = _lookup(key, np.log10(value + 1) if word else value)
         gram, word = find[False], find[True]

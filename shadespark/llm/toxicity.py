@@ -93,8 +93,8 @@ class Lexicon:
 
     @classmethod
     def of(cls, learned: dict[int, float]) -> Lexicon:
-        rows = {key_of(w): (kind, 1.0) for kind, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words}
-        rows |= {k: (INSULT, w) for k, w in learned.items()}
+        rows = {k: (INSULT, w) for k, w in learned.items()}  # words of the grammar keep their class
+        rows |= {key_of(w): (kind, 1.0) for kind, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words}
         key = np.array(sorted(rows), U)
         return cls(key, np.array([rows[int(k)][0] for k in key], np.int8), np.array([rows[int(k)][1] for k in key]))
 
