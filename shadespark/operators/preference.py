@@ -111,10 +111,17 @@ def clause_polarity(mentioned: DataFrame) -> DataFrame:
     return g.select("text_id", "clause_id", F.when(F.col("l") & ~F.col("d"), "LIKE").when(F.col("d") & ~F.col("l"), "DISLIKE").when(F.col("cue") != "UNKNOWN", F.col("cue")).when(F.col("e"), "DISLIKE").otherwise("UNKNOWN").alias("polarity"))
 
 
-def vector_polarity(df: DataFrame, vector: str, include: str, exclude: str, min_sim: float = 0.30, min_margin: float = 0.10) -> DataFrame:
-    inc, exc = stats.cosine(F.col(vector), F.col(include)), stats.cosine(F.col(vector), F.col(exclude))
-    ok = (F.greatest(inc, exc) >= min_sim) & (F.abs(inc - exc) >= min_margin)
-    return df.withColumn("polarity", F.when(ok & (inc > exc), "LIKE").when(ok, "DISLIKE").otherwise("UNKNOWN"))
+def vector_polarity(df: DataFrame, include: str, exclude: str, like: str, dislike: str, min_sim: float = 0.30, min_margin: float = 0.10) -> DataFrame:
+    """df with polarity, of four vectors of a row: of a text that includes the mention and one that excludes it, and of the two requests.
+
+    What the include text prefers the like request by, less what the exclude text prefers the dislike request by, decides; unknown
+    if it is under min_margin either way, or no similarity reaches min_sim.
+    """
+    sims = [stats.cosine(F.col(text), F.col(pole)) for text in (include, exclude) for pole in (like, dislike)]
+    df = df.withColumns(dict(zip(("_il", "_id", "_el", "_ed"), sims)))
+    score = (F.col("_il") - F.col("_id")) - (F.col("_ed") - F.col("_el"))
+    ok = (F.greatest("_il", "_id", "_el", "_ed") >= min_sim) & (F.abs(score) >= min_margin)
+    return df.withColumn("polarity", F.when(ok & (score > 0), "LIKE").when(ok, "DISLIKE").otherwise("UNKNOWN")).drop("_il", "_id", "_el", "_ed")
 
 
 def mention_polarity(cue: Column, elliptical: Column, sentiment: Column | None = None) -> Column:

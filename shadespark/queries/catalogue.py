@@ -253,9 +253,20 @@ def srt7_even_picks(spark, sf_dir):
     return relational.even_picks(n, [F.desc("n"), "cluster_id"], 3)
 
 
-@query(with_(SHADES, select="select shade_id, priority, case priority when 0 then replace(u, '_thumbnail.jpg', '_swatch.jpg') when 1 then replace(u, '_thumbnail.jpg', '_zoom.jpg') else u end as candidate_url from (select shade_id, 'https://media.example/published/B/BRAND/1/' || shade_id || '-media_thumbnail.jpg' as u from shades where cast(shade_id as bigint) % 13 = 0), (values (0), (1), (2)) v(priority)"))
+_RETRIED = ", ".join(f"'{m}.{e}{q}'" for m in ("media_zoom", "media_main", "media_hero", "media_swatch", "media_full", "media_detail", "media_thumbnail") for e in ("jpg", "jpeg", "webp", "avif", "png") for q in ("?scaleWidth=900&scaleHeight=900&scaleMode=fit", ""))
+
+
+@query(
+    with_(
+        SHADES,
+        "f as (select shade_id, case when cast(shade_id as bigint) % 26 = 0 then 'https://media.example/plain/' || shade_id || '.gif?x=1' else 'https://media.example/published/B/BRAND/1/' || shade_id || '-media_thumbnail.jpg?scaleWidth=53' end as chip_url from shades where cast(shade_id as bigint) % 13 = 0)",
+        f"c as (select shade_id, case when regexp_matches(chip_url, '-media_') then list_append(list_transform([{_RETRIED}], lambda x: string_split(chip_url, '-media_')[1] || '-' || x), chip_url) else [chip_url, string_split(chip_url, '?')[1]] end as urls from f)",
+        select="select shade_id, cast(generate_subscripts(urls, 1) - 1 as int) as priority, unnest(urls) as candidate_url from c",
+    )
+)
 def src9_retry(spark, sf_dir):
-    url = F.concat(F.lit("https://media.example/published/B/BRAND/1/"), "shade_id", F.lit("-media_thumbnail.jpg?scaleWidth=53"))
+    chip = F.concat(F.lit("https://media.example/published/B/BRAND/1/"), "shade_id", F.lit("-media_thumbnail.jpg?scaleWidth=53"))
+    url = F.when(F.col("shade_id").cast("long") % 26 == 0, F.concat(F.lit("https://media.example/plain/"), "shade_id", F.lit(".gif?x=1"))).otherwise(chip)
     log = fixtures.raw_items(spark, sf_dir).select("shade_id", url.alias("chip_url"), F.when(F.col("shade_id").cast("long") % 13 == 0, "error").otherwise("ok").alias("status"), F.lit(None).cast("string").alias("error"))
     return tables.retry_candidates(tables.route_fetch_log(log)[1])
 

@@ -190,12 +190,16 @@ _COS = "list_cosine_similarity(list_transform(a.embedding, lambda x: x::double),
 
 
 @query(f"""with i as (select embedding as e from embeddings order by vec_id limit 1), x as (select embedding as e from embeddings order by vec_id desc limit 1),
-s as (select vec_id, {_COS.format(b='i.e')} as inc, {_COS.format(b='x.e')} as exc from embeddings a, i, x)
-select vec_id, case when greatest(inc, exc) >= 0.3 and abs(inc - exc) >= 0.1 then case when inc > exc then 'LIKE' else 'DISLIKE' end else 'UNKNOWN' end as polarity from s""")
+n as (select a.vec_id, a.embedding as inc, b.embedding as exc from embeddings a join embeddings b on b.vec_id = case when a.vec_id % 2 = 0 then a.vec_id + 1 else a.vec_id - 1 end),
+s as (select vec_id, {_COS.format(b='i.e').replace('embedding', 'inc')} as il, {_COS.format(b='x.e').replace('embedding', 'inc')} as id, {_COS.format(b='i.e').replace('embedding', 'exc')} as el, {_COS.format(b='x.e').replace('embedding', 'exc')} as ed from n a, i, x),
+m as (select vec_id, greatest(il, id, el, ed) as best, (il - id) - (ed - el) as score from s)
+select vec_id, case when best < 0.3 or abs(score) < 0.1 then 'UNKNOWN' when score > 0 then 'LIKE' else 'DISLIKE' end as polarity from m""")
 def txt8_vector_polarity(spark, sf_dir):
-    e = fixtures.table(spark, sf_dir, "embeddings")
-    poles = e.agg(F.min_by("embedding", "vec_id").alias("include"), F.max_by("embedding", "vec_id").alias("exclude"))
-    return preference.vector_polarity(e.crossJoin(F.broadcast(poles)), "embedding", "include", "exclude").select("vec_id", "polarity")
+    """Each vector as the text that includes a mention, its neighbour as the one that excludes it."""
+    e = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("inc"))
+    other = e.select(F.when(F.col("vec_id") % 2 == 0, F.col("vec_id") + 1).otherwise(F.col("vec_id") - 1).alias("vec_id"), F.col("inc").alias("exc"))
+    poles = e.agg(F.min_by("inc", "vec_id").alias("like"), F.max_by("inc", "vec_id").alias("dislike"))
+    return preference.vector_polarity(e.join(other, "vec_id").crossJoin(F.broadcast(poles)), "inc", "exc", "like", "dislike").select("vec_id", "polarity")
 
 
 @query("""with c as (select l_orderkey as k, l_linenumber as n, (['strict', 'LEXICON', 'family', 'none'])[l_partkey % 4 + 1] as gate, l_quantity / 50 as conf, (l_discount * 2)::double as margin, l_suppkey % 2 = 0 as neg, l_partkey % 3 = 0 as cmp, (['too', 'more', null])[l_suppkey % 3 + 1] as deg, l_tax * 12 as inten from lineitem)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import udf
 from ..operators import aggregates, cells, constraints, pools, preference, relational, scoring
@@ -386,3 +388,39 @@ def mlp8_ranker(spark, sf_dir):
 def fun9_fuzzy(spark, sf_dir):
     part = fixtures.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("word"))
     return udf.fuzzy_matches(part, part.select(F.col("word").alias("key")), 80.0)
+
+
+@query(with_(SHADES, ANCHORS, PAIRS, select="select query_id, shade_id, round(L_lab, 6) as L_lab, round(de00, 5) as de00 from pairs where de00 <= 25"))
+def udf3_sql_functions(spark, sf_dir):
+    """The colour functions called in SQL."""
+    udf.register_sql(spark)
+    tables.stored(fixtures.shades(spark, sf_dir).select("shade_id", "chip_hex"), "chips").createOrReplaceTempView("chips")
+    fixtures.anchors(spark).createOrReplaceTempView("anchors")
+    return spark.sql("""
+      with s as (select shade_id, hex_to_lab(chip_hex) as c from chips where chip_hex is not null), a as (select query_id, hex_to_lab(anchor_hex) as c from anchors),
+      e as (select query_id, shade_id, s.c.L as l, delta_e00(s.c.L, s.c.a, s.c.b, a.c.L, a.c.a, a.c.b) as x from s cross join a),
+      d as (select query_id, shade_id, l, explode(array(x)) as de from e)  -- keeps the filter from copying the formula
+      select query_id, shade_id, round(l, 6) as L_lab, round(de, 5) as de00 from d where de <= 25""")
+
+
+@F.pandas_udf(StringType())
+def _first_cue(text: pd.Series) -> pd.Series:
+    """A backend for the test of backends: dislike after "not", like after "want"."""
+    return text.str.lower().map(lambda t: None if t is None else "dislike" if " not " in f" {t} " else "like" if "want" in t else "no idea")
+
+
+@query("with " + _WISH + " select text_id, case when contains(' ' || lower(text) || ' ', ' not ') then 'DISLIKE' when contains(lower(text), 'want') then 'LIKE' else 'UNKNOWN' end as polarity from w")
+def udf1_polarity(spark, sf_dir):
+    """A polarity backend by name."""
+    udf.register_polarity(spark, "first_cue", _first_cue)
+    return texts(spark, sf_dir).select("text_id", udf.polarity_by("first_cue", F.col("text")).alias("polarity"))
+
+
+@query(f"""with {_KEYS}, s as (select b.vec_id, 'axis' || (a.label % 3) as axis, max({_COS}) as sim from keys a, embeddings b where a.label % 5 < 3 group by all), r as (select vec_id, list({{'s': sim, 'a': axis}} order by sim desc, axis desc) as l from s group by vec_id)
+select vec_id, case when l[1].s >= 0.35 and l[1].s - coalesce(l[2].s, 0) >= 0.08 then l[1].a end as axis from r""")
+def udf1_axes(spark, sf_dir):
+    """An axis model by name."""
+    e = fixtures.table(spark, sf_dir, "embeddings")
+    model = fixtures.label_keys(e).where("label % 5 < 3").select(F.concat(F.lit("axis"), (F.col("label") % 3).cast("string")).alias("axis"), "key")
+    udf.register_axis_model(model, "three")
+    return udf.axes_by("three", e.select("vec_id", "embedding")).select("vec_id", "axis")

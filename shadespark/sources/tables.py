@@ -94,9 +94,15 @@ def route_fetch_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return all_rows, all_rows.where("status = 'error'")
 
 
+# Fixed kinds and endings of images, in the order in which they are tried.
+MEDIA = ("media_zoom", "media_main", "media_hero", "media_swatch", "media_full", "media_detail", "media_thumbnail")
+ENDINGS = ("jpg", "jpeg", "webp", "avif", "png")
+SCALE = "?scaleWidth=900&scaleHeight=900&scaleMode=fit"
+
+
 def retry_candidates(failed: DataFrame) -> DataFrame:
-    """Each failed key with candidate image URLs by priority: centre images without query first, then the given URL."""
+    """shade_id, priority (from 0), candidate_url: each kind of image with each ending, at a stated size and as it is, and the given URL last. A URL without a kind stands for itself, with and without its query."""
     bare = F.regexp_extract("chip_url", r"^[^?]*", 0)
-    base = F.regexp_extract(bare, r"^(.*)-media_[a-z]+\.jpg$", 1)
-    urls = F.when(base != "", F.array(F.concat(base, F.lit("-media_swatch.jpg")), F.concat(base, F.lit("-media_zoom.jpg")), bare)).otherwise(F.array(bare))
-    return failed.select("shade_id", F.posexplode(F.array_distinct(urls)).alias("priority", "candidate_url"))
+    base = F.regexp_extract(bare, r"^(.*)-media_[a-zA-Z0-9]+\.[a-zA-Z0-9]+$", 1)
+    urls = F.array(*(F.concat(base, F.lit(f"-{m}.{e}{q}")) for m in MEDIA for e in ENDINGS for q in (SCALE, "")), F.col("chip_url"))
+    return failed.select("shade_id", F.posexplode(F.when(base != "", urls).otherwise(F.array("chip_url", bare))).alias("priority", "candidate_url"))
