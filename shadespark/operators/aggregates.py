@@ -12,8 +12,10 @@ from ..functions import color, stats
 from ..sources.tables import stored
 
 
-#: Ranges that the values of a group are cut into for exact ranks and quantiles.
-BINS = 64
+#: Ranges that the values of a group are cut into for exact ranks and quantiles, and distinct values of a range that are ordered at most.
+BINS, ORDERED = 64, 200_000
+#: Rows of a group whose quantiles come from one plain aggregation.
+SMALL = 200_000
 
 
 def ranged(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -34,26 +36,45 @@ def offsets(binned: DataFrame, by: Sequence[str], what: Column) -> DataFrame:
 def exact_quantiles(long: DataFrame, by: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """by, n, q: exact quantiles of a group's values with linear interpolation; NULL values do not count.
 
-    Equal values are counted first; of the rest, only the ranges that hold a wanted rank are ordered.
+    Groups of at most SMALL rows are one aggregation. Of larger ones equal values are counted first; then ranges of values are
+    cut, and cut again where they hold a wanted rank, until those that do have at most ORDERED values to be put in order.
     """
     one = ["_all"] if not by else list(by)
-    rows = long.withColumn("_all", F.lit(1)) if not by else long
-    counts = stored(rows.where(F.col(value).isNotNull()).groupBy(*one, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "value-counts")
-    binned = ranged(counts, one, "_v")
-    at = offsets(binned, one, F.sum("_n"))
-    total = at.groupBy(*one).agg(F.sum("_in").alias("_total"))
+    rows = (long.withColumn("_all", F.lit(1)) if not by else long).where(F.col(value).isNotNull())
+    plain = lambda df: df.groupBy(*one).agg(F.count("*").alias("n"), F.percentile(value, F.array(*(F.lit(float(q)) for q in qs))).alias("q")).select(*by, "n", "q")
+    large = rows.groupBy(*one).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL).select(*one)
+    if large.isEmpty():
+        return plain(rows)
+    key = F.to_json(F.struct(*one), {"ignoreNullFields": "false"})  # of NULL keys too
+    large, rows = stored(large.withColumn("_key", key), "large-groups"), rows.withColumn("_key", key)
+    got = _ranged_quantiles(rows.join(large.select("_key"), "_key", "left_semi"), ["_key"], value, qs).join(large, "_key")
+    return plain(rows.join(large.select("_key"), "_key", "left_anti")).unionByName(got.select(*by, "n", "q"))
+
+
+def _ranged_quantiles(rows: DataFrame, one: list[str], value: str, qs: Sequence[float]) -> DataFrame:
+    counts = stored(rows.groupBy(*one, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_bin", F.lit("")).withColumn("_lead", F.lit(0).cast("long")), "value-counts")
+    total = counts.groupBy(*one).agg(F.sum("_n").alias("_total"))
     ranks = [F.col("_total") - 1 if q == 1 else (F.col("_total") - 1) * q for q in qs]
     wanted = [f(r) for r in ranks for f in (F.floor, F.ceil)]
-    hit = at.join(total, one)
     some = F.lit(False)
     for w in wanted:
         some = some | ((w >= F.col("_before")) & (w < F.col("_before") + F.col("_in")))
-    run = F.sum("_n").over(Window.partitionBy(*one, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    rows = binned.join(hit.where(some), [*one, "_bin"]).withColumn("_upto", run + F.col("_before"))
+    keys, most = [*one, "_bin"], None
+    while True:  # _bin is the path of a range, _lead what stands before it
+        cut = ranged(counts.withColumnRenamed("_bin", "_range"), [*one, "_range"], "_v")
+        at = offsets(cut, [*one, "_range", "_lead"], F.sum("_n")).withColumn("_before", F.col("_before") + F.col("_lead"))
+        hit = at.join(total, one).where(some).select(*one, "_range", "_bin", F.col("_before").alias("_start"))
+        counts = cut.join(hit, [*one, "_range", "_bin"]).select(*one, F.concat_ws("/", "_range", F.col("_bin").cast("string")).alias("_bin"), F.col("_start").alias("_lead"), "_v", "_n")
+        counts = stored(counts, "ranges")
+        before, most = most, counts.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"]
+        if most is None or most <= ORDERED or most == before:
+            break
+    run = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", run + F.col("_lead")).join(total, one)
     found = lambda w: F.max(F.when((w >= F.col("_upto") - F.col("_n")) & (w < F.col("_upto")), F.col("_v")))
-    got = rows.groupBy(*one).agg(F.first("_total").alias("_total"), *(found(w).alias(f"_w{k}") for k, w in enumerate(wanted)))
+    got = placed.groupBy(*one).agg(F.first("_total").alias("_total"), *(found(w).alias(f"_w{k}") for k, w in enumerate(wanted)))
     mixed = [F.col(f"_w{2 * k}") + (F.col(f"_w{2 * k + 1}") - F.col(f"_w{2 * k}")) * (r - F.floor(r)) for k, r in enumerate(ranks)]
-    return got.select(*by, F.col("_total").alias("n"), F.array(*mixed).alias("q"))
+    return got.select(*one, F.col("_total").alias("n"), F.array(*mixed).alias("q"))
 
 
 def _long(df: DataFrame, by: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -125,11 +125,29 @@ def build_calibration(shades: DataFrame, prototypes: DataFrame) -> tuple[DataFra
     return reference, dims
 
 
-def prototypes(shades: DataFrame, k: int = 8, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(prototypes, assignments) of k-means in Lab."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def prototypes(shades: DataFrame, starts: DataFrame, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(prototypes, assignments): clusters in Lab by Lloyd's rounds from stated starting points (cluster_id, L_lab, a_lab, b_lab).
 
-    rows = VectorAssembler(inputCols=["L_lab", "a_lab", "b_lab"], outputCol="v").transform(shades.drop("cluster_id"))
-    got = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster_id").fit(rows).transform(rows)
-    return got.groupBy("cluster_id").agg(*(F.avg(c).alias(c) for c in ("L_lab", "a_lab", "b_lab")), F.count("*").alias("n")), got.select("product_id", "shade_id", "cluster_id")
+    prototypes: cluster_id, L_lab, a_lab, b_lab, n; assignments: product_id, shade_id, cluster_id. A shade belongs to the nearest centre,
+    the smallest cluster_id on ties; a cluster without shades keeps its centre. Rounds end when no centre moves by 1e-9, or after
+    `rounds`. The rows of starts come to the driver; shades without a colour have no cluster.
+    """
+    lab = ("L_lab", "a_lab", "b_lab")
+    rows = shades.where(F.col("L_lab").isNotNull())
+    chips = stored(rows.groupBy(*lab).agg(F.count("*").alias("n")), "chips")
+    centres = {r["cluster_id"]: tuple(float(r[c]) for c in lab) for r in starts.collect()}
+
+    def nearest() -> Column:
+        away = (F.struct(F.round(sum((F.col(c) - x) * (F.col(c) - x) for c, x in zip(lab, centre)), 9).alias("d"), F.lit(k).alias("k")) for k, centre in sorted(centres.items()))
+        return F.array_min(F.array(*away))["k"]
+
+    counts = {}
+    for _ in range(rounds if centres else 0):
+        got = chips.withColumn("k", nearest()).groupBy("k").agg(F.sum("n").alias("n"), *((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in lab)).collect()
+        new = centres | {r["k"]: tuple(r[c] for c in lab) for r in got}
+        still = all(abs(x - y) <= 1e-9 for k in centres for x, y in zip(centres[k], new[k]))
+        centres, counts = new, {r["k"]: r["n"] for r in got}
+        if still:
+            break
+    table = shades.sparkSession.createDataFrame([(k, *c, counts.get(k, 0)) for k, c in sorted(centres.items())], "cluster_id int, L_lab double, a_lab double, b_lab double, n long")
+    return table, rows.select("product_id", "shade_id", nearest().alias("cluster_id")) if centres else rows.select("product_id", "shade_id", F.lit(None).cast("int").alias("cluster_id"))

@@ -63,9 +63,14 @@ def linear_ranker(train: DataFrame, features: Sequence[str] = FEATURES, multinom
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), lr]).fit(rows)
 
 
-def boosted_ranker(train: DataFrame, features: Sequence[str] = FEATURES, iterations: int = 60) -> PipelineModel:
-    gbt = GBTClassifier(featuresCol="raw", stepSize=0.06, maxDepth=5, minInstancesPerNode=25, maxIter=iterations, seed=7)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), gbt]).fit(balanced(train))
+def boosted_ranker(train: DataFrame, valid: DataFrame | None = None, features: Sequence[str] = FEATURES, iterations: int = 400) -> PipelineModel:
+    """Boosted trees on balanced rows; with valid rows, boosting ends once their loss no longer falls."""
+    rows, stop = train, {}
+    if valid is not None:
+        rows = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
+        stop = {"validationIndicatorCol": "_valid", "validationTol": 0.001}
+    gbt = GBTClassifier(featuresCol="raw", stepSize=0.06, maxDepth=5, minInstancesPerNode=25, maxIter=iterations, seed=7, weightCol="weight", **stop)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), gbt]).fit(balanced(rows))
 
 
 def write_predictions(model: PipelineModel, rows: DataFrame, path: str) -> None:

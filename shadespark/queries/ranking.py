@@ -384,6 +384,38 @@ def mlp8_ranker(spark, sf_dir):
     return aggregates.auc_ap(learning.predictions(model, rows.where("split = 'test'")), "label", "p").select(F.round("auc", 3).alias("auc"), F.round("ap", 3).alias("ap"))
 
 
+@query()
+def mlp9_ranker(spark, sf_dir):
+    """Boosted trees on the rows of mlp8_ranker, stopped by the valid rows; how they do on the test rows, and how many trees they are."""
+    df = tables.stored(fixtures.shades(spark, sf_dir).where("r is not null"), "ranker")
+    labels = relational.top_fractions(df, "cluster_id", "C_lab", "shade_id")
+    rows = tables.stored(learning.stratified_split(labels, ["product_id", "shade_id"]), "split")
+    model = learning.boosted_ranker(rows.where("split = 'train'"), rows.where("split = 'valid'"))
+    got = aggregates.auc_ap(learning.predictions(model, rows.where("split = 'test'")), "label", "p")
+    return got.select(F.round("auc", 3).alias("auc"), F.round("ap", 3).alias("ap"), F.lit(model.stages[-1].getNumTrees).alias("trees"))
+
+
+def _lloyd_sql(rounds: int) -> tuple[str, ...]:
+    """SQL of the rounds of the prototypes, from the fixed naming colours."""
+    start = ", ".join(f"({k}, {L!r}::double, {a!r}::double, {b!r}::double)" for k, (_, L, a, b) in enumerate(fixtures.NAMES))
+    parts = ["lc as materialized (select L_lab, a_lab, b_lab, count(*) as n from shades where r is not null group by all)", f"c0 as materialized (select * from (values {start}) v(k, l, a, b))"]
+    near = "arg_min(k, {'d': round(power(L_lab - l, 2) + power(a_lab - a, 2) + power(b_lab - b, 2), 9), 'k': k})"
+    for i in range(rounds):
+        parts += [
+            f"m{i} as materialized (select L_lab, a_lab, b_lab, any_value(lc.n) as n, {near} as k from lc, c{i} group by L_lab, a_lab, b_lab)",
+            f"c{i + 1} as materialized (select c.k, coalesce(g.l, c.l) as l, coalesce(g.a, c.a) as a, coalesce(g.b, c.b) as b, coalesce(g.n, 0) as n from c{i} c left join (select k, sum(L_lab*n)/sum(n) as l, sum(a_lab*n)/sum(n) as a, sum(b_lab*n)/sum(n) as b, sum(n) as n from m{i} group by k) g using (k))",
+        ]
+    return tuple(parts)
+
+
+@query(with_(SHADES, *_lloyd_sql(20), select="select cast(k as int) as cluster_id, round(l, 5) as L_lab, round(a, 5) as a_lab, round(b, 5) as b_lab, cast(n as bigint) as n from c20"))
+def ast11_prototypes(spark, sf_dir):
+    """Twenty rounds at most from the naming colours."""
+    starts = spark.createDataFrame([(k, *n[1:]) for k, n in enumerate(fixtures.NAMES)], "cluster_id int, L_lab double, a_lab double, b_lab double")
+    got, _ = assets.prototypes(tables.stored(fixtures.shades(spark, sf_dir), "shades"), starts)
+    return got.select("cluster_id", *rounded("L_lab", "a_lab", "b_lab", digits=5), "n")
+
+
 @query()
 def fun9_fuzzy(spark, sf_dir):
     part = fixtures.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("word"))

@@ -96,17 +96,22 @@ def test_colour_words_resolve_by_stages(spark):
     assert made == {"redd": "reddish"}
 
 
-def test_exact_quantiles_and_weak_labels_equal_plain_ones(spark):
+@pytest.mark.parametrize("ordered", [None, 10, 200_000])
+def test_exact_quantiles_and_weak_labels_equal_plain_ones(spark, monkeypatch, ordered):
+    """In one aggregation; over ranges that are cut again down to ten values; over ranges that are cut once."""
+    if ordered:
+        monkeypatch.setattr(aggregates, "SMALL", 1)
+        monkeypatch.setattr(aggregates, "ORDERED", ordered)
     rng = np.random.default_rng(1)
     kinds = {"a": np.array([3.0]), "b": np.array([2.0, -1.0]), "c": np.round(rng.normal(size=777), 1), "d": np.append(rng.normal(size=2000), np.full(1000, 0.5))}
-    rows = [(g, float(v)) for g, x in kinds.items() for v in x] + [("c", None), ("e", None)]
+    rows = [(g, float(v)) for g, x in kinds.items() for v in x] + [("c", None), ("e", None)] + [(None, float(k)) for k in range(5)]
     df = spark.createDataFrame(rows, "g string, v double")
     qs = (0, 0.05, 0.1, 0.5, 0.9, 0.999, 1)
     got = {r["g"]: (r["n"], r["q"]) for r in aggregates.exact_quantiles(df, ["g"], "v", qs).collect()}
     for g in "abcd":
         v = [x for k, x in rows if k == g and x is not None]
         assert got[g][0] == len(v) and np.allclose(got[g][1], np.quantile(v, qs))
-    assert set(got) == set("abcd")
+    assert set(got) == {*"abcd", None} and got[None][1][3] == 2.0
     items = [(i % 3, round(float(rng.normal()), 1), f"k{i:04}") for i in range(900)] + [(7, 1.0, "x")]
     labels = {r["k"]: r["label"] for r in relational.top_fractions(spark.createDataFrame(items, "g int, v double, k string"), "g", "v", "k").collect()}
     for g in range(3):
@@ -270,8 +275,13 @@ def test_boosted_ranker_prototypes_and_ordered_predictions(spark, tmp_path):
     p = [float(r["p"]) for r in spark.read.option("header", True).csv(str(tmp_path / "p")).collect()]
     assert len(p) == rows.count() and p == sorted(p, reverse=True)
     assert aggregates.auc_ap(learning.predictions(model, rows), "label", "p").first()["auc"] > 0.8
-    protos, assigned = assets.prototypes(df, k=4)
+    starts = spark.createDataFrame([(0, 50.0, 40.0, 20.0), (1, 55.0, 12.0, 12.0), (2, -500.0, 0.0, 0.0), (3, 50.0, 40.0, 20.0)], "cluster_id int, L_lab double, a_lab double, b_lab double")
+    protos, assigned = assets.prototypes(df, starts)
     assert protos.count() == 4 and assigned.count() == df.count() and protos.agg(F.sum("n")).first()[0] == df.count()
+    found = {r["cluster_id"]: r for r in protos.collect()}
+    assert found[2]["n"] == found[3]["n"] == 0 and found[2]["L_lab"] == -500 and found[3]["L_lab"] == 50  # empty clusters keep their centre, ties go to the smaller
+    means = assigned.join(df, ["product_id", "shade_id"]).groupBy(assigned.cluster_id).agg(F.avg("L_lab").alias("L")).collect()
+    assert all(r["L"] == pytest.approx(found[r["cluster_id"]]["L_lab"]) for r in means) and assets.prototypes(df, starts.limit(0))[0].count() == 0
     with pytest.raises(ValueError):
         udf.fuzzy_matches(rows.select(F.col("shade_id").alias("word")), rows.select(F.col("shade_id").alias("key")), 0.0)
 
