@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import constraints as con
@@ -37,20 +37,39 @@ def recommend(shades: DataFrame, queries: DataFrame, constraints: DataFrame, cal
 
 def _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c) -> tuple[DataFrame, DataFrame]:
     """(recommendations, pool traces by query_id)."""
-    catalogue = stored(pools.spread(relational.with_colour(relational.eligible(shades))), "catalogue")
     wishes, of = distinct_wishes(queries, constraints)
-    anchors = stored(wishes.groupBy(*ANCHOR, "constrained").agg(F.min("wish_id").alias("query_id")), "anchors")
+    wishes = wishes.withColumn("pool_id", pool_id())
+    plan, pool = anchor_pools(searched(shades), wishes, pool_top)
+    trace = of.withColumnRenamed("query_id", "asked").join(wishes.select("wish_id", F.col("pool_id").alias("query_id")), "wish_id").drop("wish_id").join(plan, "query_id").drop("query_id").withColumnRenamed("asked", "query_id")
+    return answers(pool, wishes, of, constraints, calibration, k, lambda_c), trace
+
+
+def searched(shades: DataFrame) -> DataFrame:
+    """The eligible shades with a colour, stored and spread over all tasks."""
+    return stored(pools.spread(relational.with_colour(relational.eligible(shades))), "catalogue")
+
+
+def pool_id() -> Column:
+    """The name of a pool: a digest of what it hangs on, the anchor and whether there are constraints."""
+    return F.sha2(F.to_json(F.struct(*ANCHOR, "constrained"), {"ignoreNullFields": "false"}), 256)
+
+
+def anchor_pools(catalogue: DataFrame, wishes: DataFrame, pool_top: int = 1200) -> tuple[DataFrame, DataFrame]:
+    """(plan, pool) of the distinct pools that wishes (anchor_*, constrained, pool_id) need, both by query_id: the pool_id."""
+    anchors = stored(wishes.select(F.col("pool_id").alias("query_id"), *ANCHOR, "constrained").dropDuplicates(["query_id"]), "anchors")
     plan = stored(pools.pool_plan(catalogue, anchors, pool_top), "pool-plan")
-    pool = stored(pools.candidate_pool(catalogue, anchors, plan, pool_top), "pool")
-    same = [F.col(f"w.{x}").eqNullSafe(F.col(f"a.{x}")) for x in (*ANCHOR, "constrained")]
-    pool_of = wishes.alias("w").join(anchors.alias("a"), same).select(F.col("w.wish_id").alias("wish_id"), F.col("a.query_id").alias("query_id"))
-    each = pool.join(pool_of, "query_id").drop("query_id").withColumnRenamed("wish_id", "query_id")
+    return plan, stored(pools.candidate_pool(catalogue, anchors, plan, pool_top), "pool")
+
+
+def answers(pool: DataFrame, wishes: DataFrame, of: DataFrame, constraints: DataFrame, calibration: DataFrame, k: int = 20, lambda_c: float = 2.0) -> DataFrame:
+    """The k best shades of every query in of (query_id, wish_id), from stored pools by pool_id; each wish is scored once."""
+    wanted = wishes.select(F.col("pool_id").alias("query_id"), "wish_id")
+    each = pool.join(wanted, "query_id").drop("query_id").withColumnRenamed("wish_id", "query_id")
     cons = constraints.join(wishes.select(F.col("wish_id").alias("query_id")), "query_id", "left_semi")
     numeric = not cons.where("cutpoint is not null").isEmpty()
     scored = scoring.blend(scoring.score(each, cons, calibration, lambda_c=lambda_c, snap=numeric).drop("rank"))
     best = stored(scoring.rank_scores(scored, "score_total").where(F.col("rank") <= k), "best").withColumnRenamed("query_id", "wish_id")
-    trace = of.withColumnRenamed("query_id", "asked").join(pool_of, "wish_id").drop("wish_id").join(plan, "query_id").drop("query_id").withColumnRenamed("asked", "query_id")
-    return of.join(best, "wish_id").drop("wish_id"), trace
+    return of.join(best, "wish_id").drop("wish_id")
 
 
 def explain(shades: DataFrame, queries: DataFrame, constraints: DataFrame, calibration: DataFrame, k: int = 20, pool_top: int = 1200, lambda_c: float = 2.0) -> DataFrame:

@@ -226,20 +226,6 @@ def str1_enrich(spark, sf_dir):
     return spark.read.parquet(sink).select("shade_id", "chip_hex", F.round("L_lab", 6).alias("L_lab"))
 
 
-@query("select c_custkey as text_id, (['red', 'pink', 'brown'])[c_nationkey % 3 + 1] as label, p_partkey as shade_id from customer, (select p_partkey, p_size, row_number() over (partition by p_partkey % 3 order by p_size desc, p_partkey) as k from part) t where p_partkey % 3 = c_nationkey % 3 and k <= 2")
-def str2_recommend(spark, sf_dir):
-    """Queries that arrive as Parquet files meet the static catalogue's best by batch."""
-    source, sink = tables.scratch(spark, "asked"), tables.scratch(spark, "answered")
-    c = fixtures.table(spark, sf_dir, "customer")
-    c.select(F.col("c_custkey").alias("text_id"), (F.col("c_nationkey") % 3).cast("int").alias("kind")).write.parquet(source)
-    part = fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("shade_id"), (F.col("p_partkey") % 3).cast("int").alias("kind"), "p_size")
-    best = tables.stored(relational.top_per(part, ["kind"], [F.desc("p_size"), "shade_id"], 2).select("kind", "shade_id"), "best")
-    queries = spark.readStream.schema("text_id long, kind int").parquet(source)
-    jobs.recommend_stream(queries, lambda df: df.join(best, "kind"), sink, tables.scratch(spark, "offsets")).awaitTermination()
-    label = F.element_at(F.array(*map(F.lit, ("red", "pink", "brown"))), F.col("kind") + 1)
-    return spark.read.parquet(sink).select("text_id", label.alias("label"), "shade_id")
-
-
 @query("""with k as (select p_partkey as shade_id, '  ' || upper(p_name) || '_(' || p_brand || ') / ' || p_type || '-' || p_size as raw, 'https://shop.example/a/' || p_partkey || '?q=1#top' as url, case when p_partkey % 3 = 0 then ' ' else p_name end as one from part)
 select shade_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(raw), '[_/\\\\-]+', ' ', 'g'), '[^a-z0-9\\s]+', '', 'g'), '\\s+', ' ', 'g')) as key, 'https://shop.example/a/' || shade_id as bare, 'https://shop.example/a/' || shade_id || '?size=2' as resized,
   nullif(trim(regexp_replace(raw, '\\s+', ' ', 'g')), '') as squeezed, case when shade_id % 3 = 0 then 'none' else one end as first from k""")

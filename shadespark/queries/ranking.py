@@ -10,6 +10,7 @@ from ..functions import udf
 from ..operators import aggregates, cells, constraints, pools, preference, relational, scoring
 from ..plans import assets, learning, recommend
 from ..sources import calibration, fixtures, tables
+from ..streaming import jobs
 from ..sources.calibration import DELTA_E_REF, LABEL_DISTRIBUTIONS, LEVELS, RELATIVE, SCALE_IQR, THRESHOLDS
 from .base import ANCHORS, PAIRS, PROBS, SHADES, query, rounded, with_
 from .catalogue import BAD
@@ -261,6 +262,16 @@ def sco14_recommend(spark, sf_dir):
     return got.select("query_id", "rank", "product_id", "shade_id", F.round("score_total", 6).alias("score_total"), "pool_method")
 
 
+@query(with_(*_WISHED, select="select qs.text_id as query_id, rank, product_id, shade_id, round(total, 6) as score_total, method as pool_method from d3 join qs on qs.name = d3.query_id and qs.dim is not distinct from d3.dim where rank <= 20"))
+def str2_recommend(spark, sf_dir):
+    """The texts of sco14_recommend arrive in three files, one to a micro-batch."""
+    source, sink = tables.scratch(spark, "asked"), tables.scratch(spark, "answered")
+    texts(spark, sf_dir).withColumn("part", F.col("text_id") % 3).repartition(3, "part").drop("part").write.parquet(source)
+    job = jobs.Recommender(fixtures.shades(spark, sf_dir), fixtures.anchors(spark), calibration.calibration(spark), tables.scratch(spark, "pools"), sink)
+    job.start(spark.readStream.schema("text_id long, text string").option("maxFilesPerTrigger", 1).parquet(source), tables.scratch(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(sink).select("query_id", "rank", "product_id", "shade_id", F.round("score_total", 6).alias("score_total"), "pool_method")
+
+
 @query(with_(*_WISHED, select="""select qs.text_id as query_id, rank, product_id, shade_id, 'Hue Δ' || cast(round(abs((((hue_hsv_deg - anchor_hue + 180) % 360 + 360) % 360) - 180)) as int) || '° | ΔE ' || printf('%.2f', round(den, 2)) || case when d3.dim is not null and coalesce(greatest(0, v - t)/scale, 0) <= 0.05 then ' | Good constraint fit' else '' end as reasons
   from d3 join qs on qs.name = d3.query_id and qs.dim is not distinct from d3.dim where rank <= 20"""))
 def fun23_reasons(spark, sf_dir):

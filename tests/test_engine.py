@@ -286,6 +286,23 @@ def test_boosted_ranker_prototypes_and_ordered_predictions(spark, tmp_path):
         udf.fuzzy_matches(rows.select(F.col("shade_id").alias("word")), rows.select(F.col("shade_id").alias("key")), 0.0)
 
 
+def test_stream_keeps_pools_and_repeats_batches(spark, tmp_path):
+    """A batch adds the pools of new anchors alone; a repeated one changes neither pools nor answers; texts without a colour have no answer."""
+    state, sink = str(tmp_path / "pools"), str(tmp_path / "answers")
+    job = jobs.Recommender(fixtures.shades(spark, SMALL), fixtures.anchors(spark), calibration.calibration(spark), state, sink, k=3)
+    texts = lambda *rows: spark.createDataFrame(rows, "text_id long, text string")
+    batches = [texts((1, "I want a red lipstick"), (2, "I want a pink lipstick")), texts((3, "a red one"), (4, "nothing")), texts((5, "I want coral but not too bright"))]
+    for n, b in enumerate(batches):
+        job.batch(b, n)
+    made = lambda: {d.name: len(spark.read.parquet(str(d)).select("query_id").distinct().collect()) for d in (tmp_path / "pools").iterdir()}
+    rows = lambda: sorted(map(str, spark.read.parquet(sink).collect()))
+    first, had = rows(), made()
+    assert had == {"batch=0": 2, "batch=2": 1} and {r["query_id"] for r in spark.read.parquet(sink).select("query_id").collect()} == {1, 2, 3, 5}
+    for n in (0, 1):
+        job.batch(batches[n], n)
+    assert rows() == first and made() == had
+
+
 def test_split_is_exact_and_stable(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2).cast("int").alias("label"))
     a = learning.stratified_split(df, ["k"])
