@@ -14,6 +14,8 @@ STEPS = (0.0, 2.0, 4.0, 8.0, 12.0)
 CAP, POOL_MAX, COVERAGE_MIN = 30.0, 2000, 20
 #: Queries that a task compares its shades with at most. More are cut into groups, which the shades meet by a shuffled join.
 GROUP_QUERIES, SALTS = 10_000, 64
+#: Pairs of shades and anchors up to which all are compared: a few seconds of one core, less than it takes to bound cells.
+ALL_PAIRS = 20_000_000
 
 
 def spread(shades: DataFrame) -> DataFrame:
@@ -38,11 +40,18 @@ def distances(shades: DataFrame, queries: DataFrame) -> DataFrame:
     return color.with_delta_e00(pairs, ("L_lab", "a_lab", "b_lab"), ("anchor_L", "anchor_a", "anchor_b"), "de00")
 
 
+def _few(shades: DataFrame, queries: DataFrame) -> bool:
+    return shades.count() * queries.count() <= ALL_PAIRS
+
+
 def within_reach(shades: DataFrame, queries: DataFrame, limit: Column | None = None, k: int = 1) -> DataFrame:
-    """As distances, without pairs of cells that are too far away: all pairs within limit (CAP) and the k nearest shades of each query are there."""
-    boxes = cells.boxes(shades)
+    """As distances, without pairs of cells that are too far away: all pairs within limit (CAP) and the k nearest shades of each query are there. Of up to ALL_PAIRS pairs all are."""
+    if _few(shades, queries):
+        return distances(shades, queries)
+    boxes, least = cells.boxes(shades), F.lit(CAP) if limit is None else limit
+    if not k:
+        return cells.near_distances(shades, queries, least, boxes)
     far = queries.join(cells.reach(boxes, queries, k), "query_id")
-    least = F.lit(CAP) if limit is None else limit
     return cells.near_distances(shades, far, F.greatest(least, F.col("_reach")), boxes).drop("_reach")
 
 
@@ -198,7 +207,7 @@ def candidate_pool(shades: DataFrame, queries: DataFrame, plan: DataFrame, top:
     """The pools that plan (of pool_plan, stored) names, nearest shades first: columns of shades and queries, de00, pool_method."""
     top = min(top, POOL_MAX)
     chosen = queries.join(plan.select("query_id", "family", "source", "thr", "n_nearest", "pool_method"), "query_id")
-    marked = _marks(cells.near_distances(shades, chosen, F.col("thr")))
+    marked = _marks(distances(shades, chosen) if _few(shades, queries) else cells.near_distances(shades, chosen, F.col("thr")))
     inside = F.when(F.col("source") == "hard", F.col("_guard")).when(F.col("source") == "band", F.col("_band")).when(F.col("source") == "wide", F.col("_wide")).otherwise(True)
     some = marked.where((~F.col("family") | F.col("_near")) & inside & (F.col("thr").isNull() | (F.col("de00") <= F.col("thr"))))
     some = some.drop("_near", "_band", "_wide", "_guard", "family", "source")

@@ -143,7 +143,7 @@ _GUARD = "(anchor_C >= 18 or (L_lab < 98.5 and sqrt(a_lab*a_lab+b_lab*b_lab) > 3
 
 @query(with_(SHADES, ANCHORS, _ELIGIBLE, select=f"select query_id, shade_id, round(de00, 5) as de00 from pairs where de00 <= base and {_GUARD}"))
 def pol1_hard_pool(spark, sf_dir):
-    return pools.hard_pool(_within(spark, sf_dir, pools.base_threshold())).select("query_id", "shade_id", F.round("de00", 5).alias("de00"))
+    return pools.hard_pool(_within(spark, sf_dir, pools.base_threshold(), k=0)).select("query_id", "shade_id", F.round("de00", 5).alias("de00"))
 
 
 @query(with_(SHADES, ANCHORS, _ELIGIBLE, select="select query_id, round(min(de00), 5) as min_de, count(*) filter (de00 <= base) as n_within, count(*) filter (de00 <= 18) as n_18, count(*) filter (de00 <= 20) as n_20, count(*) filter (de00 <= 22) as n_22, count(*) filter (de00 <= 26) as n_26, count(*) filter (de00 <= 30) as n_30 from pairs group by query_id"))

@@ -208,6 +208,24 @@ def test_cells_lose_no_pair_and_compare_few(spark):
     assert got == pytest.approx(nearest)
 
 
+def test_pools_over_cells_equal_pools_over_all_pairs(spark, monkeypatch):
+    """The ladder's choice and its rows, constrained or not, with an anchor that no shade is near."""
+    shades = tables.stored(fixtures.shades(spark, SMALL).where("r is not null"), "t")
+    far = fixtures.anchors(spark).where("query_id = 'blue'").withColumns({"query_id": F.lit("far"), "anchor_L": F.lit(0.0), "anchor_a": F.lit(-100.0), "anchor_b": F.lit(100.0)})
+    asked = fixtures.anchors(spark).unionByName(far).crossJoin(spark.createDataFrame([(True,), (False,)], "constrained boolean"))
+    asked = tables.stored(asked.withColumn("query_id", F.concat_ws(" ", "query_id", F.col("constrained").cast("string"))), "asked")
+
+    def both():
+        plan = tables.stored(pools.pool_plan(shades, asked, 100), "plan")
+        rows = pools.candidate_pool(shades, asked, plan, 100).select("query_id", "product_id", "shade_id", F.round("de00", 9)).collect()
+        near = pools.adaptive_pool(pools.within_reach(shades, asked, k=30), 30).select("query_id", "shade_id").collect()
+        return sorted(map(str, plan.withColumn("min_de", F.round("min_de", 9)).collect())), sorted(rows), sorted(near), pools.hard_pool(pools.within_reach(shades, asked, pools.base_threshold(), k=0)).count()
+
+    every = both()
+    monkeypatch.setattr(pools, "ALL_PAIRS", 0)
+    assert both() == every
+
+
 def test_bound_of_random_boxes(spark):
     """Boxes of random points and anchors, some on the grey axis: the bound is below every distance."""
     rng = random.Random(4)
