@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats, text
-from ..sources.tables import stored
+from ..sources.tables import grown, stored
 from .relational import ranked
 
 # Fixed cue lists of the lexical polarity.
@@ -81,14 +81,15 @@ def plain_not(x: Column) -> Column:
 def mentions(texts: DataFrame, aliases: DataFrame, longest: int = 4, by: tuple[str, ...] = ("text_id",)) -> DataFrame:
     """by, start, len, alias, name: the longest aliases of each text from left to right, without overlap.
 
-    aliases (alias, name) meets word n-grams by an equi-join; the greedy choice folds over a text's
-    candidates in order, keeping the next free word.
+    aliases (alias, name), a lexicon of bounded size, is broadcast to the word n-grams, so that those that name nothing go
+    no further; the greedy choice folds over a text's candidates in order, keeping the next free word. Columns in by that
+    hang on others come along without a join.
     """
     words = texts.select(*by, text.tokens(F.col("text")).alias("w"))
     grams = words.select(*by, "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("len")).where(F.size("w") >= F.col("len"))
     grams = grams.select(*by, "len", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("start"))
     grams = grams.select(*by, "len", "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ").alias("alias"))
-    hits = grams.join(aliases, "alias").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("len")).alias("neg"), "alias", "name"))).alias("c"))
+    hits = grams.join(F.broadcast(aliases), "alias").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("len")).alias("neg"), "alias", "name"))).alias("c"))
     form = "struct<next:int,out:array<struct<start:int,len:int,alias:string,name:string>>>"
     state = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<start:int,len:int,alias:string,name:string>>").alias("out")).cast(form)
 
@@ -351,11 +352,12 @@ def interpreted(texts: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFr
     """
     parts = stored(clauses(texts.select("text_id", plain_not(F.col("text")).alias("text"))).withColumn("cue", polarity(F.col("clause"))), "clauses")
     key = ("text_id", "clause_id")
-    found = mentions(parts.select(*key, F.col("clause").alias("text")), aliases, by=key).join(parts.select(*key, "cue", "elliptical"), list(key))
+    found = mentions(parts.select(*key, "cue", "elliptical", F.col("clause").alias("text")), aliases, by=(*key, "cue", "elliptical"))
     found = stored(found.withColumn("polarity", mention_polarity(F.col("cue"), F.col("elliptical"))), "mentions")
     told = parts.select(*key, F.lit("UNKNOWN").alias("polarity"), "cue", "elliptical").unionByName(found.select(*key, "polarity", "cue", "elliptical"))
-    parts = parts.join(clause_polarity(told), list(key))
-    cons = merge_constraints(extract_constraints(parts.select(*key, F.col("clause").alias("text")), key)).join(parts.select(*key, "polarity"), list(key))
+    parts = parts.join(grown(clause_polarity(told)), list(key))
+    held = (*key, "polarity")
+    cons = merge_constraints(extract_constraints(parts.select(*held, F.col("clause").alias("text")), held), (*held, "axis", "direction"))
     return parts, found.drop("cue", "elliptical"), resolve_conflicts(normalise_constraints(cons))
 
 
@@ -372,7 +374,7 @@ def interpret(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     )
     out = texts.select("text_id")
     for df in rows:
-        out = out.join(df, "text_id", "left")
+        out = out.join(grown(df), "text_id", "left")
     return out
 
 
@@ -407,7 +409,7 @@ def resolve_targets(mentioned: DataFrame, constraints: DataFrame) -> tuple[DataF
     of = ("start", "stop", "name", "kind")
     bucket = F.when(F.col("_g") == 0, "liked").otherwise("disliked")
     m = mentioned.withColumn("_g", _group())
-    scoped = constraints.join(_safe_targets(mentioned), ["text_id", "clause_id"], "left")
+    scoped = constraints.join(grown(_safe_targets(mentioned)), ["text_id", "clause_id"], "left")
     told = m.where("_g <> 1").select("text_id", bucket.alias("bucket"), *of, F.lit(0).cast("long").alias("n"))
     held = scoped.where("_t is not null").select("text_id", "_t.*", F.lit(1).cast("long").alias("n"))
     targets = told.unionByName(held).groupBy("text_id", "bucket", *of).agg(F.sum("n").alias("n_constraints"))
@@ -420,7 +422,7 @@ def project_axes(mentioned: DataFrame, constraints: DataFrame) -> DataFrame:
     The polarity is that of the constraint's clause (polarity); where that is unknown, of its target's bucket,
     and LIKE for global ones. Constraints: text_id, clause_id, axis, direction, strength, polarity.
     """
-    safe = _safe_targets(mentioned)
+    safe = grown(_safe_targets(mentioned))
     j = constraints.join(safe, ["text_id", "clause_id"], "left")
     bucket = F.when(F.col("_t.bucket") == "disliked", "DISLIKE").otherwise("LIKE")
     known = F.when(F.col("polarity").isin("LIKE", "DISLIKE", "NEUTRAL"), F.col("polarity")).otherwise(bucket)

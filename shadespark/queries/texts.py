@@ -217,7 +217,7 @@ def txt24_elliptical(spark, sf_dir):
 @query(with_(*_READ[:4], select="""select text_id, coalesce(string_agg(name, ' ' order by clause_id, start) filter (polarity = 'LIKE'), '') as likes, coalesce(string_agg(name, ' ' order by clause_id, start) filter (polarity = 'DISLIKE'), '') as dislikes
   from me where polarity <> 'UNKNOWN' group by text_id"""))
 def txt25_taste(spark, sf_dir):
-    found = _interpreted(spark, sf_dir)[1].join(fixtures.anchors(spark).select(F.col("query_id").alias("name"), F.col("anchor_hue").alias("hue_deg")), "name")
+    found = _interpreted(spark, sf_dir)[1].join(F.broadcast(fixtures.anchors(spark).select(F.col("query_id").alias("name"), F.col("anchor_hue").alias("hue_deg"))), "name")
     names = lambda c: F.array_join(F.transform(c, lambda x: x["family"]), " ").alias(c)
     return preference.taste(found).select("text_id", names("likes"), names("dislikes"))
 
