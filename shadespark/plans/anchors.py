@@ -84,7 +84,7 @@ def mention_anchors(mentions: DataFrame, candidates: DataFrame, within: float =
     """text_id, n_colours, plain, token, anchor_hex, anchor_L, anchor_a, anchor_b of mentions (text_id, start, name, kind, polarity, confidence).
 
     Colours that are liked, neutral or unknown count. candidates (name, score, hex) resolve a name: of those
-    near the best score, the most vivid. The most confident mention that resolves is the anchor, the first
+    near the best score, the most vivid; they are a lexicon, and what it resolves to is broadcast. The most confident mention that resolves is the anchor, the first
     of equals; the token is the first mention's name. Texts without such a mention have no row.
     """
     near = _with_lab(candidates.where("hex is not null"))
@@ -92,7 +92,7 @@ def mention_anchors(mentions: DataFrame, candidates: DataFrame, within: float =
     near = near.join(best, "name").where(F.col("score").isNull() | F.col("_best").isNull() | (_r("score", 9) >= _r(F.col("_best") - within, 9)))
     lab = F.struct("hex", "L_lab", "a_lab", "b_lab")
     resolved = near.groupBy("name").agg(F.max_by(lab, F.struct(_r("C_lab"), _r(-F.coalesce("score", F.lit(-1e9)), 9), F.col("hex"))).alias("_a"))
-    held = mentions.where((F.col("kind") == "color") & F.coalesce("polarity", F.lit("UNKNOWN")).isin("LIKE", "NEUTRAL", "UNKNOWN")).join(resolved, "name", "left")
+    held = mentions.where((F.col("kind") == "color") & F.coalesce("polarity", F.lit("UNKNOWN")).isin("LIKE", "NEUTRAL", "UNKNOWN")).join(F.broadcast(resolved), "name", "left")
     sure = F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("start"), F.col("name"))
     g = held.groupBy("text_id").agg(F.count("*").alias("n_colours"), F.min_by("name", F.struct("start", "name")).alias("token"), F.max_by("_a", F.when(F.col("_a").isNotNull(), sure)).alias("_a"))
     return g.select("text_id", "n_colours", (F.col("n_colours") == 1).alias("plain"), "token", F.col("_a.hex").alias("anchor_hex"), *(F.col(f"_a.{c}_lab").alias(f"anchor_{c}") for c in "Lab"))

@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 
 from ..operators import constraints as con
 from ..operators import pools, preference, relational, scoring
-from ..sources.tables import stored
+from ..sources.tables import grown, stored
 
 
 ANCHOR = ("anchor_L", "anchor_a", "anchor_b", "anchor_C", "anchor_hue")
 
 
+def _met(wishes: DataFrame) -> DataFrame:
+    """Rows of distinct wishes as the smaller side of a join: broadcast while they are few, so that popular wishes are not one task, else sorted."""
+    return F.broadcast(wishes) if wishes.count() <= pools.GROUP_QUERIES else grown(wishes)
+
+
 def distinct_wishes(queries: DataFrame, constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(wishes, of): equal anchors with equal constraints are one wish, named by its smallest query_id; of: query_id, wish_id of every query."""
     c = constraints.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ord", "dim", "op", "level", "cutpoint", "weight")))).alias("_cons"))
-    keyed = queries.select("query_id", *ANCHOR).join(c, "query_id", "left").withColumn("_cons", F.coalesce("_cons", F.lit("")))
+    keyed = queries.select("query_id", *ANCHOR).join(grown(c), "query_id", "left").withColumn("_cons", F.coalesce("_cons", F.lit("")))
     keys = [*ANCHOR, "_cons"]
     wishes = stored(keyed.groupBy(*keys).agg(F.min("query_id").alias("wish_id")), "wishes")
     same = [F.col(f"k.{x}").eqNullSafe(F.col(f"w.{x}")) for x in keys]
-    of = keyed.alias("k").join(wishes.alias("w"), same).select("k.query_id", "w.wish_id")
+    of = keyed.alias("k").join(_met(wishes).alias("w"), same).select("k.query_id", "w.wish_id")
     return wishes.select("wish_id", *ANCHOR, (F.col("_cons") != "").alias("constrained")), of
 
 
@@ -31,17 +36,22 @@ def recommend(shades: DataFrame, queries: DataFrame, constraints: DataFrame, cal
     anchor and on whether there are constraints, scores on the wish; each is made once and joined to the
     queries in the end, so that the work grows with distinct wishes, and the result with the queries.
     """
-    best, _ = _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c)
-    return best
+    of, best, _ = _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c)
+    return by_query(of, best)
 
 
-def _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c) -> tuple[DataFrame, DataFrame]:
-    """(recommendations, pool traces by query_id)."""
+def _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(wishes of queries, recommendations by wish_id, pool traces by wish_id)."""
     wishes, of = distinct_wishes(queries, constraints)
     wishes = wishes.withColumn("pool_id", pool_id())
     plan, pool = anchor_pools(searched(shades), wishes, pool_top)
-    trace = of.withColumnRenamed("query_id", "asked").join(wishes.select("wish_id", F.col("pool_id").alias("query_id")), "wish_id").drop("wish_id").join(plan, "query_id").drop("query_id").withColumnRenamed("asked", "query_id")
-    return answers(pool, wishes, of, constraints, calibration, k, lambda_c), trace
+    trace = wishes.select("wish_id", F.col("pool_id").alias("query_id")).join(plan, "query_id").drop("query_id")
+    return of, best_of_wishes(pool, wishes, constraints, calibration, k, lambda_c), trace
+
+
+def by_query(of: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of every query's wish; of: query_id, wish_id."""
+    return of.join(_met(best), "wish_id").drop("wish_id")
 
 
 def searched(shades: DataFrame) -> DataFrame:
@@ -63,19 +73,24 @@ def anchor_pools(catalogue: DataFrame, wishes: DataFrame, pool_top: int = 1200)
 
 def answers(pool: DataFrame, wishes: DataFrame, of: DataFrame, constraints: DataFrame, calibration: DataFrame, k: int = 20, lambda_c: float = 2.0) -> DataFrame:
     """The k best shades of every query in of (query_id, wish_id), from stored pools by pool_id; each wish is scored once."""
+    return by_query(of, best_of_wishes(pool, wishes, constraints, calibration, k, lambda_c))
+
+
+def best_of_wishes(pool: DataFrame, wishes: DataFrame, constraints: DataFrame, calibration: DataFrame, k: int = 20, lambda_c: float = 2.0) -> DataFrame:
+    """The k best shades of every wish by wish_id, stored; constraints of queries that name no wish are left out."""
     wanted = wishes.select(F.col("pool_id").alias("query_id"), "wish_id")
-    each = pool.join(wanted, "query_id").drop("query_id").withColumnRenamed("wish_id", "query_id")
-    cons = constraints.join(wishes.select(F.col("wish_id").alias("query_id")), "query_id", "left_semi")
+    each = pool.join(_met(wanted), "query_id").drop("query_id").withColumnRenamed("wish_id", "query_id")
+    cons = constraints.join(_met(wishes.select(F.col("wish_id").alias("query_id"))), "query_id", "left_semi")
     numeric = not cons.where("cutpoint is not null").isEmpty()
     scored = scoring.blend(scoring.score(each, cons, calibration, lambda_c=lambda_c, snap=numeric).drop("rank"))
-    best = stored(scoring.rank_scores(scored, "score_total").where(F.col("rank") <= k), "best").withColumnRenamed("query_id", "wish_id")
-    return of.join(best, "wish_id").drop("wish_id")
+    return stored(scoring.rank_scores(scored, "score_total").where(F.col("rank") <= k), "best").withColumnRenamed("query_id", "wish_id")
 
 
 def explain(shades: DataFrame, queries: DataFrame, constraints: DataFrame, calibration: DataFrame, k: int = 20, pool_top: int = 1200, lambda_c: float = 2.0) -> DataFrame:
     """recommend with reasons, the pool's trace (min_de, n_within, size_hard, size, thr beside pool_method) and a display order of columns."""
-    best, trace = _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c)
-    out = best.withColumn("reasons", scoring.explain_flags(F.col("constrained"))).join(trace.select("query_id", "min_de", "n_within", "size_hard", F.col("size").alias("pool_size"), "thr"), "query_id")
+    of, best, trace = _recommended(shades, queries, constraints, calibration, k, pool_top, lambda_c)
+    best = best.withColumn("reasons", scoring.explain_flags(F.col("constrained"))).join(trace.select("wish_id", "min_de", "n_within", "size_hard", F.col("size").alias("pool_size"), "thr"), "wish_id")
+    out = by_query(of, best)
     return relational.display_order(out, ["query_id", "rank", "brand_name", "shade_name", "score_total", "score", "deltaE", "reasons", "pool_method", "pool_size"])
 
 
@@ -92,7 +107,7 @@ def wishes(texts: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(queries, constraints) of wish texts (text_id, text): the first colour mention is the anchor, axis words are constraints."""
     aliases = anchors.select(F.col("query_id").alias("alias"), F.col("query_id").alias("name"))
     named = preference.mentions(texts, aliases).groupBy("text_id").agg(F.min_by("name", "start").alias("name"))
-    queries = named.join(anchors.withColumnRenamed("query_id", "name"), "name").withColumnRenamed("text_id", "query_id").drop("name")
+    queries = named.join(F.broadcast(anchors.withColumnRenamed("query_id", "name")), "name").withColumnRenamed("text_id", "query_id").drop("name")
     intents = preference.merge_intents(preference.extract_constraints(texts)).where("direction is not null")
     cons = con.from_preferences(intents.withColumnRenamed("text_id", "query_id"))
     cons = relational.ranked(cons, ["query_id"], ["dim", "op"], "ord").select("query_id", "ord", "dim", "op", "level", F.lit(None).cast("double").alias("cutpoint"), "weight")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import aggregates, pools, relational
+from ..sources.tables import grown
 from . import recommend
 
 # Fixed grid of constraint templates.
@@ -101,7 +102,7 @@ def neutrality(top: DataFrame, catalogue: DataFrame, queries: DataFrame, share:
 
 def anchor_grid(found: DataFrame, forms: DataFrame) -> DataFrame:
     """token, n_texts, n_forms, n_anchors, status: whether each colour word resolves to one anchor in every sentence form. found: text_id, token, anchor_hex; forms: text_id, form."""
-    g = found.join(forms, "text_id").groupBy("token").agg(F.count("*").alias("n_texts"), F.count_distinct("form").alias("n_forms"), F.count_distinct("anchor_hex").alias("n_anchors"))
+    g = found.join(grown(forms), "text_id").groupBy("token").agg(F.count("*").alias("n_texts"), F.count_distinct("form").alias("n_forms"), F.count_distinct("anchor_hex").alias("n_anchors"))
     return g.withColumn("status", F.when(F.col("n_anchors") == 1, "PASS").otherwise("FAIL"))
 
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shadespark.operators import preference
-from shadespark.queries import wishes
+from shadespark.plans import recommend
+from shadespark.queries import anchors, wishes
+from shadespark.sources import fixtures, tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,3 +33,14 @@ def test_interpreted_tables_are_not_broadcast(spark, at):
 def test_interpret_broadcasts_only_lexicons(spark):
     plan = final_plan(preference.interpret(wishes.remarks(spark, SMALL), wishes.aliases(spark)))
     assert "BroadcastHashJoin [text_id" not in plan and "BroadcastHashJoin [clause_id" not in plan
+
+
+def test_wishes_of_queries_are_not_broadcast(spark):
+    queries, cons = recommend.wishes(wishes.texts(spark, SMALL), fixtures.anchors(spark))
+    of = recommend.distinct_wishes(tables.stored(queries, "queries"), tables.stored(cons, "constraints"))[1]
+    plan = final_plan(of)
+    assert "BroadcastHashJoin [query_id" not in plan and plan.count("BroadcastHashJoin") == 1  # the distinct wishes
+
+
+def test_anchor_grid_broadcasts_only_lexicons(spark):
+    assert "BroadcastHashJoin [text_id" not in final_plan(anchors.eva11_anchor_grid(spark, SMALL))
