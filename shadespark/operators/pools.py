@@ -74,10 +74,10 @@ def coverage_sweep(pairs: DataFrame, thresholds: tuple[float, ...] = (18, 20, 22
 
 
 def effective_inventory(pairs: DataFrame, cov: DataFrame) -> DataFrame:
-    """Pairs of the hue family (28 degrees in HSV hue) for queries of low coverage and low anchor chroma, if there are any; all pairs otherwise."""
+    """Pairs of the hue family (28 degrees in HSV hue, to nine digits, as many 8-bit colours lie on the edge) for queries of low coverage and low anchor chroma, if there are any; all pairs otherwise."""
     hue = color.hsv_hue(*(F.col(c) / 255 for c in "rgb"))
     flag = cov.select("query_id", (F.col("n_within") < COVERAGE_MIN).alias("_low"))
-    marked = pairs.join(flag, "query_id").withColumn("_near", in_hue_band(hue, F.col("anchor_hue"), F.lit(28.0)))
+    marked = pairs.join(flag, "query_id").withColumn("_near", F.round(color.circ_dist(hue, F.col("anchor_hue")), 9) <= 28.0)
     some = F.max("_near").over(Window.partitionBy("query_id"))
     marked = marked.withColumn("_some", some)
     keep = ~(F.col("_low") & (F.col("anchor_C") < 55) & F.col("_some")) | F.col("_near")

@@ -177,7 +177,7 @@ def pol5_adaptive(spark, sf_dir):
 @query(
     with_(
         SHADES, ANCHORS, _ELIGIBLE,
-        "e as (select *, abs((((hue_hsv_deg - anchor_hue + 180) % 360 + 360) % 360) - 180) <= 28 as near, count(*) filter (de00 <= base) over (partition by query_id) as n_within from pairs)",
+        "e as (select *, round(abs((((hue_hsv_deg - anchor_hue + 180) % 360 + 360) % 360) - 180), 9) <= 28 as near, count(*) filter (de00 <= base) over (partition by query_id) as n_within from pairs)",
         select="select query_id, count(*) as n from (select *, bool_or(near) over (partition by query_id) as has from e) where not (n_within < 20 and anchor_C < 55 and has) or near group by query_id",
     )
 )

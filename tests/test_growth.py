@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shadespark.operators import preference
+from shadespark.operators import constraints, pools, preference
 from shadespark.plans import recommend
 from shadespark.queries import anchors, wishes
-from shadespark.sources import fixtures, tables
+from shadespark.sources import calibration, fixtures, tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -44,3 +44,10 @@ def test_wishes_of_queries_are_not_broadcast(spark):
 
 def test_anchor_grid_broadcasts_only_lexicons(spark):
     assert "BroadcastHashJoin [text_id" not in final_plan(anchors.eva11_anchor_grid(spark, SMALL))
+
+
+def test_hue_family_keeps_colours_on_its_edge(spark):
+    rows = [(b + 15 * k, b + 7 * k + off, b, off) for b in range(20, 190) for k in range(1, 16) for off in (0, 1) if b + 15 * k <= 255]
+    pairs = spark.createDataFrame(rows, "r int, g int, b int, off int").selectExpr("*", "1 as query_id", "0d as anchor_hue", "0d as anchor_C")
+    got = pools.effective_inventory(pairs, spark.createDataFrame([(1, 0)], "query_id int, n_within int"))
+    assert {r["off"]: r["count"] for r in got.groupBy("off").count().collect()} == {0: len(rows) // 2}
