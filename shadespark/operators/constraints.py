@@ -118,9 +118,11 @@ def snap_cutpoints(pool: DataFrame, constraints: DataFrame, calibration: DataFra
 
     A keyed fixpoint: a round is a chain of aggregations over the pool, one for each numeric constraint of a query, and a
     table of what is still active; the pool shrinks to distinct values with counts first, of which 8-bit colours allow
-    2 ** 24. pool: query_id and the scoring dimensions, or with shared one catalogue for all queries.
+    2 ** 24. pool: query_id and the scoring dimensions, or with shared one catalogue for all queries. There, queries with
+    equal constraints are relaxed once, and the quantiles of all rows are made once.
     """
-    from ..sources.tables import stored
+    from ..sources.tables import grown, stored
+    from .pools import spread
 
     if constraints.where("cutpoint is not null").isEmpty():
         return constraints
@@ -128,11 +130,20 @@ def snap_cutpoints(pool: DataFrame, constraints: DataFrame, calibration: DataFra
     c = constraints.join(calibration, "dim").withColumns({"_k": level, "_at": F.array_position(F.array(*map(F.lit, SCORING_DIMS)), F.col("dim")).cast("int")})
     one = F.struct("ord", F.col("_at").alias("at"), (F.col("op") == "<=").alias("cap"), F.col("cutpoint").isNotNull().alias("numeric"), F.coalesce("cutpoint", F.when(F.col("_k") > 0, F.element_at("thresholds", F.col("_k")))).alias("thr"), F.array_min("thresholds").alias("lo"), F.array_max("thresholds").alias("hi"))
     active = c.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("cs")).where(F.exists("cs", lambda x: x["numeric"]))
+    if shared:
+        asked = stored(active.withColumn("_key", F.to_json("cs")), "snap-asked")
+        active = asked.groupBy("_key").agg(F.min("query_id").alias("query_id"), F.min_by("cs", "query_id").alias("cs"))
     active = stored(active.withColumn("moved", F.lit(True)), "snap")
     most = active.agg(F.max(F.size(F.filter("cs", lambda x: x["numeric"]))).alias("n")).first()["n"] or 0
     keys = [] if shared else ["query_id"]
     rows = pool if shared else pool.join(active.select("query_id"), "query_id", "left_semi")
-    rows = stored(rows.groupBy(*keys, *SCORING_DIMS).agg(F.count("*").alias("n")).select(*keys, F.array(*(F.col(d).cast("double") for d in SCORING_DIMS)).alias("v"), "n"), "snap-rows")
+    rows = rows.groupBy(*keys, *SCORING_DIMS).agg(F.count("*").alias("n")).select(*keys, F.array(*(F.col(d).cast("double") for d in SCORING_DIMS)).alias("v"), "n")
+    rows = stored(spread(rows) if shared else rows, "snap-rows")
+    at = F.array(F.lit(share), F.lit(1 - share))
+    if shared:
+        value = lambda k: F.when(~F.isnan(F.element_at("v", k)), F.element_at("v", k))
+        whole = rows.agg(*(F.percentile(value(k + 1), at, F.col("n")).alias(d) for k, d in enumerate(SCORING_DIMS))).first()  # two numbers for each dimension
+        whole = F.array(*(F.lit(whole[d]).cast("array<double>") if whole[d] is None else F.array(*map(F.lit, whole[d])) for d in SCORING_DIMS))
 
     def holds(v: Column, x: Column) -> Column:
         at = F.element_at(v, x["at"])
@@ -145,6 +156,7 @@ def snap_cutpoints(pool: DataFrame, constraints: DataFrame, calibration: DataFra
         return rows.crossJoin(F.broadcast(state)) if few else rows.crossJoin(state)
 
     few = active.count() <= 10_000  # states of one broadcast
+    named = active.select("query_id", "_key") if shared else None
     done = []
     for _ in range(rounds):
         state = active.select("query_id", "cs", F.lit(False).alias("moved"), F.lit(False).alias("enough"))
@@ -152,11 +164,12 @@ def snap_cutpoints(pool: DataFrame, constraints: DataFrame, calibration: DataFra
             each = met(state).withColumn("x", F.get(F.filter("cs", lambda c: c["numeric"]), F.lit(k))).withColumn("y", F.element_at("v", F.col("x.at")))
             others = F.forall("cs", lambda c: (c["ord"] == F.col("x.ord")) | holds(F.col("v"), c))
             each = each.withColumns({"y": F.when(~F.isnan("y"), F.col("y")), "others": others, "all": F.when(F.forall("cs", lambda c: holds(F.col("v"), c)), F.col("n")).otherwise(0)})
-            at, keep = F.array(F.lit(share), F.lit(1 - share)), ("cs", "x", "moved", "enough")
+            keep = ("cs", "x", "moved", "enough")
             got = each.groupBy("query_id").agg(
                 F.any_value(F.struct(*keep)).alias("kept"), (F.sum("all") / F.sum("n") >= share).alias("feasible"), F.max("others").alias("some"),
-                F.percentile(F.when(F.col("others"), F.col("y")), at, F.col("n")).alias("of_others"), F.percentile("y", at, F.col("n")).alias("of_all"),
-            ).select("query_id", "kept.*", "feasible", "some", "of_others", "of_all")
+                F.percentile(F.when(F.col("others"), F.col("y")), at, F.col("n")).alias("of_others"), *(() if shared else (F.percentile("y", at, F.col("n")).alias("of_all"),)),
+            )
+            got = got.select("query_id", "kept.*", "feasible", "some", "of_others", F.element_at(whole, F.col("kept.x.at")).alias("of_all") if shared else "of_all")
             got = got.withColumn("enough", F.col("feasible") if k == 0 else F.col("enough"))
             q = F.when(F.col("some"), F.col("of_others")).otherwise(F.col("of_all"))
             new = F.when(F.col("x.cap"), F.greatest("x.thr", q[0])).otherwise(F.least("x.thr", q[1]))
@@ -177,4 +190,7 @@ def snap_cutpoints(pool: DataFrame, constraints: DataFrame, calibration: DataFra
     for d in done[1:]:
         snapped = snapped.unionByName(d)
     thr = snapped.select("query_id", F.explode(F.filter("cs", lambda x: x["numeric"])).alias("x")).select("query_id", F.col("x.ord").alias("ord"), F.col("x.thr").alias("_new"))
-    return constraints.join(thr, ["query_id", "ord"], "left").withColumn("cutpoint", F.coalesce("_new", "cutpoint")).select(*constraints.columns)
+    if shared:
+        sets = named.join(thr, "query_id").drop("query_id")
+        thr = asked.select("query_id", "_key").join(F.broadcast(sets) if few else grown(sets), "_key").drop("_key")
+    return constraints.join(grown(thr), ["query_id", "ord"], "left").withColumn("cutpoint", F.coalesce("_new", "cutpoint")).select(*constraints.columns)

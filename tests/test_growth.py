@@ -51,3 +51,17 @@ def test_hue_family_keeps_colours_on_its_edge(spark):
     pairs = spark.createDataFrame(rows, "r int, g int, b int, off int").selectExpr("*", "1 as query_id", "0d as anchor_hue", "0d as anchor_C")
     got = pools.effective_inventory(pairs, spark.createDataFrame([(1, 0)], "query_id int, n_within int"))
     assert {r["off"]: r["count"] for r in got.groupBy("off").count().collect()} == {0: len(rows) // 2}
+
+
+def test_equal_constraints_are_snapped_once(spark, monkeypatch):
+    """Over one catalogue, twenty queries of two sets of constraints are two states, with the results of each on its own pool."""
+    kept, write = [], tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, name: kept.append((name, write(df, name))) or kept[-1][1])
+    catalogue = fixtures.shades(spark, SMALL).where("r is not null")
+    blobs = spark.range(20).selectExpr("id as query_id", "if(id % 2 = 0, 'light_hsl<=0.05:1;sat_hsl>=0.9:1', 'sat_hsl>=0.95:1;depth>=high:1') as constraints")
+    cons = constraints.parse_constraints(blobs)
+    got = constraints.snap_cutpoints(catalogue, cons, calibration.calibration(spark), shared=True).collect()
+    assert {df.count() for name, df in kept if name == "snap"} <= {1, 2} and len(got) == 40
+    each = constraints.snap_cutpoints(catalogue.crossJoin(blobs.select("query_id").where("query_id < 2")), cons.where("query_id < 2"), calibration.calibration(spark)).collect()
+    want = {(r["query_id"], r["ord"]): r["cutpoint"] for r in each}
+    assert all(r["cutpoint"] == want[r["query_id"] % 2, r["ord"]] for r in got)
