@@ -321,7 +321,7 @@ def vote_axes(ranked_axes: DataFrame, variants: DataFrame, topk: int = 3) -> Dat
     """label, axis, score: weighted_vote over the topk axes of each label's variants; ranked_axes: label, axis, score; variants: label, variant, weight."""
     best = ranked(ranked_axes, ["label"], [F.desc(F.round("score", 9)), "axis"], "_k").where(F.col("_k") <= topk)
     lists = best.groupBy(F.col("label").alias("variant")).agg(F.collect_list(F.struct("axis", "score")).alias("axes"))
-    return weighted_vote(variants.where("weight > 0").join(lists, "variant"))
+    return weighted_vote(variants.where("weight > 0").join(grown(lists), "variant"))
 
 
 def choose_axes(ranked_axes: DataFrame, votes: DataFrame, least: float = 0.35, margin: float = 0.08) -> DataFrame:
@@ -332,7 +332,7 @@ def choose_axes(ranked_axes: DataFrame, votes: DataFrame, least: float = 0.35, m
         gap = F.round(F.coalesce(F.get("l", F.lit(1))["m"], F.lit(0.0)) - F.col("l")[0]["m"], 9)
         return g.select("label", F.struct(F.col("l")[0]["axis"].alias("axis"), (-F.col("l")[0]["m"] >= least).alias("near"), (gap >= margin).alias("clear")).alias(name))
 
-    j = top(ranked_axes, "_o").join(top(votes, "_v"), "label", "left")
+    j = top(ranked_axes, "_o").join(grown(top(votes, "_v")), "label", "left")
     sure = lambda c: F.coalesce(F.col(f"{c}.near") & F.col(f"{c}.clear"), F.lit(False))
     source = F.when(sure("_o"), "classifier").when(sure("_v"), "vote").when(F.col("_o.near"), "raw")
     return j.select("label", F.when(source == "vote", F.col("_v.axis")).when(source.isNotNull(), F.col("_o.axis")).alias("axis"), source.alias("source"))

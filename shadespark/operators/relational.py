@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import color, text
+from ..sources.tables import grown
 
 # Fixed words of ineligible products, and of other categories.
 INELIGIBLE_WORDS = ("clear", "universal", "recharge", "refill", "echargeable", "rechargeable", "écrin", "ecrin", "étui", "case", "cap", "marbre", "strass")
@@ -96,6 +97,17 @@ def cascade_match(left: DataFrame, right: DataFrame, keys: Sequence[Sequence[str
     return out.withColumns({value: F.coalesce(*found), "stage": stage}).drop(*(f"_v{k}" for k in range(len(keys))))
 
 
+def neighbours(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, other: str, reach: int) -> DataFrame:
+    """Pairs of rows with equal by whose whole numbers at and other differ by reach at most.
+
+    An equi-join on stretches of 2 * reach + 1 numbers, of which a right row meets two at most, so that a group is never compared as a whole.
+    """
+    stretch = lambda x: F.floor(x / (2 * reach + 1))
+    l = left.withColumn("_stretch", stretch(F.col(at)))
+    r = right.withColumn("_stretch", F.explode(F.array_distinct(F.array(stretch(F.col(other) - reach), stretch(F.col(other) + reach)))))
+    return l.join(grown(r), [*by, "_stretch"]).where(F.abs(F.col(at) - F.col(other)) <= reach).drop("_stretch")
+
+
 def word_matches(items: DataFrame, keys: DataFrame, body: str) -> DataFrame:
     """(items × matching single-word key): an equi-join on words."""
     words = items.withColumn("key", F.explode(F.array_distinct(text.tokens(F.col(body)))))

@@ -355,8 +355,7 @@ def txt10_ties(spark, sf_dir):
 def txt11_choice(spark, sf_dir):
     vectors, sims = _axis_sims(spark, sf_dir)
     e = fixtures.table(spark, sf_dir, "embeddings")
-    b = e.select(F.col("label").alias("_l"), F.col("vec_id").alias("variant"), F.col("embedding").alias("_e"))
-    near = e.join(b, (F.col("label") == F.col("_l")) & F.col("variant").between(F.col("vec_id") - 40, F.col("vec_id") + 40))
+    near = relational.neighbours(e.select("label", "vec_id", "embedding"), e.select("label", F.col("vec_id").alias("variant"), F.col("embedding").alias("_e")), ["label"], "vec_id", "variant", 40)
     variants = near.select(F.col("vec_id").alias("label"), "variant", stats.cosine(F.col("embedding"), F.col("_e")).alias("weight"))
     own = tables.stored(sims.withColumnRenamed("vec_id", "label"), "axis-sims")
     return preference.choose_axes(own, preference.vote_axes(own, variants))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shadespark.operators import constraints, pools, preference
+from shadespark.operators import constraints, pools, preference, relational
 from shadespark.plans import recommend
 from shadespark.queries import anchors, wishes
 from shadespark.sources import calibration, fixtures, tables
@@ -65,3 +65,13 @@ def test_equal_constraints_are_snapped_once(spark, monkeypatch):
     each = constraints.snap_cutpoints(catalogue.crossJoin(blobs.select("query_id").where("query_id < 2")), cons.where("query_id < 2"), calibration.calibration(spark)).collect()
     want = {(r["query_id"], r["ord"]): r["cutpoint"] for r in each}
     assert all(r["cutpoint"] == want[r["query_id"] % 2, r["ord"]] for r in got)
+
+
+def test_neighbours_are_all_pairs_in_reach(spark):
+    """A group is compared by stretches: the pairs of brute force, from far fewer rows than all pairs."""
+    rows = spark.range(-50, 950).selectExpr("id % 2 as label", "cast(id * 3 / 2 as bigint) as vec_id", "id")
+    other = rows.selectExpr("label", "vec_id as variant", "id as other")
+    got = relational.neighbours(rows, other, ["label"], "vec_id", "variant", 40)
+    want = rows.join(other, "label").where("abs(vec_id - variant) <= 40")
+    assert sorted(got.select("id", "other").collect()) == sorted(want.select("id", "other").collect())
+    assert "_stretch" in final_plan(got).split("SortMergeJoin")[1].split("]")[0]
