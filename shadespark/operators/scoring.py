@@ -28,6 +28,11 @@ def quantile_at(q: Column, at: Column) -> Column:
 
 def spec_score(value: Column, axis: Column, direction: Column, q: Column, q_lo: Column, q_hi: Column, q_target: Column, q_span: Column) -> Column:
     """Score in 0..1 of a value for one within-family wish: above, below, near or toward."""
+    return _shaped_score(value, direction, spec_shape(axis, direction, q, q_lo, q_hi, q_target, q_span))
+
+
+def spec_shape(axis: Column, direction: Column, q: Column, q_lo: Column, q_hi: Column, q_target: Column, q_span: Column) -> dict[str, Column]:
+    """What a wish's score takes from its distribution, whatever the value."""
     q25, q50, q75 = (quantile_at(q, F.lit(x)) for x in (0.25, 0.5, 0.75))
     scale = F.greatest(F.lit(0.001), F.abs(q75 - q25) / 2)
     band = F.greatest(F.lit(1e-6), F.abs(quantile_at(q, q_hi) - quantile_at(q, q_lo)))
@@ -37,26 +42,35 @@ def spec_score(value: Column, axis: Column, direction: Column, q: Column, q_lo:
     half = F.abs(quantile_at(q, F.least(F.lit(0.99), q_target + span)) - quantile_at(q, F.greatest(F.lit(0.01), q_target - span))) / 2
     hue = (axis == "h") & (direction == "toward")
     radius = F.when(hue, F.greatest(F.lit(10.0), half)).otherwise(F.greatest(F.lit(1e-6), half))
-    away = F.when(hue, color.circ_dist(value, centre)).otherwise(F.abs(value - centre))
-    near = stats.smoothstep(1 - stats.clip(away / radius, 0, 1))
-    return F.when(direction == "above", stats.sigmoid(k * (value - q50) / scale)).when(direction == "below", stats.sigmoid(k * (q50 - value) / scale)).otherwise(near)
+    return {"k": k, "q50": q50, "scale": scale, "centre": centre, "radius": radius, "hue": hue}
+
+
+def _shaped_score(value: Column, direction: Column, s) -> Column:
+    """s: the columns of spec_shape by name, or a struct of them."""
+    away = F.when(s["hue"], color.circ_dist(value, s["centre"])).otherwise(F.abs(value - s["centre"]))
+    near = stats.smoothstep(1 - stats.clip(away / s["radius"], 0, 1))
+    return F.when(direction == "above", stats.sigmoid(s["k"] * (value - s["q50"]) / s["scale"])).when(direction == "below", stats.sigmoid(s["k"] * (s["q50"] - value) / s["scale"])).otherwise(near)
 
 
 def family_factor(rows: DataFrame, specs: DataFrame, distributions: DataFrame, floor: float = 0.55, p: str = "p") -> DataFrame:
     """rows (query_id, label, p, L_lab, C_lab, H_lab_deg) with `family_factor` of their query's specs.
 
-    specs: query_id, label, axis (L, C, h), direction, strength, q_lo, q_hi, q_target, q_span.
+    specs: query_id, label, axis (L, C, h), direction, strength, q_lo, q_hi, q_target, q_span; a bounded list of wishes, broadcast to the rows.
     """
     joined = specs.join(distributions, ["label", "axis"])
-    packed = joined.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("axis", "direction", "strength", "q", "q_lo", "q_hi", "q_target", "q_span"))).alias("_specs"))
+    shape = spec_shape(*(F.col(f"_s.{c}") for c in ("axis", "direction", "q", "q_lo", "q_hi", "q_target", "q_span")))
+    joined = joined.select("query_id", F.struct("axis", "direction", "strength", "q", "q_lo", "q_hi", "q_target", "q_span").alias("_s"))
+    joined = joined.withColumn("_shape", F.struct(*(c.alias(n) for n, c in shape.items())))  # once for each wish, not for each row
+    packed = joined.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_s", "_shape"))).alias("_specs"))
 
-    def one(s: Column) -> Column:
+    def one(x: Column) -> Column:
+        s = x["_s"]
         value = F.when(s["axis"] == "L", F.col("L_lab")).when(s["axis"] == "C", F.col("C_lab")).otherwise(F.col("H_lab_deg"))
-        score = spec_score(value, s["axis"], s["direction"], s["q"], s["q_lo"], s["q_hi"], s["q_target"], s["q_span"])
+        score = _shaped_score(value, s["direction"], x["_shape"])
         strength = stats.clip(s["strength"], 0, 1)
         return 1 - strength + strength * (floor + (1 - floor) * score)
 
-    out = rows.join(packed, "query_id", "left")
+    out = rows.join(F.broadcast(packed), "query_id", "left")
     product = F.aggregate(F.transform("_specs", one), F.lit(1.0), lambda a, x: a * x)
     return out.withColumn("family_factor", F.when(F.col("_specs").isNotNull(), stats.clip(1 - gate(F.col(p)) + gate(F.col(p)) * product, 0, 1))).drop("_specs")
 

@@ -381,7 +381,7 @@ def fam5_factor(spark, sf_dir):
     other = {"raise": "lower", "lower": "raise"}
     prefs = [x for q, n, d, s, u in _FAMILY_WISHES for x in ((q, n, "brightness", d, s), (q, n, "vibrancy", other[d], u))]
     prefs = spark.createDataFrame(prefs, "query_id string, label string, axis string, direction string, strength string")
-    rows = fixtures.naming_long(fixtures.shades(spark, sf_dir)).join(prefs.select("query_id", "label").distinct(), "label")
+    rows = fixtures.naming_long(fixtures.shades(spark, sf_dir)).join(F.broadcast(prefs.select("query_id", "label").distinct()), "label")
     got = scoring.family_factor(rows, scoring.family_specs(prefs), calibration.label_distributions(spark))
     return got.select("query_id", "shade_id", F.round("family_factor", 6).alias("family_factor"))
 

@@ -22,9 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table part over all cores: its file is small, so that one task would read it, and what follows takes long for every row."""
+    return table(spark, sf_dir, "part").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item for each part, four shades to a product, some without a valid colour, some ineligible."""
-    p = table(spark, sf_dir, "part")
+    p = parts(spark, sf_dir)
     k, s = F.col("p_partkey"), F.col("p_size")
     group = F.floor(k / 4).cast("bigint").cast("string")
     suffix = F.when(k % 40 == 7, " refill").when(k % 200 == 11, " étui").otherwise("")

@@ -75,3 +75,10 @@ def test_neighbours_are_all_pairs_in_reach(spark):
     want = rows.join(other, "label").where("abs(vec_id - variant) <= 40")
     assert sorted(got.select("id", "other").collect()) == sorted(want.select("id", "other").collect())
     assert "_stretch" in final_plan(got).split("SortMergeJoin")[1].split("]")[0]
+
+
+def test_wishes_of_families_are_the_broadcast_side(spark):
+    from shadespark.queries import ranking
+
+    plan = final_plan(ranking.fam5_factor(spark, SMALL))
+    assert "BuildLeft" not in plan and "SortMergeJoin" not in plan and "hashpartitioning(p_partkey" in plan
