@@ -88,8 +88,11 @@ def _resolved(j: DataFrame, columns: list[str]) -> DataFrame:
     return j.withColumn("threshold", F.coalesce("cutpoint", own, fixed)).select(*columns, "threshold", "scale")
 
 
-def apply_constraints(pool: DataFrame, resolved: DataFrame) -> DataFrame:
-    """pool with constraint_penalty_norm, constraint_tilt_norm and the breakdown array; a missing value counts as at the threshold."""
+def apply_constraints(pool: DataFrame, resolved: DataFrame, shared: bool = False) -> DataFrame:
+    """pool with constraint_penalty_norm, constraint_tilt_norm and the breakdown array; a missing value counts as at the threshold.
+
+    With shared, a whole catalogue is the pool of each of a bounded list of queries, whose constraints are broadcast.
+    """
     suffix = F.when(F.col("cutpoint").isNull(), F.col("level")).otherwise(F.regexp_replace(F.format_string("%.6f", F.col("cutpoint")), r"\.?0+$", ""))
     packed = resolved.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ord", "dim", "op", suffix.alias("suffix"), "threshold", "scale", "weight"))).alias("_cs"))
     dims = F.create_map(*(x for d in SCORING_DIMS for x in (F.lit(d), F.col(d))))
@@ -99,7 +102,7 @@ def apply_constraints(pool: DataFrame, resolved: DataFrame) -> DataFrame:
         return F.struct(c["ord"].alias("ord"), c["dim"].alias("dim"), c["op"].alias("op"), c["suffix"].alias("suffix"), (c["weight"] * stats.hinge(v, c["op"], c["threshold"]) / c["scale"]).alias("penalty"), (c["weight"] * stats.tilt(v, c["op"], c["threshold"], c["scale"])).alias("tilt"), v.alias("value"))
 
     total = lambda field: F.aggregate("breakdown", F.lit(0.0), lambda s, x: s + x[field])
-    out = pool.join(packed, "query_id", "left").withColumn("_dims", dims)
+    out = pool.join(F.broadcast(packed) if shared else packed, "query_id", "left").withColumn("_dims", dims)
     out = out.withColumn("breakdown", F.coalesce(F.transform("_cs", one), F.array().cast("array<struct<ord:int,dim:string,op:string,suffix:string,penalty:double,tilt:double,value:double>>")))
     return out.withColumns({"constraint_penalty_norm": total("penalty"), "constraint_tilt_norm": total("tilt")}).drop("_cs", "_dims")
 

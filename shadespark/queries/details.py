@@ -113,9 +113,10 @@ def fam6_qa(spark, sf_dir):
 @query(with_(SHADES, _CONS, *_SCORED[:2], select="""select query_id, shade_id, ord, dim || op || level as name, round(weight*greatest(0, case when op = '<=' then v - thr else thr - v end)/scale, 6) as penalty,
   round(weight*tanh(case when op = '>=' then v/scale - thr/scale else thr/scale - v/scale end), 6) as tilt, round(v, 6) as value from val join (select query_id, ord, thr, scale from thr) t using (query_id, ord)"""))
 def sco7_breakdown(spark, sf_dir):
-    pool = _catalogue(spark, sf_dir).crossJoin(F.broadcast(_blobs(spark).select("query_id")))
-    resolved = constraints.thresholds(pool, constraints.parse_constraints(_blobs(spark)), calibration.calibration(spark))
-    got = constraints.apply_constraints(pool, resolved).select("query_id", "shade_id", F.explode("breakdown").alias("b"))
+    catalogue = _catalogue(spark, sf_dir)
+    pool = catalogue.crossJoin(F.broadcast(_blobs(spark).select("query_id")))
+    resolved = constraints.thresholds(catalogue, constraints.parse_constraints(_blobs(spark)), calibration.calibration(spark), shared=True)
+    got = constraints.apply_constraints(pool, resolved, shared=True).select("query_id", "shade_id", F.explode("breakdown").alias("b"))
     return got.select("query_id", "shade_id", F.col("b.ord").alias("ord"), F.concat("b.dim", "b.op", "b.suffix").alias("name"), *(F.round(f"b.{c}", 6).alias(c) for c in ("penalty", "tilt", "value")))
 
 

@@ -82,3 +82,9 @@ def test_wishes_of_families_are_the_broadcast_side(spark):
 
     plan = final_plan(ranking.fam5_factor(spark, SMALL))
     assert "BuildLeft" not in plan and "SortMergeJoin" not in plan and "hashpartitioning(p_partkey" in plan
+
+
+def test_breakdown_is_not_dealt_by_query(spark):
+    from shadespark.queries import details
+
+    assert "hashpartitioning(query_id" not in final_plan(details.sco7_breakdown(spark, SMALL))
