@@ -122,7 +122,12 @@ def preference_score() -> Column:
 
 
 def score(pool: DataFrame, constraints: DataFrame, calibration: DataFrame, lambda_c: float = 1.0, lambda_p: float = 0.0, factor: str | None = None, family_mode: str = "reference", snap: bool = True, catalogue: DataFrame | None = None) -> DataFrame:
-    """Ranked scores of every pool row (query_id, anchor, shade) under its query's constraints.
+    """Ranked scores of every pool row (query_id, anchor, shade) under its query's constraints: score_rows, then rank_scores."""
+    return rank_scores(score_rows(pool, constraints, calibration, lambda_c, lambda_p, factor, family_mode, snap, catalogue))
+
+
+def score_rows(pool: DataFrame, constraints: DataFrame, calibration: DataFrame, lambda_c: float = 1.0, lambda_p: float = 0.0, factor: str | None = None, family_mode: str = "reference", snap: bool = True, catalogue: DataFrame | None = None) -> DataFrame:
+    """Scores of every pool row (query_id, anchor, shade) under its query's constraints.
 
     Relative thresholds come from each query's pool, which is capped, or from a catalogue that is every query's pool.
     factor names a column that multiplies the score (NULL: 1). With family_mode "penalty", a negative
@@ -131,7 +136,7 @@ def score(pool: DataFrame, constraints: DataFrame, calibration: DataFrame, lambd
     if snap:
         constraints = con.snap_cutpoints(pool if catalogue is None else catalogue, constraints, calibration, shared=catalogue is not None)
     resolved = con.thresholds(pool, constraints, calibration) if catalogue is None else con.thresholds(catalogue, constraints, calibration, shared=True)
-    out = con.apply_constraints(pool, resolved)
+    out = con.apply_constraints(pool, resolved, shared=catalogue is not None)
     de = color.delta_e76(F.col("L_lab"), F.col("a_lab"), F.col("b_lab"), F.col("anchor_L"), F.col("anchor_a"), F.col("anchor_b"))
     out = out.withColumns({"deltaE": de, "preference_score": preference_score() if lambda_p else F.lit(0.0)}).withColumn("deltaE_norm", F.col("deltaE") / DELTA_E_REF)
     s = -F.col("deltaE_norm") + F.col("preference_score") * lambda_p - F.col("constraint_penalty_norm") * (CONSTRAINT_GAIN * lambda_c) + F.col("constraint_tilt_norm") * (CONSTRAINT_GAIN * lambda_c * TILT_GAIN)
@@ -140,7 +145,7 @@ def score(pool: DataFrame, constraints: DataFrame, calibration: DataFrame, lambd
         f = F.coalesce(F.col(factor), F.lit(1.0))
         times = F.col("score") * f
         out = out.withColumn("score", F.when(F.col("score") < 0, F.try_divide(F.col("score"), f)).otherwise(times) if family_mode == "penalty" else times)
-    return rank_scores(out)
+    return out
 
 
 def rank_scores(scored: DataFrame, by: str = "score") -> DataFrame:

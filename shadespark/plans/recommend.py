@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.color import SCORING_DIMS
 from ..operators import constraints as con
 from ..operators import pools, preference, relational, scoring
 from ..sources.tables import grown, stored
 
 
 ANCHOR = ("anchor_L", "anchor_a", "anchor_b", "anchor_C", "anchor_hue")
+#: What a score takes from a shade.
+COLOUR = tuple(dict.fromkeys(("L_lab", "a_lab", "b_lab", *SCORING_DIMS)))
 
 
 def _met(wishes: DataFrame) -> DataFrame:
@@ -94,15 +97,34 @@ def explain(shades: DataFrame, queries: DataFrame, constraints: DataFrame, calib
     return relational.display_order(out, ["query_id", "rank", "brand_name", "shade_name", "score_total", "score", "deltaE", "reasons", "pool_method", "pool_size"])
 
 
-def score_inventory(shades: DataFrame, prototypes: DataFrame, blobs: DataFrame, calibration: DataFrame, lambda_c: float = 1.0) -> DataFrame:
-    """Scores of the whole catalogue for constraint strings (query_id, constraints) around prototypes (query_id, anchor_*)."""
+def score_inventory(shades: DataFrame, prototypes: DataFrame, blobs: DataFrame, calibration: DataFrame, lambda_c: float = 1.0, k: int | None = None) -> DataFrame:
+    """Scores of the whole catalogue for constraint strings (query_id, constraints) around prototypes (query_id, anchor_*); with k, the first k ranks of each query alone."""
     cons = con.parse_constraints(blobs)
     numeric = not cons.where("cutpoint is not null").isEmpty()
     catalogue = relational.with_colour(shades)
+    if k is not None:
+        return _first_of_inventory(catalogue, prototypes, cons, calibration, lambda_c, numeric, k)
     pool = catalogue.crossJoin(F.broadcast(prototypes))  # every shade is scored for every prototype (clusters, a bounded list)
     return scoring.score(pool, cons, calibration, lambda_c=lambda_c, snap=numeric, catalogue=catalogue)
 
 
+def _first_of_inventory(catalogue, prototypes, cons, calibration, lambda_c, numeric, k) -> DataFrame:
+    """The first k ranks of score_inventory. Equal colours have equal scores, so that distinct colours are scored, and only their shades that may be among the first k are ranked.
+
+    Of equal (url, shade_name) one shade ranks. The first shades of these, by id, are told apart: where k colours that have one score
+    as much as some bound, at least k ranks do, and no shade below it is among them.
+    """
+    colour = F.struct(*COLOUR).alias("_colour")
+    own = relational.ranked(catalogue.select("url", "shade_name", "product_id", "shade_id", colour), ["url", "shade_name"], ["product_id", "shade_id"], "_n")
+    colours = stored(pools.spread(own.groupBy("_colour").agg((F.min("_n") == 1).alias("_first")).select("_colour", "_colour.*", "_first")), "colours")
+    scored = scoring.score_rows(colours.crossJoin(F.broadcast(prototypes)), cons, calibration, lambda_c=lambda_c, snap=numeric, catalogue=catalogue)
+    best = relational.top_per(scored.where("_first").select("query_id", "score"), ["query_id"], [F.desc_nulls_last("score")], k)
+    least = best.groupBy("query_id").agg(F.when(F.count("score") == k, F.min("score")).alias("_least"))
+    chosen = scored.drop(*COLOUR, "_first").join(F.broadcast(least), "query_id", "left").where("_least is null or score >= _least").drop("_least")
+    rows = catalogue.withColumn("_colour", colour).join(_met(stored(chosen, "chosen")), "_colour").drop("_colour")
+    return scoring.rank_scores(rows).where(F.col("rank") <= k)
+
+
 def wishes(texts: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(queries, constraints) of wish texts (text_id, text): the first colour mention is the anchor, axis words are constraints."""
     aliases = anchors.select(F.col("query_id").alias("alias"), F.col("query_id").alias("name"))

@@ -23,9 +23,9 @@ def template_scores(spark: SparkSession, shades: DataFrame, prototypes: DataFram
     grid = spark.createDataFrame([(t, text) for t, (_, text) in enumerate(TEMPLATES)], "template int, constraints string")
     queries = prototypes.crossJoin(F.broadcast(grid)).withColumn("query_id", F.col("cluster_id") * len(TEMPLATES) + F.col("template"))
     anchors = queries.select("query_id", "anchor_L", "anchor_a", "anchor_b")
-    scored = recommend.score_inventory(shades.drop("cluster_id"), anchors, queries.select("query_id", "constraints"), calibration)
+    scored = recommend.score_inventory(shades.drop("cluster_id"), anchors, queries.select("query_id", "constraints"), calibration, k=k)
     ids = {"cluster_id": F.floor(F.col("query_id") / len(TEMPLATES)).cast("int"), "template": F.pmod("query_id", F.lit(len(TEMPLATES)))}
-    return scored.where(F.col("rank") <= k).withColumns(ids)
+    return scored.withColumns(ids)
 
 
 def golden_rankings(top: DataFrame, k: int = 20) -> DataFrame:

@@ -113,8 +113,8 @@ def sco8_snap(spark, sf_dir):
 @query(with_(SHADES, _CONS, _PROTO, *_SCORED, select="select query_id, rank, shade_id, round(score, 6) as score, round(pen, 6) as penalty, round(tilt, 6) as tilt from rk where rank <= 20"))
 def sco11_score(spark, sf_dir):
     df = tables.stored(fixtures.shades(spark, sf_dir), "shades")
-    got = recommend.score_inventory(df, _prototypes(df), _blobs(spark), calibration.calibration(spark))
-    return got.where("rank <= 20").select("query_id", "rank", "shade_id", F.round("score", 6).alias("score"), F.round("constraint_penalty_norm", 6).alias("penalty"), F.round("constraint_tilt_norm", 6).alias("tilt"))
+    got = recommend.score_inventory(df, _prototypes(df), _blobs(spark), calibration.calibration(spark), k=20)
+    return got.select("query_id", "rank", "shade_id", F.round("score", 6).alias("score"), F.round("constraint_penalty_norm", 6).alias("penalty"), F.round("constraint_tilt_norm", 6).alias("tilt"))
 
 
 @query(with_(SHADES, _PROTO, select="select 7 as query_id, round(0.7*a.l0 + 0.3*b.l0, 6) as anchor_L, round(0.7*a.a0 + 0.3*b.a0, 6) as anchor_a, round(0.7*a.b0 + 0.3*b.b0, 6) as anchor_b from proto a, proto b where a.query_id = 2 and b.query_id = 3"))

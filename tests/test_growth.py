@@ -88,3 +88,17 @@ def test_breakdown_is_not_dealt_by_query(spark):
     from shadespark.queries import details
 
     assert "hashpartitioning(query_id" not in final_plan(details.sco7_breakdown(spark, SMALL))
+
+
+def test_first_ranks_of_an_inventory_are_those_of_all(spark):
+    """With k, the rows of the full ranking: of equal colours, of repeated names, and where shades are fewer than k."""
+    df = fixtures.shades(spark, SMALL)
+    df = df.unionByName(df.withColumn("shade_id", F.concat("shade_id", F.lit("b")))).unionByName(df.where("shade_id % 3 = 0").withColumns({"product_id": F.lit("A"), "shade_id": F.concat("shade_id", F.lit("c")), "url": F.lit("u"), "shade_name": F.lit("n")}))
+    df = tables.stored(df, "twice")
+    protos = df.where("r is not null").groupBy(F.col("cluster_id").alias("query_id")).agg(*(F.avg(f"{c}_lab").alias(f"anchor_{c}") for c in "Lab")).where("query_id < 3")
+    blobs = spark.createDataFrame([(0, "C_lab<=high:1"), (1, "depth>=high:0.8;warmth<=0.4:1")], "query_id int, constraints string")
+    rows = lambda got: sorted((r["query_id"], r["rank"], r["product_id"], r["shade_id"], round(r["score"], 9)) for r in got.collect())
+    for shades, k in ((df, 20), (df.limit(12), 20), (df, 1)):
+        shades = tables.stored(shades, "some")
+        all_ = recommend.score_inventory(shades, protos, blobs, calibration.calibration(spark))
+        assert rows(all_.where(F.col("rank") <= k)) == rows(recommend.score_inventory(shades, protos, blobs, calibration.calibration(spark), k=k))
