@@ -108,10 +108,11 @@ def neighbours(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, ot
     return l.join(grown(r), [*by, "_stretch"]).where(F.abs(F.col(at) - F.col(other)) <= reach).drop("_stretch")
 
 
-def word_matches(items: DataFrame, keys: DataFrame, body: str) -> DataFrame:
-    """(items × matching single-word key): an equi-join on words."""
+def word_matches(items: DataFrame, keys: DataFrame, body: str, few: bool = False) -> DataFrame:
+    """(items × matching single-word key): an equi-join on words; few keys (a bounded lexicon) are broadcast."""
     words = items.withColumn("key", F.explode(F.array_distinct(text.tokens(F.col(body)))))
-    return words.join(keys.select("key").distinct(), "key")
+    known = keys.select("key").distinct()
+    return words.join(F.broadcast(known) if few else known, "key")
 
 
 def containing_keys(bases: DataFrame, keys: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def _r(x: Column) -> Column:
 def reference_hues(shades: DataFrame, keys: DataFrame) -> DataFrame:
     """key, hue_ref, n_text: the mean hue of shades whose names hold the key, if enough do, else the key's own hue."""
     items = shades.select("hue", F.concat_ws(" ", "product_name", "shade_name").alias("body"))
-    named = relational.word_matches(items, keys, "body")
+    named = relational.word_matches(items, keys, "body", few=True)
     means = aggregates.hue_means(named, ["key"], "hue").join(named.groupBy("key").agg(F.count("*").alias("n_text")), "key")
     n = F.coalesce("n_text", F.lit(0))
     return keys.join(means, "key", "left").select("key", F.when(n >= TEXT_MIN, F.coalesce("mean_hue", "hue")).otherwise(F.col("hue")).alias("hue_ref"), n.alias("n_text"))
@@ -44,11 +44,11 @@ def hue_windows(shades: DataFrame, refs: DataFrame) -> DataFrame:
     pairs = shades.crossJoin(F.broadcast(refs)).withColumn("_d", d).where(F.col("_d") <= WIDTHS[-1])
     counts = pairs.groupBy("key").agg(*(F.count_if(F.col("_d") <= w).alias(f"_n{k}") for k, w in enumerate(WIDTHS)))
     first = F.coalesce(*(F.when(F.col(f"_n{k}") >= POOL_MIN, w) for k, w in enumerate(WIDTHS)))
-    return pairs.join(counts.select("key", first.alias("window")), "key").where(F.col("_d") <= F.col("window")).drop("_d")
+    return pairs.join(F.broadcast(counts.select("key", first.alias("window"))), "key").where(F.col("_d") <= F.col("window")).drop("_d")
 
 
 def neutral_window(pool: DataFrame) -> DataFrame:
-    """Rows of each key inside absolute and quantile bounds of L and C, at the first relaxation level that keeps enough, with that level as relax."""
+    """Rows of each key (a bounded lexicon, as are its bounds) inside absolute and quantile bounds of L and C, at the first relaxation level that keeps enough, with that level as relax."""
     level = F.array(*(F.struct(F.lit(k).alias("relax"), F.lit(a).alias("l0"), F.lit(b).alias("c1"), F.lit(q).alias("q"), F.lit(m).alias("m")) for k, (a, b, q, m) in enumerate(LEVELS)))
     rows = pool.withColumn("_v", F.explode(level)).where(F.col("L_lab").between(F.col("_v.l0"), L_MAX) & F.col("C_lab").between(C_MIN, F.col("_v.c1")))
     rows = rows.withColumn("relax", F.col("_v.relax"))
@@ -58,18 +58,18 @@ def neutral_window(pool: DataFrame) -> DataFrame:
     margin = F.element_at(F.array(*(F.lit(v[3]) for v in LEVELS)), F.col("relax") + 1)
     top = F.least(F.element_at("_c", F.col("relax") + 3), F.col("_c")[1] + margin)
     bounds = bounds.select("key", "relax", F.col("_l")[0].alias("_l0"), F.col("_l")[1].alias("_l1"), F.col("_c")[0].alias("_c0"), top.alias("_c1"))
-    rows = rows.join(bounds, ["key", "relax"])
+    rows = rows.join(F.broadcast(bounds), ["key", "relax"])
     rows = rows.where(_r(F.col("L_lab")).between(_r(F.col("_l0")), _r(F.col("_l1"))) & _r(F.col("C_lab")).between(_r(F.col("_c0")), _r(F.col("_c1"))))
     enough = rows.groupBy("key", "relax").agg(F.count("*").alias("n_kept")).where(F.col("n_kept") >= KEPT_MIN)
     chosen = enough.groupBy("key").agg(F.min(F.struct("relax", "n_kept")).alias("x")).select("key", "x.relax", "x.n_kept")
-    return rows.drop("_v", "_l0", "_l1", "_c0", "_c1").join(chosen, ["key", "relax"])
+    return rows.drop("_v", "_l0", "_l1", "_c0", "_c1").join(F.broadcast(chosen), ["key", "relax"])
 
 
 def typical_shades(kept: DataFrame) -> DataFrame:
     """key, medoid: of the shades nearest the target L and C (with a mild preference for low chroma), the medoid's hex."""
     targets = kept.groupBy("key").agg(F.percentile("L_lab", L_TARGET).alias("_lt"), F.percentile("C_lab", C_TARGET).alias("_ct"))
     score = F.abs(F.col("L_lab") - F.col("_lt")) + C_WEIGHT * F.abs(F.col("C_lab") - F.col("_ct")) + C_TILT * F.col("C_lab")
-    near = relational.top_per(kept.join(targets, "key").withColumn("_s", _r(score)), ["key"], ["_s", "chip_hex", "shade_id"], SHORTLIST)
+    near = relational.top_per(kept.join(F.broadcast(targets), "key").withColumn("_s", _r(score)), ["key"], ["_s", "chip_hex", "shade_id"], SHORTLIST)
     return aggregates.lab_medoids(near, ["key"], "chip_hex", "chip_hex")
 
 

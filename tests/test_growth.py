@@ -102,3 +102,12 @@ def test_first_ranks_of_an_inventory_are_those_of_all(spark):
         shades = tables.stored(shades, "some")
         all_ = recommend.score_inventory(shades, protos, blobs, calibration.calibration(spark))
         assert rows(all_.where(F.col("rank") <= k)) == rows(recommend.score_inventory(shades, protos, blobs, calibration.calibration(spark), k=k))
+
+
+def test_domain_anchors_are_not_dealt_by_word(spark):
+    from shadespark.plans import domain
+
+    keys = fixtures.anchors(spark).select(F.col("query_id").alias("key"), F.col("anchor_hue").alias("hue_ref"), F.lit(0).alias("n_text"))
+    rows = fixtures.shades(spark, SMALL).where("r is not null").withColumn("hue", F.col("hue_hsv_deg"))
+    plan = final_plan(domain.hue_windows(rows, keys))
+    assert "SortMergeJoin" not in plan and "BuildLeft" not in plan
