@@ -121,7 +121,7 @@ def hi_chroma(constraints: DataFrame, ranked: DataFrame | None = None, votes: Da
 def members(long: DataFrame) -> DataFrame:
     """Rows (label, p, ...) that stand for a label: p from 0.55 on, or the best 250 of a label with fewer than 40 such; none under 40."""
     sizes = long.where("p > 0").groupBy("label").agg(F.count_if(F.col("p") >= MEMBER_P).alias("_many"), F.count("*").alias("_all")).where(F.col("_all") >= MEMBERS_MIN)
-    rows = long.where("p > 0").join(sizes, "label")
+    rows = long.where("p > 0").join(F.broadcast(sizes), "label")  # labels are a bounded list
     many = rows.where((F.col("_many") >= MEMBERS_MIN) & (F.col("p") >= MEMBER_P))
     few = relational.top_per(rows.where(F.col("_many") < MEMBERS_MIN), ["label"], [F.desc("p"), "product_id", "shade_id"], MEMBERS_TOP, "_k").drop("_k")
     return many.unionByName(few).drop("_many", "_all")
@@ -130,7 +130,7 @@ def members(long: DataFrame) -> DataFrame:
 def _enough(rows: DataFrame, keep: Column, order: list) -> DataFrame:
     """Rows of each label for which keep holds; its first 40 in the order where fewer do."""
     left = rows.groupBy("label").agg(F.count_if(keep).alias("_left"))
-    rows = rows.join(left, "label")
+    rows = rows.join(F.broadcast(left), "label")
     first = relational.top_per(rows.where(F.col("_left") < MEMBERS_MIN), ["label"], order, MEMBERS_MIN, "_k").drop("_k")
     return rows.where((F.col("_left") >= MEMBERS_MIN) & keep).unionByName(first).drop("_left")
 
@@ -158,18 +158,18 @@ def label_anchors(long: DataFrame, references: DataFrame, chroma_q: float | None
     of_hue = F.col("label").isin(*HUE_LABELS)
     plain = m.where(~of_hue)
     if chroma_q is not None:
-        plain = plain.join(_heavy_chroma(plain, chroma_q), "label")
+        plain = plain.join(F.broadcast(_heavy_chroma(plain, chroma_q)), "label")
         plain = _enough(plain, _r("C_lab", 4) >= F.col("_t"), [F.desc(_r("C_lab", 4)), "product_id", "shade_id"])
     h = m.where(of_hue).withColumn("_h", color.hsv_hue(*color.hex_rgb01(F.col("chip_hex"))))
     likeliest = h.groupBy("label").agg(F.max_by("_h", F.struct("p", "product_id", "shade_id")).alias("_own"))
     centre = likeliest.join(references, "label", "left").select("label", F.coalesce("hue", "_own").alias("_h0"))
-    h = h.join(centre, "label").withColumn("_d", _r(color.circ_dist(F.col("_h"), F.col("_h0"))))
+    h = h.join(F.broadcast(centre), "label").withColumn("_d", _r(color.circ_dist(F.col("_h"), F.col("_h0"))))
     h = stored(_enough(h, F.col("_d") <= HUE_BAND, ["_d", "product_id", "shade_id"]), "hue-members")
     far = h.groupBy("label").agg(_r(F.percentile("_d", 1 - TRIM)).alias("_far"))
-    h = h.join(far, "label")
+    h = h.join(F.broadcast(far), "label")
     inside = ~F.col("label").isin(*TRIM_LABELS) | (F.col("_d") <= F.col("_far"))
     left = h.groupBy("label").agg(F.count_if(inside).alias("_left"))
-    h = h.join(left, "label").where(inside | (F.col("_left") < MEMBERS_MIN))
+    h = h.join(F.broadcast(left), "label").where(inside | (F.col("_left") < MEMBERS_MIN))
     near = F.exp(-F.pow(F.col("_d") / (HUE_BAND / 2), F.lit(2.0)))
     return _means(plain, F.col("p")).unionByName(_means(h, F.col("p") * near))
 

@@ -84,9 +84,11 @@ def _references(spark):
     return fixtures.anchors(spark).select(F.col("query_id").alias("label"), F.col("anchor_hue").alias("hue"))
 
 
-def _labels(spark, sf_dir, chroma_q=None):
-    long = tables.stored(fixtures.naming_long(fixtures.shades(spark, sf_dir)), "naming")
-    return anchors.label_anchors(long, _references(spark), chroma_q)
+def _labels(spark, sf_dir):
+    """(plain, vivid) label anchors, of one table."""
+    columns = ("label", "p", "product_id", "shade_id", "chip_hex", "L_lab", "a_lab", "b_lab", "C_lab")
+    members = tables.stored(anchors.members(fixtures.naming_long(fixtures.shades(spark, sf_dir)).select(*columns)), "naming")
+    return anchors.label_anchors(members, _references(spark)), anchors.label_anchors(members, _references(spark), 0.9)
 
 
 _MEMBERS = """
@@ -108,7 +110,8 @@ vivid as (select label, count(*) as n, sum(p*L_lab)/sum(p) as anchor_L, sum(p*a_
 
 @query(with_(SHADES, ANCHORS, PROBS, _MEMBERS, select=" union all ".join(f"select label, '{t}' as form, n, round(anchor_L, 5) as anchor_L, round(anchor_a, 5) as anchor_a, round(anchor_b, 5) as anchor_b from {t}" for t in ("base", "vivid"))))
 def ast5_label_anchors(spark, sf_dir):
-    both = _labels(spark, sf_dir).withColumn("form", F.lit("base")).unionByName(_labels(spark, sf_dir, 0.9).withColumn("form", F.lit("vivid")))
+    base, vivid = _labels(spark, sf_dir)
+    both = base.withColumn("form", F.lit("base")).unionByName(vivid.withColumn("form", F.lit("vivid")))
     return both.select("label", "form", "n", *rounded("anchor_L", "anchor_a", "anchor_b", digits=5))
 
 
@@ -165,7 +168,7 @@ def pol13_hi_chroma(spark, sf_dir):
     )
 )
 def pol13_effective(spark, sf_dir):
-    got = anchors.effective_anchors(_found(spark, sf_dir), _flags(spark, sf_dir), _labels(spark, sf_dir), _labels(spark, sf_dir, 0.9))
+    got = anchors.effective_anchors(_found(spark, sf_dir), _flags(spark, sf_dir), *_labels(spark, sf_dir))
     return got.select("text_id", "token", "plain", "hi_chroma", "used", "anchor_hex", *rounded("anchor_L", "anchor_a", "anchor_b", digits=5))
 
 
@@ -197,7 +200,7 @@ def eva11_anchor_grid(spark, sf_dir):
 
 @query(with_(SHADES, ANCHORS, PROBS, _MEMBERS, select="select label, round(sqrt(power(v.anchor_a,2)+power(v.anchor_b,2)) - sqrt(power(b.anchor_a,2)+power(b.anchor_b,2)), 5) as d_chroma, case when round(sqrt(power(v.anchor_a,2)+power(v.anchor_b,2)) - sqrt(power(b.anchor_a,2)+power(b.anchor_b,2)), 6) >= 0 then 'PASS' else 'FAIL' end as status from base b join vivid v using (label)"))
 def eva12_anchor_effects(spark, sf_dir):
-    return reports.anchor_effects(_labels(spark, sf_dir), _labels(spark, sf_dir, 0.9)).select("label", F.round("d_chroma", 5).alias("d_chroma"), "status")
+    return reports.anchor_effects(*_labels(spark, sf_dir)).select("label", F.round("d_chroma", 5).alias("d_chroma"), "status")
 
 
 @query("""with k as (select label, arg_min(embedding, vec_id) as key from embeddings group by label),

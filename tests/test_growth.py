@@ -111,3 +111,12 @@ def test_domain_anchors_are_not_dealt_by_word(spark):
     rows = fixtures.shades(spark, SMALL).where("r is not null").withColumn("hue", F.col("hue_hsv_deg"))
     plan = final_plan(domain.hue_windows(rows, keys))
     assert "SortMergeJoin" not in plan and "BuildLeft" not in plan
+
+
+def test_label_anchors_are_not_dealt_by_label(spark, monkeypatch):
+    """Members are made once for both forms, and no join deals them by label."""
+    kept, write = [], tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, name: kept.append(name) or write(df, name))
+    base, vivid = anchors._labels(spark, SMALL)
+    assert kept == ["naming"]
+    assert "SortMergeJoin" not in final_plan(base) + final_plan(vivid)
