@@ -58,6 +58,12 @@ def snap(x: Column) -> Column:
     return F.array_min(F.transform(grid, lambda q: F.struct(F.round(F.abs(q - x), 12).alias("d"), q.alias("q"))))["q"]
 
 
+def upper_middle(values: Column) -> Column:
+    """Index n div 2 of an array's sorted values, without NULLs; NULL if there are none."""
+    some = F.array_sort(F.array_compact(values))
+    return F.get(some, F.floor(F.size(some) / 2).cast("int"))
+
+
 def no_nan(x: Column) -> Column:
     return F.nullif(x, F.lit(float("nan")))
 

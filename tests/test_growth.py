@@ -120,3 +120,14 @@ def test_label_anchors_are_not_dealt_by_label(spark, monkeypatch):
     base, vivid = anchors._labels(spark, SMALL)
     assert kept == ["naming"]
     assert "SortMergeJoin" not in final_plan(base) + final_plan(vivid)
+
+
+def test_pixel_medians_of_arrays(spark):
+    """As upper_median of single pixels, and without a shuffle."""
+    from shadespark.operators import aggregates
+
+    images = spark.createDataFrame([(1, [5, 1, 9, 3]), (2, [4]), (3, [2, None, 8, 6]), (4, []), (5, [None])], "id int, r array<int>")
+    got = aggregates.pixel_medians(images, ["r"])
+    want = aggregates.upper_median(images.select("id", F.explode("r").alias("r")), ["id"], ["r"])
+    assert {r["id"]: r["r"] for r in got.collect()} == {4: None} | {r["id"]: r["r"] for r in want.collect()}
+    assert "Exchange" not in final_plan(got)
