@@ -64,7 +64,7 @@ def stabilised_bases(index: DataFrame, names: DataFrame) -> DataFrame:
     """
     words = _with_lab(index.where("instr(key, ' ') = 0").select("key", F.col("medoid").alias("hex")))
     weak = words.where((_r("C_lab") < TRIGGER_C) | (_r("L_lab") > TRIGGER_L)).select("key")
-    rows = names.select(color.norm_hex(F.col("hex")).alias("hex"), text.key(F.col("name")).alias("phrase")).where("hex is not null and instr(phrase, ' ') > 0")
+    rows = names.select("name", "hex").distinct().select(color.norm_hex(F.col("hex")).alias("hex"), text.key(F.col("name")).alias("phrase")).where("hex is not null and instr(phrase, ' ') > 0")
     pairs = rows.select("hex", F.explode(F.array_distinct(F.split("phrase", " "))).alias("key")).distinct()
     v = stored(_with_lab(pairs.join(weak, "key")).where(_r("L_lab") <= VARIANT_L), "variants")
     q = F.percentile("C_lab", F.array(*map(F.lit, (NEUTRAL_BAND[0], 0.5, VIVID_FROM, NEUTRAL_BAND[1]))))

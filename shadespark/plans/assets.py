@@ -13,10 +13,14 @@ from ..sources.tables import stored
 
 
 def key_index(names: DataFrame) -> DataFrame:
-    """key, name, n_hex, n_sources, confidence, medoid hex, n_phrase, n_prefix of (source, name, hex) rows."""
-    rows = names.select("source", "name", color.norm_hex(F.col("hex")).alias("hex"), text.key(F.col("name")).alias("key")).where("hex is not null and key <> ''")
+    """key, name, n_hex, n_sources, confidence, medoid hex, n_phrase, n_prefix of (source, name, hex) rows.
+
+    Repeated rows count once and keys are made once: every part reads the stored distinct rows, and both passes of the medoids the stored chips.
+    """
+    rows = names.select("source", "name", "hex").distinct().select("source", "name", color.norm_hex(F.col("hex")).alias("hex"), text.key(F.col("name")).alias("key"))
+    rows = stored(rows.where("hex is not null and key <> ''"), "keyed")
     L, a, b = color.hex_lab(F.col("hex"))
-    chips = rows.select("key", "hex").distinct().withColumns({"L_lab": L, "a_lab": a, "b_lab": b})
+    chips = stored(rows.select("key", "hex").distinct().withColumns({"L_lab": L, "a_lab": a, "b_lab": b}), "chips")
     medoid = aggregates.lab_medoids(chips, ["key"], "hex", "hex")
     keys = rows.groupBy("key").agg(F.count_distinct("hex").alias("n_hex"), F.count_distinct("source").alias("n_sources"), F.min(F.struct("source", "name", "hex")).alias("f"))
     phrases = rows.select("key").distinct().withColumn("w", F.split("key", " ")).where(F.size("w") > 1)

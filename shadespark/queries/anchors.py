@@ -74,10 +74,11 @@ def txt28_aliases(spark, sf_dir):
     )
 )
 def ast2_base_anchors(spark, sf_dir):
-    df = tables.stored(fixtures.shades(spark, sf_dir).where("r is not null").select(F.col("brand_name").alias("source"), F.expr(_TONE).alias("tone"), "shade_name", F.col("chip_hex").alias("hex")), "tones")
-    tones = df.select("source", F.explode(F.array("tone", F.concat_ws(" ", "tone", "shade_name"))).alias("name"), "hex")
-    names = _names(spark, sf_dir).unionByName(tones)
-    return anchors.stabilised_bases(assets.key_index(names), names)
+    df = fixtures.shades(spark, sf_dir).where("r is not null").select(F.col("brand_name").alias("source"), F.expr(_TONE).alias("tone"), "shade_name", F.col("chip_hex").alias("hex"))
+    df = tables.stored(df.distinct(), "tones")
+    said = F.array("shade_name", F.split("shade_name", " ")[0], "tone", F.concat_ws(" ", "tone", "shade_name"))
+    names = tables.stored(df.select("source", F.explode(said).alias("name"), "hex"), "names")
+    return anchors.stabilised_bases(tables.stored(assets.key_index(names), "index"), names)
 
 
 def _references(spark):

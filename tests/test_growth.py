@@ -133,3 +133,17 @@ def test_pixel_medians_of_arrays(spark):
     want = aggregates.upper_median(images.where("id < 5").select("id", F.explode("r").alias("r")), ["id"], ["r"])
     assert {r["id"]: r["r"] for r in got.collect()} == {4: None, 5: None} | {r["id"]: r["r"] for r in want.collect()}
     assert "Exchange" not in final_plan(got)
+
+
+def test_repeated_names_are_indexed_once(spark, monkeypatch):
+    """Rows that repeat change nothing in the index, and are gone before keys are made."""
+    from shadespark.plans import assets
+
+    kept, write = {}, tables.stored
+    monkeypatch.setattr(assets, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
+    rows = [("a", "Deep Red", "#AA0000"), ("b", "deep red", "#aa0000"), ("a", "Red", "#ff0000"), ("a", "Red", "#f00000"), ("c", "red-ish", None)]
+    names = spark.createDataFrame(rows * 50, "source string, name string, hex string")
+    got = sorted(assets.key_index(names).collect())
+    assert kept["keyed"].count() == 4
+    kept.clear()
+    assert got == sorted(assets.key_index(names.distinct()).collect()) and len(got) == 2
