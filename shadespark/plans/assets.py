@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import color, text
-from ..operators import aggregates, relational
+from ..operators import aggregates, pools, relational
 from ..sources.calibration import QUANTILES
-from ..sources.tables import stored
+from ..sources.tables import grown, stored
 
 
 def key_index(names: DataFrame) -> DataFrame:
@@ -43,11 +43,21 @@ def resolve(queries: DataFrame, index: DataFrame, axis_words: DataFrame, stop_wo
 
     index: key, confidence, n_sources, n_hex, n_phrase, role. Stop words (word) match nothing; axis words (word) only where the index has
     strong evidence; single descriptors (role) nothing. Fuzzy matches need single_cutoff and min_len letters of a
-    single word, cutoff else, and a single one enough evidence.
+    single word, cutoff else, and a single one enough evidence. Each distinct text is resolved once and joined to its queries,
+    so that no table of queries is broadcast; query_id is unique.
     """
+    told = queries.select("query_id", "text")
+    texts = told.select("text").distinct()
+    found = stored(_resolved(texts.select(F.col("text").alias("query_id"), "text"), index, axis_words, stop_words, cutoff, single_cutoff, min_len), "resolved").withColumnRenamed("query_id", "text")
+    met = F.broadcast(found) if found.count() <= pools.GROUP_QUERIES else grown(found)
+    return told.join(met, "text").select("query_id", "alias", "stage", "score")
+
+
+def _resolved(queries: DataFrame, index: DataFrame, axis_words: DataFrame, stop_words: DataFrame, cutoff: float, single_cutoff: float, min_len: int) -> DataFrame:
+    """resolve, step by step for every query."""
     from ..functions import udf
 
-    q = queries.select("query_id", text.key(F.col("text")).alias("q")).where("q <> ''")
+    q = stored(queries.select("query_id", text.key(F.col("text")).alias("q")).where("q <> ''"), "asked")
     q = q.join(stop_words.select(F.col("word").alias("q")), "q", "left_anti").withColumn("single", ~F.col("q").contains(" "))
     plain = F.coalesce(F.col("role"), F.lit("")) != "descriptor"
     strong = plain & ((F.col("confidence") >= 3) | (F.col("n_phrase") >= 5) | ((F.col("n_sources") >= 3) & (F.col("n_hex") >= 2)))

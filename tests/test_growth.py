@@ -147,3 +147,19 @@ def test_repeated_names_are_indexed_once(spark, monkeypatch):
     assert kept["keyed"].count() == 4
     kept.clear()
     assert got == sorted(assets.key_index(names.distinct()).collect()) and len(got) == 2
+
+
+def test_repeated_texts_are_resolved_once(spark, monkeypatch):
+    """Queries of one text share its match; none of their ids is broadcast."""
+    from shadespark.plans import assets
+
+    kept, write = {}, tables.stored
+    monkeypatch.setattr(assets, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
+    index = spark.createDataFrame([("red", 3, 3, 3, 0, None), ("dark", 1, 1, 1, 0, None)], "key string, confidence int, n_sources int, n_hex int, n_phrase int, role string")
+    asked = ("red", "Reds", "reddish", "dark", "the", "", None)
+    queries = spark.range(700).select("id", F.element_at(F.array(*map(F.lit, asked)), (F.col("id") % 7 + 1).cast("int")).alias("text")).toDF("query_id", "text")
+    words = lambda *x: spark.createDataFrame([(w,) for w in x], "word string")
+    got = assets.resolve(queries, index, words("dark"), words("the"))
+    assert "BroadcastHashJoin [query_id" not in final_plan(got) and kept["asked"].count() == 5
+    each = {asked[r["query_id"] % 7]: (r["alias"], r["stage"], r["score"]) for r in got.collect()}
+    assert each == {"red": ("red", 1, 100.0)} and got.count() == 100
