@@ -63,6 +63,21 @@ def linear_ranker(train: DataFrame, features: Sequence[str] = FEATURES, multinom
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), lr]).fit(rows)
 
 
+#: Rows of a partition that trees grow over: up to one partition for each core, and beyond.
+PART_ROWS, PART_ROWS_MOST = 250_000, 2_000_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows in as few partitions as their number asks for, by a hash of the whole row, and in its order.
+
+    Every level of every tree is a job over all partitions, and each of its tasks answers the driver with some kilobytes: their
+    number goes by the rows, not by the files that they come from.
+    """
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(n // PART_ROWS + 1, cores), n // PART_ROWS_MOST + 1)
+    return rows.withColumn("_at", F.xxhash64(*rows.columns)).repartition(parts, "_at").sortWithinPartitions("_at").drop("_at")
+
+
 def boosted_ranker(train: DataFrame, valid: DataFrame | None = None, features: Sequence[str] = FEATURES, iterations: int = 400) -> PipelineModel:
     """Boosted trees on balanced rows; with valid rows, boosting ends once their loss no longer falls."""
     rows, stop = train, {}
@@ -70,7 +85,7 @@ def boosted_ranker(train: DataFrame, valid: DataFrame | None = None, features: S
         rows = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
         stop = {"validationIndicatorCol": "_valid", "validationTol": 0.001}
     gbt = GBTClassifier(featuresCol="raw", stepSize=0.06, maxDepth=5, minInstancesPerNode=25, maxIter=iterations, seed=7, weightCol="weight", **stop)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), gbt]).fit(balanced(rows))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), gbt]).fit(dealt(balanced(rows)))
 
 
 def write_predictions(model: PipelineModel, rows: DataFrame, path: str) -> None:

@@ -163,3 +163,24 @@ def test_repeated_texts_are_resolved_once(spark, monkeypatch):
     assert "BroadcastHashJoin [query_id" not in final_plan(got) and kept["asked"].count() == 5
     each = {asked[r["query_id"] % 7]: (r["alias"], r["stage"], r["score"]) for r in got.collect()}
     assert each == {"red": ("red", 1, 100.0)} and got.count() == 100
+
+
+def test_trees_take_tasks_by_rows_not_by_files(spark):
+    """Of rows in 40 partitions, a further tree takes few tasks; and trees do not hang on how rows were dealt."""
+    from shadespark.plans import learning
+
+    rows = spark.range(1200).selectExpr("cast(id as string) as shade_id", *(f"cast(id * {k * 37 + 11} % 101 as double) as {c}" for k, c in enumerate(learning.FEATURES)))
+    rows = tables.stored(rows.withColumn("label", (F.col("L_lab") * 3 + F.col("b_lab") * F.col("C_lab") / 20 > 300).cast("int")), "trees")
+
+    def fit(parts, iterations):
+        spark.sparkContext.setJobGroup(group := f"trees-{parts}-{iterations}", group)
+        try:
+            trees = learning.boosted_ranker(rows.where("shade_id % 5 > 0").repartition(parts), rows.where("shade_id % 5 = 0").repartition(parts), iterations=iterations).stages[-1]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        status = spark.sparkContext.statusTracker()
+        stages = {s for job in status.getJobIdsForGroup(group) for s in status.getJobInfo(job).stageIds}
+        return trees.toDebugString, sum(info.numCompletedTasks for s in stages if (info := status.getStageInfo(s)))
+
+    (few, less), (many, more), (again, _) = fit(40, 2), fit(40, 6), fit(7, 6)
+    assert (more - less) / 4 < 40 and many.split("\n", 1)[1] == again.split("\n", 1)[1]
