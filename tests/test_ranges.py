@@ -32,7 +32,7 @@ def dealt_anew(spark, monkeypatch):
     spark.conf.unset("spark.sql.exchange.reuse")
 
 
-@pytest.mark.parametrize("name", ["chk2_constraints", "set1_concat"])
+@pytest.mark.parametrize("name", ["chk2_constraints", "set1_concat", "win3_weak_labels"])
 def test_ranks_do_not_hang_on_how_rows_are_dealt(spark, dealt_anew, name):
     con = duckdb.connect()
     con.sql(f"create view part as select * from '{LARGE}/part.parquet'")
